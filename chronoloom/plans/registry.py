@@ -6,7 +6,7 @@ import importlib
 
 from chronoloom.plans.catalog import ORACLES, QUERIES, Query
 
-MODULES = ("panel", "metrics")
+MODULES = ("panel", "metrics", "cleaning")
 
 
 def _load() -> None:
