@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from chronoloom.operators.scalers import with_stats
 from chronoloom.operators.timeaxis import CHUNK, valid_neighbours
 
 
@@ -20,13 +19,12 @@ def with_runs(long: DataFrame, keys: Sequence[str], pos: str, value: str, chunk:
 
     ``pos`` must be consecutive within a series.
     """
-    ends = long.groupBy(*keys).agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
-    out = with_stats(valid_neighbours(long, keys, pos, value, chunk), ends, keys)
-    start = F.coalesce(F.col("prev.pos") + 1, F.col("_first"))
-    stop = F.coalesce(F.col("next.pos") - 1, F.col("_last"))
+    out = valid_neighbours(long, keys, pos, value, chunk)
+    start = F.coalesce(F.col("prev.pos") + 1, F.col("series_first"))
+    stop = F.coalesce(F.col("next.pos") - 1, F.col("series_last"))
     missing = F.col(value).isNull()
     return out.withColumn("run_start", F.when(missing, start)).withColumn(
-        "run_length", F.when(missing, stop - start + 1)).drop("_first", "_last")
+        "run_length", F.when(missing, stop - start + 1)).drop("series_first", "series_last")
 
 
 def missing_runs(long: DataFrame, keys: Sequence[str], pos: str, value: str, chunk: int = CHUNK) -> DataFrame:

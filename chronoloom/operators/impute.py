@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 from chronoloom.functions.calendar import micros
 from chronoloom.functions.scalars import clip
 from chronoloom.operators.scalers import with_stats
-from chronoloom.operators.spline import spline_values
+from chronoloom.operators.spline import spline_pieces, with_spline
 from chronoloom.operators.timeaxis import CHUNK, valid_neighbours
 
 MIN_FOR_SPLINE = 4
 MIN_FOR_LINE = 2
+NEIGHBOURS = ("prev", "next", "series_first", "series_last")
 
 
 def _line(axis):
@@ -31,7 +32,7 @@ def interpolate_linear(long: DataFrame, keys: Sequence[str], pos: str, value: st
     """IMP1: by position, forward only: what precedes the first value stays missing."""
     out = _neighbours(long, keys, pos, value, F.col(pos), chunk)
     filled = F.coalesce(F.col(value), _line(F.col("axis")), F.col("prev.value"))
-    return out.withColumn(value, filled).drop("prev", "next", "axis")
+    return out.withColumn(value, filled).drop(*NEIGHBOURS, "axis")
 
 
 def interpolate_time(
@@ -40,13 +41,13 @@ def interpolate_time(
     """IMP2: by elapsed time, in both directions; the ends take the nearest value."""
     out = _neighbours(long, keys, pos, value, micros(ts), chunk)
     filled = F.coalesce(F.col(value), _line(F.col("axis")), F.col("prev.value"), F.col("next.value"))
-    return out.withColumn(value, filled).drop("prev", "next", "axis")
+    return out.withColumn(value, filled).drop(*NEIGHBOURS, "axis")
 
 
 def fill_both_ways(long: DataFrame, keys: Sequence[str], pos: str, value: str, chunk: int = CHUNK) -> DataFrame:
     """IMP4: forward, then backward."""
     out = valid_neighbours(long, keys, pos, value, chunk)
-    return out.withColumn(value, F.coalesce(value, "prev.value", "next.value")).drop("prev", "next")
+    return out.withColumn(value, F.coalesce(value, "prev.value", "next.value")).drop(*NEIGHBOURS)
 
 
 def fill_chain(
@@ -57,23 +58,26 @@ def fill_chain(
 
     With ``ts`` the axis is elapsed time, else the position.  Series with fewer
     than two values are left alone (``sparse='skip'``) or filled without
-    interpolation and without clipping (``sparse='fill'``).
+    interpolation and without clipping (``sparse='fill'``).  ``column`` is one of
+    the keys.  The input is read several times: stage it if it is costly.
     """
     if sparse not in ("skip", "fill"):
         raise ValueError(f"unknown rule {sparse}")
     axis = micros(ts) if ts else F.col(pos)
     facts = long.groupBy(*keys).agg(F.count(value).alias("_valid"), F.count_if(F.col(value).isNull()).alias("_gaps"))
     bounds = F.broadcast(config.select(F.col("indicator").alias(column), "min_val", "max_val", "interpolation"))
-    rows = with_stats(long, facts, keys).join(bounds, column, "left")
+    facts = facts.join(bounds, column, "left")
     active = F.col("min_val").isNotNull() & (F.col("_gaps") > 0)
-    cubic = active & (F.col("interpolation") == "cubic") & (F.col("_valid") >= MIN_FOR_SPLINE)
-    rows = rows.withColumn("_cubic", cubic).withColumn("_axis", axis.cast("double"))
-    rows = spline_values(rows, keys, pos, "_axis", value, "_spline", use="_cubic", chunk=chunk)
-    out = _neighbours(rows, keys, pos, value, F.col("_axis"), chunk)
+    cubic = facts.where(active & (F.col("interpolation") == "cubic") & (F.col("_valid") >= MIN_FOR_SPLINE))
+    work = long.withColumn("axis", axis.cast("double"))
+    pieces = spline_pieces(work, keys, pos, "axis", value, cubic.select(*keys, F.col("_valid").alias("_total")), chunk=chunk)
+    out = valid_neighbours(work, keys, pos, value, chunk, extra=["axis"])
+    out = with_spline(out, pieces, keys, pos, "axis", value, "_spline")
+    out = with_stats(out, facts, keys)
     nearest = F.coalesce(F.col("prev.value"), F.col("next.value"))
     filled = F.coalesce(F.col(value), F.col("_spline"), _line(F.col("axis")), nearest)
     result = F.when(active & (F.col("_valid") >= MIN_FOR_LINE), clip(filled, F.col("min_val"), F.col("max_val")))
     if sparse == "fill":
         result = result.when(active, F.coalesce(F.col(value), nearest))
     return out.withColumn(value, result.otherwise(F.col(value))).drop(
-        "prev", "next", "axis", "_axis", "_valid", "_gaps", "_cubic", "_spline", "min_val", "max_val", "interpolation")
+        *NEIGHBOURS, "axis", "_valid", "_gaps", "_spline", "min_val", "max_val", "interpolation")

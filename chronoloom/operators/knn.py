@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chronoloom.session import stage
+
 BLOCK = 2_048
 MAX_BLOCKS = 16_384
 GRID_COLUMNS = 8
@@ -56,10 +58,19 @@ def standardised(df: DataFrame, station: Sequence[str], columns: Sequence[str])
 
 
 def pack_blocks(rows: DataFrame, station: Sequence[str], row: str, width: int, block: int, max_blocks: int) -> DataFrame:
-    """One row per block: ids, flat coordinates, and the box around them."""
+    """One row per block: ids, patterns, flat coordinates, and the box around them.
+
+    A station that fits into one block is one, whatever its patterns
+    (``_pattern`` -1); larger ones get blocks of a single pattern.
+    """
     z = [F.col("_z")[j] for j in range(width)]
-    rows = rows.select(*station, row, "_z", "_rows", _bits(z).alias("_mask"), _cell(z).alias("_grid"))
-    pattern = [*station, "_mask"]
+    small = F.col("_rows") <= block
+    mask = _bits(z)
+    rows = rows.select(
+        *station, row, "_z", "_rows", mask.alias("_mask"),
+        F.when(small, F.lit(-1).cast("long")).otherwise(mask).alias("_pattern"),
+        F.when(small, F.lit(0).cast("long")).otherwise(_cell(z)).alias("_grid"))
+    pattern = [*station, "_pattern"]
     cells = rows.groupBy(*pattern, "_grid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*pattern).orderBy("_grid").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -68,11 +79,13 @@ def pack_blocks(rows: DataFrame, station: Sequence[str], row: str, width: int, b
     placed = rows.join(cells, [*pattern, "_grid"]).withColumn("_block", F.floor(spot / size).cast("long"))
     flat = F.flatten(F.transform("_list", lambda r: F.transform(r["_z"], lambda x: F.coalesce(x, F.lit(0.0)))))
     return placed.groupBy(*pattern, "_block").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(row).alias("id"), "_z"))).alias("_list"),
+        F.sort_array(F.collect_list(F.struct(F.col(row).alias("id"), "_mask", "_z"))).alias("_list"),
+        F.bit_and("_mask").alias("every"),
         F.array(*[F.coalesce(F.min(c), F.lit(0.0)) for c in z]).alias("lo"),
         F.array(*[F.coalesce(F.max(c), F.lit(0.0)) for c in z]).alias("hi"),
-    ).select(*pattern, "_block", "lo", "hi", F.size("_list").alias("n"),
-             F.transform("_list", lambda r: r["id"]).alias("ids"), flat.alias("values"))
+    ).select(*pattern, "_block", "every", "lo", "hi", F.size("_list").alias("n"),
+             F.transform("_list", lambda r: r["id"]).alias("ids"), F.transform("_list", lambda r: r["_mask"]).alias("masks"),
+             flat.alias("values"))
 
 
 def candidate_pairs(blocks: DataFrame, station: Sequence[str], width: int, k: int) -> DataFrame:
@@ -81,18 +94,23 @@ def candidate_pairs(blocks: DataFrame, station: Sequence[str], width: int, k: in
     The boxes of a station are at most ``MAX_BLOCKS`` plus one per pattern, so
     the list joined to each incomplete block is bounded.
     """
-    box = F.struct("_mask", "_block", "n", "lo", "hi")
-    boxes = blocks.groupBy(*station).agg(F.collect_list(box).alias("_boxes"))
+    box = F.struct("_pattern", "_block", "n", "lo", "hi")
     full = (1 << width) - 1
-    asking = blocks.where(F.col("_mask") != full).select(*station, "_mask", "_block", "lo", "hi").join(boxes, list(station))
+    # a station in one block can only meet itself
+    alone = blocks.where((F.col("_pattern") == -1) & (F.col("every") != full)).select(
+        *station, F.col("_pattern").alias("q_pattern"), F.col("_block").alias("q_block"),
+        F.col("_pattern").alias("d_pattern"), F.col("_block").alias("d_block"))
+    parted = blocks.where(F.col("_pattern") != -1)
+    boxes = parted.groupBy(*station).agg(F.collect_list(box).alias("_boxes"))
+    asking = parted.where(F.col("_pattern") != full).select(*station, "_pattern", "_block", "lo", "hi").join(boxes, list(station))
     asking = asking.select(
-        *station, "_mask", "_block", "lo", "hi",
-        F.col("_boxes._mask").alias("d_mask"), F.col("_boxes._block").alias("d_block"), F.col("_boxes.n").alias("d_n"),
+        *station, "_pattern", "_block", "lo", "hi",
+        F.col("_boxes._pattern").alias("d_mask"), F.col("_boxes._block").alias("d_block"), F.col("_boxes.n").alias("d_n"),
         F.flatten(F.col("_boxes.lo")).alias("d_lo"), F.flatten(F.col("_boxes.hi")).alias("d_hi"))
     types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in station] + [
-        "q_mask long", "q_block long", "d_mask long", "d_block long"])
-    columns = [*station, "q_mask", "q_block", "d_mask", "d_block"]
+        "q_pattern long", "q_block long", "d_pattern long", "d_block long"])
+    columns = [*station, "q_pattern", "q_block", "d_pattern", "d_block"]
     bit = 1 << np.arange(width)
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +120,7 @@ def candidate_pairs(blocks: DataFrame, station: Sequence[str], width: int, k: in
                 masks = np.asarray(r["d_mask"], dtype=np.int64)
                 lo, hi = (np.asarray(r[c], dtype=float).reshape(len(masks), width) for c in ("d_lo", "d_hi"))
                 counts = np.asarray(r["d_n"])
-                shared = ((masks[:, None] & r["_mask"]) & bit) != 0
+                shared = ((masks[:, None] & r["_pattern"]) & bit) != 0
                 size = shared.sum(1)
                 qlo, qhi = np.asarray(r["lo"], dtype=float), np.asarray(r["hi"], dtype=float)
                 gap = np.maximum(np.maximum(lo - qhi, qlo - hi), 0.0)
@@ -112,7 +130,7 @@ def candidate_pairs(blocks: DataFrame, station: Sequence[str], width: int, k: in
                 farthest = scale * (shared * far**2).sum(1)
                 keep = np.zeros(len(masks), dtype=bool)
                 for c in range(width):
-                    if r["_mask"] >> c & 1:
+                    if r["_pattern"] >> c & 1:
                         continue
                     can = np.flatnonzero(((masks >> c) & 1 == 1) & (size > 0))
                     order = can[np.argsort(farthest[can], kind="stable")]
@@ -120,7 +138,7 @@ def candidate_pairs(blocks: DataFrame, station: Sequence[str], width: int, k: in
                     reach = farthest[order[enough[0]]] if len(enough) else np.inf
                     keep[can[nearest[can] <= reach * (1 + 1e-9) + 1e-9]] = True
                 hit = np.flatnonzero(keep)
-                part = pd.DataFrame({"q_mask": r["_mask"], "q_block": r["_block"], "d_mask": masks[hit],
+                part = pd.DataFrame({"q_pattern": r["_pattern"], "q_block": r["_block"], "d_pattern": masks[hit],
                                      "d_block": np.asarray(r["d_block"], dtype=np.int64)[hit]})
                 for c in station:
                     part[c] = r[c]
@@ -128,48 +146,75 @@ def candidate_pairs(blocks: DataFrame, station: Sequence[str], width: int, k: in
             if out:
                 yield pd.concat(out, ignore_index=True)[columns]
 
-    return asking.mapInPandas(prune, schema)
+    return asking.mapInPandas(prune, schema).unionByName(alone)
 
 
 def nearest_donors(blocks: DataFrame, pairs: DataFrame, station: Sequence[str], row_type: str, width: int, k: int) -> DataFrame:
     """The k nearest donors of each incomplete row in each block pair, with the wanted values."""
-    payload = [*station, "_mask", "_block", "ids", "values"]
-    asking = blocks.select(*[F.col(c).alias({"_mask": "q_mask", "_block": "q_block", "ids": "q_ids",
-                                             "values": "q_values"}.get(c, c)) for c in payload])
-    giving = blocks.select(*[F.col(c).alias({"_mask": "d_mask", "_block": "d_block", "ids": "d_ids",
-                                             "values": "d_values"}.get(c, c)) for c in payload])
-    both = pairs.join(asking, [*station, "q_mask", "q_block"]).join(giving, [*station, "d_mask", "d_block"])
+    def side(tag: str) -> DataFrame:
+        return blocks.select(*station, *[F.col(c).alias(f"{tag}_{c.lstrip('_')}") for c in ("_pattern", "_block", "ids", "masks", "values")])
+
+    both = pairs.join(side("q"), [*station, "q_pattern", "q_block"]).join(side("d"), [*station, "d_pattern", "d_block"])
     types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in station] + [
         f"id {row_type}, col int, dist double, donor {row_type}, value double"])
     columns = [*station, "id", "col", "dist", "donor", "value"]
+    bit = 1 << np.arange(width)
+
+    def pair(r: dict) -> Iterator[tuple[np.ndarray, ...]]:
+        q_ids, d_ids = np.asarray(r["q_ids"]), np.asarray(r["d_ids"])
+        q_has = (np.asarray(r["q_masks"], dtype=np.int64)[:, None] & bit) != 0
+        d_has = (np.asarray(r["d_masks"], dtype=np.int64)[:, None] & bit) != 0
+        q = np.asarray(r["q_values"], dtype=float).reshape(len(q_ids), width)
+        d = np.asarray(r["d_values"], dtype=float).reshape(len(d_ids), width)
+        asking = np.flatnonzero(~q_has.all(1))
+        step = max(1, 2_000_000 // max(len(d_ids), 1))
+        for start in range(0, len(asking), step):
+            part = asking[start:start + step]
+            total, shared = np.zeros((len(part), len(d_ids))), np.zeros((len(part), len(d_ids)))
+            for j in range(width):
+                both_have = q_has[part, j, None] & d_has[None, :, j]
+                total += np.where(both_have, (q[part, j, None] - d[None, :, j]) ** 2, 0.0)
+                shared += both_have
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist = np.round(np.sqrt(total * (width / shared)), DECIMALS)
+            dist[shared == 0] = np.inf
+            whole = None
+            for j in range(width):
+                rows = np.flatnonzero(~q_has[part, j])
+                can = np.flatnonzero(d_has[:, j])
+                if not len(rows) or not len(can):
+                    continue
+                # ids ascend within a block, so a stable sort settles ties by id
+                if len(can) == len(d_ids):
+                    whole = np.argsort(dist, axis=1, kind="stable")[:, :k] if whole is None else whole
+                    near = whole[rows]
+                else:
+                    near = can[np.argsort(dist[np.ix_(rows, can)], axis=1, kind="stable")[:, :k]]
+                at, picked = np.repeat(rows, near.shape[1]), near.ravel()
+                ok = np.isfinite(dist[at, picked])
+                at, picked = at[ok], picked[ok]
+                yield q_ids[part[at]], np.full(len(at), j, dtype=np.int32), dist[at, picked], d_ids[picked], d[picked, j]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            made, names = [], []
             for r in pdf.to_dict("records"):
-                shared = [j for j in range(width) if r["q_mask"] & r["d_mask"] & (1 << j)]
-                wanted = [j for j in range(width) if r["d_mask"] & ~r["q_mask"] & (1 << j)]
-                q_ids, d_ids = np.asarray(r["q_ids"]), np.asarray(r["d_ids"])
-                q = np.asarray(r["q_values"], dtype=float).reshape(len(q_ids), width)
-                d = np.asarray(r["d_values"], dtype=float).reshape(len(d_ids), width)
-                step = max(1, 2_000_000 // max(len(d_ids), 1))
-                for start in range(0, len(q_ids), step):
-                    part = q[start:start + step]
-                    total = np.zeros((len(part), len(d_ids)))
-                    for j in shared:
-                        total += (part[:, j, None] - d[None, :, j]) ** 2
-                    dist = np.round(np.sqrt(total * (width / len(shared))), DECIMALS)
-                    # ids ascend within a block, so a stable sort settles ties by id
-                    near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                    rows = np.repeat(np.arange(len(part)), near.shape[1])
-                    picked = near.ravel()
-                    for j in wanted:
-                        out = pd.DataFrame({
-                            "id": q_ids[start + rows], "col": np.int32(j), "dist": dist[rows, picked],
-                            "donor": d_ids[picked], "value": d[picked, j]})
-                        for c in station:
-                            out[c] = r[c]
-                        yield out[columns]
+                for piece in pair(r):
+                    made.append(piece)
+                    names.append(([r[c] for c in station], len(piece[0])))
+                if sum(n for _, n in names) > 200_000:
+                    yield assemble(made, names)
+                    made, names = [], []
+            if made:
+                yield assemble(made, names)
+
+    def assemble(made: list, names: list) -> pd.DataFrame:
+        out = pd.DataFrame(dict(zip(columns[len(station):], (np.concatenate(c) for c in zip(*made)))))
+        counts = [n for _, n in names]
+        for i, c in enumerate(station):
+            out[c] = np.repeat(np.array([v[i] for v, _ in names], dtype=object), counts)
+        return out.astype({c: np.dtype("int64") for c in station if types[c] == "bigint"})[columns]
 
     return both.mapInPandas(search, schema)
 
@@ -190,7 +235,7 @@ def knn_impute(
         raise ValueError("at most 62 columns")
     rows, stats = standardised(df, station, columns)
     row_type = dict(df.dtypes)[row]
-    blocks = pack_blocks(rows, station, row, width, block, max_blocks)
+    blocks = stage(pack_blocks(rows, station, row, width, block, max_blocks))
     pairs = candidate_pairs(blocks, station, width, k)
     found = nearest_donors(blocks, pairs, station, row_type, width, k)
     best = Window.partitionBy(*station, "id", "col").orderBy("dist", "donor")

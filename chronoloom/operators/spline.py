@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from chronoloom.operators.timeaxis import CHUNK, running_count
+from chronoloom.operators.timeaxis import CHUNK, running_count, valid_neighbours
 
 BLOCK = 8_192
 MARGIN = 72
@@ -56,66 +56,72 @@ def curvatures(x: np.ndarray, y: np.ndarray, left_end: bool, right_end: bool) ->
     return np.concatenate([[first], inner, [last]])
 
 
-def knot_curvatures(
-    knots: DataFrame, keys: Sequence[str], order: str, axis: str, value: str, block: int = BLOCK, margin: int = MARGIN
+def spline_pieces(
+    rows: DataFrame, keys: Sequence[str], pos: str, axis: str, value: str, totals: DataFrame | None = None,
+    block: int = BLOCK, margin: int = MARGIN, chunk: int = CHUNK,
 ) -> DataFrame:
-    """``(keys, order, axis, value, curvature)`` for knots numbered 1, 2, ... by ``order``.
+    """The cubic to the right of every knot: ``(keys, _at, _x0, _y0, _m0, _x1, _y1, _m1)``.
 
-    A series needs four knots.
+    ``_at`` is the position of the knot; the last knot carries the last cubic.
+    ``totals`` is ``(keys, _total)``, the series to cover and their number of
+    valid values; without it every series with four or more.
     """
-    at = F.col(order) - 1
-    reach = [F.floor((at + d) / block) for d in (-margin, margin)]
-    copies = knots.select(*keys, order, axis, value, "_total").withColumn(
-        "_block", F.explode(F.sequence(
-            F.greatest(reach[0], F.lit(0)).cast("long"),
-            F.least(reach[1], F.floor((F.col("_total") - 1) / block)).cast("long"))))
-    fields = {f.name: f.dataType.simpleString() for f in knots.schema.fields}
-    schema = ", ".join(
-        [f"`{k}` {fields[k]}" for k in keys] + [f"`{order}` bigint, `{axis}` double, `{value}` double, curvature double"])
+    valid = rows.where(F.col(value).isNotNull())
+    if totals is None:
+        totals = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") >= 4)
+    knots = running_count(
+        valid.select(*keys, F.col(pos).alias("_at"), F.col(axis).alias("_x"), F.col(value).cast("double").alias("_y")),
+        keys, "_at", F.lit(True), "_k", chunk).join(totals, list(keys))
+    at = F.col("_k") - 1
+    first, last = F.floor((at - margin) / block), F.floor((at + margin) / block)
+    copies = knots.withColumn("_block", F.explode(F.sequence(
+        F.greatest(first, F.lit(0)).cast("long"),
+        F.least(last, F.floor((F.col("_total") - 1) / block)).cast("long"))))
+    types = {f.name: f.dataType.simpleString() for f in knots.schema.fields}
+    names = ["_x0", "_y0", "_m0", "_x1", "_y1", "_m1"]
+    schema = ", ".join([f"`{k}` {types[k]}" for k in [*keys, "_at"]] + [f"{n} double" for n in names])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        k, b, total = pdf[order].to_numpy(), int(pdf["_block"].iloc[0]), int(pdf["_total"].iloc[0])
-        x, y = pdf[axis].to_numpy(float), pdf[value].to_numpy(float)
+        pdf = pdf.sort_values("_k")
+        k, b, total = pdf["_k"].to_numpy(), int(pdf["_block"].iloc[0]), int(pdf["_total"].iloc[0])
+        x, y = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
         # the step is a scale of its own: microseconds squared would lose digits
         unit = (x[-1] - x[0]) / max(len(x) - 1, 1) or 1.0
-        m = curvatures((x - x[0]) / unit, y, k[0] == 1, k[-1] == total) / unit**2
-        own = (k - 1) // block == b
-        out = pdf.loc[own, [*keys, order, axis, value]].copy()
-        out["curvature"] = m[own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            m = curvatures((x - x[0]) / unit, y, k[0] == 1, k[-1] == total) / unit**2
+        own = np.flatnonzero((k - 1) // block == b)
+        left = np.minimum(own, len(k) - 2)
+        out = pdf.iloc[own][[*keys, "_at"]].copy()
+        for name, source, at in zip(names, (x, y, m, x, y, m), (left,) * 3 + (left + 1,) * 3):
+            out[name] = source[at]
         return out
 
     return copies.groupBy(*keys, "_block").applyInPandas(solve, schema)
 
 
-def spline_values(
-    rows: DataFrame, keys: Sequence[str], pos: str, axis: str, value: str, name: str, use: str | None = None,
-    block: int = BLOCK, margin: int = MARGIN, chunk: int = CHUNK,
-) -> DataFrame:
-    """Adds ``name``: the spline through the valid values, at missing rows.
+def with_spline(neighbours: DataFrame, pieces: DataFrame, keys: Sequence[str], pos: str, axis: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``, the spline at missing rows; needs ``prev`` and ``next``.
 
-    The end pieces reach on beyond the first and last knot.  ``use`` names a
-    boolean column: series where it is false get NULL, as do those with fewer
-    than four knots.
+    The end cubics reach on beyond the first and last knot.
     """
-    valid = F.col(value).isNotNull()
-    chosen = valid if use is None else valid & F.col(use)
-    counted = running_count(rows, keys, pos, chosen, "_knot", chunk)
-    totals = rows.where(chosen).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") >= 4)
-    knots = counted.where(chosen).select(*keys, F.col("_knot").alias("_k"), axis, F.col(value).alias("_y")).join(
-        totals, list(keys))
-    solved = knot_curvatures(knots, keys, "_k", axis, "_y", block, margin)
-    # every interval of the axis as one row: the knot at its left and the next
-    right = solved.select(*keys, (F.col("_k") - 1).alias("_k"), F.col(axis).alias("_x1"), F.col("_y").alias("_y1"),
-                          F.col("curvature").alias("_m1"))
-    left = solved.select(*keys, "_k", F.col(axis).alias("_x0"), F.col("_y").alias("_y0"), F.col("curvature").alias("_m0"))
-    pieces = left.join(right, [*keys, "_k"])
-    placed = counted.join(totals, list(keys), "left").withColumn(
-        "_k", F.greatest(F.least(F.col("_knot"), F.col("_total") - 1), F.lit(1)))
-    out = placed.join(pieces, [*keys, "_k"], "left")
+    anchor = F.coalesce(F.col("prev.pos"), F.col("next.pos"))
+    out = neighbours.withColumn("_at", F.when(F.col(value).isNull(), anchor)).join(pieces, [*keys, "_at"], "left")
     h = F.col("_x1") - F.col("_x0")
     a, b = (F.col("_x1") - F.col(axis)) / h, (F.col(axis) - F.col("_x0")) / h
     cubic = a * F.col("_y0") + b * F.col("_y1") + (
         (a * a * a - a) * F.col("_m0") + (b * b * b - b) * F.col("_m1")) * h * h / 6.0
-    return out.withColumn(name, F.when(~valid & ~F.isnan(cubic), cubic)).drop(
-        "_knot", "_k", "_total", "_x0", "_y0", "_m0", "_x1", "_y1", "_m1")
+    return out.withColumn(name, F.when(~F.isnan(cubic), cubic)).drop(
+        "_at", "_x0", "_y0", "_m0", "_x1", "_y1", "_m1")
+
+
+def spline_values(
+    rows: DataFrame, keys: Sequence[str], pos: str, axis: str, value: str, name: str,
+    block: int = BLOCK, margin: int = MARGIN, chunk: int = CHUNK,
+) -> DataFrame:
+    """IMP3: adds ``name``, the spline through the valid values, at missing rows.
+
+    Series with fewer than four values get NULL.
+    """
+    pieces = spline_pieces(rows, keys, pos, axis, value, None, block, margin, chunk)
+    near = valid_neighbours(rows, keys, pos, value, chunk)
+    return with_spline(near, pieces, keys, pos, axis, value, name).drop("prev", "next", "series_first", "series_last")

@@ -96,16 +96,20 @@ def valid_neighbours(
     """Adds ``prev`` and ``next``: the nearest non-NULL value at or before / after.
 
     Each is a struct ``(pos, value, *extra)``; a valid row is its own neighbour.
+    ``series_first`` and ``series_last`` are the ends of the series.
     """
     point = F.struct(F.col(pos).alias("pos"), F.col(value).alias("value"), *[F.col(c) for c in extra])
     work = df.withColumn("_chunk", chunk_of(pos, chunk)).withColumn(
         "_point", F.when(F.col(value).isNotNull(), point))
-    ends = work.groupBy(*keys, "_chunk").agg(F.min("_point").alias("_first"), F.max("_point").alias("_last"))
+    ends = work.groupBy(*keys, "_chunk").agg(
+        F.min("_point").alias("_first"), F.max("_point").alias("_last"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
     series = Window.partitionBy(*_series(keys)).orderBy("_chunk")
     carry = ends.select(
         *keys, "_chunk",
         F.last("_last", True).over(series.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_prev"),
         F.first("_first", True).over(series.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_next"),
+        F.min("_lo").over(Window.partitionBy(*_series(keys))).alias("series_first"),
+        F.max("_hi").over(Window.partitionBy(*_series(keys))).alias("series_last"),
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     back = inside.rowsBetween(Window.unboundedPreceding, 0)

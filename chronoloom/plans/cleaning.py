@@ -14,6 +14,7 @@ from chronoloom import settings
 from chronoloom.functions.scalars import round_to
 from chronoloom.operators import gaps, impute, knn, outliers, profile as pf
 from chronoloom.operators.timeaxis import reindex
+from chronoloom.session import stage
 
 
 def round_indicators(long: DataFrame, config: DataFrame, value: str = "value", default: int | None = None) -> DataFrame:
@@ -25,22 +26,31 @@ def round_indicators(long: DataFrame, config: DataFrame, value: str = "value", d
     return rows.withColumn(value, out).drop("decimals")
 
 
+def without_gaps(long: DataFrame, config_names: Sequence[str], keys: Sequence[str], max_gap) -> DataFrame:
+    """GAP2 over all configured indicators of a station, staged for what follows."""
+    series = [*keys, "indicator"]
+    return stage(gaps.drop_long_gaps(long, series, keys, "t_idx", "value", max_gap, config_names))
+
+
 def remove_gaps_and_outliers(
     long: DataFrame, config_names: Sequence[str], keys: Sequence[str], max_gap, z_limit,
 ) -> DataFrame:
-    """GAP2 and OUT1 per station, then consecutive positions ``pos`` over the rows left."""
+    """GAP2 and OUT1 per station, then consecutive positions ``pos`` over the rows left.
+
+    Each step reads its input more than once, so the rows are staged in between.
+    """
     series = [*keys, "indicator"]
-    kept = gaps.drop_long_gaps(long, series, keys, "t_idx", "value", max_gap, config_names)
+    kept = without_gaps(long, config_names, keys, max_gap)
     watched = F.col("indicator").isin(list(config_names))
     checked = kept.withColumn("_checked", F.when(watched, F.col("value")))
     checked = outliers.zscore_outliers(checked, series, "_checked", z_limit)
     kept = checked.withColumn("value", F.when(watched, F.col("_checked")).otherwise(F.col("value"))).drop("_checked")
-    return reindex(kept, series, "t_idx", "pos")
+    return stage(reindex(kept, series, "t_idx", "pos"))
 
 
 def fill_by_neighbours(rows: DataFrame, names: Sequence[str], keys: Sequence[str], k: int = 5) -> DataFrame:
     """IMP6 on the configured indicators of a long table."""
-    wide = rows.groupBy(*keys, "t_idx", "pos").pivot("indicator", list(names)).agg(F.first("value"))
+    wide = stage(rows.groupBy(*keys, "t_idx", "pos").pivot("indicator", list(names)).agg(F.first("value")))
     filled = knn.knn_impute(wide, keys, "pos", list(names), k)
     back = filled.unpivot([*keys, "t_idx", "pos"], list(names), "indicator", "value")
     others = rows.where(~F.col("indicator").isin(list(names))).select(*back.columns)
@@ -86,7 +96,7 @@ def enhanced_cleaning(
 ) -> DataFrame:
     """PIPE3: OUT4, then IMP7 by elapsed time, then rounding with four decimals for the rest."""
     series = [*keys, "indicator"]
-    rows = outliers.clean_values(long, config, series, text, method, factor)
+    rows = stage(outliers.clean_values(long, config, series, text, method, factor))
     rows = impute.fill_chain(rows, config, series, "t_idx", ts=ts, sparse="fill")
     return round_indicators(rows, config, default=settings.DEFAULT_DECIMALS)
 
@@ -103,7 +113,7 @@ def batch_clean(long: DataFrame, config: DataFrame, keys: Sequence[str] = ("stat
     """PIPE4: every strategy on every station; cleaned rows and the status report."""
     names = [r.indicator for r in config.select("indicator").orderBy("indicator").collect()]
     keys = ["strategy", *keys]
-    wide = with_strategies(long)
+    wide = stage(with_strategies(long))
     rows = remove_gaps_and_outliers(wide, names, keys, F.col("max_gap"), F.col("z_limit"))
     segmented = F.col("strategy") == "segmented"
     line = impute.fill_chain(rows.where(segmented), config, [*keys, "indicator"], "pos")

@@ -8,6 +8,7 @@ from chronoloom.operators import gaps, impute, knn, outliers, profile as pf, sca
 from chronoloom.operators import panel as pn
 from chronoloom.operators.spline import spline_values
 from chronoloom.functions.calendar import micros
+from chronoloom.session import stage
 from chronoloom.plans.catalog import (
     PANEL_SQL, TYPES_SQL, query, r6, sql_r6, table, type_panel, user_axis, user_panel,
 )
@@ -233,14 +234,18 @@ def interpolate_linear(spark, sf_dir):
     return out.select("node", "t_idx", r6("value").alias("value"))
 
 
-@query("WITH " + NEAR_SQL.replace("FROM panel)", "FROM daylight)", 1).replace("JOIN panel p", "JOIN daylight p").replace("JOIN panel x", "JOIN daylight x").replace(
-    ", near AS", ", daylight AS (SELECT * FROM panel WHERE hour(ts) <> 0), near AS", 1)
-    + f" SELECT node, ts, {sql_r6('coalesce(value, pv + (nv - pv) * (t_idx - pt) / nullif(nt - pt, 0), pv, nv)')} AS value FROM ends")
+@query(f"""WITH readings AS (SELECT event_id, user_id, epoch_us(ts) AS us, CASE WHEN event_type <> 'error' THEN value END AS value FROM events),
+near AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN us END) OVER (PARTITION BY user_id ORDER BY us) AS pu,
+ min(CASE WHEN value IS NOT NULL THEN us END) OVER (PARTITION BY user_id ORDER BY us DESC) AS nu FROM readings),
+ends AS (SELECT n.*, p.value AS pv, x.value AS nv FROM near n LEFT JOIN readings p ON p.user_id = n.user_id AND p.us = n.pu
+ LEFT JOIN readings x ON x.user_id = n.user_id AND x.us = n.nu)
+SELECT event_id, {sql_r6('coalesce(value, pv + (nv - pv) * (us - pu) / nullif(nu - pu, 0), pv, nv)')} AS value FROM ends""")
 def interpolate_time(spark, sf_dir):
-    """IMP2 on an uneven axis: the midnight readings are absent, so elapsed time and position differ."""
-    rows = user_panel(spark, sf_dir).where(F.hour("ts") != 0)
-    out = impute.interpolate_time(rows, ["node"], "t_idx", "ts", "value")
-    return out.select("node", "ts", r6("value").alias("value"))
+    """IMP2 on an uneven axis: every user's events as they came, an error being a missing reading."""
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "ts", micros("ts").alias("us"), F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+    out = impute.interpolate_time(rows, ["user_id"], "us", "ts", "value", chunk=86_400_000_000)
+    return out.select("event_id", r6("value").alias("value"))
 
 
 @query(f"WITH {NEAR_SQL} SELECT node, t_idx, {sql_r6('coalesce(value, pv, nv)')} AS value FROM ends")
@@ -252,7 +257,7 @@ def fill_both_ways(spark, sf_dir):
 @query()
 def interpolate_cubic(spark, sf_dir):
     """IMP3; checked against a dense solve in the tests, SQL has no spline."""
-    panel = user_panel(spark, sf_dir).withColumn("_axis", F.col("t_idx").cast("double"))
+    panel = stage(user_panel(spark, sf_dir).withColumn("_axis", F.col("t_idx").cast("double")))
     out = spline_values(panel, ["node"], "t_idx", "_axis", "value", "spline")
     return out.select("node", "t_idx", r6(F.coalesce("value", "spline"), 4).alias("value"))
 
@@ -286,7 +291,7 @@ pairs AS (SELECT a.station, a."row", b."row" AS donor,
 SELECT w.station, w."row", {', '.join(sql_r6(f'coalesce(w.{t}, coalesce(f_{t}.v, 0) * s_{t} + m_{t})', 5) + f' AS {t}' for t in TYPES)}
 FROM wide w JOIN st ON st.station = w.station {' '.join(f'LEFT JOIN f_{t} ON f_{t}.station = w.station AND f_{t}."row" = w."row"' for t in TYPES)}""")
 def knn_impute(spark, sf_dir):
-    out = knn.knn_impute(_daily_wide(spark, sf_dir), ["station"], "row", TYPES)
+    out = knn.knn_impute(stage(_daily_wide(spark, sf_dir)), ["station"], "row", TYPES)
     return out.select("station", "row", *[r6(t, 5).alias(t) for t in TYPES])
 
 

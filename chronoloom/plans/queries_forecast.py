@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import arrays
 from chronoloom.operators import forecast as fc, impute, metrics as mt, models, panel as pn, split as sp, windows as wn
 from chronoloom.plans import cleaning as cl
+from chronoloom.session import stage
 from chronoloom.plans.catalog import (
     FORECAST_SQL, IN_LEN, OUT_LEN, PANEL_SQL, PERIOD, RATIO, SAMPLES_SQL, STEP_US, bounds_sql, query, r6, sql_r6, table,
     user_axis, user_forecast, user_panel, user_samples,
@@ -42,13 +43,13 @@ def seasonal_naive(spark, sf_dir):
 @query(f"""WITH {FILLED_SQL}, {bounds_sql()},
 rows_in AS (SELECT split, node, t_idx - lo AS pos, hi - lo AS len, value FROM filled JOIN bounds ON t_idx >= lo AND t_idx < hi),
 m AS (SELECT *, avg(value) OVER (PARTITION BY split, node ORDER BY pos ROWS BETWEEN {IN_LEN} PRECEDING AND 1 PRECEDING) AS mean FROM rows_in)
-SELECT split, node, pos - {IN_LEN} AS sample_id, CAST(h.h + 1 AS INTEGER) AS step, {sql_r6('mean')} AS prediction
+SELECT split, node, pos - {IN_LEN} AS sample_id, CAST(h.h + 1 AS INTEGER) AS step, {sql_r6('mean', 9)} AS prediction
 FROM m CROSS JOIN (SELECT unnest(range({OUT_LEN})) AS h) h WHERE pos >= {IN_LEN} AND pos + {OUT_LEN} <= len""")
 def user_model_scoring(spark, sf_dir):
     """SCO1/SCO3 with a plain Python model."""
     out = fc.score(_filled_samples(spark, sf_dir), window_mean, ["split", "node", "sample_id"], OUT_LEN)
     out = models.forecast_rows(out, ["split", "node", "sample_id"])
-    return out.select("split", "node", "sample_id", "step", r6("prediction").alias("prediction"))
+    return out.select("split", "node", "sample_id", "step", r6("prediction", 9).alias("prediction"))
 
 
 @query()
@@ -73,7 +74,7 @@ def model_per_segment(spark, sf_dir):
 
 
 @query(f"""WITH {FILLED_SQL}, tail AS (SELECT node, avg(value) AS mean, max(ts) AS last_ts FROM filled CROSS JOIN panel_lim WHERE t_idx >= steps - {IN_LEN} GROUP BY node)
-SELECT node, last_ts + to_microseconds((h + 1) * {STEP_US}) AS ts, strftime(last_ts + to_microseconds((h + 1) * {STEP_US}), '%Y-%m-%d %H:%M:%S') AS stamp, {sql_r6('mean')} AS value
+SELECT node, last_ts + to_microseconds((h + 1) * {STEP_US}) AS ts, strftime(last_ts + to_microseconds((h + 1) * {STEP_US}), '%Y-%m-%d %H:%M:%S') AS stamp, {sql_r6('mean', 9)} AS value
 FROM tail CROSS JOIN (SELECT unnest(range({OUT_LEN})) AS h)""")
 def future_forecast(spark, sf_dir):
     """SCO2: the next day of every series from its last window."""
@@ -81,7 +82,7 @@ def future_forecast(spark, sf_dir):
 
     axis = user_axis(spark, sf_dir)
     out = forecast_future(_filled(spark, sf_dir, axis), window_mean, ["node"], "value", IN_LEN, OUT_LEN, STEP_US, axis.length - 1)
-    return out.select("node", "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"), r6("value").alias("value"))
+    return out.select("node", "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"), r6("value", 9).alias("value"))
 
 
 PERIODS = (2, 4, 8)
@@ -145,8 +146,8 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def sensor_config(spark):
-    rows = [("click", 1, 0.0, 300.0, "cubic"), ("error", 2, 0.0, 300.0, "cubic"), ("purchase", 2, 0.0, 300.0, "linear"),
-            ("signup", 2, 0.0, 300.0, "cubic"), ("view", 2, 0.0, 300.0, "linear")]
+    rows = [("click", 6, 0.0, 300.0, "cubic"), ("error", 6, 0.0, 300.0, "cubic"), ("purchase", 6, 0.0, 300.0, "linear"),
+            ("signup", 6, 0.0, 300.0, "cubic"), ("view", 6, 0.0, 300.0, "linear")]
     return spark.createDataFrame(rows, "indicator string, decimals int, min_val double, max_val double, interpolation string")
 
 
@@ -159,7 +160,7 @@ def sensor_panel(spark, sf_dir):
         "station", F.explode(indicators).alias("indicator"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("double").alias("value"))
     rows = events.select(F.col("user_id").alias("station"), F.col("event_type").alias("indicator"), "ts", "value")
     panel = pn.to_panel(rows.unionByName(filler), ["station", "indicator"], "ts", F.col("value"), axis)
-    return panel.where(F.col("t_idx").isNotNull())
+    return stage(panel.where(F.col("t_idx").isNotNull()))
 
 
 SENSOR_SQL = PANEL_SQL + f""",
@@ -181,7 +182,10 @@ FROM (SELECT DISTINCT station FROM sensor) s CROSS JOIN limits l LEFT JOIN kept
 def batch_report(spark, sf_dir):
     """PIPE4: what each strategy keeps of each station."""
     config = sensor_config(spark)
-    _, report = cl.batch_clean(sensor_panel(spark, sf_dir), config)
+    names = [r.indicator for r in config.collect()]
+    before = cl.with_strategies(sensor_panel(spark, sf_dir))
+    kept = cl.without_gaps(before, names, ["strategy", "station"], F.col("max_gap"))
+    report = cl.batch_report(before, kept, ["strategy", "station"])
     return report.select("strategy", "station", "rows_before", "rows_after", r6("retention_pct").alias("retention_pct"), "status")
 
 
@@ -208,8 +212,8 @@ o AS (SELECT station, t_idx, indicator, CASE WHEN count(value) OVER p >= 10 AND
 wide AS (SELECT station, t_idx, row_number() OVER (PARTITION BY station ORDER BY t_idx) - 1 AS pos,
  {', '.join(f"max(value) FILTER (WHERE indicator = '{t}') AS {t}" for t in TYPES)} FROM o GROUP BY station, t_idx),
 {knn_sql('wide', 'station', 'pos', TYPES)}
-SELECT station, t_idx, CAST(pos AS BIGINT) AS pos, indicator, {sql_r6("round_even(value, CASE WHEN indicator = 'click' THEN 1 ELSE 2 END)")} AS value
-FROM (UNPIVOT INCLUDE NULLS imputed ON {', '.join(TYPES)} INTO NAME indicator VALUE value)""")
+SELECT station, t_idx, CAST(pos AS BIGINT) AS pos, indicator, {sql_r6("round_even(value, 6)")} AS value
+FROM imputed UNPIVOT INCLUDE NULLS (value FOR indicator IN ({', '.join(TYPES)}))""")
 def clean_aggressive(spark, sf_dir):
     """PIPE2: gaps and outliers out, nearest neighbours in, rounded."""
     out = cl.clean_stations(sensor_panel(spark, sf_dir), sensor_config(spark), "aggressive")

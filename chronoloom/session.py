@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "chronoloom", **conf: str) -> SparkSession:
@@ -37,23 +38,32 @@ def checkpoint_root(spark: SparkSession) -> str:
     as in tests, a scratch folder of this machine is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else None
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="run-chronoloom-")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def cut_lineage(df):
+    active = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named:
+        if not active.isDefined():
+            spark.sparkContext.setCheckpointDir(named)
+        return named
+    if active.isDefined():
+        return active.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-chronoloom-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Writes an intermediate result as a table in the shared folder and reads it back.
+
+    For results that several branches of a plan read: they scan a columnar file
+    instead of computing their common part again, and a lost executor costs a
+    rescan, not a recomputation.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small iterated result."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
