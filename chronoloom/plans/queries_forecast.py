@@ -146,8 +146,8 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def sensor_config(spark):
-    rows = [("click", 6, 0.0, 300.0, "cubic"), ("error", 6, 0.0, 300.0, "cubic"), ("purchase", 6, 0.0, 300.0, "linear"),
-            ("signup", 6, 0.0, 300.0, "cubic"), ("view", 6, 0.0, 300.0, "linear")]
+    rows = [("click", 9, 0.0, 300.0, "cubic"), ("error", 9, 0.0, 300.0, "cubic"), ("purchase", 9, 0.0, 300.0, "linear"),
+            ("signup", 9, 0.0, 300.0, "cubic"), ("view", 9, 0.0, 300.0, "linear")]
     return spark.createDataFrame(rows, "indicator string, decimals int, min_val double, max_val double, interpolation string")
 
 
@@ -212,12 +212,12 @@ o AS (SELECT station, t_idx, indicator, CASE WHEN count(value) OVER p >= 10 AND
 wide AS (SELECT station, t_idx, row_number() OVER (PARTITION BY station ORDER BY t_idx) - 1 AS pos,
  {', '.join(f"max(value) FILTER (WHERE indicator = '{t}') AS {t}" for t in TYPES)} FROM o GROUP BY station, t_idx),
 {knn_sql('wide', 'station', 'pos', TYPES)}
-SELECT station, t_idx, CAST(pos AS BIGINT) AS pos, indicator, {sql_r6("round_even(value, 6)")} AS value
+SELECT station, t_idx, CAST(pos AS BIGINT) AS pos, indicator, {sql_r6("round_even(value, 9)", 9)} AS value
 FROM imputed UNPIVOT INCLUDE NULLS (value FOR indicator IN ({', '.join(TYPES)}))""")
 def clean_aggressive(spark, sf_dir):
     """PIPE2: gaps and outliers out, nearest neighbours in, rounded."""
     out = cl.clean_stations(sensor_panel(spark, sf_dir), sensor_config(spark), "aggressive")
-    return out.select("station", "t_idx", "pos", "indicator", r6("value").alias("value"))
+    return out.select("station", "t_idx", "pos", "indicator", r6("value", 9).alias("value"))
 
 
 @query()
