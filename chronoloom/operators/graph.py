@@ -125,8 +125,12 @@ def largest_eigenvalue(matrix: DataFrame, rounds: int = 200, tol: float = 1e-10)
 
 
 def message_passing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """GR6: the renormalised adjacency with self loops, transposed."""
-    return transpose(_scaled(with_self_loops(edges, nodes), -0.5, True))
+    """GR6: the renormalised adjacency with self loops, (D^-1/2 (A + I))^T D^-1/2.
+
+    Both factors fall on the row of the untransposed matrix, so an entry is
+    divided by its whole row sum, also where the matrix is not symmetric.
+    """
+    return transpose(_scaled(with_self_loops(edges, nodes), -1.0, False))
 
 
 def transition(edges: DataFrame) -> DataFrame:

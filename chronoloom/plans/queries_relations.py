@@ -89,7 +89,7 @@ def scaled_laplacian(spark, sf_dir):
 
 @query(f"""WITH {EDGES_SQL}, loops AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM edges UNION ALL SELECT node, node, 1.0 FROM nodes) GROUP BY src, dst),
 deg AS (SELECT src AS node, sum(weight) AS d FROM loops GROUP BY src)
-SELECT dst AS src, src AS dst, {sql_r6('weight / sqrt(a.d) / sqrt(b.d)', 8)} AS weight FROM loops JOIN deg a ON a.node = src JOIN deg b ON b.node = dst""")
+SELECT dst AS src, src AS dst, {sql_r6('weight / d', 8)} AS weight FROM loops JOIN deg ON node = src""")
 def gcn_adjacency(spark, sf_dir):
     edges, nodes = _edges(spark, sf_dir)
     return _matrix(gr.message_passing(edges, nodes), 8)
