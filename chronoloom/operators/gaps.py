@@ -39,20 +39,19 @@ def missing_runs(long: DataFrame, keys: Sequence[str], pos: str, value: str, chu
         F.count(length).alias("consecutive_gaps"))
 
 
-def long_gap_steps(
-    long: DataFrame, keys: Sequence[str], station: Sequence[str], pos: str, value: str, max_gap, chunk: int = CHUNK
+def longest_gaps(
+    long: DataFrame, keys: Sequence[str], station: Sequence[str], pos: str, value: str, chunk: int = CHUNK
 ) -> DataFrame:
-    """Steps of a station inside any run of at least ``max_gap``; number or column."""
-    limit = F.lit(max_gap) if isinstance(max_gap, int) else max_gap
+    """Per step of a station, the longest run it lies in among its series: ``(station, pos, longest)``."""
     rows = with_runs(long, keys, pos, value, chunk)
-    return rows.where(F.col("run_length") >= limit).select(*station, pos).distinct()
+    return rows.groupBy(*station, pos).agg(F.coalesce(F.max("run_length"), F.lit(0)).alias("longest"))
 
 
 def drop_long_gaps(
-    long: DataFrame, keys: Sequence[str], station: Sequence[str], pos: str, value: str, max_gap,
+    long: DataFrame, keys: Sequence[str], station: Sequence[str], pos: str, value: str, max_gap: int,
     configured: Sequence[str] | None = None, column: str = "indicator", chunk: int = CHUNK,
 ) -> DataFrame:
     """GAP2: removes every step of a station that lies in a long run of any configured column."""
     watched = long if configured is None else long.where(F.col(column).isin(list(configured)))
-    steps = long_gap_steps(watched, keys, station, pos, value, max_gap, chunk)
-    return long.join(steps, [*station, pos], "left_anti")
+    marked = longest_gaps(watched, keys, station, pos, value, chunk).where(F.col("longest") >= max_gap)
+    return long.join(marked.select(*station, pos), [*station, pos], "left_anti")

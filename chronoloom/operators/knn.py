@@ -171,30 +171,36 @@ def nearest_donors(blocks: DataFrame, pairs: DataFrame, station: Sequence[str],
         step = max(1, 2_000_000 // max(len(d_ids), 1))
         for start in range(0, len(asking), step):
             part = asking[start:start + step]
-            total, shared = np.zeros((len(part), len(d_ids))), np.zeros((len(part), len(d_ids)))
-            for j in range(width):
-                both_have = q_has[part, j, None] & d_has[None, :, j]
-                total += np.where(both_have, (q[part, j, None] - d[None, :, j]) ** 2, 0.0)
-                shared += both_have
+            if r["q_pattern"] != -1:
+                # blocks of one pattern each: only shared coordinates count, and always the same
+                total = np.zeros((len(part), len(d_ids)))
+                both = [j for j in range(width) if q_has[part[0], j] and d_has[0, j]]
+                for j in both:
+                    total += (q[part, j, None] - d[None, :, j]) ** 2
+                shared = len(both)
+            else:
+                total, shared = np.zeros((len(part), len(d_ids))), np.zeros((len(part), len(d_ids)))
+                for j in range(width):
+                    have = q_has[part, j, None] & d_has[None, :, j]
+                    total += np.where(have, (q[part, j, None] - d[None, :, j]) ** 2, 0.0)
+                    shared += have
             with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.round(np.sqrt(total * (width / shared)), DECIMALS)
-            dist[shared == 0] = np.inf
+                dist = np.sqrt(total * (width / np.asarray(shared, dtype=float)))
+            dist[np.isnan(dist)] = np.inf
             whole = None
             for j in range(width):
                 rows = np.flatnonzero(~q_has[part, j])
                 can = np.flatnonzero(d_has[:, j])
                 if not len(rows) or not len(can):
                     continue
-                # ids ascend within a block, so a stable sort settles ties by id
-                if len(can) == len(d_ids):
-                    whole = np.argsort(dist, axis=1, kind="stable")[:, :k] if whole is None else whole
-                    near = whole[rows]
+                if len(can) == len(d_ids) and len(rows) == len(part):
+                    whole = nearest(dist, k) if whole is None else whole
+                    at, picked = whole
                 else:
-                    near = can[np.argsort(dist[np.ix_(rows, can)], axis=1, kind="stable")[:, :k]]
-                at, picked = np.repeat(rows, near.shape[1]), near.ravel()
-                ok = np.isfinite(dist[at, picked])
-                at, picked = at[ok], picked[ok]
-                yield q_ids[part[at]], np.full(len(at), j, dtype=np.int32), dist[at, picked], d_ids[picked], d[picked, j]
+                    at, picked = nearest(dist[np.ix_(rows, can)], k)
+                    at, picked = rows[at], can[picked]
+                yield (q_ids[part[at]], np.full(len(at), j, dtype=np.int32), np.round(dist[at, picked], DECIMALS),
+                       d_ids[picked], d[picked, j])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -219,6 +225,25 @@ def nearest_donors(blocks: DataFrame, pairs: DataFrame, station: Sequence[str],
     return both.mapInPandas(search, schema)
 
 
+def nearest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k smallest entries of each row, ties by column.
+
+    Ids ascend within a block, so the smaller column is the smaller id.
+    """
+    if dist.shape[1] > k:
+        reach = np.round(np.partition(dist, k - 1, axis=1)[:, k - 1:k], DECIMALS) + 10.0**-DECIMALS
+        row, col = np.nonzero((dist <= reach) & np.isfinite(dist))
+    else:
+        row, col = np.nonzero(np.isfinite(dist))
+    order = np.lexsort((col, np.round(dist[row, col], DECIMALS), row))
+    row, col = row[order], col[order]
+    if not len(row):
+        return row, col
+    start = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+    place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+    return row[place < k], col[place < k]
+
+
 def knn_impute(
     df: DataFrame, station: Sequence[str], row: str, columns: Sequence[str], k: int = 5, block: int = BLOCK,
     max_blocks: int = MAX_BLOCKS,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoloom.functions.scalars import finite_or_null, log1p_clamped
 from chronoloom.operators.quantiles import exact_quantiles
+from chronoloom.session import stage
 
 # Columns that are never transformed, and the long-tailed
 # indicators that get a logarithm by default.
@@ -147,21 +148,22 @@ def fit_chain(
     """
     clean = df.withColumn(value, finite_or_null(value))
     cuts = exact_quantiles(clean, keys, value, [0.01, 0.99], ["q01", "q99"])
-    meta = cuts.withColumn("log1p", F.col(column).isin(list(log_columns)) if log_columns else F.lit(False))
+    # a row per group, read by every later step: written once instead of refitted
+    meta = stage(cuts.withColumn("log1p", F.col(column).isin(list(log_columns)) if log_columns else F.lit(False)))
     if not standardize and not rescale_minmax:
         return meta
-    staged = _clip_and_log(with_stats(clean, meta, keys), value)
+    logged = _clip_and_log(with_stats(clean, meta, keys), value)
     if standardize:
-        meta = with_stats(meta, robust_fit(staged, keys, value), keys)
+        meta = with_stats(meta, robust_fit(logged, keys, value), keys)
     if rescale_minmax:
-        ends = staged.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        ends = logged.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
         meta = with_stats(meta, ends, keys)
         if standardize:
             scale = {n: (F.col(s) - F.col("median")) / F.col("iqr") for n, s in (("min", "_lo"), ("max", "_hi"))}
         else:
             scale = {"min": F.col("_lo"), "max": F.col("_hi")}
         meta = meta.withColumns(scale).drop("_lo", "_hi")
-    return meta
+    return stage(meta)
 
 
 def _clip_and_log(df: DataFrame, value: str) -> DataFrame:

@@ -11,7 +11,7 @@ one long series is as parallel as many short ones.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,8 @@ def curvatures(x: np.ndarray, y: np.ndarray, left_end: bool, right_end: bool) ->
     """Second derivatives at the knots; not-a-knot at true ends, zero at cut ones."""
     n = len(x)
     h = np.diff(x)
+    if not (h > 0).all():
+        return np.full(n, np.nan)
     slope = np.diff(y) / h
     if n < 3:
         return np.zeros(n)
@@ -36,21 +38,23 @@ def curvatures(x: np.ndarray, y: np.ndarray, left_end: bool, right_end: bool) ->
     rhs = 6.0 * np.diff(slope)
     # an end condition expresses the outer curvature through the two next to it
     if left_end:
-        r = h[0] / h[1]
-        mid[0] += low[0] * (1.0 + r)
-        up[0] -= low[0] * r
+        q = h[0] / h[1]
+        mid[0] += low[0] * (1.0 + q)
+        up[0] -= low[0] * q
     if right_end:
-        s = h[-1] / h[-2]
-        mid[-1] += up[-1] * (1.0 + s)
-        low[-1] -= up[-1] * s
-    inner = np.empty(n - 2)
+        q = h[-1] / h[-2]
+        mid[-1] += up[-1] * (1.0 + q)
+        low[-1] -= up[-1] * q
+    # plain floats: indexing an array once per knot costs more than the arithmetic
+    lo, di, hi, r = low.tolist(), mid.tolist(), up.tolist(), rhs.tolist()
     for i in range(1, n - 2):
-        w = low[i] / mid[i - 1]
-        mid[i] -= w * up[i - 1]
-        rhs[i] -= w * rhs[i - 1]
-    inner[-1] = rhs[-1] / mid[-1]
+        w = lo[i] / di[i - 1]
+        di[i] -= w * hi[i - 1]
+        r[i] -= w * r[i - 1]
+    r[-1] /= di[-1]
     for i in range(n - 4, -1, -1):
-        inner[i] = (rhs[i] - up[i] * inner[i + 1]) / mid[i]
+        r[i] = (r[i] - hi[i] * r[i + 1]) / di[i]
+    inner = np.array(r)
     first = (1.0 + h[0] / h[1]) * inner[0] - h[0] / h[1] * inner[1] if left_end else 0.0
     last = (1.0 + h[-1] / h[-2]) * inner[-1] - h[-1] / h[-2] * inner[-2] if right_end else 0.0
     return np.concatenate([[first], inner, [last]])
@@ -77,26 +81,30 @@ def spline_pieces(
     copies = knots.withColumn("_block", F.explode(F.sequence(
         F.greatest(first, F.lit(0)).cast("long"),
         F.least(last, F.floor((F.col("_total") - 1) / block)).cast("long"))))
+    packed = copies.groupBy(*keys, "_block", "_total").agg(
+        F.sort_array(F.collect_list(F.struct("_k", "_at", "_x", "_y"))).alias("_list"))
+    packed = packed.select(*keys, "_block", "_total", *[F.col(f"_list.{c}").alias(c) for c in ("_k", "_at", "_x", "_y")])
     types = {f.name: f.dataType.simpleString() for f in knots.schema.fields}
     names = ["_x0", "_y0", "_m0", "_x1", "_y1", "_m1"]
-    schema = ", ".join([f"`{k}` {types[k]}" for k in [*keys, "_at"]] + [f"{n} double" for n in names])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_k")
-        k, b, total = pdf["_k"].to_numpy(), int(pdf["_block"].iloc[0]), int(pdf["_total"].iloc[0])
-        x, y = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
-        # the step is a scale of its own: microseconds squared would lose digits
-        unit = (x[-1] - x[0]) / max(len(x) - 1, 1) or 1.0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            m = curvatures((x - x[0]) / unit, y, k[0] == 1, k[-1] == total) / unit**2
-        own = np.flatnonzero((k - 1) // block == b)
-        left = np.minimum(own, len(k) - 2)
-        out = pdf.iloc[own][[*keys, "_at"]].copy()
-        for name, source, at in zip(names, (x, y, m, x, y, m), (left,) * 3 + (left + 1,) * 3):
-            out[name] = source[at]
-        return out
-
-    return copies.groupBy(*keys, "_block").applyInPandas(solve, schema)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"_at array<{types['_at']}>"] + [f"{n} array<double>" for n in names])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made: dict[str, list] = {n: [] for n in ["_at", *names]}
+            for b, total, k, at, x, y in zip(*(pdf[c] for c in ("_block", "_total", "_k", "_at", "_x", "_y"))):
+                # the step is a scale of its own: microseconds squared would lose digits
+                unit = (x[-1] - x[0]) / max(len(x) - 1, 1) or 1.0
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    m = curvatures((x - x[0]) / unit, y, k[0] == 1, k[-1] == total) / unit**2
+                own = np.flatnonzero((k - 1) // block == b)
+                left = np.minimum(own, len(k) - 2)
+                made["_at"].append(at[own])
+                for n, source, i in zip(names, (x, y, m, x, y, m), (left,) * 3 + (left + 1,) * 3):
+                    made[n].append(source[i])
+            yield pdf[[*keys]].assign(**made)
+
+    solved = packed.mapInPandas(solve, schema)
+    return solved.select(*keys, F.inline(F.arrays_zip("_at", *names)))
 
 
 def with_spline(neighbours: DataFrame, pieces: DataFrame, keys: Sequence[str], pos: str, axis: str, value: str, name: str) -> DataFrame:

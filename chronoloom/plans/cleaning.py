@@ -26,26 +26,17 @@ def round_indicators(long: DataFrame, config: DataFrame, value: str = "value", d
     return rows.withColumn(value, out).drop("decimals")
 
 
-def without_gaps(long: DataFrame, config_names: Sequence[str], keys: Sequence[str], max_gap) -> DataFrame:
-    """GAP2 over all configured indicators of a station, staged for what follows."""
-    series = [*keys, "indicator"]
-    return stage(gaps.drop_long_gaps(long, series, keys, "t_idx", "value", max_gap, config_names))
-
-
-def remove_gaps_and_outliers(
-    long: DataFrame, config_names: Sequence[str], keys: Sequence[str], max_gap, z_limit,
-) -> DataFrame:
-    """GAP2 and OUT1 per station, then consecutive positions ``pos`` over the rows left.
+def remove_outliers(kept: DataFrame, config_names: Sequence[str], keys: Sequence[str], z_limit) -> DataFrame:
+    """OUT1 per series, then consecutive positions ``pos`` over the rows left.
 
-    Each step reads its input more than once, so the rows are staged in between.
+    Later steps read these rows more than once, so they are staged.
     """
     series = [*keys, "indicator"]
-    kept = without_gaps(long, config_names, keys, max_gap)
     watched = F.col("indicator").isin(list(config_names))
     checked = kept.withColumn("_checked", F.when(watched, F.col("value")))
     checked = outliers.zscore_outliers(checked, series, "_checked", z_limit)
-    kept = checked.withColumn("value", F.when(watched, F.col("_checked")).otherwise(F.col("value"))).drop("_checked")
-    return stage(reindex(kept, series, "t_idx", "pos"))
+    checked = checked.withColumn("value", F.when(watched, F.col("_checked")).otherwise(F.col("value"))).drop("_checked")
+    return stage(reindex(checked, series, "t_idx", "pos"))
 
 
 def fill_by_neighbours(rows: DataFrame, names: Sequence[str], keys: Sequence[str], k: int = 5) -> DataFrame:
@@ -66,7 +57,8 @@ def clean_stations(long: DataFrame, config: DataFrame, strategy: str, keys: Sequ
     keys = list(keys)
     max_gap, z_limit = settings.strategy(strategy)
     names = [r.indicator for r in config.select("indicator").orderBy("indicator").collect()]
-    rows = remove_gaps_and_outliers(long, names, keys, max_gap, z_limit)
+    kept = stage(gaps.drop_long_gaps(long, [*keys, "indicator"], keys, "t_idx", "value", max_gap, names))
+    rows = remove_outliers(kept, names, keys, z_limit)
     if strategy == "segmented":
         rows = impute.fill_chain(rows, config, [*keys, "indicator"], "pos")
     else:
@@ -101,28 +93,41 @@ def enhanced_cleaning(
     return round_indicators(rows, config, default=settings.DEFAULT_DECIMALS)
 
 
-def with_strategies(long: DataFrame) -> DataFrame:
-    """Every row once per strategy, with that strategy's limits as columns."""
+def strategies_without_gaps(long: DataFrame, names: Sequence[str], keys: Sequence[str] = ("station",)) -> DataFrame:
+    """GAP2 for all strategies: rows once per strategy that keeps them, with its z-score limit.
+
+    The runs are found once; what a strategy removes is a comparison.
+    """
+    watched = long.where(F.col("indicator").isin(list(names)))
+    longest = gaps.longest_gaps(watched, [*keys, "indicator"], keys, "t_idx", "value")
     listed = F.array(*[
         F.struct(F.lit(n).alias("strategy"), F.lit(g).alias("max_gap"), F.lit(z).alias("z_limit"))
         for n, g, z, _ in settings.STRATEGIES])
-    return long.select("*", F.inline(listed))
+    rows = long.join(longest, [*keys, "t_idx"], "left")
+    kept = F.filter(listed, lambda s: s["max_gap"] > F.coalesce(F.col("longest"), F.lit(0)))
+    return rows.select(*long.columns, F.inline(kept)).drop("max_gap")
 
 
 def batch_clean(long: DataFrame, config: DataFrame, keys: Sequence[str] = ("station",)) -> tuple[DataFrame, DataFrame]:
     """PIPE4: every strategy on every station; cleaned rows and the status report."""
     names = [r.indicator for r in config.select("indicator").orderBy("indicator").collect()]
+    kept = stage(strategies_without_gaps(long, names, keys))
+    report = batch_report(long, kept, keys)
     keys = ["strategy", *keys]
-    wide = stage(with_strategies(long))
-    rows = remove_gaps_and_outliers(wide, names, keys, F.col("max_gap"), F.col("z_limit"))
+    rows = remove_outliers(kept, names, keys, F.col("z_limit"))
     segmented = F.col("strategy") == "segmented"
     line = impute.fill_chain(rows.where(segmented), config, [*keys, "indicator"], "pos")
     near = fill_by_neighbours(rows.where(~segmented), names, keys)
     columns = [*keys, "t_idx", "pos", "indicator", "value"]
-    cleaned = round_indicators(line.select(*columns).unionByName(near.select(*columns)), config)
-    return cleaned, batch_report(wide, rows, keys)
-
-
-def batch_report(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    kept = pf.retention(_steps(before, keys), _steps(after, keys), keys)
-    return kept.withColumn("status", F.when(F.col("rows_after") > 0, F.lit("success")).otherwise(F.lit("empty")))
+    return round_indicators(line.select(*columns).unionByName(near.select(*columns)), config), report
+
+
+def batch_report(long: DataFrame, kept: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
+    """PIPE4's status per strategy and station; a station that loses every row is ``empty``."""
+    names = F.array(*[F.lit(s[0]) for s in settings.STRATEGIES])
+    before = _steps(long, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_before")).select(
+        F.explode(names).alias("strategy"), *keys, "rows_before")
+    after = _steps(kept, ["strategy", *keys]).groupBy("strategy", *keys).agg(F.count(F.lit(1)).alias("rows_after"))
+    out = before.join(after, ["strategy", *keys], "left").withColumn("rows_after", F.coalesce("rows_after", F.lit(0)))
+    return out.withColumn("retention_pct", F.col("rows_after") / F.col("rows_before") * 100).withColumn(
+        "status", F.when(F.col("rows_after") > 0, F.lit("success")).otherwise(F.lit("empty")))

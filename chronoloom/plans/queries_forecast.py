@@ -183,9 +183,8 @@ def batch_report(spark, sf_dir):
     """PIPE4: what each strategy keeps of each station."""
     config = sensor_config(spark)
     names = [r.indicator for r in config.collect()]
-    before = cl.with_strategies(sensor_panel(spark, sf_dir))
-    kept = cl.without_gaps(before, names, ["strategy", "station"], F.col("max_gap"))
-    report = cl.batch_report(before, kept, ["strategy", "station"])
+    panel = sensor_panel(spark, sf_dir)
+    report = cl.batch_report(panel, cl.strategies_without_gaps(panel, names))
     return report.select("strategy", "station", "rows_before", "rows_after", r6("retention_pct").alias("retention_pct"), "status")
 
 
