@@ -36,7 +36,7 @@ def interpolate_linear(long: DataFrame, keys: Sequence[str], pos: str, value: st
 
 
 def interpolate_time(
-    long: DataFrame, keys: Sequence[str], pos: str, ts: str, value: str, chunk: int = CHUNK
+    long: DataFrame, keys: Sequence[str], pos: str, ts: str, value: str, chunk: int | None = CHUNK
 ) -> DataFrame:
     """IMP2: by elapsed time, in both directions; the ends take the nearest value."""
     out = _neighbours(long, keys, pos, value, micros(ts), chunk)
@@ -65,7 +65,7 @@ def fill_chain(
         raise ValueError(f"unknown rule {sparse}")
     axis = micros(ts) if ts else F.col(pos)
     facts = long.groupBy(*keys).agg(F.count(value).alias("_valid"), F.count_if(F.col(value).isNull()).alias("_gaps"))
-    bounds = F.broadcast(config.select(F.col("indicator").alias(column), "min_val", "max_val", "interpolation"))
+    bounds = config.select(F.col("indicator").alias(column), "min_val", "max_val", "interpolation")
     facts = facts.join(bounds, column, "left")
     active = F.col("min_val").isNotNull() & (F.col("_gaps") > 0)
     cubic = facts.where(active & (F.col("interpolation") == "cubic") & (F.col("_valid") >= MIN_FOR_SPLINE))

@@ -61,7 +61,7 @@ def clean_values(
     if method not in ("iqr", "zscore", "none"):
         raise ValueError(f"unknown outlier method {method}")
     rows = long.withColumn(value, parse_sensor_text(text))
-    bounds = F.broadcast(config.select(F.col("indicator").alias(column), "min_val", "max_val"))
+    bounds = config.select(F.col("indicator").alias(column), "min_val", "max_val")
     rows = rows.join(bounds, column, "left").withColumn("_watched", F.col("min_val").isNotNull())
     # the check sees the watched columns only; others pass through untouched
     rows = rows.withColumn("_checked", F.when(F.col("_watched"), F.col(value)))

@@ -85,12 +85,11 @@ def dataset_report(spark, sources: dict[str, str], reader) -> DataFrame:
 def quality_report(long: DataFrame, config: DataFrame, keys: Sequence[str] = ("indicator",), value: str = "value") -> DataFrame:
     """PR3: long values against the configured physical range of their indicator.
 
-    ``config`` is the fixed indicator table, so it is broadcast.  Indicators
-    without any value are left out.
+    Indicators without any value are left out.
     """
     v = F.col(value)
     outside = (v < F.col("min_val")) | (v > F.col("max_val"))
-    rows = long.join(F.broadcast(config.select("indicator", "min_val", "max_val")), "indicator")
+    rows = long.join(config.select("indicator", "min_val", "max_val"), "indicator")
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(v.isNull()).alias("missing"), F.count(v).alias("valid"),
         F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),

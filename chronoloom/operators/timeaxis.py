@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from chronoloom.functions.calendar import micros
 
 CHUNK = 65_536
+MAX_CHUNKS = 4_096
 
 
 def chunk_of(pos: Column | str, size: int) -> Column:
@@ -43,7 +44,7 @@ def balanced_buckets(df: DataFrame, order: str, n_buckets: int, name: str = "_bu
     return Bucketizer(splits=splits, inputCol="_order_double", outputCol=name).transform(out).drop("_order_double")
 
 
-def time_index(df: DataFrame, ts: str, name: str = "t_idx", n_buckets: int = 64) -> DataFrame:
+def time_index(df: DataFrame, ts: str, name: str = "t_idx", n_buckets: int = 512) -> DataFrame:
     """SPL1: the 0-based ordinal of each distinct timestamp, as ``(ts, t_idx)``.
 
     Joined back by the caller.  For a regular series :func:`regular_index` needs
@@ -67,11 +68,25 @@ def regular_index(df: DataFrame, ts: str, start_us: int, step_us: int, name: str
     return df.withColumn(name, F.floor((micros(ts) - F.lit(start_us)) / F.lit(step_us)).cast("long"))
 
 
+def in_chunks(df: DataFrame, pos: str, chunk: int | None) -> DataFrame:
+    """Adds ``_chunk``: ranges of ``chunk`` positions, or of about ``CHUNK`` rows.
+
+    ``chunk=None`` is for positions that are no dense numbering, such as
+    microseconds: the ranges then follow the rows.
+    """
+    if chunk is not None:
+        return df.withColumn("_chunk", chunk_of(pos, chunk))
+    n = min(max(df.count() // CHUNK, 1), MAX_CHUNKS)
+    if n == 1:
+        return df.withColumn("_chunk", F.lit(0).cast("long"))
+    return balanced_buckets(df, pos, n, "_chunk").withColumn("_chunk", F.col("_chunk").cast("long"))
+
+
 def running_count(
-    df: DataFrame, keys: Sequence[str], pos: str, flag: Column, name: str, chunk: int = CHUNK
+    df: DataFrame, keys: Sequence[str], pos: str, flag: Column, name: str, chunk: int | None = CHUNK
 ) -> DataFrame:
     """Number of rows with ``flag`` at or before ``pos`` in each series."""
-    work = df.withColumn("_chunk", chunk_of(pos, chunk)).withColumn("_flag", flag.cast("long"))
+    work = in_chunks(df, pos, chunk).withColumn("_flag", flag.cast("long"))
     per_chunk = work.groupBy(*keys, "_chunk").agg(F.sum("_flag").alias("_n"))
     before = Window.partitionBy(*_series(keys)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -91,7 +106,7 @@ def reindex(df: DataFrame, keys: Sequence[str], pos: str, name: str, chunk: int
 
 
 def valid_neighbours(
-    df: DataFrame, keys: Sequence[str], pos: str, value: str, chunk: int = CHUNK, extra: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, chunk: int | None = CHUNK, extra: Sequence[str] = ()
 ) -> DataFrame:
     """Adds ``prev`` and ``next``: the nearest non-NULL value at or before / after.
 
@@ -99,7 +114,7 @@ def valid_neighbours(
     ``series_first`` and ``series_last`` are the ends of the series.
     """
     point = F.struct(F.col(pos).alias("pos"), F.col(value).alias("value"), *[F.col(c) for c in extra])
-    work = df.withColumn("_chunk", chunk_of(pos, chunk)).withColumn(
+    work = in_chunks(df, pos, chunk).withColumn(
         "_point", F.when(F.col(value).isNotNull(), point))
     ends = work.groupBy(*keys, "_chunk").agg(
         F.min("_point").alias("_first"), F.max("_point").alias("_last"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))

@@ -19,7 +19,7 @@ from chronoloom.session import stage
 
 def round_indicators(long: DataFrame, config: DataFrame, value: str = "value", default: int | None = None) -> DataFrame:
     """PRJ13: decimals per indicator; others keep their digits unless a default is given."""
-    digits = F.broadcast(config.select("indicator", "decimals"))
+    digits = config.select("indicator", "decimals")
     rows = long.join(digits, "indicator", "left")
     scale = F.coalesce(F.col("decimals"), F.lit(default).cast("int")) if default is not None else F.col("decimals")
     out = F.when(scale.isNull(), F.col(value)).otherwise(round_to(value, scale))

@@ -244,7 +244,7 @@ def interpolate_time(spark, sf_dir):
     """IMP2 on an uneven axis: every user's events as they came, an error being a missing reading."""
     rows = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "ts", micros("ts").alias("us"), F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
-    out = impute.interpolate_time(rows, ["user_id"], "us", "ts", "value", chunk=86_400_000_000)
+    out = impute.interpolate_time(rows, ["user_id"], "us", "ts", "value", chunk=None)
     return out.select("event_id", r6("value").alias("value"))
 
 

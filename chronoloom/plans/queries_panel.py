@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from chronoloom.functions import arrays, calendar as cal
+from chronoloom.functions import arrays, calendar as cal, scalars
 from chronoloom.operators import panel as pn, split as sp, timeaxis as ta, windows as wn
+from chronoloom.session import checkpoint_root
+from chronoloom.sources import description as ds, sinks
 from chronoloom.plans.catalog import (
-    HOUR_US, IN_LEN, OUT_LEN, PANEL_SQL, RATIO, SAMPLES_SQL, STEP_US, TYPES_SQL, bounds_sql, query, r6, sql_r6, table,
+    IN_LEN, OUT_LEN, PANEL_SQL, RATIO, SAMPLES_SQL, STEP_US, TYPES_SQL, bounds_sql, query, r6, sql_r6, table,
     type_panel, user_axis, user_panel, user_samples,
 )
 
@@ -165,3 +169,58 @@ def instance_norm(spark, sf_dir):
     s = s.select("split", "node", "sample_id", "centre", "spread", F.posexplode(pairs).alias("slot", "_x"))
     return s.select("split", "node", "sample_id", F.col("slot").cast("long").alias("slot"), r6("centre").alias("centre"),
                     r6("spread").alias("spread"), r6("_x.n").alias("normed"), r6("_x.r").alias("restored"))
+
+
+@query(f"""WITH {PANEL_SQL}
+SELECT 'users' AS name, steps AS num_time_steps, (SELECT count(DISTINCT node) FROM panel) AS num_nodes, 2 AS num_features, CAST(360 AS DOUBLE) AS minutes FROM panel_lim""")
+def description(spark, sf_dir):
+    """DS2."""
+    out = ds.describe(user_panel(spark, sf_dir), "users", "events", ["value", "tod"], 4)
+    return out.select("name", "num_time_steps", "num_nodes", "num_features", F.col("frequency (minutes)").alias("minutes"))
+
+
+@query(f"""WITH {PANEL_SQL} SELECT node, t_idx, {sql_r6('value')} AS value FROM panel
+WHERE node IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def series_subset(spark, sf_dir):
+    """PRJ4: the series of a table of nodes."""
+    chosen = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("node"))
+    return pn.select_series(user_panel(spark, sf_dir), chosen).select("node", "t_idx", r6("value").alias("value"))
+
+
+@query(f"""WITH {PANEL_SQL} SELECT node, t_idx, {sql_r6('value')} AS value FROM panel WHERE t_idx < 80""")
+def first_steps(spark, sf_dir):
+    """PRJ5: the first twenty days of every series."""
+    return pn.first_steps(user_panel(spark, sf_dir), 20 * 4).select("node", "t_idx", r6("value").alias("value"))
+
+
+@query(r"""SELECT doc_id, length(regexp_replace(text, '[\x00-\x1F\x7F]', '', 'g')) AS kept, md5(regexp_replace(text, '[\x00-\x1F\x7F]', '', 'g')) AS digest FROM documents""")
+def strip_control(spark, sf_dir):
+    """PRJ8 on whole documents."""
+    clean = scalars.strip_control("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.length(clean).cast("long").alias("kept"), F.md5(clean).alias("digest"))
+
+
+@query(f"""WITH n AS (SELECT event_id, TRY_CAST(trim(regexp_replace(props, '[^0-9.]', '', 'g')) AS DOUBLE) AS k, value FROM events)
+SELECT event_id, {sql_r6('CASE WHEN k > 0 THEN k END')} AS positive, {sql_r6('CASE WHEN k BETWEEN 10 AND 90 THEN k END')} AS inside,
+ {sql_r6('CASE WHEN value < 10 THEN 10 WHEN value > 100 THEN 100 ELSE value END')} AS clipped, {sql_r6('round_even(value, 1)')} AS rounded,
+ {sql_r6('ln(1 + greatest(value, 0))')} AS logged FROM n""")
+def scalar_cleaning(spark, sf_dir):
+    """PRJ9-PRJ13, MTH1 side by side."""
+    k = scalars.to_number(F.regexp_replace("props", "[^0-9.]", ""))
+    return table(spark, sf_dir, "events").select(
+        "event_id", r6(scalars.positive_or_null(k)).alias("positive"),
+        r6(scalars.in_range_or_null(k, F.lit(10.0), F.lit(90.0))).alias("inside"),
+        r6(scalars.clip("value", F.lit(10.0), F.lit(100.0))).alias("clipped"), r6(scalars.round_to("value", 1)).alias("rounded"),
+        r6(scalars.log1p_clamped("value")).alias("logged"))
+
+
+@query(f"""WITH {PANEL_SQL}, {bounds_sql()}
+SELECT split, node, t_idx, {sql_r6('value')} AS value FROM panel JOIN bounds ON t_idx >= lo AND t_idx < hi""")
+def parquet_round_trip(spark, sf_dir):
+    """SNK1: written by split, clustered by node, and read back."""
+    axis = user_axis(spark, sf_dir)
+    rows = sp.assign_splits(user_panel(spark, sf_dir, axis), sp.split_bounds(axis.length, RATIO, IN_LEN, OUT_LEN))
+    path = f"{checkpoint_root(spark)}/series-{uuid.uuid4().hex}"
+    sinks.write_series(rows, path)
+    return spark.read.parquet(path).select("split", "node", "t_idx", r6("value").alias("value"))

@@ -57,7 +57,7 @@ SETTINGS_TYPE = (
 
 
 def indicator_config(spark: SparkSession) -> DataFrame:
-    """One row per indicator; nine rows, so joins may broadcast it."""
+    """One row per indicator."""
     return spark.createDataFrame(
         [r[1:] for r in INDICATORS],
         "indicator string, unit string, decimals int, min_val double, max_val double, interpolation string")

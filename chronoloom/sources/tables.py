@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from chronoloom.functions.calendar import TIME_FORMAT, parse_time
+from chronoloom.operators.split import union_all
 from chronoloom.settings import ENCODINGS
 from chronoloom.sources.tensor import _open, read_tensor
 
@@ -31,7 +32,7 @@ def read_wide_csv(spark: SparkSession, path: str, fmt: str = TIME_FORMAT, time:
 
 
 def sniff_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, encoding)``: the first listed encoding that decodes the start of a file.
+    """``(path, encoding, header)``: the first listed encoding that decodes the start of a file.
 
     The listing reads no contents; each task opens its files and reads a few
     kilobytes.
@@ -40,14 +41,17 @@ def sniff_encodings(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = []
+            encodings, headers = [], []
             for p in pdf["path"]:
-                with _open(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p) as f:
+                local = p.startswith("file:/") and not p.startswith("file://")
+                with _open(p.replace("file:/", "file:///", 1) if local else p) as f:
                     head = f.read(4 * SNIFFED_CHARACTERS)
-                found.append(decoder_of(head))
-            yield pd.DataFrame({"path": pdf["path"], "encoding": found})
+                encodings.append(decoder_of(head))
+                text = codecs.getincrementaldecoder(encodings[-1])().decode(head)
+                headers.append(text.splitlines()[0].lstrip("\ufeff") if text else "")
+            yield pd.DataFrame({"path": pdf["path"], "encoding": encodings, "header": headers})
 
-    return files.mapInPandas(run, "path string, encoding string")
+    return files.mapInPandas(run, "path string, encoding string, header string")
 
 
 def decoder_of(head: bytes) -> str:
@@ -65,31 +69,30 @@ def read_sensor_csv(
 ) -> DataFrame:
     """SRC5: dirty sensor files of mixed encodings as ``(station, encoding, ts, indicator, raw)``.
 
-    Values stay text; cleaning decides what is a number.  Files are read per
-    encoding, so the number of reads is the number of encodings.
+    Values stay text; cleaning decides what is a number.  The station is the
+    file name.  Files that share encoding and header are one read, so the plan
+    grows with the kinds of files, not with their number.
     """
     known = dict(ENCODINGS)
-    groups: dict[str, list[str]] = {}
+    groups: dict[tuple[str, str], list[str]] = {}
     for r in sniff_encodings(spark, path).collect():
-        groups.setdefault(r.encoding, []).append(r.path)
+        groups.setdefault((r.encoding, r.header), []).append(r.path)
     if not groups:
         raise FileNotFoundError(path)
-    if any(known[e] in ("GBK", "GB2312") for e in groups):
+    if any(known[e] in ("GBK", "GB2312") for e, _ in groups):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    out = None
-    for encoding, paths in sorted(groups.items()):
-        # files need not agree on their columns, so each header is its own read
-        for one in paths:
-            wide = spark.read.option("header", True).option("encoding", known[encoding]).csv(one)
-            wide = wide.toDF(*[c.lstrip("﻿") for c in wide.columns])
-            names = [c for c in wide.columns if c != time]
-            stamp = F.col(time).try_cast("timestamp_ntz") if fmt is None else parse_time(time, fmt)
-            listed = [F.col(f"`{c}`").cast("string").alias((renames or {}).get(c, c)) for c in names]
-            station = one.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            part = melt(wide.select(stamp.alias("ts"), *listed), ["ts"], [(renames or {}).get(c, c) for c in names], "indicator", "raw")
-            part = part.select(F.lit(station).alias("station"), F.lit(encoding).alias("encoding"), "ts", "indicator", "raw")
-            out = part if out is None else out.unionByName(part)
-    return out
+    renames = renames or {}
+    name = F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+?)(\.[^./]*)?$", 1)
+    parts = []
+    for (encoding, _), paths in sorted(groups.items()):
+        wide = spark.read.option("header", True).option("encoding", known[encoding]).csv(paths)
+        wide = wide.toDF(*[c.lstrip("\ufeff") for c in wide.columns])
+        names = [c for c in wide.columns if c != time]
+        stamp = F.col(time).try_cast("timestamp_ntz") if fmt is None else parse_time(time, fmt)
+        listed = [F.col(f"`{c}`").cast("string").alias(renames.get(c, c)) for c in names]
+        wide = wide.select(name.alias("station"), F.lit(encoding).alias("encoding"), stamp.alias("ts"), *listed)
+        parts.append(melt(wide, ["station", "encoding", "ts"], [renames.get(c, c) for c in names], "indicator", "raw"))
+    return union_all(parts)
 
 
 def read_timeseries_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -64,8 +64,9 @@ def test_time_index(spark, n_buckets):
     assert ordered == sorted(ordered)
 
 
-@pytest.mark.parametrize("chunk", [3, 10, 1000])
-def test_neighbours_and_counts(spark, chunk):
+@pytest.mark.parametrize("chunk", [3, 10, 1000, None])
+def test_neighbours_and_counts(spark, chunk, monkeypatch):
+    monkeypatch.setattr(ta, "CHUNK", 20)
     rng = np.random.default_rng(4)
     data = []
     for s in range(3):
