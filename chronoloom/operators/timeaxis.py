@@ -116,15 +116,25 @@ def valid_neighbours(
     point = F.struct(F.col(pos).alias("pos"), F.col(value).alias("value"), *[F.col(c) for c in extra])
     work = in_chunks(df, pos, chunk).withColumn(
         "_point", F.when(F.col(value).isNotNull(), point))
+    # plain columns instead of structs keep this a hash aggregation
+    at = F.when(F.col(value).isNotNull(), F.col(pos))
+    fields = [value, *extra]
     ends = work.groupBy(*keys, "_chunk").agg(
-        F.min("_point").alias("_first"), F.max("_point").alias("_last"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
+        F.min(at).alias("_first"), F.max(at).alias("_last"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"),
+        *[F.min_by(c, at).alias(f"_first_{c}") for c in fields], *[F.max_by(c, at).alias(f"_last_{c}") for c in fields])
+
+    def end(side: str) -> Column:
+        whole = F.struct(F.col(side).alias("pos"), F.col(f"{side}_{value}").alias("value"),
+                         *[F.col(f"{side}_{c}").alias(c) for c in extra])
+        return F.when(F.col(side).isNotNull(), whole)
+
     series = Window.partitionBy(*_series(keys)).orderBy("_chunk")
+    whole_series = Window.partitionBy(*_series(keys))
     carry = ends.select(
         *keys, "_chunk",
-        F.last("_last", True).over(series.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_prev"),
-        F.first("_first", True).over(series.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_next"),
-        F.min("_lo").over(Window.partitionBy(*_series(keys))).alias("series_first"),
-        F.max("_hi").over(Window.partitionBy(*_series(keys))).alias("series_last"),
+        F.last(end("_last"), True).over(series.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_prev"),
+        F.first(end("_first"), True).over(series.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_next"),
+        F.min("_lo").over(whole_series).alias("series_first"), F.max("_hi").over(whole_series).alias("series_last"),
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     back = inside.rowsBetween(Window.unboundedPreceding, 0)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from chronoloom.session import stage
 from chronoloom.operators import models, panel as pn, split as sp, windows as wn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,26 +52,34 @@ def user_axis(spark, sf_dir) -> pn.Axis:
     return pn.observed_axis(table(spark, sf_dir, "events"), "ts", STEP_US)
 
 
-def user_panel(spark: SparkSession, sf_dir: str, axis: pn.Axis | None = None) -> DataFrame:
-    """Mean event value per user and six hours; users grow with the data."""
+def user_panel(spark: SparkSession, sf_dir: str, axis: pn.Axis | None = None, staged: bool = False) -> DataFrame:
+    """Mean event value per user and six hours; users grow with the data.
+
+    Queries that read the panel more than once stage it, so the events behind
+    it are read once.
+    """
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("node"), "ts", "value")
-    return pn.to_panel(events, ["node"], "ts", F.col("value"), axis or user_axis(spark, sf_dir))
+    out = pn.to_panel(events, ["node"], "ts", F.col("value"), axis or user_axis(spark, sf_dir))
+    return stage(out) if staged else out
 
 
 def type_axis(spark, sf_dir) -> pn.Axis:
     return pn.observed_axis(table(spark, sf_dir, "events"), "ts", HOUR_US)
 
 
-def type_panel(spark: SparkSession, sf_dir: str, axis: pn.Axis | None = None) -> DataFrame:
+def type_panel(spark: SparkSession, sf_dir: str, axis: pn.Axis | None = None, staged: bool = False) -> DataFrame:
     """Mean event value per event type and hour: few series over many steps."""
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("node"), "ts", "value")
-    return pn.to_panel(events, ["node"], "ts", F.col("value"), axis or type_axis(spark, sf_dir))
+    out = pn.to_panel(events, ["node"], "ts", F.col("value"), axis or type_axis(spark, sf_dir))
+    return stage(out) if staged else out
 
 
-def user_samples(spark: SparkSession, sf_dir: str, in_len: int = IN_LEN, out_len: int = OUT_LEN) -> DataFrame:
+def user_samples(
+    spark: SparkSession, sf_dir: str, in_len: int = IN_LEN, out_len: int = OUT_LEN, staged: bool = False
+) -> DataFrame:
     axis = user_axis(spark, sf_dir)
     bounds = sp.split_bounds(axis.length, RATIO, in_len, out_len)
-    rows = sp.assign_splits(user_panel(spark, sf_dir, axis), bounds)
+    rows = sp.assign_splits(user_panel(spark, sf_dir, axis, staged), bounds)
     return wn.sliding_windows(rows, ["split", "node"], "pos", ["value"], in_len, out_len)
 
 

@@ -19,7 +19,7 @@ FIT_SQL = f"fit AS (SELECT p.* FROM panel p CROSS JOIN panel_lim WHERE t_idx < f
 
 def _panel_and_steps(spark, sf_dir):
     axis = user_axis(spark, sf_dir)
-    return user_panel(spark, sf_dir, axis), sc.train_steps(axis.length, TRAIN)
+    return user_panel(spark, sf_dir, axis, staged=True), sc.train_steps(axis.length, TRAIN)
 
 
 @query(f"""WITH {PANEL_SQL}, {FIT_SQL}
@@ -153,7 +153,7 @@ runs AS (SELECT node, island, min(t_idx) AS start, count(*) AS n FROM marked WHE
 SELECT m.node, {sql_r6('any_value(rate)')} AS missing_rate, CAST(coalesce(max(n), 0) AS BIGINT) AS max_consecutive,
  {sql_r6('coalesce(avg(n), 0)')} AS avg_consecutive, count(n) AS consecutive_gaps FROM m LEFT JOIN runs r ON r.node = m.node GROUP BY m.node""")
 def missing_runs(spark, sf_dir):
-    out = gaps.missing_runs(user_panel(spark, sf_dir), ["node"], "t_idx", "value")
+    out = gaps.missing_runs(user_panel(spark, sf_dir, staged=True), ["node"], "t_idx", "value")
     return out.select("node", r6("missing_rate").alias("missing_rate"), "max_consecutive",
                       r6("avg_consecutive").alias("avg_consecutive"), "consecutive_gaps")
 
@@ -162,7 +162,7 @@ def missing_runs(spark, sf_dir):
 SELECT p.node, p.t_idx, {sql_r6('p.value')} AS value FROM panel p WHERE NOT EXISTS (
  SELECT 1 FROM runs r WHERE r.node = p.node AND r.n >= 3 AND p.t_idx >= r.start AND p.t_idx < r.start + r.n)""")
 def drop_long_gaps(spark, sf_dir):
-    out = gaps.drop_long_gaps(user_panel(spark, sf_dir), ["node"], ["node"], "t_idx", "value", 3)
+    out = gaps.drop_long_gaps(user_panel(spark, sf_dir, staged=True), ["node"], ["node"], "t_idx", "value", 3)
     return out.select("node", "t_idx", r6("value").alias("value"))
 
 
@@ -230,7 +230,7 @@ ends AS (SELECT n.*, p.value AS pv, x.value AS nv FROM near n LEFT JOIN panel p
 
 @query(f"""WITH {NEAR_SQL} SELECT node, t_idx, {sql_r6('coalesce(value, pv + (nv - pv) * (t_idx - pt) / nullif(nt - pt, 0), pv)')} AS value FROM ends""")
 def interpolate_linear(spark, sf_dir):
-    out = impute.interpolate_linear(user_panel(spark, sf_dir), ["node"], "t_idx", "value")
+    out = impute.interpolate_linear(user_panel(spark, sf_dir, staged=True), ["node"], "t_idx", "value")
     return out.select("node", "t_idx", r6("value").alias("value"))
 
 
@@ -250,7 +250,7 @@ def interpolate_time(spark, sf_dir):
 
 @query(f"WITH {NEAR_SQL} SELECT node, t_idx, {sql_r6('coalesce(value, pv, nv)')} AS value FROM ends")
 def fill_both_ways(spark, sf_dir):
-    out = impute.fill_both_ways(user_panel(spark, sf_dir), ["node"], "t_idx", "value")
+    out = impute.fill_both_ways(user_panel(spark, sf_dir, staged=True), ["node"], "t_idx", "value")
     return out.select("node", "t_idx", r6("value").alias("value"))
 
 
@@ -312,7 +312,7 @@ def column_profile(spark, sf_dir):
 @query(f"""WITH {PANEL_SQL}, p AS (SELECT node, {PROFILE_SQL} FROM panel GROUP BY node)
 SELECT node, count, {', '.join(sql_r6(f'"{c}"', 5) + f' AS "{c}"' for c in PROFILE)} FROM p""")
 def series_profile(spark, sf_dir):
-    out = pf.summarize(user_panel(spark, sf_dir), ["node"])
+    out = pf.summarize(user_panel(spark, sf_dir, staged=True), ["node"])
     return out.select("node", "count", *[r6(c, 5).alias(c) for c in PROFILE])
 
 
@@ -335,7 +335,7 @@ k AS (SELECT node, count(*) AS n FROM kept GROUP BY node)
 SELECT p.node, count(*) AS rows_before, coalesce(any_value(k.n), 0) AS rows_after, {sql_r6('coalesce(any_value(k.n), 0) * 100.0 / count(*)')} AS retention_pct
 FROM panel p LEFT JOIN k ON k.node = p.node GROUP BY p.node""")
 def retention(spark, sf_dir):
-    panel = user_panel(spark, sf_dir)
+    panel = user_panel(spark, sf_dir, staged=True)
     kept = gaps.drop_long_gaps(panel, ["node"], ["node"], "t_idx", "value", 3)
     return pf.retention(panel, kept, ["node"]).select(
         "node", "rows_before", "rows_after", r6("retention_pct").alias("retention_pct"))

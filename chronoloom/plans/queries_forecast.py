@@ -20,7 +20,7 @@ filled AS (SELECT node, t_idx, ts, value AS raw, coalesce(value, last_value(valu
 
 
 def _filled(spark, sf_dir, axis):
-    return impute.fill_both_ways(user_panel(spark, sf_dir, axis), ["node"], "t_idx", "value")
+    return impute.fill_both_ways(user_panel(spark, sf_dir, axis, staged=True), ["node"], "t_idx", "value")
 
 
 def _filled_samples(spark, sf_dir):
@@ -101,7 +101,7 @@ scored AS (SELECT period, sum(coalesce(abs(prediction - t.value), 0)) / count(*)
 @query(f"WITH {GRID_SQL} SELECT CAST(period AS INTEGER) AS period, {sql_r6('mae')} AS mae, CAST(row_number() OVER (ORDER BY mae) AS INTEGER) AS rank FROM scored")
 def grid_rank(spark, sf_dir):
     """MDL3, TOP1: seasons of the naive forecast, best validation error first."""
-    samples = user_samples(spark, sf_dir).where("split = 'valid'")
+    samples = stage(user_samples(spark, sf_dir).where("split = 'valid'"))
 
     def run(period):
         made = models.with_seasonal_naive(samples, IN_LEN, OUT_LEN, period)

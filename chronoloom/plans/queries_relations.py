@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoloom.operators import density, graph as gr, impute, scalers as sc, similarity as sim, spectral, split as sp, windows as wn
+from chronoloom.session import stage
 from chronoloom.plans.catalog import (
     IN_LEN, OUT_LEN, PANEL_SQL, RATIO, SAMPLES_SQL, TYPES_SQL, bounds_sql, query, r6, sql_r6, table,
     type_axis, type_panel, user_axis, user_panel, user_samples,
@@ -132,7 +133,7 @@ pairs AS (SELECT a.sample_id, a.node, b.node AS other,
 def _scaled_samples(spark, sf_dir):
     """Training windows of the hourly panel, filled and standardised per series."""
     axis = type_axis(spark, sf_dir)
-    filled = impute.fill_both_ways(type_panel(spark, sf_dir, axis), ["node"], "t_idx", "value")
+    filled = impute.fill_both_ways(type_panel(spark, sf_dir, axis, staged=True), ["node"], "t_idx", "value")
     stats = sc.zscore_fit(filled, ["node"], "value", sc.train_steps(axis.length, RATIO[0]))
     scaled = sc.zscore_transform(filled, stats, ["node"], "value")
     bounds = sp.split_bounds(axis.length, RATIO, IN_LEN, OUT_LEN)
@@ -148,7 +149,7 @@ def cosine_pairs(spark, sf_dir):
 
 @query(f"WITH {SCALED_SAMPLES_SQL} SELECT sample_id, node, other, {sql_r6('l1', 5)} AS l1, {sql_r6('l2', 5)} AS l2 FROM pairs")
 def distance_pairs(spark, sf_dir):
-    samples = _scaled_samples(spark, sf_dir)
+    samples = stage(_scaled_samples(spark, sf_dir))
     l1 = sim.pairwise(samples, "inputs", "mae").withColumnRenamed("value", "l1")
     l2 = sim.pairwise(samples, "inputs", "mse").withColumnRenamed("value", "l2")
     return l1.join(l2, ["sample_id", "node", "other"]).select(
@@ -179,7 +180,7 @@ FROM grid CROSS JOIN s GROUP BY label, point""")
 def kde_grid(spark, sf_dir):
     """PR7: how the values of the three splits are distributed."""
     axis = user_axis(spark, sf_dir)
-    rows = sp.assign_splits(user_panel(spark, sf_dir, axis), sp.split_bounds(axis.length, RATIO, IN_LEN, OUT_LEN))
+    rows = sp.assign_splits(user_panel(spark, sf_dir, axis, staged=True), sp.split_bounds(axis.length, RATIO, IN_LEN, OUT_LEN))
     out = density.kde_pair(rows, "split", "value")
     return out.select("label", "point", r6("x", 5).alias("x"), r6("density", 7).alias("density"))
 
