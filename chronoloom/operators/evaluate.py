@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronoloom.session import stage
+
 # Guard of the relative error, and its two thresholds.
 GUARD = 1e-8
 LIMITS = {"5": 0.05, "10": 0.10}
@@ -17,18 +19,17 @@ def relative_error(prediction: str, target: str, compat: bool = False) -> Column
     return F.abs(p - t) / ((t if compat else F.abs(t)) + F.lit(GUARD))
 
 
-def _scores(prediction: str, target: str) -> list[Column]:
-    p, t = F.col(prediction).cast("double"), F.col(target).cast("double")
-    res = F.sum((t - p) * (t - p))
-    spread = F.nullif(F.var_pop(t) * F.count(t), F.lit(0.0))
-    rmse = F.sqrt(F.avg((t - p) * (t - p)))
-    skill = 1 - res / spread
-    return [
-        skill.alias("nse_val"),
-        rmse.alias("rmse_val"),
-        (rmse / F.nullif(F.max(t) - F.min(t), F.lit(0.0))).alias("nrmse_val"),
-        skill.alias("r2_val"),
-    ]
+def _skill(residual: Column, spread: Column) -> Column:
+    return 1 - residual / F.nullif(spread, F.lit(0.0))
+
+
+def _scores(residual: Column, spread: Column, n: Column, lo: Column, hi: Column) -> dict[str, Column]:
+    """NSE, RMSE, NRMSE and R2 from sums; a zero denominator gives NULL."""
+    rmse = F.sqrt(residual / F.nullif(n, F.lit(0)))
+    return {
+        "nse_val": _skill(residual, spread), "rmse_val": rmse, "nrmse_val": rmse / F.nullif(hi - lo, F.lit(0.0)),
+        "r2_val": _skill(residual, spread),
+    }
 
 
 def feature_table(
@@ -37,39 +38,35 @@ def feature_table(
 ) -> DataFrame:
     """MET14-MET16: one row per feature, then ``avg`` and ``all``.
 
-    Elements without prediction or truth count in ``samples_count`` only.  Two
-    aggregations, both combined map-side: one per feature, one over everything
-    for ``all``; the ``avg`` row folds the first.
+    Elements without prediction or truth count in ``samples_count`` only.  One
+    pass takes the moments of each feature; that small table is written once,
+    and ``avg`` and ``all`` are folded from it.
     """
     by = list(by)
-    rows = df.withColumns({
-        prediction: F.when(F.col(target).isNotNull(), F.col(prediction)),
-        target: F.when(F.col(prediction).isNotNull(), F.col(target)),
-    })
+    p = F.when(F.col(target).isNotNull(), F.col(prediction).cast("double"))
+    t = F.when(F.col(prediction).isNotNull(), F.col(target).cast("double"))
     err = relative_error(prediction, target, compat)
     counts = [F.count_if(err < lim).alias(f"count_less_{k}") for k, lim in LIMITS.items()]
-    per = rows.groupBy(*by, F.col(feature).cast("string").alias("feature")).agg(
-        *counts, F.count(F.lit(1)).alias("samples_count"), *_scores(prediction, target))
-    for k in LIMITS:
-        per = per.withColumn(f"per_less_{k}", F.col(f"count_less_{k}") / F.col("samples_count"))
-    fields = ["count_less_5", "count_less_10", "samples_count", "per_less_5", "per_less_10",
-              "nse_val", "rmse_val", "nrmse_val", "r2_val"]
-    mean = per.groupBy(*by).agg(
-        F.sum("count_less_5").alias("count_less_5"), F.sum("count_less_10").alias("count_less_10"),
-        F.max("samples_count").alias("samples_count"),
-        *[F.avg(c).alias(c) for c in fields[3:]])
-    pooled = rows.groupBy(*by).agg(*_scores(prediction, target))
-    shared = mean.select(*by, *fields[:5])
-    if by:
-        whole = shared.join(pooled, by)
-    else:
-        whole = shared.withColumn("_one", F.lit(1)).join(pooled.withColumn("_one", F.lit(1)), "_one")
-    out = [
-        per.select(*by, "feature", *fields),
-        mean.select(*by, F.lit("avg").alias("feature"), *fields),
-        whole.select(*by, F.lit("all").alias("feature"), *fields),
-    ]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    moments = stage(df.groupBy(*by, F.col(feature).cast("string").alias("feature")).agg(
+        *counts, F.count(F.lit(1)).alias("samples_count"), F.count(t).alias("_n"), F.sum((t - p) * (t - p)).alias("_res"),
+        F.avg(t).alias("_mean"), (F.var_pop(t) * F.count(t)).alias("_spread"), F.min(t).alias("_lo"), F.max(t).alias("_hi")))
+    own = _scores(*[F.col(c) for c in ("_res", "_spread", "_n", "_lo", "_hi")])
+    per = moments.withColumns({
+        **own, **{f"per_less_{k}": F.col(f"count_less_{k}") / F.col("samples_count") for k in LIMITS}})
+    counted = ["count_less_5", "count_less_10"]
+    shares = ["per_less_5", "per_less_10"]
+    skills = ["nse_val", "rmse_val", "nrmse_val", "r2_val"]
+    # squared distances around the common mean, from those around each feature's
+    n, centre = F.sum("_n"), F.sum(F.col("_mean") * F.col("_n")) / F.nullif(F.sum("_n"), F.lit(0))
+    apart = F.sum(F.col("_mean") * F.col("_mean") * F.col("_n")) - centre * centre * n
+    pooled = _scores(F.sum("_res"), F.sum("_spread") + F.greatest(apart, F.lit(0.0)), n, F.min("_lo"), F.max("_hi"))
+    folded = per.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in counted], F.max("samples_count").alias("samples_count"),
+        *[F.avg(c).alias(c) for c in [*shares, *skills]], *[c.alias(f"_all_{k}") for k, c in pooled.items()])
+    fields = [*counted, "samples_count", *shares]
+    mean = folded.select(*by, F.lit("avg").alias("feature"), *fields, *skills)
+    whole = folded.select(*by, F.lit("all").alias("feature"), *fields, *[F.col(f"_all_{k}").alias(k) for k in skills])
+    return per.select(*by, "feature", *fields, *skills).unionByName(mean).unionByName(whole)
 
 
 def result_columns(df: DataFrame, keys: Sequence[str], feature: str, features: Sequence[str]) -> DataFrame:

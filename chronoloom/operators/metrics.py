@@ -34,75 +34,92 @@ def _usable(c: str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-def _mean(mask: Column, error: Column) -> Column:
-    total = F.sum(F.when(mask, F.coalesce(error, F.lit(0.0))))
-    return F.coalesce(total / F.nullif(F.count_if(mask), F.lit(0)), F.lit(0.0))
+# Metrics of single elements: what an element adds, and which elements count.
+# The metric is the sum over the count, so partial sums of any grouping add up.
+
+def _absolute(p: Column, t: Column, null_val) -> tuple[Column, Column]:
+    return F.abs(p - t), valid(t, null_val, False)
+
+
+def _squared(p: Column, t: Column, null_val) -> tuple[Column, Column]:
+    return (p - t) * (p - t), valid(t, null_val, True)
+
+
+def _relative(p: Column, t: Column, null_val) -> tuple[Column, Column]:
+    return F.abs((p - t) / F.nullif(t, F.lit(0.0))), valid(t, null_val, True) & (F.abs(t) > EPS)
+
+
+def _symmetric(p: Column, t: Column, null_val) -> tuple[Column, Column]:
+    size = (F.abs(p) + F.abs(t)) / 2
+    return F.abs(p - t) / F.nullif(size, F.lit(0.0)), valid(t, null_val, True) & (F.abs(t) > EPS)
+
+
+def _huber(p: Column, t: Column, null_val, delta: float = 1.0) -> tuple[Column, Column]:
+    m = valid(t, null_val, True)
+    e = F.abs(F.when(m, F.coalesce(p, F.lit(0.0)) - t).otherwise(F.lit(0.0)))
+    return F.when(e <= delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta)), F.lit(True)
+
+
+ELEMENTS: dict[str, Callable] = {
+    "MAE": _absolute, "MSE": _squared, "RMSE": _squared, "MAPE": _relative, "SMAPE": _symmetric, "Huber": _huber,
+}
+
+
+def _sums(name: str, prediction: str, target: str, null_val: float | None) -> tuple[Column, Column]:
+    error, mask = ELEMENTS[name](_usable(prediction), _usable(target), null_val)
+    return F.sum(F.when(mask, F.coalesce(error, F.lit(0.0)))), F.count_if(mask)
+
+
+def _ratio(name: str, total: Column, count: Column) -> Column:
+    mean = F.coalesce(total / F.nullif(count, F.lit(0)), F.lit(0.0))
+    return F.sqrt(mean) if name == "RMSE" else mean
+
+
+def _aggregate(name: str, prediction: str, target: str, null_val: float | None) -> Column:
+    return _ratio(name, *_sums(name, prediction, target, null_val))
 
 
 def masked_mae(prediction: str = "prediction", target: str = "target", null_val: float | None = None) -> Column:
     """MET1."""
-    p, t = _usable(prediction), _usable(target)
-    return _mean(valid(t, null_val, False), F.abs(p - t))
+    return _aggregate("MAE", prediction, target, null_val)
 
 
 def masked_mse(prediction: str = "prediction", target: str = "target", null_val: float | None = None) -> Column:
     """MET2."""
-    p, t = _usable(prediction), _usable(target)
-    return _mean(valid(t, null_val, True), (p - t) * (p - t))
+    return _aggregate("MSE", prediction, target, null_val)
 
 
 def masked_rmse(prediction: str = "prediction", target: str = "target", null_val: float | None = None) -> Column:
     """MET3."""
-    return F.sqrt(masked_mse(prediction, target, null_val))
+    return _aggregate("RMSE", prediction, target, null_val)
 
 
 def masked_mape(prediction: str = "prediction", target: str = "target", null_val: float | None = None) -> Column:
     """MET4: targets near zero are left out as well."""
-    p, t = _usable(prediction), _usable(target)
-    return _mean(valid(t, null_val, True) & (F.abs(t) > EPS), F.abs((p - t) / F.nullif(t, F.lit(0.0))))
+    return _aggregate("MAPE", prediction, target, null_val)
 
 
 def masked_smape(prediction: str = "prediction", target: str = "target", null_val: float | None = None) -> Column:
     """MET5."""
-    p, t = _usable(prediction), _usable(target)
-    size = (F.abs(p) + F.abs(t)) / 2
-    return _mean(valid(t, null_val, True) & (F.abs(t) > EPS), F.abs(p - t) / F.nullif(size, F.lit(0.0)))
+    return _aggregate("SMAPE", prediction, target, null_val)
 
 
 def masked_huber(
     prediction: str = "prediction", target: str = "target", null_val: float | None = None,
     delta: float = 1.0, reduction: str = "mean",
 ) -> Column:
-    """MET9: masked elements stay in the denominator with error 0."""
-    loss = huber_loss(prediction, target, null_val, delta)
+    """MET9: masked elements stay in the denominator with error 0; ``none`` gives the element losses."""
+    loss, _ = _huber(_usable(prediction), _usable(target), null_val, delta)
     if reduction == "none":
         return loss
     return F.coalesce(F.sum(loss) if reduction == "sum" else F.avg(loss), F.lit(0.0))
 
 
-def huber_loss(prediction: str, target: str, null_val: float | None = None, delta: float = 1.0) -> Column:
-    """The element loss of MET9; with ``reduction='none'`` this is the result."""
-    p, t = _usable(prediction), _usable(target)
-    m = valid(t, null_val, True)
-    e = F.abs(F.when(m, F.coalesce(p, F.lit(0.0)) - t).otherwise(F.lit(0.0)))
-    return F.when(e <= delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta))
-
-
 def accuracy(prediction: str = "prediction", target: str = "target") -> Column:
     """MET10."""
     return F.avg((F.col(prediction) == F.col(target)).cast("double"))
 
 
-ELEMENT_METRICS: dict[str, Callable[..., Column]] = {
-    "MAE": masked_mae,
-    "MSE": masked_mse,
-    "RMSE": masked_rmse,
-    "MAPE": masked_mape,
-    "SMAPE": masked_smape,
-    "Huber": masked_huber,
-}
-
-
 # Metrics of a group of steps, averaged over groups.  Each has the aggregates of
 # one group and the aggregate over groups.
 
@@ -144,7 +161,7 @@ GROUP_METRICS: dict[str, tuple[Callable, Callable[[], Column]]] = {
         F.sum(F.col("_corr") * F.col("_corr_n")) / F.nullif(F.sum("_corr_n"), F.lit(0)), F.lit(0.0))),
 }
 
-METRICS = tuple(ELEMENT_METRICS) + tuple(GROUP_METRICS)
+METRICS = tuple(ELEMENTS) + tuple(GROUP_METRICS)
 SKIPPED = ("MASE",)
 
 
@@ -158,36 +175,39 @@ def evaluate(
     """MET1-MET11: one row per ``by`` with one column per metric.
 
     A callable metric is called with ``null_val`` only where it takes that
-    argument (MET11).  Metrics of single elements need one aggregation; the
-    grouped ones aggregate per ``by + group`` first.  Both first stages combine
-    map-side, so a hot ``by`` value is no hot task.
+    argument (MET11).  All named metrics come from one pass: where a grouped one
+    is among them, the sums of the others travel through the same groups.  Every
+    first stage combines map-side, so a hot ``by`` value is no hot task.
     """
-    names, element, grouped = [], {}, {}
+    by = list(by)
+    names, own = [], {}
     for m in metrics:
         if callable(m):
             name = getattr(m, "__name__", None) or getattr(m.func, "__name__")
-            element[name] = _bind(m, null_val)
+            own[name] = _bind(m, null_val)
         elif m in SKIPPED:
             continue
-        elif m in ELEMENT_METRICS:
+        elif m in ELEMENTS or m in GROUP_METRICS:
             name = m
-            element[m] = ELEMENT_METRICS[m](null_val=null_val)
-        elif m in GROUP_METRICS:
-            name = m
-            grouped[m] = GROUP_METRICS[m]
         else:
             raise ValueError(f"unknown metric {m}")
         names.append(name)
-    by = list(by)
+    element = [n for n in names if n in ELEMENTS and n not in own]
+    grouped = [n for n in names if n in GROUP_METRICS and n not in own]
     parts = []
-    if element:
-        parts.append(df.groupBy(*by).agg(*[c.alias(n) for n, c in element.items()]))
+    if own or (element and not grouped):
+        plain = {n: _aggregate(n, "prediction", "target", null_val) for n in element} if not grouped else {}
+        parts.append(df.groupBy(*by).agg(*[c.alias(n) for n, c in {**own, **plain}.items()]))
     if grouped:
         inner: dict[str, Column] = {}
-        for build, _ in grouped.values():
-            inner.update(build(null_val))
+        for n in grouped:
+            inner.update(GROUP_METRICS[n][0](null_val))
+        for n in element:
+            inner[f"_sum_{n}"], inner[f"_count_{n}"] = _sums(n, "prediction", "target", null_val)
+        outer = {n: GROUP_METRICS[n][1]() for n in grouped}
+        outer.update({n: _ratio(n, F.sum(f"_sum_{n}"), F.sum(f"_count_{n}")) for n in element})
         per_group = df.groupBy(*by, *group).agg(*[c.alias(n) for n, c in inner.items()])
-        parts.append(per_group.groupBy(*by).agg(*[outer().alias(n) for n, (_, outer) in grouped.items()]))
+        parts.append(per_group.groupBy(*by).agg(*[c.alias(n) for n, c in outer.items()]))
     if len(parts) == 1:
         return parts[0].select(*by, *names)
     if by:
@@ -223,16 +243,18 @@ def horizon_metrics(
     """MET12: ``(by, scope, metric, value)`` for chosen 1-based steps and overall.
 
     At one horizon the grouped metrics run across nodes of a sample, since a
-    group of steps would have a single element.
+    group of steps would have a single element.  An element counts overall and,
+    where its step is chosen, at its horizon; both come from the same pass.
     """
     by = list(by)
-    overall = evaluate(df, metrics, by, null_val=null_val).withColumn("scope", F.lit("overall"))
-    at = df.where(F.col("step").isin([int(h) for h in horizons])).withColumn(
-        "scope", F.concat(F.lit("horizon_"), F.col("step").cast("string")))
-    steps = evaluate(at, metrics, [*by, "scope"], group=("sample_id", "channel"), null_val=null_val)
+    overall = F.struct(F.lit("overall").alias("scope"), F.col("node").alias("_node"))
+    chosen = F.col("step").isin([int(h) for h in horizons]) if horizons else F.lit(False)
+    at = F.when(chosen, F.struct(
+        F.concat(F.lit("horizon_"), F.col("step").cast("string")).alias("scope"), F.lit(None).cast(df.schema["node"].dataType).alias("_node")))
+    rows = df.select(*by, "sample_id", "channel", "prediction", "target", F.inline(F.array_compact(F.array(overall, at))))
     names = [m for m in metrics if m not in SKIPPED]
-    both = overall.select(*by, "scope", *names).unionByName(steps.select(*by, "scope", *names))
-    return long_metrics(both, [*by, "scope"], names)
+    wide = evaluate(rows, names, [*by, "scope"], group=("sample_id", "_node", "channel"), null_val=null_val)
+    return long_metrics(wide, [*by, "scope"], names)
 
 
 def meter(values: DataFrame, by: Sequence[str], value: str = "value", weight: str = "n", squared: bool = False) -> DataFrame:
