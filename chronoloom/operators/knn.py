@@ -154,7 +154,9 @@ def nearest_donors(blocks: DataFrame, pairs: DataFrame, station: Sequence[str],
     def side(tag: str) -> DataFrame:
         return blocks.select(*station, *[F.col(c).alias(f"{tag}_{c.lstrip('_')}") for c in ("_pattern", "_block", "ids", "masks", "values")])
 
-    both = pairs.join(side("q"), [*station, "q_pattern", "q_block"]).join(side("d"), [*station, "d_pattern", "d_block"])
+    # joined to the asking side last, so that the pairs of one asking block mostly
+    # follow each other and their candidates can be merged before they are shuffled
+    both = pairs.join(side("d"), [*station, "d_pattern", "d_block"]).join(side("q"), [*station, "q_pattern", "q_block"])
     types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in station] + [
         f"id {row_type}, col int, dist double, donor {row_type}, value double"])
@@ -162,10 +164,10 @@ def nearest_donors(blocks: DataFrame, pairs: DataFrame, station: Sequence[str],
     bit = 1 << np.arange(width)
 
     def pair(r: dict) -> Iterator[tuple[np.ndarray, ...]]:
-        q_ids, d_ids = np.asarray(r["q_ids"]), np.asarray(r["d_ids"])
+        d_ids = np.asarray(r["d_ids"])
         q_has = (np.asarray(r["q_masks"], dtype=np.int64)[:, None] & bit) != 0
         d_has = (np.asarray(r["d_masks"], dtype=np.int64)[:, None] & bit) != 0
-        q = np.asarray(r["q_values"], dtype=float).reshape(len(q_ids), width)
+        q = np.asarray(r["q_values"], dtype=float).reshape(len(q_has), width)
         d = np.asarray(r["d_values"], dtype=float).reshape(len(d_ids), width)
         asking = np.flatnonzero(~q_has.all(1))
         step = max(1, 2_000_000 // max(len(d_ids), 1))
@@ -199,28 +201,43 @@ def nearest_donors(blocks: DataFrame, pairs: DataFrame, station: Sequence[str],
                 else:
                     at, picked = nearest(dist[np.ix_(rows, can)], k)
                     at, picked = rows[at], can[picked]
-                yield (q_ids[part[at]], np.full(len(at), j, dtype=np.int32), np.round(dist[at, picked], DECIMALS),
+                yield (part[at], np.full(len(at), j, dtype=np.int32), np.round(dist[at, picked], DECIMALS),
                        d_ids[picked], d[picked, j])
 
+    def merged(parts: list) -> list:
+        """The k best of each (row, column) among several donor blocks."""
+        if len(parts) == 1:
+            return parts
+        at, col, dist, donor, value = (np.concatenate(c) for c in zip(*parts))
+        rank = np.unique(donor, return_inverse=True)[1]
+        order = np.lexsort((rank, dist, col, at))
+        at, col, dist, donor, value = (c[order] for c in (at, col, dist, donor, value))
+        first = np.r_[True, (np.diff(at) != 0) | (np.diff(col) != 0)]
+        start = np.flatnonzero(first)
+        keep = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)])) < k
+        return [(at[keep], col[keep], dist[keep], donor[keep], value[keep])]
+
+    def finished(name: list, ids: np.ndarray, parts: list) -> pd.DataFrame:
+        at, *rest = (np.concatenate(c) for c in zip(*merged(parts)))
+        out = pd.DataFrame(dict(zip(columns[len(station):], [ids[at], *rest])))
+        for c, v in zip(station, name):
+            out[c] = v
+        return out[columns]
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, name, ids, parts = None, None, None, []
         for pdf in batches:
-            made, names = [], []
             for r in pdf.to_dict("records"):
-                for piece in pair(r):
-                    made.append(piece)
-                    names.append(([r[c] for c in station], len(piece[0])))
-                if sum(n for _, n in names) > 200_000:
-                    yield assemble(made, names)
-                    made, names = [], []
-            if made:
-                yield assemble(made, names)
-
-    def assemble(made: list, names: list) -> pd.DataFrame:
-        out = pd.DataFrame(dict(zip(columns[len(station):], (np.concatenate(c) for c in zip(*made)))))
-        counts = [n for _, n in names]
-        for i, c in enumerate(station):
-            out[c] = np.repeat(np.array([v[i] for v, _ in names], dtype=object), counts)
-        return out.astype({c: np.dtype("int64") for c in station if types[c] == "bigint"})[columns]
+                key = (*[r[c] for c in station], r["q_pattern"], r["q_block"])
+                if key != current:
+                    if parts:
+                        yield finished(name, ids, parts)
+                    current, name, ids, parts = key, [r[c] for c in station], np.asarray(r["q_ids"]), []
+                parts.extend(pair(r))
+                if sum(len(p[0]) for p in parts) > 2_000_000:
+                    parts = merged(parts)
+        if parts:
+            yield finished(name, ids, parts)
 
     return both.mapInPandas(search, schema)
 
