@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoloom.llm import exact_dedup as dd, mixing as mx, sharding as sh
-from chronoloom.llm.text import ascii_lower, word_count
+from chronoloom.llm import (
+    exact_dedup as dd, langid as li, mixing as mx, packing as pk, quality as ql, sharding as sh, simhash_trie as st)
+from chronoloom.llm.text import ascii_lower, id_crc, word_count
 
 QUERIES, ORACLES = {}, {}
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -42,6 +49,32 @@ FROM t WINDOW w AS (PARTITION BY h)
 """
 
 
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pk.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = (id_crc(F.col("doc_id")) % 4) == 2
+    judged = li.identify(docs.select("doc_id", "text", held.alias("held_out")), docs.filter(~held).select("text", "lang"))
+    return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = (id_crc(F.col("doc_id")) % 5) == 0
+    judged = ql.score(docs.select("doc_id", "text", held.alias("held_out")), docs.filter(~held), labels.filter(~held))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.near_copies(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sh.rendezvous(table(spark, sf_dir, "documents")).select(
