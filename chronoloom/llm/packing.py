@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,44 +35,51 @@ class Coder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
+        tokens = self.coder.get_vocab()
+        self.bytes_of = np.zeros(max(tokens.values()) + 1, np.int64)
+        for token, k in tokens.items():
+            self.bytes_of[k] = len(token)  # byte-level vocabularies write a byte as a character
         self.known: dict[str, bytes] = {}
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[list[str]]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        alone = [c for c in new if c[0] not in " " or c.isspace()]
+        known = self.known
+        new = {c for each in chunks for c in each if c not in known}
+        alone = [c for c in new if c[0] != " " or c.isspace()]
+        for c, got in zip(alone, self.coder.encode_batch_fast(alone, add_special_tokens=False)):
+            known[c] = np.array(got.ids, "<u4").tobytes()
         joint = [c for c in new if c[0] == " " and not c.isspace()]
-        for c in alone:
-            self.known[c] = np.array(self.coder.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        for at in range(0, len(joint), 2000):
-            part = joint[at:at + 2000]
-            got = self.coder.encode("".join(part), add_special_tokens=False)
+        parts = [joint[at:at + 2000] for at in range(0, len(joint), 2000)]
+        for part, got in zip(parts, self.coder.encode_batch_fast(["".join(x) for x in parts], add_special_tokens=False)):
             ids = np.array(got.ids, "<u4")
-            first = np.array([a for a, _ in got.offsets])
-            cuts = np.searchsorted(first, np.cumsum([len(c) for c in part[:-1]]), "left")
-            for c, piece in zip(part, np.split(ids, cuts)):
-                self.known[c] = piece.tobytes()
+            ends = np.cumsum([len(c.encode()) for c in part])
+            cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 4).tolist()
+            raw, at = ids.tobytes(), 0
+            for c, cut in zip(part, cuts):
+                known[c], at = raw[at:cut], cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            pieces, at = [], 0
-            while at < len(text):
+        """Little-endian 32-bit ids of each text; long ones segment by segment."""
+        out = [b""] * len(texts)
+        todo = [(k, 0) for k, text in enumerate(texts) if text]
+        while todo:
+            chunks, rest = [], []
+            for k, at in todo:
+                text = texts[k]
                 border = BORDER.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None
-                end = border.end() if border else len(text)
-                chunks = CHUNK.findall(text[at:end] if at or end < len(text) else text)
-                new = set(chunks) - self.known.keys()
-                if new:
-                    self.learn(set(chunks))
-                pieces.append(b"".join(map(self.known.__getitem__, chunks)))
-                at = end
-            out.append(b"".join(pieces))
+                chunks.append(CHUNK.findall(text, at, border.end() if border else len(text)))
+                if border:
+                    rest.append((k, border.end()))
+            self.learn(chunks)
+            for (k, _), each in zip(todo, chunks):
+                out[k] += b"".join(map(self.known.__getitem__, each))
+            todo = rest
         return out
 
 
@@ -98,8 +106,8 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             texts, keys = batch.column(1), batch.column(0)
             rows: list[list] = [[] for _ in names[1:]]
             which: list[int] = []
-            for at in range(0, len(texts), 256):
-                block = [t or "" for t in texts.slice(at, 256).to_pylist()]
+            for at in range(0, len(texts), 512):
+                block = [t or "" for t in texts.slice(at, 512).to_pylist()]
                 for k, ids in enumerate(code.encode(block)):
                     ids += last
                     n = len(ids) // 4
@@ -133,15 +141,20 @@ def candidate_patterns(most: int) -> np.ndarray:
     return np.concatenate(rows)
 
 
-def fit(counts: np.ndarray, patterns: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """Non-negative x that minimises |A x - counts|², A holding how often a pattern has a length.
+def fit(counts: np.ndarray, patterns: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Non-negative x that minimises |D (A x - counts)|², A holding how often a pattern has a length.
 
+    D weighs lengths that few patterns have more: long pieces have few partners
+    and cost most if they are left over, and the fit converges sooner.
     Accelerated projected gradient with restarts; A is never built, both its
     products are lookups in the three columns of the patterns.
     """
     size = len(counts)
-    into = lambda x: sum(np.bincount(patterns[:, k], x, size) for k in range(3)) * (np.arange(size) > 0)
-    back = lambda r: r[patterns[:, 0]] + r[patterns[:, 1]] + r[patterns[:, 2]]
+    weight = 1 / np.sqrt(np.maximum(1, sum(np.bincount(patterns[:, k], minlength=size) for k in range(3))))
+    weight[0] = 0
+    into = lambda x: weight * sum(np.bincount(patterns[:, k], x, size) for k in range(3))
+    back = lambda r: (r := weight * r)[patterns[:, 0]] + r[patterns[:, 1]] + r[patterns[:, 2]]
+    counts = weight * counts
     probe = np.ones(len(patterns))
     for _ in range(12):  # the largest eigenvalue, for the step
         probe = back(into(probe))
@@ -163,7 +176,7 @@ def plan(histogram: dict[int, int], most: int) -> list[tuple[int, tuple[int, ...
 
     Bounded by the number of lengths and patterns, not by that of documents:
     the fit is rounded along its running sum, patterns that ask for more than
-    is left get less, and what no pattern takes is packed best-fit, longest
+    is left get less, the rest is fitted again while that takes much of it, and what no pattern takes is packed best-fit, longest
     first, many equal pieces at a time.
     """
     left = np.zeros(most + 1, np.int64)
@@ -171,21 +184,24 @@ def plan(histogram: dict[int, int], most: int) -> list[tuple[int, tuple[int, ...
         left[length] = n
     out = [(int(left[most]), (most,))] if left[most] else []
     left[most] = 0
-    if left.any():
-        patterns = candidate_patterns(most)
-        patterns = patterns[1:][(left[patterns[1:]] > 0)[:, :2].all(1) & ((left[patterns[1:, 2]] > 0) | (patterns[1:, 2] == 0))]
-        if len(patterns):
-            x = fit(left.astype(float), patterns)
-            running = np.floor(np.cumsum(x) + 0.5).astype(np.int64)
-            repeats = np.diff(running, prepend=0)
-            for k in np.flatnonzero(repeats):
-                lengths = tuple(int(v) for v in patterns[k] if v)
-                need = {v: lengths.count(v) for v in lengths}
-                n = min([int(repeats[k]), *[int(left[v]) // m for v, m in need.items()]])
-                if n > 0:
-                    out.append((n, lengths))
-                    for v, m in need.items():
-                        left[v] -= n * m
+    patterns, before = candidate_patterns(most)[1:], float("inf")
+    while left.sum() < 0.97 * before:  # what rounding left over is fitted again
+        before = left.sum()
+        there = left > 0
+        there[0] = True
+        patterns = patterns[there[patterns].all(1)]
+        if not len(patterns):
+            break
+        running = np.floor(np.cumsum(fit(left.astype(float), patterns)) + 0.5).astype(np.int64)
+        repeats = np.diff(running, prepend=0)
+        for k in np.flatnonzero(repeats):
+            lengths = tuple(int(v) for v in patterns[k] if v)
+            need = {v: lengths.count(v) for v in lengths}
+            n = min([int(repeats[k]), *[int(left[v]) // m for v, m in need.items()]])
+            if n > 0:
+                out.append((n, lengths))
+                for v, m in need.items():
+                    left[v] -= n * m
     open_: dict[int, dict[tuple[int, ...], int]] = {}  # room -> lengths -> sequences
     for length in range(most, 0, -1):
         n = int(left[length])

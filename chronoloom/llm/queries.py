@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronoloom.llm import (
-    exact_dedup as dd, langid as li, mixing as mx, packing as pk, quality as ql, sharding as sh, simhash_trie as st)
+    brown as br, exact_dedup as dd, langid as li, mixing as mx, packing as pk, quality as ql, rabitq as rq,
+    sharding as sh, simhash_trie as st, urls as ur)
 from chronoloom.llm.text import ascii_lower, id_crc, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -54,6 +55,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pk.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: The rules of the contract.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/")]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ur.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +81,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op7_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", ((id_crc(F.col("doc_id")) % 10) == 0).alias("held_out"))
+    model, counts = br.train(docs.filter(~F.col("held_out")))
+    return br.score(docs, model, counts, carry=("held_out",))
+
+
+@query
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rq.search(table(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0)
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.near_copies(table(spark, sf_dir, "documents"))
