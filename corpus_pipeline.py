@@ -1,8 +1,87 @@
-"""The corpus pipeline: which language, exact copies, near copies, mixing, packing."""
+"""The corpus pipeline: language, exact copies, near copies, mixing, packing.
 
-STAGES = []
+Each stage maps ``documents`` to what it keeps of it; the last one gives the
+packed pieces.  ``run`` applies all to the table of a folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from chronoloom.llm import exact_dedup as dd, langid as li, mixing as mx, packing as pk, simhash_trie as st
+from chronoloom.llm.queries import tokenizer_path
+from chronoloom.llm.text import id_crc, word_count
+from chronoloom.session import stage
+
+#: SQL has no words for language models, fingerprints, flows and tokens.
 ORACLE_SQL = None
+ROW = "_row_of_stage"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds a name for each row, the same whenever the rows are read: its file and place there."""
+    name = F.concat_ws("#", "_metadata.file_name", "_metadata.row_index")
+    try:
+        return docs.withColumn(ROW, name)
+    except AnalysisException:  # not read from files
+        return stage(docs).withColumn(ROW, name)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """All rows but those named; adaptive execution broadcasts the names where they are few."""
+    return docs.join(dropped.select(ROW), ROW, "left_anti").drop(ROW)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that are in no language: NULL texts and texts without a letter."""
+    held = (id_crc(F.col("doc_id")) % 4) == 2
+    judged = li.identify(docs, docs.filter(~held).select("text", "lang"))
+    return judged.filter(F.col("lang_pred") != li.UNKNOWN).select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    rows = numbered(docs)
+    return without(rows, dd.exact_dedup(rows, carry=[ROW]).filter(~F.col("kept")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked texts the row with the smallest doc_id stays, of rows repeating that the first.
+
+    Rows of a group that has no doc_id at all stay.
+    """
+    rows = numbered(docs)
+    found = stage(st.near_copies(rows, carry=(ROW,)).select("doc_id", "component_id", ROW))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    again = (found.filter(first & F.col("doc_id").isNotNull()).groupBy("component_id")
+             .agg(F.min(ROW).alias("_stays"), F.count("*").alias("_n")).filter("_n > 1"))
+    repeated = found.filter(first).join(again, "component_id").filter(F.col(ROW) != F.col("_stays"))
+    return without(rows, found.filter(~first).select(ROW).union(repeated.select(ROW)))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix reads it."""
+    rows = numbered(docs)
+    sized = rows.select(ROW, "source", word_count(F.col("text")).alias("size"))
+    mixed = mx.mix_by_source(sized, key=ROW).filter("taken > 0").select(ROW, (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return (rows.join(mixed, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+            .select(*docs.columns))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens; one row per piece of a document."""
+    return pk.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("language", language), ("exact copies", exact_copies), ("near copies", near_copies), ("mixture", mixture),
+          ("packing", packing)]
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs)
+    return docs
