@@ -17,12 +17,17 @@ from chronoloom.session import stage
 
 #: White space as the tokenizer's pattern sees it (fixed values).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: White space and what follows it.  A token never starts before such a border and ends behind it.
+#: White space and what follows it.  A token never reaches over such a border.
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BORDER = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
-#: Characters that are cut into chunks at once, and chunks whose ids a worker remembers.
+DOUBLE = re.compile(f"[{SPACE}][{SPACE}]")
+#: Characters that are cut into chunks at once, and chunks of each of two generations that a worker remembers.
 SEGMENT, REMEMBERED = 1 << 20, 400_000
 
+#: In front of a piece that no space precedes; pieces that start a line, or are empty, need none.
+MARK, LINE = "\x00", ("", "\n")
+AS_IS = (MARK, "\n")
+
 _CODERS: dict[str, Coder] = {}
 
 
@@ -45,24 +50,54 @@ class Coder:
         for token, k in tokens.items():
             self.bytes_of[k] = len(token)  # byte-level vocabularies write a byte as a character
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: list[list[str]]) -> None:
+        """Encodes chunks not known: those after a space, which are written without it, many to a call."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         new = {c for each in chunks for c in each if c not in known}
-        alone = [c for c in new if c[0] != " " or c.isspace()]
-        for c, got in zip(alone, self.coder.encode_batch_fast(alone, add_special_tokens=False)):
-            known[c] = np.array(got.ids, "<u4").tobytes()
-        joint = [c for c in new if c[0] == " " and not c.isspace()]
+        joint, alone = [], []
+        for c in new:
+            if c in older:
+                known[c] = older[c]
+            elif c[:1] in LINE or c[0] == MARK:
+                alone.append(c)
+            else:
+                joint.append(c)
+        for c, ids in zip(alone, self._ids([c[1:] if c[:1] == MARK else c or " " for c in alone])):
+            known[c] = ids.tobytes()
         parts = [joint[at:at + 2000] for at in range(0, len(joint), 2000)]
-        for part, got in zip(parts, self.coder.encode_batch_fast(["".join(x) for x in parts], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            ends = np.cumsum([len(c.encode()) for c in part])
+        texts = [" " + " ".join(part) for part in parts]
+        for part, text, ids in zip(parts, texts, self._ids(texts)):
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
             cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 4).tolist()
-            raw, at = ids.tobytes(), 0
-            for c, cut in zip(part, cuts):
-                known[c], at = raw[at:cut], cut
+            raw = ids.tobytes()
+            known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """Pieces whose ids, put together, are those of the text.
+
+        Where single spaces and line ends divide words, which is nearly
+        everywhere, a piece is what follows a space; with MARK in front it is
+        meant as it stands.
+        """
+        if DOUBLE.search(text):
+            return [c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() and c[1] not in AS_IS else MARK + c
+                    for c in CHUNK.findall(text)]
+        if MARK in text:
+            return [MARK + c for c in CHUNK.findall(text)]
+        found = text.replace("\n", " \n").split(" ")
+        if found[0]:
+            found[0] = MARK + found[0]
+        else:
+            del found[0]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; long ones segment by segment."""
@@ -73,7 +108,7 @@ class Coder:
             for k, at in todo:
                 text = texts[k]
                 border = BORDER.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None
-                chunks.append(CHUNK.findall(text, at, border.end() if border else len(text)))
+                chunks.append(self.chunks(text[at:border.end()] if border else text[at:] if at else text))
                 if border:
                     rest.append((k, border.end()))
             self.learn(chunks)
