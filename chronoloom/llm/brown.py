@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -63,8 +62,8 @@ def _sequences(batch: pa.RecordBatch, place: dict[bytes, int]) -> Iterator[tuple
         yield words, np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
 
 
-def count_codes(docs: DataFrame, text: str, size: int, codes) -> pd.DataFrame:
-    """Sums of how often each number below ``size`` occurs in what ``codes`` makes of the batches; at most ``size`` rows."""
+def count_codes(docs: DataFrame, text: str, size: int, codes) -> np.ndarray:
+    """How often each number below ``size`` occurs in what ``codes`` makes of the batches; at most ``size`` rows are sent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
@@ -77,24 +76,28 @@ def count_codes(docs: DataFrame, text: str, size: int, codes) -> pd.DataFrame:
             if held:
                 total += np.bincount(np.concatenate(held), minlength=size)
         there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["code", "n"])
 
-    return (_texts(docs, text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-            .toPandas().sort_values("code", ignore_index=True))
+    got = _texts(docs, text).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.float32 if size > 1 << 22 else np.float64)
+    for batch in got.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out
 
 
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: pd.DataFrame, words: int, nodes: int, classes: int, rounds: int = 5) -> np.ndarray:
+def exchange(pairs: np.ndarray, words: int, nodes: int, classes: int, rounds: int = 5) -> np.ndarray:
     """Class of each of the first ``words`` nodes; further nodes keep a class of their own.
 
-    ``pairs`` counts code = left * nodes + right.  Words are visited by
+    ``pairs`` holds counts, at left * nodes + right.  Words are visited by
     frequency; each goes to the class that most raises the mutual information
     of neighbouring classes, until a round moves none.
     """
-    left, right, n = pairs["code"].to_numpy() // nodes, pairs["code"].to_numpy() % nodes, pairs["n"].to_numpy(float)
+    codes = np.flatnonzero(pairs)
+    left, right, n = (codes // nodes).astype(np.int32), (codes % nodes).astype(np.int32), pairs[codes]
     size = classes + nodes - words
     label = np.concatenate([np.arange(words) % classes, classes + np.arange(nodes - words)])
     table = np.bincount(label[left] * size + label[right], n, size * size).reshape(size, size)
@@ -180,9 +183,9 @@ def train(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, moved:
     counts = stage(count_words(docs, text))
     total = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
     tokens, distinct, ends = (int(x or 0) for x in total)
-    top = counts.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    words = [bytes(w) for w in top["word"]]
-    n = top["n"].to_numpy(float)
+    top = counts.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    words = top.column("word").to_pylist()
+    n = top.column("n").to_numpy().astype(float)
     place = {w: k for k, w in enumerate(words)}
     moved = min(moved, len(words))
     classes = max(1, min(classes, moved))
@@ -212,11 +215,10 @@ def train(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, moved:
             yield (ids[known] * 2 + 1) * wide + cls[known + 2]
 
     if len(words) > moved:
-        got = count_codes(docs, text, 2 * wide * len(words), beside)
-        near = np.bincount(got["code"], got["n"], 2 * wide * len(words)).reshape(len(words), 2, wide)
+        near = count_codes(docs, text, 2 * wide * len(words), beside).reshape(len(words), 2, wide)
         member = np.zeros((classes, moved))
         member[label[:moved], np.arange(moved)] = 1
-        both = [member @ near[:moved, side] + 0.5 for side in (0, 1)]  # class, class before or after
+        both = [member.astype(np.float32) @ near[:moved, side] + 0.5 for side in (0, 1)]  # class, class before or after
         affinity = [np.log(b / b.sum(1, keepdims=True) / (b.sum(0) / b.sum())) for b in both]
         label[moved:] = (near[moved:, 0] @ affinity[0].T + near[moved:, 1] @ affinity[1].T).argmax(1)
 
@@ -229,8 +231,7 @@ def train(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, moved:
             row = classed(words, ids, label, classes, end)
             yield row[:-1] * (end + 1) + row[1:]
 
-    got = count_codes(docs, text, (end + 1) ** 2, steps)
-    table = np.bincount(got["code"].to_numpy(np.int64), got["n"].to_numpy(float), (end + 1) ** 2).reshape(end + 1, end + 1)
+    table = count_codes(docs, text, (end + 1) ** 2, steps).reshape(end + 1, end + 1)
     single = (table.sum(0) + WORD) / (table.sum() + WORD * (end + 1))
     step = np.log10((table + PRIOR * single) / (table.sum(1, keepdims=True) + PRIOR))
     in_class = np.bincount(label, n, classes) if len(words) else np.zeros(classes)
