@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 SAMPLE, SAMPLE_BYTES, LANDMARKS = 400, 4000, 60
 RIDGE = 1e-2
 UNKNOWN = "und"
+#: Languages to learn at most; more is an error.
+MAX_LANGUAGES = 10_000
 
 
 def grams(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -93,20 +95,21 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", eac
                     most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
     """At most ``each`` texts with a letter of every language, chosen by a hash of the text.
 
-    Bounded: the smallest hashes of each language are merged map-side, and only
-    the start of a training text is kept.  The texts to predict are always
+    Bounded: tasks keep about twice as many by the share of their hash (of equal
+    texts one), and only the start of a training text.  The texts to predict are always
     read whole.
     """
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    limit = rows.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
-    share = limit.groupBy("lang").agg(F.count("*").alias("n"))
-    span = 2.0 ** 64
-    cut = share.select("lang", F.least(F.lit(1.0), F.lit(4.0 * each) / F.col("n")).alias("share"))
-    near = rows.select(F.col(lang).alias("lang"), F.substring(text, 1, most_bytes).alias("text"), F.xxhash64(text).alias("h"))
-    near = near.join(cut, "lang").filter(F.col("h").cast("double") <= F.col("share") * span - span / 2)
-    top = near.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, each).alias("rows"))
-    got = top.select("lang", F.explode("rows").alias("r")).select("lang", "r.text").toPandas()
-    return got.sort_values(["lang", "text"], ignore_index=True)
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.substring(text, 1, most_bytes).alias("text"), F.xxhash64(text).alias("h"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return pd.DataFrame({"lang": [], "text": []})
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 2.0 * each / n))])[F.col("lang")]
+    near = rows.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share)  # before any shuffle
+    got = near.distinct().toPandas().sort_values(["lang", "h", "text"], ignore_index=True)
+    return got.groupby("lang").head(each)[["lang", "text"]].reset_index(drop=True)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
