@@ -14,6 +14,8 @@ from chronoloom.session import stage
 
 #: Words with an entry in the shared table, of them those that the exchange moves, and classes it moves them to.
 FREQUENT, MOVED, CLASSES = 50_000, 2_000, 48
+#: A word with an entry occurs so often at least; what is rarer tells how likely unknown words are.
+LEAST = 3
 #: Pseudo-counts: of a word (fixed by the base model too) and of the unigram behind class transitions.
 WORD, PRIOR = 0.1, 5.0
 #: Kinds of rarer words: with a byte beyond ASCII, ending in a mark, with a digit.
@@ -183,7 +185,7 @@ def train(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, moved:
     counts = stage(count_words(docs, text))
     total = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
     tokens, distinct, ends = (int(x or 0) for x in total)
-    top = counts.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    top = counts.filter(F.col("word").isNotNull() & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "word").limit(frequent).toArrow()
     words = top.column("word").to_pylist()
     n = top.column("n").to_numpy().astype(float)
     place = {w: k for k, w in enumerate(words)}
