@@ -38,7 +38,7 @@ def density_at(df: DataFrame, label: str, value: str, points: Sequence[float], b
             yield pd.DataFrame({"label": name, "point": np.arange(len(grid)), "x": grid, "s": acc, "n": count[name]})
 
     rows = df.select(F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value")).where(
-        F.col("value").isNotNull() & ~F.isnan("value"))
+        F.abs("value") < math.inf)
     parts = rows.mapInPandas(sums, "label string, point long, x double, s double, n long")
     norm = F.lit(bandwidth * math.sqrt(2 * math.pi))
     return parts.groupBy("label", "point").agg(F.first("x").alias("x"), (F.sum("s") / F.sum("n") / norm).alias("density"))
@@ -67,8 +67,14 @@ def _steps_outward(df, label, value, edge: float, step: float, sign: int, bandwi
 
 
 def kde_pair(df: DataFrame, label: str, value: str, bandwidth: float = 5.0, points: int = POINTS) -> DataFrame:
-    """PR7: the densities of all samples in ``label`` on a grid wide enough for each."""
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
+    """PR7: the densities of all samples in ``label`` on a grid wide enough for each.
+
+    NaN and infinities count as missing, for the grid as for the densities; without any value there are no rows.
+    """
+    v = F.col(value).cast("double")
+    lo, hi = df.where(F.abs(v) < math.inf).agg(F.min(v), F.max(v)).first()
+    if lo is None:
+        return density_at(df, label, value, [], bandwidth)
     step = (hi - lo) / 1000
     if step > 0:
         left = _steps_outward(df, label, value, lo, step, -1, bandwidth)

@@ -154,3 +154,12 @@ def test_fourier_round_trip(spark, length):
         np.testing.assert_allclose(r.re, f.real, atol=1e-9)
         np.testing.assert_allclose(r.im, f.imag, atol=1e-9)
         np.testing.assert_allclose(r.back, x[i], atol=1e-9)
+
+
+def test_density_leaves_out_what_is_not_finite(spark):
+    good = [("a", 1.0), ("a", 4.0), ("b", 2.0)]
+    odd = [("a", float("nan")), ("b", float("inf")), ("b", float("-inf")), ("a", None)]
+    made = [density.kde_pair(spark.createDataFrame(r, "g string, v double"), "g", "v").orderBy("label", "point").toPandas()
+            for r in (good, good + odd)]
+    np.testing.assert_allclose(made[0][["x", "density"]].to_numpy(float), made[1][["x", "density"]].to_numpy(float))
+    assert density.kde_pair(spark.createDataFrame(odd, "g string, v double"), "g", "v").count() == 0
