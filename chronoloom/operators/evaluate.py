@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronoloom.functions.scalars import finite_or_null
 from chronoloom.session import stage
 
 # Guard of the relative error, and its two thresholds.
@@ -15,7 +16,7 @@ LIMITS = {"5": 0.05, "10": 0.10}
 
 def relative_error(prediction: str, target: str, compat: bool = False) -> Column:
     """``compat`` keeps the sign of the truth, so negative truth always passes."""
-    p, t = F.col(prediction).cast("double"), F.col(target).cast("double")
+    p, t = finite_or_null(F.col(prediction).cast("double")), finite_or_null(F.col(target).cast("double"))
     return F.abs(p - t) / ((t if compat else F.abs(t)) + F.lit(GUARD))
 
 
@@ -38,13 +39,13 @@ def feature_table(
 ) -> DataFrame:
     """MET14-MET16: one row per feature, then ``avg`` and ``all``.
 
-    Elements without prediction or truth count in ``samples_count`` only.  One
+    Elements without prediction or truth (NULL, NaN, infinite) count in ``samples_count`` only.  One
     pass takes the moments of each feature; that small table is written once,
     and ``avg`` and ``all`` are folded from it.
     """
     by = list(by)
-    p = F.when(F.col(target).isNotNull(), F.col(prediction).cast("double"))
-    t = F.when(F.col(prediction).isNotNull(), F.col(target).cast("double"))
+    p = F.when(finite_or_null(F.col(target).cast("double")).isNotNull(), finite_or_null(F.col(prediction).cast("double")))
+    t = F.when(finite_or_null(F.col(prediction).cast("double")).isNotNull(), finite_or_null(F.col(target).cast("double")))
     err = relative_error(prediction, target, compat)
     counts = [F.count_if(err < lim).alias(f"count_less_{k}") for k, lim in LIMITS.items()]
     moments = stage(df.groupBy(*by, F.col(feature).cast("string").alias("feature")).agg(

@@ -185,7 +185,7 @@ def grid_search(spark: SparkSession, grid: Mapping[str, Sequence], run: Callable
         try:
             rows.append((i, {k: str(v) for k, v in params.items()}, float(run(**params)), None))
         except Exception as e:  # noqa: BLE001
-            rows.append((i, {k: str(v) for k, v in params.items()}, None, f"{type(e).__name__}: {e}"[:500]))
+            rows.append((i, {k: str(v) for k, v in params.items()}, None, f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(rows, "combination int, params map<string,string>, metric double, error string")
 
 

@@ -67,7 +67,7 @@ def dataset_report(spark, sources: dict[str, str], reader) -> DataFrame:
         try:
             df = reader(path)
         except Exception as e:  # noqa: BLE001
-            text = "file not found" if "PATH_NOT_FOUND" in str(e) or isinstance(e, FileNotFoundError) else str(e)[:200]
+            text = "file not found" if "PATH_NOT_FOUND" in str(e) or isinstance(e, FileNotFoundError) else str(e)
             parts.append(spark.createDataFrame([(name, path, None, None, None, None, text)], schema))
             continue
         numeric = numeric_columns(df, None)

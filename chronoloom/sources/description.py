@@ -51,15 +51,13 @@ def describe(
 ) -> DataFrame:
     """DS2: one row of counts and settings.
 
-    The axis is dense from 0, so its length is one more than its largest step;
-    the nodes are those of one step, so no distinct count over all rows is
-    needed.
+    The axis is dense from 0, so its length is one more than its largest step.
+    Nodes are counted over all rows, as a node may begin after step 0.
     """
-    length = series.agg((F.max(pos) + 1).alias("n")).withColumn("_one", F.lit(1))
-    nodes = series.where(F.col(pos) == 0).agg(F.countDistinct(node).alias("num_nodes")).withColumn("_one", F.lit(1))
+    counts = series.agg((F.max(pos) + 1).alias("n"), F.countDistinct(node).alias("num_nodes"))
     minutes = None if not steps_per_day else float(int(1440 // steps_per_day))
     given = F.from_json(F.lit(json.dumps(settings or {})), _SETTINGS, {"allowNonNumericNumbers": "true"})
-    return length.join(nodes, "_one").select(
+    return counts.select(
         F.lit(name).alias("name"), F.lit(domain).alias("domain"),
         F.array(F.col("n"), F.col("num_nodes"), F.lit(len(features)).cast("long")).alias("shape"),
         F.col("n").alias("num_time_steps"), "num_nodes", F.lit(len(features)).alias("num_features"),

@@ -162,3 +162,20 @@ def test_diagnosis(spark):
     assert len(got["val"]) == 4 and got["val"][0].startswith("1 feature(s) r2<0")
     assert got["test"] == []
     assert pf.diagnose(df.select("model", "split")).first().issues == ["metrics file empty or unreadable"]
+
+
+def test_feature_table_counts_nan_as_missing(spark):
+    from chronoloom.operators.evaluate import feature_table
+
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 1.0, 1.0), ("a", 2.0, 3.0), ("a", nan, 4.0), ("a", 4.0, nan), ("a", inf, 4.0)]
+    got = {r["feature"]: r for r in feature_table(spark.createDataFrame(rows, "f string, prediction double, target double"), "f").collect()}
+    for name in ("a", "avg", "all"):
+        assert got[name]["rmse_val"] == 0.5 ** 0.5 and got[name]["nse_val"] == 0.5 and got[name]["samples_count"] == 5
+
+
+def test_description_counts_nodes_that_begin_later(spark):
+    from chronoloom.sources.description import describe
+
+    series = spark.createDataFrame([("a", 0), ("a", 1), ("b", 1)], "node string, t_idx long")
+    assert describe(series, "x", "d", ["v"], 24).first()["shape"] == [2, 2, 1]
