@@ -28,7 +28,7 @@ SEGMENT, REMEMBERED = 1 << 20, 400_000
 MARK, LINE = "\x00", ("", "\n")
 AS_IS = (MARK, "\n")
 
-_CODERS: dict[str, Coder] = {}
+_CODERS: dict[tuple[str, bool], Coder] = {}
 
 
 class Coder:
@@ -36,15 +36,21 @@ class Coder:
 
     Texts are cut where white space follows something else; the pattern of
     byte-level BPE always ends a token there, so chunks can be looked up one by
-    one.  Chunks not seen before are encoded together, in one call.
+    one.  Chunks not seen before are encoded together, in one call.  The
+    strings of added tokens become those tokens, as by default in the library;
+    with ``plain`` they are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
+        added = {t.content: k for k, t in self.coder.get_added_tokens_decoder().items()}
+        self.added = {} if plain else {c: np.array([k], "<u4").tobytes() for c, k in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.border = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if self.added else None
         tokens = self.coder.get_vocab()
         self.bytes_of = np.zeros(max(tokens.values()) + 1, np.int64)
         for token, k in tokens.items():
@@ -100,7 +106,15 @@ class Coder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; long ones segment by segment."""
+        """Little-endian 32-bit ids of each text; added tokens divide a text, what lies between is encoded by itself."""
+        if not self.border:
+            return self.encode_plain(texts)
+        parts = [self.border.split(t) if any(c in t for c in self.added) else [t] for t in texts]
+        ids = iter(self.encode_plain([x for each in parts for x in each[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(ids) for k, x in enumerate(each)) for each in parts]
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens; long ones segment by segment."""
         out = [b""] * len(texts)
         todo = [(k, 0) for k, text in enumerate(texts) if text]
         while todo:
@@ -118,11 +132,11 @@ class Coder:
         return out
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, plain: bool = False) -> Coder:
     """One coder per worker and file."""
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    if (path, plain) not in _CODERS:
+        _CODERS[path, plain] = Coder(path, plain)
+    return _CODERS[path, plain]
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0,
@@ -131,7 +145,9 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     A document's ids are followed by ``end_id``.  A longer one is cut so that
     its first piece is the shorter one.  NULL text counts as empty, which is one
-    piece of the end alone.
+    piece of the end alone.  Repeated rows each give their pieces, NULL keys are
+    keys, further columns are ignored, whatever their names; an empty table
+    gives an empty one.
     """
     names = ["_key", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
