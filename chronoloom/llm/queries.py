@@ -35,9 +35,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn(
-        "text_sha256", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
-    return dd.exact_dedup(docs, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    docs = table(spark, sf_dir, "documents")
+    return dd.exact_dedup(docs, digest="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLES["op2_exact_dedup"] = """
