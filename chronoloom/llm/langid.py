@@ -8,14 +8,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-#: Learned from at most so many texts of each language, and so many of their bytes; landmarks per language.
-SAMPLE, SAMPLE_BYTES, LANDMARKS = 400, 4000, 60
+from chronoloom.session import stage
+
+#: Learned from at most so many different texts of each language, and of all; landmarks likewise.
+SAMPLE, SAMPLES, LANDMARKS, LANDMARKS_ALL = 400, 4000, 60, 400
 RIDGE = 1e-2
 UNKNOWN = "und"
 #: Languages to learn at most; more is an error.
-MAX_LANGUAGES = 10_000
+MAX_LANGUAGES = 200
+#: Texts whose kernel rows are computed in one product.
+BATCH = 256
 
 
 def grams(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -72,48 +76,78 @@ def lettered(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
+def present(text: bytes) -> np.ndarray:
+    """Sorted codes of the n-grams that a whole text has; long texts are read part by part."""
+    data = np.frombuffer(text, np.uint8)
+    seen = np.zeros(0, np.int32)
+    for at in range(0, len(data), PART):
+        seen = np.unique(np.concatenate([seen, *grams(data[at:at + PART + 2])]))
+    return seen
+
+
 def train(sample: pd.DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Ridge regression on Nyström features: (K_nm' K_nm + r n K_mm) w = K_nm' y for each language against the rest."""
+    """Ridge regression on Nyström features: (K_nm' K_nm + r n K_mm) w = K_nm' y for each language against the rest.
+
+    ``sample`` has ``lang`` and ``codes``, the n-grams that a text has.
+    """
     names = sorted(sample["lang"].unique())
-    texts = [prepared(t) for t in sample["text"]]
-    chosen = [k for name in names for k in np.flatnonzero(sample["lang"] == name)[:landmarks]]
-    seen = [np.unique(np.concatenate(list(grams(np.frombuffer(texts[k], np.uint8))))) for k in chosen]
-    model = Model(np.unique(np.concatenate(seen)), np.zeros((0, 0)), np.zeros((0, 0)), names)
-    model.landmarks = model.presence([texts[k] for k in chosen])
-    kernel = model.presence(texts).astype(float) @ model.landmarks.T.astype(float)
-    kernel = np.hstack([kernel, np.ones((len(texts), 1))])
+    codes, lang = sample["codes"].tolist(), sample["lang"].to_numpy()
+    landmarks = max(1, min(landmarks, LANDMARKS_ALL // len(names)))
+    chosen = [k for name in names for k in np.flatnonzero(lang == name)[:landmarks]]
+    vocabulary = np.unique(np.concatenate([codes[k] for k in chosen]))
+
+    def rows(texts: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(texts), len(vocabulary) + 1), np.float32)
+        for row, own in zip(out, texts):
+            at = np.searchsorted(vocabulary, own)
+            row[np.where(vocabulary[np.minimum(at, len(vocabulary) - 1)] == own, at, len(vocabulary))] = 1
+        out = out[:, :-1]
+        return out / np.maximum(1, np.sqrt(out.sum(1, keepdims=True)))
+
+    model = Model(vocabulary, rows([codes[k] for k in chosen]), np.zeros((0, 0)), names)
+    kernel = np.concatenate([rows(codes[k:k + BATCH]) @ model.landmarks.T for k in range(0, len(codes), BATCH)]).astype(float)
+    kernel = np.hstack([kernel, np.ones((len(codes), 1))])
     inner = np.zeros((kernel.shape[1],) * 2)
-    inner[:-1, :-1] = model.landmarks.astype(float) @ model.landmarks.T
-    wanted = np.where(sample["lang"].to_numpy()[:, None] == np.array(names)[None], 1.0, -1.0)
-    each = np.array([1 / max(1, (sample["lang"] == name).sum()) for name in sample["lang"]])[:, None]  # languages weigh the same
+    inner[:-1, :-1] = model.landmarks @ model.landmarks.T
+    wanted = np.where(lang[:, None] == np.array(names)[None], 1.0, -1.0)
+    each = np.array([1 / max(1, (lang == name).sum()) for name in lang])[:, None]  # languages weigh the same
     left = kernel.T @ (each * kernel) + ridge * inner + 1e-9 * np.eye(len(inner))
     model.weights = np.linalg.solve(left, kernel.T @ (each * wanted)).astype(np.float32)
     return model
 
 
-def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", each: int = SAMPLE,
-                    most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
-    """At most ``each`` texts with a letter of every language, chosen by a hash of the text.
+def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", each: int = SAMPLE) -> pd.DataFrame:
+    """``lang`` and ``codes`` of at most ``each`` different texts with a letter per language, 4000 in all.
 
-    Bounded: tasks keep about twice as many by the share of their hash (of equal
-    texts one), and only the start of a training text.  The texts to predict are always
-    read whole.
+    Of a language's different texts, however often each is repeated, those with
+    the smallest hashes are learned from, whole; tasks reduce them to the
+    n-grams they have before anything is collected.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
-        F.col(lang).alias("lang"), F.substring(text, 1, most_bytes).alias("text"), F.xxhash64(text).alias("h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
+        F.col(lang).alias("_lang"), F.col(text).cast("string").alias("_text"), F.xxhash64(text).alias("_h"))
+    keys = stage(rows.select("_lang", "_h").distinct())
+    names = [r[0] for r in keys.select("_lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return pd.DataFrame({"lang": [], "text": []})
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 2.0 * each / n))])[F.col("lang")]
-    near = rows.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share)  # before any shuffle
-    got = near.distinct().toPandas().sort_values(["lang", "h", "text"], ignore_index=True)
-    return got.groupby("lang").head(each)[["lang", "text"]].reset_index(drop=True)
+    if not names:
+        return pd.DataFrame({"lang": [], "codes": []})
+    first = Window.partitionBy("_lang").orderBy("_h")
+    bars = (keys.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= min(each, SAMPLES // len(names)))
+            .groupBy("_lang").agg(F.max("_h").alias("_bar")).collect())
+    bar = F.create_map(*[F.lit(x) for r in bars for x in (r["_lang"], r["_bar"])])[F.col("_lang")]
 
+    @F.pandas_udf("array<int>")
+    def describe(texts: pd.Series) -> pd.Series:
+        return pd.Series([present(prepared(t)) for t in texts], dtype=object)
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred``, ``score`` (0 to 1) and ``margin`` (the winning output, above 0 if a language claims the text)."""
+    near = rows.filter(F.col("_h") <= bar).groupBy("_lang", "_h").agg(F.min("_text").alias("_text"))
+    got = near.select("_lang", "_h", describe("_text").alias("codes")).toPandas().sort_values(["_lang", "_h"], ignore_index=True)
+    return pd.DataFrame({"lang": got["_lang"], "codes": [np.asarray(c, np.int32) for c in got["codes"]]})
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "_judged") -> DataFrame:
+    """Adds a struct ``into``: ``lang_pred``, ``score`` (0 to 1) and ``margin`` (the winning output, above 0 if a
+    language claims the text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, margin double")
@@ -121,8 +155,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = shared.value
         for column in columns:
             parts = [pd.DataFrame({"lang_pred": [], "score": [], "margin": []}).astype({"lang_pred": object})]
-            for at in range(0, len(column), 256):
-                texts = column.iloc[at:at + 256].tolist()
+            for at in range(0, len(column), BATCH):
+                texts = column.iloc[at:at + BATCH].tolist()
                 out = own.scores([prepared(t) for t in texts]).astype(float)
                 best = out.argmax(1)
                 margin = out[np.arange(len(out)), best]
@@ -134,18 +168,28 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     "score": np.where(known, np.clip(score, 0, 1), 0.0), "margin": np.where(known, margin, -1.0)}))
             yield pd.concat(parts, ignore_index=True)
 
-    return docs.withColumn("_judged", judge(F.col(text).cast("string"))).select(
-        *docs.columns, "_judged.lang_pred", "_judged.score", "_judged.margin")
+    return docs.withColumn(into, judge(F.col(text).cast("string")))
+
+
+def judged(docs: DataFrame, learn_from: DataFrame, text: str = "text", lang: str = "lang", into: str = "_judged") -> DataFrame:
+    """``docs`` with a struct ``into`` of prediction, score and margin, learned from labelled ``learn_from``."""
+    sample = training_sample(learn_from, text, lang)
+    if sample.empty:
+        return docs.withColumn(into, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(-1.0).alias("margin")))
+    return predict(docs, train(sample), text, into)
 
 
 def identify(docs: DataFrame, learn_from: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Predicts the language of every text of ``docs`` from labelled ``learn_from``.
 
-    NULL texts and texts without a letter are ``und`` with score 0.  Without a
-    labelled text all are ``und``.  Rows keep all their columns, repeated rows
-    get equal results, labels are no input of a prediction.
+    Adds ``lang_pred``, ``score`` (0 to 1) and ``margin``; columns of these
+    names that ``docs`` has already are replaced (judged() leaves them and
+    writes a struct).  NULL texts and texts without a letter are ``und`` with
+    score 0.  Without a labelled text all are ``und``; equal outputs go to the
+    language first by name.  Rows keep all other columns, repeated rows get
+    equal results, labels are no input of a prediction.  An empty table gives
+    an empty one.
     """
-    sample = training_sample(learn_from, text, lang)
-    if sample.empty:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "margin": F.lit(-1.0)})
-    return predict(docs, train(sample), text)
+    names, into = ("lang_pred", "score", "margin"), "_judged_language"
+    found = judged(docs, learn_from, text, lang, into)
+    return found.select(*[c for c in docs.columns if c not in names], *[F.col(into)[n].alias(n) for n in names])
