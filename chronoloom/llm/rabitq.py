@@ -22,10 +22,15 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors at unit length.  Divided by the largest component first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
+
+
 def encode(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed signs of the rotated unit vectors, and the inner product of each with its code."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    turned = unit @ rotation(vectors.shape[1], seed).T
+    turned = unit(vectors) @ rotation(vectors.shape[1], seed).T
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / np.sqrt(vectors.shape[1])
 
 
@@ -38,7 +43,9 @@ def usable(vector: Column) -> Column:
 def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", seed: int = 0) -> DataFrame:
     """Every usable row with its code: (_id, _dim, _vector, _code, _fit).
 
-    Of rows with the same key the smallest vector stays; NULL keys take no part.
+    Vectors that are NULL, zero or hold NULL or non-finite components take no
+    part; any other does, however large or small.  Of rows with the same key
+    the smallest vector stays; NULL keys take no part.
     """
     rows = vectors.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_vector"))
     rows = rows.filter(F.col("_id").isNotNull() & usable(F.col("_vector"))).groupBy("_id").agg(F.min("_vector").alias("_vector"))
@@ -61,12 +68,14 @@ def best_of(found: pd.DataFrame, asked: pd.DataFrame, k: int, seed: int, width:
         return empty
     ids, x = found["_id"].to_numpy(), np.stack(found["_vector"].to_numpy())
     dim = x.shape[1]
+    x = x / np.abs(x).max(1, keepdims=True)  # cosines are the same, and no square overflows or vanishes
     norms = np.sqrt((x * x).sum(1))
     bits = np.unpackbits(np.frombuffer(b"".join(found["_code"]), np.uint8).reshape(len(found), -1), axis=1, count=dim)
     signs = (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
     fit = found["_fit"].to_numpy()
     error = width * np.sqrt(np.maximum(0, 1 - fit ** 2)) / fit / np.sqrt(max(1, dim - 1))
     qids, q = asked["_id"].to_numpy(), np.stack(asked["_vector"].to_numpy())
+    q = q / np.abs(q).max(1, keepdims=True)
     qnorms = np.sqrt((q * q).sum(1))
     turned = ((q / qnorms[:, None]) @ rotation(dim, seed).T).astype(np.float32)
     out = []
