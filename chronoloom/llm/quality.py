@@ -117,7 +117,9 @@ def score(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, key: str =
     per label: a bounded sample; a document with both labels counts as good.
     Every text of ``docs`` is read whole.  NULL counts as empty; empty texts
     get the score of their features.  Without labels of both kinds every score
-    is the threshold.  Repeated rows get equal scores.
+    is the threshold.  Repeated rows get equal scores; columns ``score`` and
+    ``predicted`` that ``docs`` has already are replaced, all others are kept.
+    An empty table gives an empty one.
     """
     sample = training_table(learn_from, labels, key, text, label, each)
     if sample["_label"].nunique() < 2:
