@@ -17,6 +17,8 @@ from chronoloom.session import stage
 #: SQL has no words for language models, fingerprints, flows and tokens.
 ORACLE_SQL = None
 ROW = "_row_of_stage"
+#: A text of so many bytes is in no language if no language's output is above this.
+REJECTED, ENOUGH = -0.25, 200
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -34,10 +36,19 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are in no language: NULL texts and texts without a letter."""
+    """Rejects documents that are in no language learned: NULL texts, texts without a letter, and texts of ``ENOUGH``
+    bytes for which the output of every language stays at ``REJECTED`` or below.
+
+    A text without any known n-gram gets about -0.5, one in a language learned
+    above 0; shorter texts have too few n-grams to be rejected for that.
+    Columns of ``docs`` are kept, whatever their names; an empty table gives an
+    empty one.
+    """
     held = (id_crc(F.col("doc_id")) % 4) == 2
-    judged = li.identify(docs, docs.filter(~held).select("text", "lang"))
-    return judged.filter(F.col("lang_pred") != li.UNKNOWN).select(*docs.columns)
+    judged = li.judged(docs, docs.filter(~held).select("text", "lang"), into="_of_language")
+    found = F.col("_of_language")
+    claimed = (found["margin"] > REJECTED) | (F.octet_length("text") < ENOUGH)
+    return judged.filter((found["lang_pred"] != li.UNKNOWN) & claimed).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
