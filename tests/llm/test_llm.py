@@ -116,14 +116,15 @@ def test_packing(spark, odd, none):
 
     path = qs.tokenizer_path()
     coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
-    got = pk.pack_documents(odd.filter("doc_id != 7 OR doc_id IS NULL"), path, keep_ids=True).toPandas()
-    assert len(got) == 8
-    for i, text, *_ in ODD:
-        if i != 7:
-            mine = got[got["doc_id"].isna() if i is None else got["doc_id"] == i]
-            ids = b"".join(mine.sort_values("piece")["ids"])
-            assert np.frombuffer(ids, "<u4").tolist() == coder.encode(text or "", add_special_tokens=False).ids + [0]
+    told = spark.createDataFrame([(20, "hello <|endoftext|> world"), (21, "<|endoftext|>" * 3 + "x")], "doc_id long, text string")
+    some = odd.select("doc_id", "text", F.lit(3).alias("length"), F.lit(4).alias("offset")).dropDuplicates(["doc_id"])
+    got = pk.pack_documents(some.unionByName(told, allowMissingColumns=True), path, keep_ids=True).toPandas()
+    for i, text in {i: t for i, t, *_ in ODD}.items() | {(20, "hello <|endoftext|> world"), (21, "<|endoftext|>" * 3 + "x")}:
+        mine = got[got["doc_id"].isna() if i is None else got["doc_id"] == i].sort_values("piece")
+        ids = coder.encode(text or "", add_special_tokens=False).ids + [0]
+        assert np.frombuffer(b"".join(mine["ids"]), "<u4").tolist() == ids
+        assert mine["ids_crc32"].tolist() == [zlib.crc32(x) for x in mine["ids"]]
+        assert mine["length"].tolist() == [len(ids) - 2048 * (len(mine) - 1)] + [2048] * (len(mine) - 1)
     full = pk.pack_documents(odd, path)
     table = full.toPandas().sort_values(["sequence_id", "offset"])
     for _, g in table.groupby("sequence_id"):
@@ -135,12 +136,13 @@ def test_chunks_are_whole_tokens():
     from tokenizers import Tokenizer
 
     path, rng = qs.tokenizer_path(), np.random.default_rng(5)
-    own, coder = pk.Coder(path), Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
+    own, plain, coder = pk.Coder(path), pk.Coder(path, plain=True), Tokenizer.from_file(path)
     parts = ["a", "the", " ", "  ", "\n", "\n\n", "\t", "'s", "é", "9", "!", "<|endoftext|>", "\0", "\xa0", "\x1c", "\x85", "한", " x"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(3000)]
-    for text, ids in zip(texts, own.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
+    for side in (own, plain):
+        coder.encode_special_tokens = side is plain
+        for text, ids in zip(texts, side.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
 
 
 def test_plan_packs_what_there_is():
@@ -205,6 +207,47 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in rows(li.identify(odd, none))} == {"und"}
 
 
+def test_language_learns_from_texts_not_copies(spark):
+    """A text repeated 200,000 times is one text of its language."""
+    copies = spark.range(200_000).select(F.lit("the weather is fine and they are here").alias("text"), F.lit("en").alias("lang"))
+    some = [(f"this is the {k} thing that they have with them", "en") for k in range(40)]
+    some += [(f"das ist die {k} Sache und sie haben es nicht", "de") for k in range(40)]
+    table = copies.union(spark.createDataFrame(some, "text string, lang string"))
+    sample = li.training_sample(table)
+    assert sample["lang"].value_counts().to_dict() == {"en": 41, "de": 40}
+    got = li.identify(spark.createDataFrame(some, "text string, lang string"), table).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+    first = li.training_sample(table, each=5)
+    assert first["lang"].value_counts().to_dict() == {"en": 5, "de": 5}
+    long = spark.createDataFrame([("a " * 5000 + "z q x", "en"), ("b", "de")], "text string, lang string")
+    codes = li.training_sample(long).set_index("lang")["codes"]["en"]
+    assert ord("q") in codes  # read to its end
+
+
+def test_results_beside_columns_of_their_names(spark):
+    """Names of results in the input: replaced in the result, kept by the stage of the pipeline."""
+    rows_ = [(k, "this is a text about nothing " * 9, "en", 7, "lp", "m", 8, 9) for k in range(30)]
+    table = spark.createDataFrame(rows_, "doc_id long, text string, lang string, score int, lang_pred string, margin string, predicted int, component_id int")
+    judged = li.identify(table, table)
+    assert sorted(judged.columns) == sorted(table.columns) and {r["lang_pred"] for r in judged.collect()} == {"en"}
+    kept = cp.language(spark, table, SF)
+    assert kept.columns == table.columns and {tuple(r)[3:] for r in kept.collect()} == {(7, "lp", "m", 8, 9)}
+    marks = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    scored = ql.score(table, table, marks)
+    assert sorted(scored.columns) == sorted(table.columns) and all(0 <= r["score"] <= 1 for r in scored.collect())
+    for work in (cp.exact_copies, cp.near_copies):
+        assert work(spark, table, SF).columns == table.columns
+
+
+def test_language_stage_rejects(spark):
+    """No letter, no known language, but never for being short."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    strange = [(-1, "Это русский текст о погоде и ни о чём другом. " * 8, None), (-2, "12 34", None), (-3, "Ja.", None), (-4, None, None),
+               (-5, "日本語のテキストです。" * 30, None)]
+    left = cp.language(spark, docs.union(spark.createDataFrame(strange, docs.schema)), SF)
+    assert {r["doc_id"] for r in left.collect() if r["doc_id"] < 0} == {-3} and left.count() >= 0.99 * docs.count()
+
+
 def test_quality(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -264,6 +307,27 @@ def test_nearest(spark):
     assert rq.search(table.limit(0), F.col("_id") % 50 == 0).collect() == []
 
 
+def test_nearest_of_extreme_vectors(spark):
+    """Neither squares that overflow nor squares that vanish take a vector out."""
+    base = [3.0, 4.0, 1.0]
+    data = [(0, base), (1, [x * 1e200 for x in base]), (2, [x * 1e-200 for x in base]), (3, [x * 1e3 for x in base]),
+            (4, [1e300, -1e300, 1e-300]), (5, [5e-324, 0.0, 0.0]), (50, [-x * 1e200 for x in base])]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(rq.search(table, F.col("_id") % 50 == 0, k=6).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 5, 4, 50] and [s for _, s in got[0]][:3] == pytest.approx([1, 1, 1])
+    assert len(got[50]) == 6 and got[50][-1][1] == pytest.approx(-1)
+    two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1e200, 1e200]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert rq.search(two, F.col("_id") % 2 == 0).count() == 6
+
+
+def test_nearest_breaks_ties_by_id(spark):
+    table = spark.createDataFrame([(k, [1.0, 1.0 if k < 9 else -1.0]) for k in range(12)], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in rq.search(table, F.col("_id") == 5).collect())
+    assert got == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+
+
 def links(prints, most=3):
     keys = sorted(prints)
     a = np.array([prints[k] for k in keys], np.uint64)
