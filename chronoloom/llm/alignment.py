@@ -2,9 +2,11 @@
 
 Every token points to its farthest-right overlapping token of the other side;
 doubling the pointers of a whole batch at once leads each token to the last one
-of its component, which names the group.  Links of all documents are counted
-in blocks of bounded size: a block knows its distinct pairs, only their counts
-are shuffled, and totals come back to the block.
+of its component, which names the group.  Both tokenizers end a token in front
+of a space that follows something else, so texts fall apart into chunks there;
+equal chunks are aligned once per worker.  Links of all documents are counted in
+blocks of bounded size: a block knows its chunks and id pairs, only counts of
+pairs are shuffled, and totals come back to the block.
 """
 
 from __future__ import annotations
@@ -18,16 +20,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronoloom.llm.packing import REMEMBERED, coder
+from chronoloom.llm.packing import SPACE, coder
 from chronoloom.session import stage
 
-#: Characters of a text that are aligned at once, and of texts whose links make a block.
-SEGMENT, BLOCK = 1 << 20, 1 << 22
-#: A run of spaces and the word after it.  Neither tokenizer has a token over the border before it.
-CHUNK = re.compile(" *[^ ]+| +$")
-BORDER = re.compile("(?<=[^ ])(?= )")
+#: Characters that are cut into chunks at once, chunks of a block (with repeats), chunks and links that a worker remembers.
+SEGMENT, BLOCK, REMEMBERED, LINKS = 1 << 20, 1 << 19, 400_000, 4_000_000
+#: Neither tokenizer has a token over this border, given that no piece has a space after another character.
+BORDER = re.compile(f"(?<=[^{SPACE}])(?= )")
+#: Where this is not found, the words between single spaces are the chunks.
+ODD = re.compile(f"[{SPACE}] | [{SPACE}]")
 
 _PIECES: dict[str, Pieces] = {}
+_CHUNKS: dict[tuple[str, str], Chunks] = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,12 +58,7 @@ class Spelling:
 
 
 class Pieces:
-    """A SentencePiece model with a memory of chunks.
-
-    Where no piece has a space after another character, text falls apart in
-    front of each run of spaces, and chunks are looked up one by one; other
-    models encode whole segments.
-    """
+    """A SentencePiece model and the bytes of its pieces."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -67,31 +66,16 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.spelling = Spelling({
-            k: bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode()
+            k: bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("\u2581", " ").encode()
             for k, p in enumerate(pieces)})
-        self.apart = not any(re.search("[^▁]▁", p) for p in pieces) and "▁" in pieces
-        self.space = np.array([pieces.index("▁")] if self.apart else [], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of texts that start with a space, the one which the model puts there itself."""
-        run = lambda parts: [np.array(x, "<u4").tobytes() for x in self.model.encode(parts, num_threads=1)]
-        if not self.apart:
-            return run([t[1:] for t in texts])
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        chunks = [CHUNK.findall(t) if "  " in t or t.endswith(" ") else [" " + w for w in t[1:].split(" ")] for t in texts]
-        new = []
-        for c in {c for each in chunks for c in each if c not in self.known}:
-            if c in self.older:
-                self.known[c] = self.older[c]
-            elif c == " ":
-                self.known[c] = self.space
-            else:
-                new.append(c)
-        self.known.update(zip(new, run([c[1:] for c in new])))
-        return [b"".join(map(self.known.__getitem__, each)) for each in chunks]
+        if any(re.search("[^\u2581]\u2581", p) for p in pieces) or "\u2581" not in pieces:
+            raise ValueError("a piece reaches over a space: texts cannot be cut there")
+        self.space = pieces.index("\u2581")
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that start with a space, the one which the model puts there itself."""
+        found = self.model.encode([t[1:] for t in texts], num_threads=1)
+        return [ids if t != " " else [self.space] for t, ids in zip(texts, found)]
 
 
 def pieces(path: str) -> Pieces:
@@ -100,16 +84,19 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def segments(text: str, most: int = SEGMENT) -> list[str]:
-    """Space+text, cut in front of spaces that follow something else."""
-    text, out, at = " " + text, [], 0
-    while len(text) - at > most:
-        border = BORDER.search(text, at + most)
-        if not border:
-            break
-        out.append(text[at:border.end()])
-        at = border.end()
-    return [*out, text[at:]]
+def words_of(text: str, most: int = SEGMENT) -> Iterator[list[str]]:
+    """Chunks of space+text, some at a time.  A chunk that is a space and a word is given as the word, others start
+    with the space."""
+    text, at = " " + text, 0
+    while at < len(text):
+        border = BORDER.search(text, at + most) if len(text) - at > most else None
+        end = border.end() if border else len(text)
+        part = text[at:end]
+        at = end
+        if ODD.search(part) or part[-1] == " ":
+            yield [c[1:] if c[1:] and not c[1:2].isspace() else c for c in BORDER.split(part)]
+        else:
+            yield part[1:].split(" ")
 
 
 def terminals(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +146,7 @@ class Aligned:
         ends_b = np.append(self.b_group[1:] != self.b_group[:-1], True)[:m]
         code[at_a] = np.where(ends_a, 1, 0) + 3 * self.a
         code[at_b] = np.where(ends_b, 2, 0) + 3 * self.b
+        self.code = code
         return list(map(name.__getitem__, code.tolist()))
 
 
@@ -167,110 +155,172 @@ def names_of(ids: int) -> list[bytes]:
     return [b"%d%s" % (k, end) for k in range(ids) for end in (b",", b"|", b";")]
 
 
+class Chunks:
+    """Chunks met so far: how both sides write them, aligned when first seen."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.side_a, self.side_b = coder(path_a, True).coder, pieces(path_b)
+        alphabet = byte_alphabet()
+        self.spelt = Spelling({k: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
+                               for t, k in self.side_a.get_vocab().items()})
+        self.name = names_of(max(len(self.spelt.length), len(self.side_b.spelling.length)))
+        self.name_length = np.array([len(w) for w in self.name])
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.text: list[bytes] = []
+        self.sizes = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links; all 0 where the sides differ
+        self.start = np.zeros(0, np.int64)
+        self.links = np.zeros(0, np.int64)
+
+    def spelt_alike(self, parts: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For chunks that are encoded as one text: tokens of A and of B, and chunks that both sides spell as they are.
+
+        Where a text comes out otherwise, or a token reaches over a chunk's end, its halves are tried.
+        """
+        texts = ["".join(part) for part in parts]
+        sides = zip(self.side_a.encode_batch_fast(texts, add_special_tokens=False), self.side_b.encode(texts))
+        for part, text, (a, b) in zip(parts, texts, sides):
+            raw = text.encode()
+            a, b = np.array(a.ids, np.int64), np.array(b, np.int64)
+            ends = np.cumsum([len(c.encode()) for c in part])
+            if all(side.joined(ids) == raw and np.isin(ends, np.cumsum(side.length[ids])).all()
+                   for side, ids in ((self.spelt, a), (self.side_b.spelling, b))):
+                yield a, b, np.ones(len(part), bool)
+            elif len(part) == 1:
+                yield a[:0], b[:0], np.zeros(1, bool)
+            else:
+                yield from self.spelt_alike([part[:len(part) // 2], part[len(part) // 2:]])
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes chunks, many as one text, and aligns them all in one batch of pointers."""
+        last = [c for c in new if c[-1:].isspace()]  # what follows would change how a text ends
+        rest = [c for c in new if not c[-1:].isspace()]
+        new = rest + last
+        full = [c if c[:1] == " " else " " + c for c in new]
+        parts = [full[at:at + 1000] for at in range(0, len(rest), 1000)]
+        if parts:
+            parts[-1] = parts[-1][:len(rest) - 1000 * (len(parts) - 1)]
+        a, b, good = (np.concatenate(x) for x in zip(*self.spelt_alike(parts + [[c] for c in full[len(rest):]])))
+        sizes = np.zeros((len(new), 4), np.int64)
+        texts = [b""] * len(new)
+        links = np.zeros(0, np.int64)
+        if len(a):
+            a_len, b_len = self.spelt.length[a], self.side_b.spelling.length[b]
+            both = Aligned(a, b, a_len, b_len)
+            ends = np.cumsum([len(c.encode()) for c, ok in zip(full, good) if ok])
+            to_a, to_b = np.searchsorted(np.cumsum(a_len), ends) + 1, np.searchsorted(np.cumsum(b_len), ends) + 1
+            upto = np.stack([to_a, to_b, both.b_group[to_b - 1] + 1, np.cumsum(both.per_a)[to_a - 1]], 1)
+            sizes[good] = np.diff(upto, axis=0, prepend=0)
+            written = b"".join(both.written(self.name))
+            cuts = np.cumsum(self.name_length[both.code])[to_a + to_b - 1].tolist()
+            for k, lo, hi in zip(np.flatnonzero(good).tolist(), [0, *cuts], cuts):
+                texts[k] = written[lo:hi - 1]
+            links = both.links
+        self.index.update(zip(new, range(len(self.text), len(self.text) + len(new))))
+        self.text += texts
+        self.start = np.append(self.start, len(self.links) + np.cumsum(sizes[:, 3]) - sizes[:, 3])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.links = np.concatenate([self.links, links])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+
+    def block(self, number: int, parts: list[tuple[int, np.ndarray]]) -> dict[str, object]:
+        """Columns of a block: its pairs with counts, the pairs of its chunks, the chunks of its documents."""
+        used, place, count = np.unique(np.concatenate([x for _, x in parts]), return_inverse=True, return_counts=True)
+        size = self.sizes[used, 3]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        pairs, at = np.unique(self.links[np.repeat(self.start[used], size) + inside], return_inverse=True)
+        small = lambda x, n: x.astype(np.uint16 if n <= 1 << 16 else np.uint32).tobytes()
+        return {"_block": number, "_pairs": pairs, "_counts": np.bincount(at, np.repeat(count, size), len(pairs)).astype(np.int64),
+                "_links": small(at, len(pairs)), "_link_ends": np.cumsum(size), "_places": small(place, len(used)),
+                "_rows": np.array([k for k, _ in parts]), "_ends": np.cumsum([len(x) for _, x in parts])}
+
+
+def chunks_of(path_a: str, path_b: str) -> Chunks:
+    """One memory per worker and pair of files; tasks that follow each other share it."""
+    if (path_a, path_b) not in _CHUNKS:
+        _CHUNKS[path_a, path_b] = Chunks(path_a, path_b)
+    return _CHUNKS[path_a, path_b]
+
+
+LONGS, BYTES = pa.list_(pa.int64()), pa.binary()
+FIELDS = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
+          ("groups_sha256", pa.string()), ("_row", pa.int64()), ("_block", pa.int64()), ("_pairs", LONGS), ("_counts", LONGS),
+          ("_links", BYTES), ("_link_ends", LONGS), ("_places", BYTES), ("_rows", LONGS), ("_ends", LONGS)]
+
+
 def aligned(docs: DataFrame, path_a: str, path_b: str, key: str, text: str) -> DataFrame:
-    """Rows of two kinds: documents (``_block`` NULL), and blocks of links.
+    """Rows of two kinds: documents (``_block`` NULL), and blocks of chunks that documents consist of."""
+    segment, most = SEGMENT, BLOCK
 
-    A block holds its distinct id pairs with counts, and per document the
-    places of its links among them.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own = TaskContext.get().partitionId() << 33
-        side_a, side_b = coder(path_a, True), pieces(path_b)
-        alphabet = byte_alphabet()
-        spelt = Spelling({k: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
-                          for t, k in side_a.coder.get_vocab().items()})
-        name = names_of(max(len(spelt.length), len(side_b.spelling.length)))
-        row = block = 0
-
-        def encoded(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-            found = []
-            for t, a, b in zip(texts, side_a.encode(texts), side_b.encode(texts)):
-                a, b = np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)
-                raw = t.encode()
-                found.append((a, b) if spelt.joined(a) == raw and side_b.spelling.joined(b) == raw else None)
-            return found
+        chunks, row, number = chunks_of(path_a, path_b), own, own
+        kind = None
+        held: list[tuple[int, np.ndarray]] = []
+        filled = 0
+
+        def table(keys: pa.Array, columns: dict[str, object]) -> pa.RecordBatch:
+            arrays = [columns[c] if c in columns else pa.nulls(len(keys), t) for c, t in FIELDS]
+            return pa.RecordBatch.from_arrays([keys, *arrays], names=["_key", *[c for c, _ in FIELDS]])
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, filled, number
+            columns = chunks.block(number, held)
+            held, filled, number = [], 0, number + 1
+            return table(pa.nulls(1, kind), {c: pa.array([columns[c]], t) for c, t in FIELDS if c in columns})
 
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            sums = np.zeros((batch.num_rows, 4), np.int64)
-            digests = [""] * batch.num_rows
-            at = 0
-            while at < batch.num_rows:
-                # documents of about BLOCK characters, or one that is longer
-                chosen, size = [], 0
-                while at < batch.num_rows and (not chosen or size < BLOCK):
-                    value = texts[at].as_py() or ""
-                    if value and chosen and size + len(value) > 2 * BLOCK:
-                        break
-                    if value:
-                        chosen.append((at, segments(value)))
-                        size += len(value)
-                    at += 1
-                flat = [(k, s) for k, each in chosen for s in each]
-                ids = []
-                for lo in range(0, len(flat), 4096):
-                    ids += encoded([s for _, s in flat[lo:lo + 4096]])
-                bad = {k for (k, _), x in zip(flat, ids) if x is None}
-                good = [(k, x) for (k, _), x in zip(flat, ids) if k not in bad]
-                del flat, ids
-                hashes: dict[int, object] = {}
-                lo = 0
-                while lo < len(good):
-                    hi, tokens = lo, 0
-                    while hi < len(good) and tokens < BLOCK // 2:
-                        tokens += len(good[hi][1][0])
-                        hi += 1
-                    part, lo = good[lo:hi], hi
-                    a = np.concatenate([x[0] for _, x in part])
-                    b = np.concatenate([x[1] for _, x in part])
-                    both = Aligned(a, b, spelt.length[a], side_b.spelling.length[b])
-                    words = both.written(name)
-                    n_a = np.cumsum([len(x[0]) for _, x in part])
-                    n_b = np.cumsum([len(x[1]) for _, x in part])
-                    n_links = np.concatenate([[0], np.cumsum(both.per_a)])[n_a]
-                    n_groups = both.b_group[n_b - 1] + 1
-                    before = np.zeros(4, np.int64)
-                    for j, (k, _) in enumerate(part):
-                        now = np.array([n_a[j], n_b[j], n_groups[j], n_links[j]])
-                        digest = hashes.get(k)
-                        if digest is None:
-                            digest = hashes[k] = [hashlib.sha256(), b""]
-                        said = b"".join(words[before[0] + before[1]:now[0] + now[1]])
-                        digest[0].update(digest[1] + said[:-1])
-                        digest[1] = said[-1:]
-                        sums[k] += now - before
-                        before = now
-                    pairs, place = np.unique(both.links, return_inverse=True)
-                    small = np.uint16 if len(pairs) <= 1 << 16 else np.uint32
-                    yield pa.RecordBatch.from_arrays([
-                        pa.nulls(1, keys.type), pa.nulls(1, pa.int64()),
-                        *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.string()),
-                        pa.array([own + block]), pa.array([pairs], pa.list_(pa.int64())),
-                        pa.array([np.bincount(place, minlength=len(pairs))], pa.list_(pa.int64())),
-                        pa.array([place.astype(small).tobytes()], pa.binary()),
-                        pa.array([[own + row + k for k, _ in part]], pa.list_(pa.int64())),
-                        pa.array([n_links], pa.list_(pa.int64()))], names=FIELDS)
-                    block += 1
-                for k, (digest, _) in hashes.items():
+            kind = batch.column(0).type
+            lo = 0
+            while lo < batch.num_rows:
+                # as many documents as have about a segment's characters, or one that is longer
+                cut, size = [], 0
+                while lo + len(cut) < batch.num_rows and size < segment:
+                    value = batch.column(1)[lo + len(cut)].as_py() or ""
+                    cut.append(list(words_of(value, segment)) if value else [])
+                    size += len(value) + 64
+                part = batch.slice(lo, len(cut))
+                lo += len(cut)
+                new = set().union(*[words for each in cut for words in each]).difference(chunks.index)
+                if new:
+                    chunks.learn(list(new))
+                sizes, digests = np.zeros((part.num_rows, 4), np.int64), [""] * part.num_rows
+                for k, lists in enumerate(cut):
+                    ids = np.concatenate([np.zeros(0, np.int32), *map(chunks.numbers, lists)])
+                    each = chunks.sizes[ids]
+                    if not len(ids) or not each[:, 0].all():
+                        continue
+                    sizes[k] = each.sum(0)
+                    digest = hashlib.sha256()
+                    for at in range(0, len(ids), 1 << 16):
+                        digest.update(b";" * (at > 0) + b";".join(map(chunks.text.__getitem__, ids[at:at + (1 << 16)].tolist())))
                     digests[k] = digest.hexdigest()
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([
-                keys, pa.array(np.arange(own + row, own + row + n)), *[pa.array(sums[:, j]) for j in range(4)],
-                pa.array(digests), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.list_(pa.int64()))] * 2,
-                pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.list_(pa.int64()))] * 2], names=FIELDS)
-            row += n
+                    at = 0
+                    while at < len(ids):
+                        held.append((row + k, ids[at:at + most - filled]))
+                        at += len(held[-1][1])
+                        filled += len(held[-1][1])
+                        if filled >= most:
+                            yield flush()
+                if len(chunks.text) > REMEMBERED or len(chunks.links) > LINKS:
+                    if held:
+                        yield flush()
+                    chunks.forget()
+                yield table(part.column(0), {"groups_sha256": pa.array(digests), "_row": pa.array(np.arange(row, row + part.num_rows)),
+                                             **{c: pa.array(sizes[:, j]) for j, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}})
+                row += part.num_rows
+        if held:
+            yield flush()
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_key {kind}, _row long, n_a long, n_b long, n_groups long, n_links long, "
-                                "groups_sha256 string, _block long, _pairs array<long>, _counts array<long>, "
-                                "_places binary, _rows array<long>, _ends array<long>")
-
-
-FIELDS = ["_key", "_row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "_block", "_pairs", "_counts", "_places",
-          "_rows", "_ends"]
+    kinds = {pa.int64(): "long", pa.string(): "string", LONGS: "array<long>", BYTES: "binary"}
+    return rows.mapInArrow(run, ", ".join([f"_key {rows.schema['_key'].dataType.simpleString()}", *[f"{c} {kinds[t]}" for c, t in FIELDS]]))
 
 
 def pair_totals(blocks: DataFrame) -> DataFrame:
@@ -288,15 +338,18 @@ def document_sums(blocks: DataFrame, totals: DataFrame) -> DataFrame:
     values = held.join(totals, "_pair").select("_of", "_at", "_total", "_best")
 
     def sums(own: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(values), np.int64)
-        best = np.zeros(len(values), np.int64)
-        total[values["_at"]], best[values["_at"]] = values["_total"], values["_best"]
-        raw, ends = own["_places"].iloc[0], np.asarray(own["_ends"].iloc[0], np.int64)
-        place = np.frombuffer(raw, np.uint16 if len(values) <= 1 << 16 else np.uint32)
-        upto = lambda x: np.concatenate([[0], np.cumsum(x[place])])[np.concatenate([[0], ends])]
-        return pd.DataFrame({"_row": own["_rows"].iloc[0], "n_best": np.diff(upto(best)), "count_sum": np.diff(upto(total))})
-
-    parts = (blocks.select("_block", "_places", "_rows", "_ends").groupBy("_block").cogroup(values.groupBy("_of"))
+        own, at = own.iloc[0], values["_at"].to_numpy()
+        read = lambda raw, n: np.frombuffer(raw, np.uint16 if n <= 1 << 16 else np.uint32)
+        upto = lambda x, ends: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.asarray(ends, np.int64)])])
+        links, places = read(own["_links"], len(values)), read(own["_places"], len(own["_link_ends"]))
+        out = {"_row": own["_rows"]}
+        for name, column in (("n_best", "_best"), ("count_sum", "_total")):
+            worth = np.zeros(len(values), np.int64)
+            worth[at] = values[column]
+            out[name] = upto(upto(worth[links], own["_link_ends"])[places], own["_ends"])
+        return pd.DataFrame(out)
+
+    parts = (blocks.select("_block", "_links", "_link_ends", "_places", "_rows", "_ends").groupBy("_block").cogroup(values.groupBy("_of"))
              .applyInPandas(sums, "_row long, n_best long, count_sum long"))
     return parts.groupBy("_row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
@@ -313,8 +366,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
     ``groups_sha256`` hashes ``a1,a2|b1;a3|b2,b3``.
 
     NULL and empty texts, and those that a side spells otherwise, have no
-    tokens: zeros and an empty string.  Long texts are aligned in segments and
-    fall to several blocks.  Repeated rows each give a row and count each time;
+    tokens: zeros and an empty string.  Long texts fall to several blocks.  Repeated rows each give a row and count each time;
     NULL keys are kept; further columns are ignored, whatever their names; an
     empty table gives an empty one.
     """
