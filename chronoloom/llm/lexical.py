@@ -226,10 +226,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, key: str = "doc_id",
     asked = asked.withColumn("_block", F.pmod(F.xxhash64("_text", "_id"), F.lit(blocks)))
     found = None
     for b in range(blocks):
-        own = asked.filter(F.col("_block") == b).select("_id", "_text").toPandas()
-        if own.empty:
+        own = asked.filter(F.col("_block") == b).select("_id", "_text").collect()  # bounded by the block
+        if not own:
             continue
-        part = Block.of([bytes(t) for t in own["_text"]])
+        part = Block.of([bytes(r["_text"]) for r in own])
         rows = stage(counted(docs, part, key, text))
         n, total = rows.agg(F.count("*"), F.sum("_n")).first()
         if not n:
@@ -240,8 +240,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, key: str = "doc_id",
                            for v in range(len(part.words))] + [0], np.int64)
         weighted = layers(part.item, part.term, part.count * weight[part.term])
         best = ranked(rows, part, weighted, n, total, k)
-        names = spark.createDataFrame([(i, v) for i, v in enumerate(own["_id"].astype(object).where(own["_id"].notna(), None))],
-                                      f"_item long, {item_key} {kind.simpleString()}")
+        names = spark.createDataFrame([(i, r["_id"]) for i, r in enumerate(own)], f"_item long, {item_key} {kind.simpleString()}")
         window = Window.partitionBy("_item").orderBy(F.desc("_score"), F.asc_nulls_last("_key"))
         first = (best.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
                  .join(names, "_item").select(item_key, "rank", F.col("_key").alias(key), F.col("_score").alias("score")))
