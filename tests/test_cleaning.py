@@ -19,24 +19,67 @@ def in_order(df, column="v"):
     return [r[column] for r in df.orderBy("t").collect()]
 
 
-@pytest.mark.parametrize("accuracy", [20, 50, 10_000])
-def test_quantiles_equal_numpy(spark, accuracy):
+@pytest.mark.parametrize("few", [1, 50, 10_000])
+def test_quantiles_equal_numpy(spark, few):
     rng = np.random.default_rng(0)
     groups = {"wide": rng.normal(0, 100, 3000), "ties": rng.integers(0, 5, 2000).astype(float), "one": np.array([4.0]),
-              "skew": rng.exponential(5, 2500), "two": np.array([1.0, 2.0])}
+              "skew": rng.exponential(5, 2500), "two": np.array([1.0, 2.0]), None: rng.normal(1e-300, 1e-301, 50),
+              "tiny": np.array([5e-324, -5e-324, 1e-310, 0.0, -0.0, 2.0 ** -1022]), "near": 1.0 + np.arange(300) * 2.0 ** -52,
+              "signs": np.array([-1.0, 1.0, -2.0, 2.0, -0.5, 0.5, 1e308, -1e308, 1024.0, 1023.9999999999999])}
     data = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("wide", None), ("wide", float("nan")), ("none", None)]
     df = spark.createDataFrame(data, "g string, v double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
     names = [f"q{i}" for i in range(len(probs))]
-    got = {r.g: r for r in quantiles.exact_quantiles(df, ["g"], "v", probs, names, accuracy).collect()}
+    got = {r.g: r for r in quantiles.exact_quantiles(df, ["g"], "v", probs, names, few).collect()}
     assert set(got) == set(groups)
     for g, vs in groups.items():
         for n, p in zip(names, probs):
-            assert got[g][n] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-12), (g, p)
-    whole = quantiles.exact_quantiles(df, [], "v", [0.5], ["m"], accuracy).first().m
+            assert got[g][n] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-320), (g, p)
+    whole = quantiles.exact_quantiles(df, [], "v", [0.5], ["m"], few).first().m
     assert whole == pytest.approx(np.median(np.concatenate(list(groups.values()))))
 
 
+def test_order_key_is_the_order_of_doubles(spark):
+    """Any bits but NaN: the key sorts as the value and gives it back exactly."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-(1 << 63), 1 << 63, 4000).view(np.float64)
+    v = np.concatenate([v[~np.isnan(v)], 2.0 ** np.arange(-1074, 1024), -np.nextafter(2.0 ** np.arange(-1022, 1024), 0),
+                        [np.inf, -np.inf, 0.0, -0.0, 5e-324, np.finfo(float).max]])
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    got = df.select("v", quantiles.order_key(F.col("v")).alias("k")).withColumn("back", quantiles.value_of(F.col("k"))).toPandas()
+    assert (got["back"] == got["v"]).all()
+    size = np.abs(got["v"].to_numpy()).view(np.int64)
+    assert (got["k"] == np.where(got["v"] < 0, -size, size)).all()
+
+
+def test_quantiles_spread_a_hot_group(spark, monkeypatch):
+    """Rows of a group that holds nearly all, half of them one value, do not meet in one task before they are counted."""
+    seen = []
+    join = quantiles.join_one
+
+    def watched(rows, table, on, size, sizes):
+        out = join(rows, table, on, size, rows_each=500, sizes=sizes)
+        seen.append(out.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first())
+        return out
+
+    monkeypatch.setattr(quantiles, "join_one", watched)
+    df = spark.range(40_000).select(F.when(F.col("id") < 39_000, "hot").otherwise(F.col("id").cast("string")).alias("g"),
+                                    F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.sqrt("id") + 1.0).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = quantiles.exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.9], ["a", "b", "c"], few=100).where("g = 'hot'").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    i = np.arange(39_000)
+    assert [got.a, got.b, got.c] == pytest.approx(np.quantile(np.where(i % 2 == 0, 7.0, np.sqrt(i) + 1), [0.25, 0.5, 0.9]))
+    assert all(most < 0.2 * total or total < 1000 for most, total in seen) and len(seen) > 1
+
+
 def test_scalar_functions(spark):
     df = spark.createDataFrame([("\x01 12.5\x7f", 2.5, 1e308), ("abc", -1.0, 0.0), ("NaN", 0.125, 1.0)], "s string, v double, w double")
     rows = df.select(scalars.to_number(scalars.strip_control("s")).alias("n"), scalars.round_to("v", 0).alias("r"),
