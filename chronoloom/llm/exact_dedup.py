@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from chronoloom.llm.skew import join_one
+from chronoloom.operators.skew import join_one
 from chronoloom.llm.text import ascii_lower
 from chronoloom.session import stage
 

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.llm import alignment as al, jaccard as jc, lexical as lx, queries as qs, skew
+from chronoloom.llm import alignment as al, jaccard as jc, lexical as lx, queries as qs
+from chronoloom.operators import skew
 from check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
