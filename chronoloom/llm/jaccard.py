@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoloom.llm.simhash_trie import components
-from chronoloom.llm.skew import join_one
+from chronoloom.operators.skew import join_one
 from chronoloom.session import stage
 
 #: Cells of the table that tells common n-grams; any table gives right results, it only orders columns.
@@ -41,8 +41,8 @@ def grams(text: bytes, n: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, joined, repeat(7)), np.uint64, len(words) - n + 1))
 
 
-def cell_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(40)).astype(np.int64) % CELLS
+def cell_of(tokens: np.ndarray, cells: int) -> np.ndarray:
+    return (tokens >> np.uint64(40)).astype(np.int64) % cells
 
 
 def least_size(percent: int) -> int:
@@ -70,17 +70,19 @@ def binary_text(docs: DataFrame, text: str) -> Column:
 
 def common_cells(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     """In how many documents each cell's n-grams are: a table of fixed size, counted over all rows."""
+    cells = CELLS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(CELLS, np.int64)
+        own = np.zeros(cells, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                own += np.bincount(cell_of(grams(value.as_py() or b"", shingle)), minlength=CELLS) if value.is_valid else 0
+                np.add.at(own, cell_of(grams(value.as_py() or b"", shingle), cells), 1)
         there = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(own[there])], names=["_cell", "_n"])
 
     found = docs.select(binary_text(docs, text)).mapInArrow(run, "_cell int, _n long").groupBy("_cell").agg(F.sum("_n").alias("_n"))
-    table = np.zeros(CELLS, np.int64)
-    for r in found.collect():  # CELLS rows at most
+    table = np.zeros(cells, np.int64)
+    for r in found.collect():  # one row per cell at most
         table[r["_cell"]] = r["_n"]
     return table
 
@@ -110,7 +112,7 @@ def sets(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> Da
                     first.append([])
                     centre.append(0)
                     continue
-                cells = cell_of(own)
+                cells = cell_of(own, len(count))
                 k = prefix_of(len(own), percent)
                 order = np.lexsort((own, count[cells]))[:k]
                 odd.append(parity(own))
