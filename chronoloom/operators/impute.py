@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from chronoloom.functions.calendar import micros
 from chronoloom.functions.scalars import clip
-from chronoloom.operators.scalers import with_stats
-from chronoloom.operators.spline import spline_pieces, with_spline
+from chronoloom.operators.spline import BLOCK, spline_curvatures, with_curvatures, with_spline
 from chronoloom.operators.timeaxis import CHUNK, valid_neighbours
+from chronoloom.session import stage
 
 MIN_FOR_SPLINE = 4
 MIN_FOR_LINE = 2
@@ -52,7 +52,7 @@ def fill_both_ways(long: DataFrame, keys: Sequence[str], pos: str, value: str, c
 
 def fill_chain(
     long: DataFrame, config: DataFrame, keys: Sequence[str], pos: str, value: str = "value", column: str = "indicator",
-    ts: str | None = None, sparse: str = "skip", chunk: int = CHUNK,
+    ts: str | None = None, sparse: str = "skip", chunk: int = BLOCK,
 ) -> DataFrame:
     """IMP3/IMP1/IMP2, then IMP4, then PRJ12, per configured column with gaps (IMP7).
 
@@ -66,18 +66,20 @@ def fill_chain(
     axis = micros(ts) if ts else F.col(pos)
     facts = long.groupBy(*keys).agg(F.count(value).alias("_valid"), F.count_if(F.col(value).isNull()).alias("_gaps"))
     bounds = config.select(F.col("indicator").alias(column), "min_val", "max_val", "interpolation")
-    facts = facts.join(bounds, column, "left")
+    facts = stage(facts.join(bounds, column, "left"))
     active = F.col("min_val").isNotNull() & (F.col("_gaps") > 0)
     cubic = facts.where(active & (F.col("interpolation") == "cubic") & (F.col("_valid") >= MIN_FOR_SPLINE))
     work = long.withColumn("axis", axis.cast("double"))
-    pieces = spline_pieces(work, keys, pos, "axis", value, cubic.select(*keys, F.col("_valid").alias("_total")), chunk=chunk)
-    out = valid_neighbours(work, keys, pos, value, chunk, extra=["axis"])
-    out = with_spline(out, pieces, keys, pos, "axis", value, "_spline")
-    out = with_stats(out, facts, keys)
+    knots, ends = spline_curvatures(work, keys, pos, "axis", value, cubic.select(*keys), chunk)
+    work = with_curvatures(work, knots, keys, pos)
+    of_series = facts.join(ends, list(keys), "left").withColumn("_cubic", F.col("_left").isNotNull())
+    out = valid_neighbours(work, keys, pos, value, chunk, extra=["axis", "_m"], series=of_series)
     nearest = F.coalesce(F.col("prev.value"), F.col("next.value"))
-    filled = F.coalesce(F.col(value), F.col("_spline"), _line(F.col("axis")), nearest)
-    result = F.when(active & (F.col("_valid") >= MIN_FOR_LINE), clip(filled, F.col("min_val"), F.col("max_val")))
+    out = with_spline(out, "axis", value, "_spline")
+    spline = F.when(F.col("_cubic"), F.col("_spline"))
+    out = out.withColumn("_filled", F.coalesce(F.col(value), spline, _line(F.col("axis")), nearest))
+    result = F.when(active & (F.col("_valid") >= MIN_FOR_LINE), clip("_filled", F.col("min_val"), F.col("max_val")))
     if sparse == "fill":
         result = result.when(active, F.coalesce(F.col(value), nearest))
     return out.withColumn(value, result.otherwise(F.col(value))).drop(
-        *NEIGHBOURS, "axis", "_valid", "_gaps", "_spline", "min_val", "max_val", "interpolation")
+        *NEIGHBOURS, "axis", "_m", "_spline", "_filled", "_left", "_right", "_cubic", "_valid", "_gaps", "min_val", "max_val", "interpolation")

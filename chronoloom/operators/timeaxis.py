@@ -106,15 +106,20 @@ def reindex(df: DataFrame, keys: Sequence[str], pos: str, name: str, chunk: int
 
 
 def valid_neighbours(
-    df: DataFrame, keys: Sequence[str], pos: str, value: str, chunk: int | None = CHUNK, extra: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, chunk: int | None = CHUNK, extra: Sequence[str] = (),
+    series: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``prev`` and ``next``: the nearest non-NULL value at or before / after.
 
     Each is a struct ``(pos, value, *extra)``; a valid row is its own neighbour.
-    ``series_first`` and ``series_last`` are the ends of the series.
+    ``series_first`` and ``series_last`` are the ends of the series.  ``series``
+    has one row per series, whose columns are added too: they come to the rows
+    by their chunk, so rows are never dealt out by the series alone.
     """
     point = F.struct(F.col(pos).alias("pos"), F.col(value).alias("value"), *[F.col(c) for c in extra])
-    work = in_chunks(df, pos, chunk).withColumn(
+    # an exchange on the whole key: one that the input already has on the series
+    # would satisfy the windows below and leave a series in one task
+    work = in_chunks(df, pos, chunk).repartition(*_series(keys), "_chunk").withColumn(
         "_point", F.when(F.col(value).isNotNull(), point))
     # plain columns instead of structs keep this a hash aggregation
     at = F.when(F.col(value).isNotNull(), F.col(pos))
@@ -128,14 +133,16 @@ def valid_neighbours(
                          *[F.col(f"{side}_{c}").alias(c) for c in extra])
         return F.when(F.col(side).isNotNull(), whole)
 
-    series = Window.partitionBy(*_series(keys)).orderBy("_chunk")
+    along = Window.partitionBy(*_series(keys)).orderBy("_chunk")
     whole_series = Window.partitionBy(*_series(keys))
     carry = ends.select(
         *keys, "_chunk",
-        F.last(end("_last"), True).over(series.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_prev"),
-        F.first(end("_first"), True).over(series.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_next"),
+        F.last(end("_last"), True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_prev"),
+        F.first(end("_first"), True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_next"),
         F.min("_lo").over(whole_series).alias("series_first"), F.max("_hi").over(whole_series).alias("series_last"),
     )
+    if series is not None:
+        carry = carry.join(series, list(keys), "left")
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     back = inside.rowsBetween(Window.unboundedPreceding, 0)
     # the following side runs as a preceding frame over the reversed order, which

@@ -141,3 +141,43 @@ forecast AS (
   FROM history a CROSS JOIN (SELECT unnest(range({OUT_LEN})) AS h) h
   JOIN history m ON m.split = a.split AND m.node = a.node AND m.pos = a.pos - h.h
   WHERE a.pos - {IN_LEN} - h.h >= 0 AND a.pos - h.h + {OUT_LEN} <= a.len)"""
+
+
+def spline_sql(points: str) -> str:
+    """Common table expressions that solve the not-a-knot spline of each series of ``points(s, x, y)``.
+
+    They end in ``pieces(s, i, n, x0, y0, m0, x1, y1, m1)`` and need WITH RECURSIVE:
+    one step per knot forward, one back, for all series at once.
+    """
+    return f"""
+sp_k AS (SELECT s, x, y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM {points} WINDOW w AS (PARTITION BY s ORDER BY x)),
+sp_e AS MATERIALIZED (SELECT s, i, n, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(x) OVER w - x AS h,
+ (lead(y) OVER w - y) / (lead(x) OVER w - x) AS slope FROM sp_k WHERE n >= 4 WINDOW w AS (PARTITION BY s ORDER BY i)),
+sp_c AS (SELECT s, i, n, lag(h) OVER w AS hl, h AS hr, 6 * (slope - lag(slope) OVER w) AS rhs FROM sp_e WINDOW w AS (PARTITION BY s ORDER BY i)),
+sp_r AS MATERIALIZED (SELECT s, i, n, rhs, CASE WHEN i = 1 THEN 0 WHEN i = n - 2 THEN hl - hr * hr / hl ELSE hl END AS low,
+ 2 * (hl + hr) + CASE WHEN i = 1 THEN hl * (1 + hl / hr) WHEN i = n - 2 THEN hr * (1 + hr / hl) ELSE 0 END AS mid,
+ CASE WHEN i = n - 2 THEN 0 WHEN i = 1 THEN hr - hl * hl / hr ELSE hr END AS up FROM sp_c WHERE i BETWEEN 1 AND n - 2),
+sp_forward(s, i, n, g, d) AS (SELECT s, i, n, up / mid, rhs / mid FROM sp_r WHERE i = 1 UNION ALL
+ SELECT r.s, r.i, r.n, r.up / (r.mid - r.low * f.g), (r.rhs - r.low * f.d) / (r.mid - r.low * f.g)
+ FROM sp_forward f JOIN sp_r r ON r.s = f.s AND r.i = f.i + 1),
+sp_f AS MATERIALIZED (SELECT * FROM sp_forward),
+sp_back(s, i, m) AS (SELECT s, i, d FROM sp_f WHERE i = n - 2 UNION ALL
+ SELECT f.s, f.i, f.d - f.g * b.m FROM sp_back b JOIN sp_f f ON f.s = b.s AND f.i = b.i - 1),
+sp_b AS MATERIALIZED (SELECT * FROM sp_back),
+sp_m AS (SELECT * FROM sp_b UNION ALL
+ SELECT a.s, 0, (1 + a.h / b.h) * p.m - a.h / b.h * q.m FROM sp_e a JOIN sp_e b ON b.s = a.s AND b.i = 1
+ JOIN sp_b p ON p.s = a.s AND p.i = 1 JOIN sp_b q ON q.s = a.s AND q.i = 2 WHERE a.i = 0 UNION ALL
+ SELECT a.s, a.n - 1, (1 + a.h / b.h) * p.m - a.h / b.h * q.m FROM sp_e a JOIN sp_e b ON b.s = a.s AND b.i = a.n - 3
+ JOIN sp_b p ON p.s = a.s AND p.i = a.n - 2 JOIN sp_b q ON q.s = a.s AND q.i = a.n - 3 WHERE a.i = a.n - 2),
+pieces AS MATERIALIZED (SELECT e.s, e.i, e.n, e.x AS x0, e.y AS y0, a.m AS m0, x1, y1, b.m AS m1 FROM sp_e e
+ JOIN sp_m a ON a.s = e.s AND a.i = e.i JOIN sp_m b ON b.s = e.s AND b.i = e.i + 1 WHERE e.i < e.n - 1)"""
+
+
+def piece_on(series: str, at: str) -> str:
+    """Join condition of the piece of a series at ``at``; the outer ones reach on."""
+    return f"p.s = {series} AND ({at} >= p.x0 OR p.i = 0) AND ({at} < p.x1 OR p.i = p.n - 2)"
+
+
+def cubic_sql(at: str) -> str:
+    a, b, h = f"((p.x1 - {at}) / (p.x1 - p.x0))", f"(({at} - p.x0) / (p.x1 - p.x0))", "(p.x1 - p.x0)"
+    return f"({a} * p.y0 + {b} * p.y1 + (({a} * {a} * {a} - {a}) * p.m0 + ({b} * {b} * {b} - {b}) * p.m1) * {h} * {h} / 6)"

@@ -10,7 +10,7 @@ from chronoloom.operators.spline import spline_values
 from chronoloom.functions.calendar import micros
 from chronoloom.session import stage
 from chronoloom.plans.catalog import (
-    PANEL_SQL, TYPES_SQL, query, r6, sql_r6, table, type_panel, user_axis, user_panel,
+    PANEL_SQL, TYPES_SQL, cubic_sql, piece_on, query, r6, spline_sql, sql_r6, table, type_panel, user_axis, user_panel,
 )
 
 TRAIN = 0.7
@@ -254,9 +254,12 @@ def fill_both_ways(spark, sf_dir):
     return out.select("node", "t_idx", r6("value").alias("value"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PANEL_SQL},
+pts AS (SELECT node AS s, t_idx::DOUBLE AS x, value AS y FROM panel WHERE value IS NOT NULL), {spline_sql("pts")}
+SELECT v.node, v.t_idx, {sql_r6(f"coalesce(v.value, {cubic_sql('v.t_idx')})", 4)} AS value
+FROM panel v LEFT JOIN pieces p ON v.value IS NULL AND {piece_on("v.node", "v.t_idx")}""")
 def interpolate_cubic(spark, sf_dir):
-    """IMP3; checked against a dense solve in the tests, SQL has no spline."""
+    """IMP3; the twin solves the same system by recursion."""
     panel = stage(user_panel(spark, sf_dir).withColumn("_axis", F.col("t_idx").cast("double")))
     out = spline_values(panel, ["node"], "t_idx", "_axis", "value", "spline")
     return out.select("node", "t_idx", r6(F.coalesce("value", "spline"), 4).alias("value"))
@@ -317,13 +320,14 @@ def series_profile(spark, sf_dir):
 
 
 @query(f"""WITH cfg(indicator, lo, hi) AS ({SEGMENT_SQL}),
-raw AS (SELECT c_mktsegment AS indicator, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS v FROM customer)
+raw AS (SELECT c_mktsegment AS indicator, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS v, CAST(round(c_acctbal * 100) AS HUGEINT) AS cents FROM customer)
 SELECT indicator, count(*) AS total, count(*) FILTER (WHERE v IS NULL) AS missing, count(v) AS valid, {sql_r6('min(v)')} AS "min", {sql_r6('max(v)')} AS "max",
- {sql_r6('avg(v)')} AS mean, {sql_r6('stddev_samp(v)')} AS std, count(*) FILTER (WHERE v < lo OR v > hi) AS out_of_range,
+ ((sum(cents) FILTER (WHERE v IS NOT NULL) * 20000 + count(v)) // (2 * count(v)))::DOUBLE / 1e6 AS mean, {sql_r6('stddev_samp(v)')} AS std, count(*) FILTER (WHERE v < lo OR v > hi) AS out_of_range,
  {sql_r6('count(*) FILTER (WHERE v IS NULL) * 100.0 / count(*)')} AS missing_pct, count(*) FILTER (WHERE v < lo OR v > hi) = 0 AS in_range
 FROM raw JOIN cfg USING (indicator) GROUP BY indicator""")
 def quality_report(spark, sf_dir):
-    rows = sensor_text(spark, sf_dir).withColumn("value", outliers.parse_sensor_text("raw"))
+    """PR3 on cents: decimals are summed exactly, so a mean on a rounding tie is the same in every order."""
+    rows = sensor_text(spark, sf_dir).withColumn("value", outliers.parse_sensor_text("raw").cast("decimal(18,2)"))
     out = pf.quality_report(rows, segment_config(spark))
     return out.select("indicator", "total", "missing", "valid", *[r6(c).alias(c) for c in ("min", "max", "mean", "std")],
                       "out_of_range", r6("missing_pct").alias("missing_pct"), "in_range")

@@ -10,8 +10,8 @@ from chronoloom.operators import forecast as fc, impute, metrics as mt, models,
 from chronoloom.plans import cleaning as cl
 from chronoloom.session import stage
 from chronoloom.plans.catalog import (
-    FORECAST_SQL, IN_LEN, OUT_LEN, PANEL_SQL, PERIOD, RATIO, SAMPLES_SQL, STEP_US, bounds_sql, query, r6, sql_r6, table,
-    user_axis, user_forecast, user_panel, user_samples,
+    FORECAST_SQL, IN_LEN, OUT_LEN, PANEL_SQL, PERIOD, RATIO, SAMPLES_SQL, STEP_US, bounds_sql, cubic_sql, piece_on, query, r6,
+    spline_sql, sql_r6, table, user_axis, user_forecast, user_panel, user_samples,
 )
 
 FILLED_SQL = PANEL_SQL + """,
@@ -219,19 +219,52 @@ def clean_aggressive(spark, sf_dir):
     return out.select("station", "t_idx", "pos", "indicator", r6("value", 9).alias("value"))
 
 
-@query()
+SENSOR_KIND_SQL = "CASE WHEN indicator IN ('click', 'error', 'signup') THEN 'cubic' ELSE 'linear' END"
+
+
+def fill_sql(source: str, at: str, sparse: bool) -> str:
+    """Common table expressions that fill ``source(station, indicator, t_idx, <at>, value)`` as the chain does: ``done``."""
+    lone = "coalesce(value, pv, nv)" if sparse else "value"
+    return f"""
+kinds AS (SELECT *, {SENSOR_KIND_SQL} AS kind, station || '/' || indicator AS series, count(value) OVER w AS valid, count(*) OVER w AS n_all FROM {source}
+ WINDOW w AS (PARTITION BY station, indicator)),
+pts AS (SELECT series AS s, {at}::DOUBLE AS x, value AS y FROM kinds WHERE kind = 'cubic' AND value IS NOT NULL), {spline_sql("pts")},
+sides AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN {at} END) OVER (PARTITION BY series ORDER BY {at}) AS pa,
+ min(CASE WHEN value IS NOT NULL THEN {at} END) OVER (PARTITION BY series ORDER BY {at} DESC) AS na FROM kinds),
+near AS (SELECT s.*, a.value AS pv, b.value AS nv FROM sides s LEFT JOIN kinds a ON a.series = s.series AND a.{at} = s.pa
+ LEFT JOIN kinds b ON b.series = s.series AND b.{at} = s.na),
+done AS (SELECT station, indicator, t_idx, near.{at}, CASE WHEN value IS NOT NULL THEN CASE WHEN n_all > valid AND valid >= 2 THEN least(greatest(value, 0), 300) ELSE value END
+ WHEN valid >= 2 THEN least(greatest(coalesce({cubic_sql("near." + at)}, pv + (nv - pv) * (near.{at} - pa) / nullif(na - pa, 0), pv, nv), 0), 300)
+ ELSE {lone} END AS value
+ FROM near LEFT JOIN pieces p ON value IS NULL AND {piece_on("near.series", "near." + at)})"""
+
+
+def stations_sql(strategy: str) -> str:
+    """Rows a strategy keeps, without outliers: ``o(station, t_idx, indicator, pos, value)``."""
+    return f"""{SENSOR_SQL}, kept AS (SELECT s.*, z_limit FROM sensor s JOIN steps_kept k ON k.station = s.station AND k.t_idx = s.t_idx AND strategy = '{strategy}'),
+o AS (SELECT station, t_idx, indicator, row_number() OVER (PARTITION BY station, indicator ORDER BY t_idx) - 1 AS pos,
+ CASE WHEN count(value) OVER p >= 10 AND abs((value - avg(value) OVER p) / nullif(stddev_samp(value) OVER p, 0)) > z_limit THEN NULL ELSE value END AS value
+ FROM kept WINDOW p AS (PARTITION BY station, indicator))"""
+
+
+@query(f"""WITH RECURSIVE {stations_sql("segmented")}, {fill_sql("o", "pos", False)}
+SELECT station, t_idx, CAST(pos AS BIGINT) AS pos, indicator, {sql_r6("round(CAST(value AS DECIMAL(18, 9)), 4)", 4)} AS value FROM done""")
 def clean_segmented(spark, sf_dir):
-    """PIPE2 with interpolation; splines have no SQL twin."""
+    """PIPE2 with interpolation."""
     out = cl.clean_stations(sensor_panel(spark, sf_dir), sensor_config(spark), "segmented")
-    return out.select("station", "t_idx", "pos", "indicator", r6("value", 2).alias("value"))
+    return out.select("station", "t_idx", "pos", "indicator", r6("value", 4).alias("value"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SENSOR_SQL}, read AS (SELECT station, indicator, t_idx, CASE WHEN value > 0 THEN value END AS v FROM sensor),
+q AS (SELECT *, quantile_cont(v, 0.25) OVER w AS a, quantile_cont(v, 0.75) OVER w AS b, count(v) OVER w AS n FROM read WINDOW w AS (PARTITION BY station, indicator)),
+checked AS (SELECT station, indicator, t_idx, CASE WHEN n <= 10 THEN v WHEN v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a) OR v < 0 OR v > 300 THEN NULL ELSE v END AS value FROM q),
+{fill_sql("checked", "t_idx", True).replace("near.t_idx, CASE", "CASE", 1).replace("SELECT station, indicator, t_idx, CASE", "SELECT station, indicator, near.t_idx, CASE", 1)}
+SELECT station, t_idx, indicator, {sql_r6("round(CAST(value AS DECIMAL(18, 9)), 4)", 4)} AS value FROM done""")
 def clean_enhanced(spark, sf_dir):
-    """PIPE3 from raw text; splines have no SQL twin."""
+    """PIPE3 from raw text."""
     panel = sensor_panel(spark, sf_dir).withColumn("raw", F.concat(F.lit("\x02"), F.col("value").cast("string")))
     out = cl.enhanced_cleaning(panel.drop("value"), sensor_config(spark))
-    return out.select("station", "t_idx", "indicator", r6("value", 2).alias("value"))
+    return out.select("station", "t_idx", "indicator", r6("value", 4).alias("value"))
 
 
 @query(f"""WITH {FORECAST_SQL}, per AS (SELECT split, CAST(step AS VARCHAR) AS feature,

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom import settings
 from chronoloom.functions import scalars
 from chronoloom.operators import gaps, impute, knn, outliers, profile as pf, quantiles, scalers as sc
-from chronoloom.operators.spline import curvatures, spline_values
+from chronoloom.operators.spline import curvatures, spline_values, tridiagonal
 from chronoloom.plans import cleaning as cl
 
 
@@ -183,13 +185,71 @@ def test_spline_against_dense_solve(spark, n, keep):
     df = series(spark, v).withColumn("x", F.col("t").cast("double"))
     missing = np.flatnonzero(np.isnan(v))
     expected = dense_spline(known.astype(float), v[known], missing.astype(float))
-    # small blocks, so that a series spans many of them
-    for block, margin in ((8192, 72), (16, 60)):
-        got = {r.t: r.s for r in spline_values(df, ["series"], "t", "x", "v", "s", block=block, margin=margin, chunk=32).collect()}
+    # small blocks, so that a series spans many of them, some with a single knot, also at the ends
+    for block in (8192, 32, 5, 2, 1):
+        got = {r.t: r.s for r in spline_values(df, ["series"], "t", "x", "v", "s", block=block).collect()}
         assert [got[t] for t in missing] == pytest.approx(expected.tolist(), rel=1e-6, abs=1e-6)
         assert all(got[t] is None for t in known)
 
 
+def test_spline_of_many_series(spark):
+    """Series of every length together, NULL keys aside, one with repeated positions; microseconds as axis."""
+    rng = np.random.default_rng(5)
+    data, want = [], {}
+    for k in range(25):
+        n = int(rng.integers(4, 60))
+        x = np.cumsum(rng.integers(1, 9, n)) * 3_600_000_000.0 + 1.6e15
+        y = rng.normal(0, 1, n)
+        known = rng.random(n) < 0.6
+        known[:4] = True
+        data += [(f"s{k}", i, float(x[i]), float(y[i]) if known[i] else None) for i in range(n)]
+        if (~known).any():
+            scaled = (x - x[0]) / 3.6e9
+            want[f"s{k}"] = dict(zip(np.flatnonzero(~known).tolist(), dense_spline(scaled[known], y[known], scaled[~known]).tolist()))
+    data += [("twice", i, 1.0, 2.0) for i in range(6)] + [("twice", 6, 1.0, None)]
+    df = spark.createDataFrame(data, "series string, t long, x double, v double")
+    for block in (4, 1000):
+        rows = spline_values(df, ["series"], "t", "x", "v", "s", block=block).where("v IS NULL").collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r.series, {})[r.t] = r.s
+        assert got.pop("twice") == {6: None}
+        assert got.keys() == want.keys()
+        for name in want:
+            assert got[name] == pytest.approx(want[name], rel=1e-6, abs=1e-6)
+
+
+def test_tridiagonal_equals_dense():
+    rng = np.random.default_rng(2)
+    n = 700
+    low, up, mid = rng.normal(0, 1, n), rng.normal(0, 1, n), rng.uniform(2.5, 6, n) * rng.choice([-1, 1], n)
+    mid = np.sign(mid) * (np.abs(low) + np.abs(up) + 0.05)
+    low[0] = up[-1] = low[300] = up[299] = 0
+    rhs = rng.normal(0, 1, (n, 3))
+    full = np.diag(mid) + np.diag(up[:-1], 1) + np.diag(low[1:], -1)
+    assert tridiagonal(low, mid, up, rhs) == pytest.approx(np.linalg.solve(full, rhs), rel=1e-9, abs=1e-9)
+
+
+def test_spline_deals_rows_by_chunk(spark):
+    """With no broadcast the rows of a long series are exchanged by series and chunk or position, never by series alone."""
+    df = series(spark, [float(i % 7) if i % 3 else np.nan for i in range(3000)]).withColumn("x", F.col("t").cast("double"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        config = settings.indicator_config(spark)
+        rows = df.withColumn("indicator", F.lit("water_temp"))
+        plans = [spline_values(df, ["series"], "t", "x", "v", "s", block=100), impute.fill_chain(rows, config, ["series", "indicator"], "t", "v", chunk=100)]
+        for out in plans:
+            text = out._jdf.queryExecution().executedPlan().toString()
+            spread = [m for m in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)]
+            assert any("_chunk" in m for m in spread)
+            tasks = out.groupBy(F.spark_partition_id()).count().collect()
+            assert len(tasks) > 1 and max(r["count"] for r in tasks) < 2500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_spline_needs_four(spark):
     df = series(spark, [1.0, np.nan, 2.0, 5.0]).withColumn("x", F.col("t").cast("double"))
     assert in_order(spline_values(df, ["series"], "t", "x", "v", "s"), "s") == [None] * 4
@@ -197,7 +257,7 @@ def test_spline_needs_four(spark):
 
 def test_curvature_is_linear_for_a_cubic():
     x = np.array([0.0, 1.0, 2.5, 3.0, 7.0, 8.0])
-    assert curvatures(x, x**3, True, True) == pytest.approx(6 * x, abs=1e-9)
+    assert curvatures(x, x**3) == pytest.approx(6 * x, abs=1e-9)
 
 
 def test_fill_chain(spark):
