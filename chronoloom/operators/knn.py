@@ -1,12 +1,14 @@
 """Nearest-neighbour imputation with missing coordinates (IMP6, SCL14).
 
 The distance between two rows uses the coordinates both have, scaled up by the
-share that is missing.  Rows with the same pattern of missing coordinates and
-nearby values are packed into blocks.  Each block keeps a box around its rows,
-and from the boxes alone follows how near and how far any two rows of two blocks
-can be.  A block of incomplete rows then meets only the donor blocks that can
-hold one of its nearest neighbours; the rest is ruled out exactly, not
-approximately.  Only the k nearest of each block pair leave a task.
+share that is missing.  The rows of a station are put in an order that keeps
+rows with the same missing coordinates and nearby values together, and cut into
+leaves of bounded size.  Leaves are the bottom of a tree of boxes: a node knows
+the range of each coordinate among its rows, which coordinates any and all of
+them have, and how many they are.  From that follows how near and how far rows
+of two nodes can be.  A leaf of incomplete rows goes down the tree level by
+level and keeps the nodes that can hold one of its nearest neighbours; the rest
+is ruled out exactly, not approximately.  Only the k nearest leave a task.
 """
 
 from __future__ import annotations
@@ -17,171 +19,178 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chronoloom.operators.skew import join_one
 from chronoloom.session import stage
 
-BLOCK = 2_048
-MAX_BLOCKS = 16_384
-GRID_COLUMNS = 8
+#: Rows of a leaf, children of a node, leaves of a station that meet its top nodes in one task.
+BLOCK, FAN, ASKING = 2_048, 32, 256
 # distances are compared at this resolution, so that the order of additions
 # does not decide a tie; remaining ties go to the smaller row id
 DECIMALS = 9
 
 
-def _bits(columns: Sequence[Column]) -> Column:
-    out = F.lit(0).cast("long")
-    for j, c in enumerate(columns):
-        out = out + F.when(c.isNotNull(), F.lit(1 << j)).otherwise(F.lit(0))
-    return out
+def _order(z: Sequence[Column]) -> Column:
+    """Text that sorts rows: which coordinates are there, then their signs, then whether each is beyond one deviation.
 
-
-def _cell(columns: Sequence[Column]) -> Column:
-    """A coarse grid cell; coordinates are interleaved so that near cells are mostly near in number."""
-    out = F.lit(0).cast("long")
-    for threshold in ((0.0,), (-1.0, 1.0)):
-        for c in columns[:GRID_COLUMNS]:
-            if len(threshold) == 1:
-                bit = c >= threshold[0]
-            else:
-                bit = (c >= threshold[1]) | ((c < 0.0) & (c >= threshold[0]))
-            out = out * 2 + F.coalesce(bit, F.lit(False)).cast("long")
-    return out
+    Coordinates are interleaved, so that neighbours in this order are mostly near in all of them.
+    """
+    there = [F.when(c.isNotNull(), "1").otherwise("0") for c in z]
+    sign = [F.when(c >= 0.0, "1").otherwise("0") for c in z]
+    far = [F.when((c >= 1.0) | ((c < 0.0) & (c >= -1.0)), "1").otherwise("0") for c in z]
+    return F.concat(*there, *sign, *far)
 
 
 def standardised(df: DataFrame, station: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """SCL14: adds ``_z`` and returns the statistics, arrays in column order."""
-    stats = df.groupBy(*station).agg(
+    """SCL14: adds ``_z`` and returns the statistics, arrays in column order.  Rows of a large station are salted."""
+    stats = stage(df.groupBy(*station).agg(
         F.array(*[F.avg(c) for c in columns]).alias("_mean"),
         F.array(*[F.when(F.stddev_pop(c) == 0, F.lit(1.0)).otherwise(F.stddev_pop(c)) for c in columns]).alias("_std"),
-        F.count(F.lit(1)).alias("_rows"))
+        F.count(F.lit(1)).alias("_rows")))
     z = F.array(*[(F.col(c).cast("double") - F.col("_mean")[j]) / F.col("_std")[j] for j, c in enumerate(columns)])
-    return df.join(stats, list(station)).withColumn("_z", z), stats
-
+    return join_one(df, stats, list(station), "_rows").withColumn("_z", z), stats
 
-def pack_blocks(rows: DataFrame, station: Sequence[str], row: str, width: int, block: int, max_blocks: int) -> DataFrame:
-    """One row per block: ids, patterns, flat coordinates, and the box around them.
 
-    A station that fits into one block is one, whatever its patterns
-    (``_pattern`` -1); larger ones get blocks of a single pattern.
-    """
+def pack_leaves(rows: DataFrame, station: Sequence[str], row: str, width: int, block: int) -> DataFrame:
+    """One row per leaf: (station, leaf, ids, values flat with NaN for missing), of about ``block`` rows in order."""
     z = [F.col("_z")[j] for j in range(width)]
-    small = F.col("_rows") <= block
-    mask = _bits(z)
-    rows = rows.select(
-        *station, row, "_z", "_rows", mask.alias("_mask"),
-        F.when(small, F.lit(-1).cast("long")).otherwise(mask).alias("_pattern"),
-        F.when(small, F.lit(0).cast("long")).otherwise(_cell(z)).alias("_grid"))
-    pattern = [*station, "_pattern"]
-    cells = rows.groupBy(*pattern, "_grid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*pattern).orderBy("_grid").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    size = F.greatest(F.lit(block), F.ceil(F.col("_rows") / F.lit(max_blocks)))
+    rows = stage(rows.select(*station, row, "_z", _order(z).alias("_cell")))
+    cells = rows.groupBy(*station, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    # two steps, so that the cells of a station never meet in one task
+    cells = stage(cells.withColumn("_part", F.substring("_cell", 1, width + 8)))
+    parts = cells.groupBy(*station, "_part").agg(F.sum("_n").alias("_sum"))
+    before = lambda keys, at: Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_from", F.coalesce(F.sum("_sum").over(before(station, "_part")), F.lit(0))).drop("_sum")
+    inside = F.coalesce(F.sum("_n").over(before([*station, "_part"], "_cell")), F.lit(0))
+    cells = stage(cells.withColumn("_inside", inside).join(parts, [*station, "_part"]).select(
+        *station, "_cell", "_n", (F.col("_from") + F.col("_inside")).alias("_offset")))
+    placed = join_one(rows, cells, [*station, "_cell"], "_n")
     spot = F.col("_offset") + F.pmod(F.xxhash64(row), F.col("_n"))
-    placed = rows.join(cells, [*pattern, "_grid"]).withColumn("_block", F.floor(spot / size).cast("long"))
-    flat = F.flatten(F.transform("_list", lambda r: F.transform(r["_z"], lambda x: F.coalesce(x, F.lit(0.0)))))
-    return placed.groupBy(*pattern, "_block").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(row).alias("id"), "_mask", "_z"))).alias("_list"),
-        F.bit_and("_mask").alias("every"),
-        F.array(*[F.coalesce(F.min(c), F.lit(0.0)) for c in z]).alias("lo"),
-        F.array(*[F.coalesce(F.max(c), F.lit(0.0)) for c in z]).alias("hi"),
-    ).select(*pattern, "_block", "every", "lo", "hi", F.size("_list").alias("n"),
-             F.transform("_list", lambda r: r["id"]).alias("ids"), F.transform("_list", lambda r: r["_mask"]).alias("masks"),
-             flat.alias("values"))
-
-
-def candidate_pairs(blocks: DataFrame, station: Sequence[str], width: int, k: int) -> DataFrame:
-    """Block pairs that can hold a nearest neighbour, decided on boxes alone.
-
-    The boxes of a station are at most ``MAX_BLOCKS`` plus one per pattern, so
-    the list joined to each incomplete block is bounded.
-    """
-    box = F.struct("_pattern", "_block", "n", "lo", "hi")
-    full = (1 << width) - 1
-    # a station in one block can only meet itself
-    alone = blocks.where((F.col("_pattern") == -1) & (F.col("every") != full)).select(
-        *station, F.col("_pattern").alias("q_pattern"), F.col("_block").alias("q_block"),
-        F.col("_pattern").alias("d_pattern"), F.col("_block").alias("d_block"))
-    parted = blocks.where(F.col("_pattern") != -1)
-    boxes = parted.groupBy(*station).agg(F.collect_list(box).alias("_boxes"))
-    asking = parted.where(F.col("_pattern") != full).select(*station, "_pattern", "_block", "lo", "hi").join(boxes, list(station))
-    asking = asking.select(
-        *station, "_pattern", "_block", "lo", "hi",
-        F.col("_boxes._pattern").alias("d_mask"), F.col("_boxes._block").alias("d_block"), F.col("_boxes.n").alias("d_n"),
-        F.flatten(F.col("_boxes.lo")).alias("d_lo"), F.flatten(F.col("_boxes.hi")).alias("d_hi"))
-    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in station] + [
-        "q_pattern long", "q_block long", "d_pattern long", "d_block long"])
-    columns = [*station, "q_pattern", "q_block", "d_pattern", "d_block"]
-    bit = 1 << np.arange(width)
+    placed = placed.withColumn("leaf", F.floor(spot / block).cast("long"))
+    listed = placed.groupBy(*station, "leaf").agg(F.sort_array(F.collect_list(F.struct(F.col(row).alias("id"), "_z"))).alias("_list"))
+    flat = F.flatten(F.transform("_list", lambda r: F.transform(r["_z"], lambda x: F.coalesce(x, F.lit(float("nan"))))))
+    return listed.select(*station, "leaf", F.transform("_list", lambda r: r["id"]).alias("ids"), flat.alias("values"))
 
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                masks = np.asarray(r["d_mask"], dtype=np.int64)
-                lo, hi = (np.asarray(r[c], dtype=float).reshape(len(masks), width) for c in ("d_lo", "d_hi"))
-                counts = np.asarray(r["d_n"])
-                shared = ((masks[:, None] & r["_pattern"]) & bit) != 0
-                size = shared.sum(1)
-                qlo, qhi = np.asarray(r["lo"], dtype=float), np.asarray(r["hi"], dtype=float)
-                gap = np.maximum(np.maximum(lo - qhi, qlo - hi), 0.0)
-                far = np.maximum(np.abs(hi - qlo), np.abs(qhi - lo))
-                scale = np.where(size > 0, width / np.maximum(size, 1), np.nan)
-                nearest = scale * (shared * gap**2).sum(1)
-                farthest = scale * (shared * far**2).sum(1)
-                keep = np.zeros(len(masks), dtype=bool)
-                for c in range(width):
-                    if r["_pattern"] >> c & 1:
-                        continue
-                    can = np.flatnonzero(((masks >> c) & 1 == 1) & (size > 0))
-                    order = can[np.argsort(farthest[can], kind="stable")]
-                    enough = np.flatnonzero(np.cumsum(counts[order]) >= k)
-                    reach = farthest[order[enough[0]]] if len(enough) else np.inf
-                    keep[can[nearest[can] <= reach * (1 + 1e-9) + 1e-9]] = True
-                hit = np.flatnonzero(keep)
-                part = pd.DataFrame({"q_pattern": r["_pattern"], "q_block": r["_block"], "d_pattern": masks[hit],
-                                     "d_block": np.asarray(r["d_block"], dtype=np.int64)[hit]})
-                for c in station:
-                    part[c] = r[c]
-                out.append(part)
-            if out:
-                yield pd.concat(out, ignore_index=True)[columns]
-
-    return asking.mapInPandas(prune, schema).unionByName(alone)
-
-
-def nearest_donors(blocks: DataFrame, pairs: DataFrame, station: Sequence[str], row_type: str, width: int, k: int) -> DataFrame:
-    """The k nearest donors of each incomplete row in each block pair, with the wanted values."""
+
+def leaf_boxes(leaves: DataFrame, station: Sequence[str], width: int) -> DataFrame:
+    """(station, node, n, lo, hi, whole): range of each coordinate (NULL if no row has it), and whether all rows have it."""
+    at = lambda j: F.filter("values", lambda v, i: i % width == j)
+    there = lambda j: F.filter(at(j), lambda v: ~F.isnan(v))
+    return leaves.select(
+        *station, F.col("leaf").alias("node"), F.size("ids").cast("long").alias("n"),
+        F.array(*[F.array_min(there(j)) for j in range(width)]).alias("lo"),
+        F.array(*[F.array_max(there(j)) for j in range(width)]).alias("hi"),
+        F.array(*[F.size(there(j)) == F.size("ids") for j in range(width)]).alias("whole"))
+
+
+def parents(nodes: DataFrame, station: Sequence[str], width: int, fan: int) -> DataFrame:
+    """The next level of the tree: boxes around ``fan`` neighbouring nodes."""
+    each = lambda f, c: F.array(*[f(F.col(c)[j]) for j in range(width)]).alias(c)
+    return nodes.groupBy(*station, F.floor(F.col("node") / fan).cast("long").alias("node")).agg(
+        F.sum("n").alias("n"), each(F.min, "lo"), each(F.max, "hi"), each(F.bool_and, "whole"))
+
+
+def bounds(q: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How near and how far a row of ``q`` can be to one of each node, and whether they surely share a coordinate.
+
+    A pair shares all coordinates that both sides have in every row, and maybe
+    some that both have in some: those that help most are counted.
+    """
+    width = lo.shape[1]
+    maybe = ~np.isnan(lo) & ~np.isnan(q["lo"])[None]
+    sure = whole & q["whole"][None] & maybe
+    with np.errstate(invalid="ignore"):
+        gap = np.maximum(np.maximum(lo - q["hi"], q["lo"] - hi), 0.0) ** 2
+        far = np.maximum(np.abs(hi - q["lo"]), np.abs(q["hi"] - lo)) ** 2
+    count = sure.sum(1)
+    out = []
+    for square, sign, best in ((gap, 1, np.min), (far, -1, np.max)):
+        fixed = np.where(sure, square, 0.0).sum(1)
+        free = np.sort(np.where(maybe & ~sure, sign * square, np.inf), axis=1)
+        total = fixed[:, None] + sign * np.cumsum(np.where(np.isinf(free), 0.0, free), axis=1)
+        mean = np.where(np.isinf(free), sign * np.inf, total / (count[:, None] + 1 + np.arange(width)))
+        alone = np.where(count > 0, fixed / np.maximum(count, 1), sign * np.inf)
+        out.append(width * best(np.column_stack([alone, mean]), axis=1))
+    return out[0], out[1], count > 0, maybe.any(1)
+
+
+def kept_nodes(q: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray, whole: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Which nodes can hold one of the k nearest donors of some row and column that ``q`` lacks."""
+    nearest_, farthest, sure, shared = bounds(q, lo, hi, whole)
+    keep = np.zeros(len(n), bool)
+    for c in np.flatnonzero(~q["whole"]):
+        can = np.flatnonzero(~np.isnan(lo[:, c]) & shared)
+        known = can[whole[can, c] & sure[can]]
+        order = known[np.argsort(farthest[known], kind="stable")]
+        enough = np.flatnonzero(np.cumsum(n[order]) >= k)
+        reach = farthest[order[enough[0]]] if len(enough) else np.inf
+        keep[can[nearest_[can] <= reach * (1 + 1e-9) + 1e-9]] = True
+    return keep
+
+
+def candidate_pairs(leaves: DataFrame, station: Sequence[str], width: int, k: int, fan: int = FAN) -> DataFrame:
+    """(station, q_leaf, d_leaf): leaves that can hold a nearest neighbour, found by going down the tree."""
+    levels = [stage(leaf_boxes(leaves, station, width))]
+    most = levels[0].agg(F.max("node")).first()[0]
+    while most is not None and most >= fan:
+        levels.append(stage(parents(levels[-1], station, width, fan)))
+        most //= fan
+    box = ["lo", "hi", "whole"]
+    asking = levels[0].where(F.exists("whole", lambda w: ~w)).select(*station, F.col("node").alias("q_leaf"), *[F.col(c).alias(f"q_{c}") for c in box])
+    types = {f.name: f.dataType.simpleString() for f in leaves.schema.fields}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in station] + ["q_leaf long", "node long"])
+
+    def prune(part: pd.DataFrame) -> pd.DataFrame:
+        matrix = lambda c, kind: np.array([np.asarray(v, kind) for v in part[c]])
+        first = part.iloc[0]
+        q = {c: np.asarray(first[f"q_{c}"], bool if c == "whole" else float) for c in box}
+        keep = kept_nodes(q, matrix("lo", float), matrix("hi", float), matrix("whole", bool), part["n"].to_numpy(), k)
+        return part.loc[keep, [*station, "q_leaf", "node"]]
+
+    # a station's top nodes are few; copies of them keep its leaves from meeting in one task
+    counts = asking.groupBy(*station).agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("_salts"))
+    top = levels[-1].join(counts, list(station)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    dealt = asking.join(counts, list(station)).withColumn("_salt", F.pmod(F.xxhash64("q_leaf"), F.col("_salts"))).drop("_salts")
+    met = dealt.join(top, [*station, "_salt"]).drop("_salt")
+    for level in range(len(levels) - 1, -1, -1):
+        found = met.groupBy(*station, "q_leaf").applyInPandas(prune, schema)
+        if level:
+            below = levels[level - 1].withColumnRenamed("node", "_child").withColumn("node", F.floor(F.col("_child") / fan).cast("long"))
+            met = stage(found).join(below, [*station, "node"]).drop("node").withColumnRenamed("_child", "node").join(asking, [*station, "q_leaf"])
+    return found.withColumnRenamed("node", "d_leaf")
+
+
+def nearest_donors(leaves: DataFrame, pairs: DataFrame, station: Sequence[str], row_type: str, width: int, k: int) -> DataFrame:
+    """The k nearest donors of each incomplete row in each pair of leaves, with the wanted values."""
     def side(tag: str) -> DataFrame:
-        return blocks.select(*station, *[F.col(c).alias(f"{tag}_{c.lstrip('_')}") for c in ("_pattern", "_block", "ids", "masks", "values")])
+        return leaves.select(*station, *[F.col(c).alias(f"{tag}_{c}") for c in ("leaf", "ids", "values")])
 
-    # joined to the asking side last, so that the pairs of one asking block mostly
+    # joined to the asking side last, so that the pairs of one asking leaf mostly
     # follow each other and their candidates can be merged before they are shuffled
-    both = pairs.join(side("d"), [*station, "d_pattern", "d_block"]).join(side("q"), [*station, "q_pattern", "q_block"])
-    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    both = pairs.join(side("d"), [*station, "d_leaf"]).join(side("q"), [*station, "q_leaf"])
+    types = {f.name: f.dataType.simpleString() for f in leaves.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in station] + [
         f"id {row_type}, col int, dist double, donor {row_type}, value double"])
     columns = [*station, "id", "col", "dist", "donor", "value"]
-    bit = 1 << np.arange(width)
 
     def pair(r: dict) -> Iterator[tuple[np.ndarray, ...]]:
         d_ids = np.asarray(r["d_ids"])
-        q_has = (np.asarray(r["q_masks"], dtype=np.int64)[:, None] & bit) != 0
-        d_has = (np.asarray(r["d_masks"], dtype=np.int64)[:, None] & bit) != 0
-        q = np.asarray(r["q_values"], dtype=float).reshape(len(q_has), width)
-        d = np.asarray(r["d_values"], dtype=float).reshape(len(d_ids), width)
+        q, d = (np.asarray(r[c], dtype=float).reshape(-1, width) for c in ("q_values", "d_values"))
+        q_has, d_has = ~np.isnan(q), ~np.isnan(d)
+        q, d = np.nan_to_num(q), np.nan_to_num(d)
         asking = np.flatnonzero(~q_has.all(1))
         step = max(1, 2_000_000 // max(len(d_ids), 1))
+        # leaves of one pattern each: only shared coordinates count, and always the same
+        pure = (q_has == q_has[:1]).all() and (d_has == d_has[:1]).all()
         for start in range(0, len(asking), step):
             part = asking[start:start + step]
-            if r["q_pattern"] != -1:
-                # blocks of one pattern each: only shared coordinates count, and always the same
-                total = np.zeros((len(part), len(d_ids)))
-                both = [j for j in range(width) if q_has[part[0], j] and d_has[0, j]]
+            total = np.zeros((len(part), len(d_ids)))
+            if pure:
+                both = np.flatnonzero(q_has[0] & d_has[0])
                 for j in both:
                     total += (q[part, j, None] - d[None, :, j]) ** 2
                 shared = len(both)
             else:
-                total, shared = np.zeros((len(part), len(d_ids))), np.zeros((len(part), len(d_ids)))
+                shared = np.zeros((len(part), len(d_ids)))
                 for j in range(width):
                     have = q_has[part, j, None] & d_has[None, :, j]
                     total += np.where(have, (q[part, j, None] - d[None, :, j]) ** 2, 0.0)
@@ -228,7 +237,7 @@ def nearest_donors(blocks: DataFrame, pairs: DataFrame, station: Sequence[str],
         current, name, ids, parts = None, None, None, []
         for pdf in batches:
             for r in pdf.to_dict("records"):
-                key = (*[r[c] for c in station], r["q_pattern"], r["q_block"])
+                key = (*[r[c] for c in station], r["q_leaf"])
                 if key != current:
                     if parts:
                         yield finished(name, ids, parts)
@@ -262,30 +271,28 @@ def nearest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def knn_impute(
-    df: DataFrame, station: Sequence[str], row: str, columns: Sequence[str], k: int = 5, block: int = BLOCK,
-    max_blocks: int = MAX_BLOCKS,
+    df: DataFrame, station: Sequence[str], row: str, columns: Sequence[str], k: int = 5, block: int = BLOCK, fan: int = FAN,
 ) -> DataFrame:
     """IMP6: fills the missing ``columns`` of each row from its station.
 
     The k nearest donors that have the column are averaged on the standardised
     scale; fewer than k are averaged as they are.  Without any donor that shares
     a coordinate the column mean is used, and a column without any value stays
-    missing.
+    missing.  A station may have any size, and any number of columns counts.
+    ``df`` is read several times: stage it.
     """
     station, width = list(station), len(columns)
-    if width > 62:
-        raise ValueError("at most 62 columns")
     rows, stats = standardised(df, station, columns)
     row_type = dict(df.dtypes)[row]
-    blocks = stage(pack_blocks(rows, station, row, width, block, max_blocks))
-    pairs = candidate_pairs(blocks, station, width, k)
-    found = nearest_donors(blocks, pairs, station, row_type, width, k)
+    leaves = stage(pack_leaves(rows, station, row, width, block))
+    pairs = candidate_pairs(leaves, station, width, k, fan)
+    found = nearest_donors(leaves, pairs, station, row_type, width, k)
     best = Window.partitionBy(*station, "id", "col").orderBy("dist", "donor")
     means = (
         found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
         .groupBy(*station, "id").pivot("col", list(range(width))).agg(F.avg("value")))
     means = means.select(*station, F.col("id").alias(row), *[F.col(str(j)).alias(f"_fill{j}") for j in range(width)])
-    out = df.join(stats.drop("_rows"), station).join(means, [*station, row], "left")
+    out = join_one(df, stats, station, "_rows").drop("_rows").join(means, [*station, row], "left")
     filled = {
         c: F.coalesce(F.col(c).cast("double"),
                       F.coalesce(F.col(f"_fill{j}"), F.lit(0.0)) * F.col("_std")[j] + F.col("_mean")[j])

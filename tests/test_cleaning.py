@@ -300,8 +300,8 @@ def brute_knn(x, k=5):
     return out * std + mean
 
 
-@pytest.mark.parametrize("block", [7, 40, 2048])
-def test_nearest_neighbours(spark, block):
+@pytest.mark.parametrize("block, fan", [(7, 3), (40, 32), (2048, 32)])
+def test_nearest_neighbours(spark, block, fan):
     rng = np.random.default_rng(9)
     columns = ["a", "b", "c"]
     stations, data = {}, []
@@ -312,13 +312,50 @@ def test_nearest_neighbours(spark, block):
         stations[s] = x
         data += [(s, i, *[None if np.isnan(v) else float(v) for v in x[i]]) for i in range(n)]
     df = spark.createDataFrame(data, "station string, row long, a double, b double, c double")
-    out = knn.knn_impute(df, ["station"], "row", columns, block=block)
+    out = knn.knn_impute(df, ["station"], "row", columns, block=block, fan=fan)
     assert out.count() == len(data)
     for s, x in stations.items():
         got = np.array([[r[c] for c in columns] for r in out.where(F.col("station") == s).orderBy("row").collect()])
         assert got == pytest.approx(brute_knn(x), abs=1e-9)
 
 
+def test_box_bounds_hold():
+    """No pair of rows is nearer or farther than the boxes of their nodes say; mixed patterns included."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        w = int(rng.integers(1, 6))
+        q, d = rng.normal(0, 2, (6, w)), rng.normal(1, 2, (9, w))
+        q[rng.random(q.shape) < 0.4] = np.nan
+        d[rng.random(d.shape) < 0.4] = np.nan
+        if (np.isnan(q).all(0) | np.isnan(d).all(0)).all():
+            continue
+        box = lambda x: (np.where(np.isnan(x).all(0), np.nan, np.nanmin(np.where(np.isnan(x), np.inf, x), 0)),
+                         np.where(np.isnan(x).all(0), np.nan, np.nanmax(np.where(np.isnan(x), -np.inf, x), 0)), ~np.isnan(x).any(0))
+        (lo, hi, whole), (a, b, c) = box(d), box(q)
+        near, far, sure, shared = knn.bounds({"lo": a, "hi": b, "whole": c}, lo[None], hi[None], whole[None])
+        for x in q:
+            for y in d:
+                both = ~np.isnan(x) & ~np.isnan(y)
+                if both.any():
+                    dist = w / both.sum() * ((x - y)[both] ** 2).sum()
+                    assert near[0] - 1e-9 <= dist <= far[0] + 1e-9 and shared[0]
+                else:
+                    assert not sure[0]
+
+
+def test_neighbours_of_many_columns(spark):
+    """More columns than a long has bits."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (60, 70))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[0] = 0.5
+    names = [f"c{j}" for j in range(70)]
+    df = spark.createDataFrame([("s", i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)],
+                               "station string, row long, " + ", ".join(f"{c} double" for c in names))
+    got = np.array([[r[c] for c in names] for r in knn.knn_impute(df, ["station"], "row", names, block=16, fan=2).orderBy("row").collect()])
+    assert got == pytest.approx(brute_knn(x), abs=1e-9)
+
+
 def test_scalers_round_trip(spark):
     rng = np.random.default_rng(11)
     data = [(n, t, float(rng.normal(n, n + 1)), 0.5) for n in range(4) for t in range(100)] + [(9, t, 3.0, 0.5) for t in range(100)]
