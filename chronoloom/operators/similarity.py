@@ -1,8 +1,10 @@
 """Similarity of the nodes of each window (SIM1-SIM3).
 
-Nodes of one window are packed into blocks of bounded size, and blocks of the
-same window meet in a join on the window, so a window with very many nodes is
-many tasks.  SIM3 counts inside the block pair and never writes a pair out.
+Nodes of one window are packed into blocks of bounded size.  Two blocks meet
+under the key (window, i, j) with i <= j, to which each is sent once per other
+block, so a window with very many nodes is many tasks; all measures here are
+symmetric, and one meeting serves both directions and all measures asked for.
+SIM3 counts inside the block pair and never writes a pair out.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from chronoloom.session import stage
+
 BLOCK = 256
 NORM_GUARD = 1e-7
 
@@ -44,14 +48,20 @@ def _flat(column: str):
 
 
 def _block_pairs(samples: DataFrame, sample: Sequence[str], node: str, arrays: Sequence[str], block: int) -> DataFrame:
-    nodes = samples.select(node).distinct().count()
+    nodes = samples.agg(F.count_distinct(F.struct(node))).first()[0]
     n_blocks = max(1, -(-nodes // block))
-    packed = samples.withColumn("_b", F.pmod(F.xxhash64(node), F.lit(n_blocks))).groupBy(*sample, "_b").agg(
+    packed = samples.withColumn("_b", F.pmod(F.xxhash64(node), F.lit(n_blocks)).cast("int")).groupBy(*sample, "_b").agg(
         F.collect_list(F.struct(F.col(node).alias("node"), *arrays)).alias("_list"))
-    packed = packed.select(*sample, F.transform("_list", lambda r: r["node"]).alias("nodes"),
+    packed = packed.select(*sample, "_b", F.transform("_list", lambda r: r["node"]).alias("nodes"),
                            *[_flat(a).alias(a) for a in arrays])
-    other = packed.select(*sample, F.col("nodes").alias("o_nodes"), *[F.col(a).alias(f"o_{a}") for a in arrays])
-    return packed.join(other, list(sample))
+    if n_blocks > 1:
+        packed = stage(packed)  # read by both sides
+    from_own = F.explode(F.sequence(F.col("_b"), F.lit(n_blocks - 1)))
+    to_own = F.explode(F.sequence(F.lit(0), F.col("_b")))
+    left = packed.withColumn("_j", from_own).withColumnRenamed("_b", "_i")
+    right = packed.withColumn("_i", to_own).select(
+        *sample, "_i", F.col("_b").alias("_j"), F.col("nodes").alias("o_nodes"), *[F.col(a).alias(f"o_{a}") for a in arrays])
+    return left.join(right, [*sample, "_i", "_j"])
 
 
 def _matrix(flat, count: int) -> np.ndarray:
@@ -59,28 +69,37 @@ def _matrix(flat, count: int) -> np.ndarray:
 
 
 def pairwise(
-    samples: DataFrame, column: str, metric: str = "cosine", sample: Sequence[str] = ("sample_id",), node: str = "node",
-    block: int = BLOCK,
+    samples: DataFrame, column: str, metric: str | Sequence[str] = "cosine", sample: Sequence[str] = ("sample_id",),
+    node: str = "node", block: int = BLOCK,
 ) -> DataFrame:
-    """SIM1, SIM2: the similarity matrix of each window, ``(sample, node, other, value)``."""
-    if metric not in METRICS:
-        raise NotImplementedError(metric)
-    kernel = METRICS[metric]
+    """SIM1, SIM2: the similarity matrix of each window, ``(sample, node, other, value)``.
+
+    Several measures come from one pass, as columns of their names.
+    """
+    names = [metric] if isinstance(metric, str) else list(metric)
+    for name in names:
+        if name not in METRICS:
+            raise NotImplementedError(name)
+    values = ["value"] if isinstance(metric, str) else names
     sample = list(sample)
     fields = dict(samples.dtypes)
     schema = ", ".join([f"`{c}` {fields[c]}" for c in sample] + [
-        f"node {fields[node]}, other {fields[node]}, value double"])
-    columns = [*sample, "node", "other", "value"]
+        f"node {fields[node]}, other {fields[node]}", *[f"{v} double" for v in values]])
+    columns = [*sample, "node", "other", *values]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.to_dict("records"):
                 a, b = np.asarray(r["nodes"]), np.asarray(r["o_nodes"])
-                value = kernel(_matrix(r[column], len(a)), _matrix(r[f"o_{column}"], len(b)))
-                out = pd.DataFrame({"node": np.repeat(a, len(b)), "other": np.tile(b, len(a)), "value": value.ravel()})
-                for c in sample:
-                    out[c] = r[c]
-                yield out[columns]
+                x, y = _matrix(r[column], len(a)), _matrix(r[f"o_{column}"], len(b))
+                made = [METRICS[n](x, y) for n in names]
+                for p, q, turn in ((a, b, False), (b, a, True))[:1 + (r["_i"] != r["_j"])]:
+                    out = pd.DataFrame({"node": np.repeat(p, len(q)), "other": np.tile(q, len(p))})
+                    for v, m in zip(values, made):
+                        out[v] = (m.T if turn else m).ravel()
+                    for c in sample:
+                        out[c] = r[c]
+                    yield out[columns]
 
     return _block_pairs(samples, sample, node, [column], block).mapInPandas(run, schema)
 
@@ -103,9 +122,10 @@ def indistinguishability(
                 n, m = len(r["nodes"]), len(r["o_nodes"])
                 alike = cosine(_matrix(r["inputs"], n), _matrix(r["o_inputs"], m)) > upper
                 apart = cosine(_matrix(r["target"], n), _matrix(r["o_target"], m)) < lower
-                pairs += n * m
-                past += int(alike.sum())
-                both += int((alike & apart).sum())
+                times = 1 if r["_i"] == r["_j"] else 2  # both directions
+                pairs += times * n * m
+                past += times * int(alike.sum())
+                both += times * int((alike & apart).sum())
         yield pd.DataFrame({"pairs": [pairs], "past": [past], "both": [both]})
 
     counts = _block_pairs(samples, sample, node, ["inputs", "target"], block).mapInPandas(

@@ -149,11 +149,8 @@ def cosine_pairs(spark, sf_dir):
 
 @query(f"WITH {SCALED_SAMPLES_SQL} SELECT sample_id, node, other, {sql_r6('l1', 5)} AS l1, {sql_r6('l2', 5)} AS l2 FROM pairs")
 def distance_pairs(spark, sf_dir):
-    samples = stage(_scaled_samples(spark, sf_dir))
-    l1 = sim.pairwise(samples, "inputs", "mae").withColumnRenamed("value", "l1")
-    l2 = sim.pairwise(samples, "inputs", "mse").withColumnRenamed("value", "l2")
-    return l1.join(l2, ["sample_id", "node", "other"]).select(
-        "sample_id", "node", "other", r6("l1", 5).alias("l1"), r6("l2", 5).alias("l2"))
+    out = sim.pairwise(_scaled_samples(spark, sf_dir), "inputs", ["mae", "mse"])
+    return out.select("sample_id", "node", "other", r6("mae", 5).alias("l1"), r6("mse", 5).alias("l2"))
 
 
 @query(f"""WITH {SCALED_SAMPLES_SQL}

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,27 @@ def test_similarity(windows, block):
         sim.pairwise(df, "inputs", "nope")
 
 
+def test_blocks_of_a_window_meet_by_pair(spark, windows):
+    """One pass for several measures; rows are never dealt out by the window alone."""
+    x, y, df = windows
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = sim.pairwise(df, "inputs", ["mae", "mse"], block=2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        assert dealt and all("_i" in d and "_j" in d for d in dealt)
+        assert plan.count("MapInPandas") == 1
+        got = {(r.sample_id, r.node, r.other): (r.mae, r.mse) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(got) == 4 * 49
+    for metric, k in (("mae", 0), ("mse", 1)):
+        for r in sim.pairwise(df, "inputs", metric).collect():
+            assert got[r.sample_id, r.node, r.other][k] == pytest.approx(r.value)
+
+
 @pytest.mark.parametrize("block", [2, 256])
 def test_indistinguishability(windows, block):
     x, y, df = windows
