@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chronoloom.functions.calendar import from_micros, micros
 from chronoloom.operators.panel import with_calendar
@@ -26,36 +27,84 @@ def append_steps(history: DataFrame, new: DataFrame, keys: Sequence[str], step_u
     return history.unionByName(with_calendar(stamped, "ts", features))
 
 
-def rolling_windows(stream: DataFrame, key: str, in_len: int, value: str = "value", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Stream form: the last ``in_len`` values of each series after every trigger.
+class _Series(StatefulProcessor):
+    """The newest steps of one series in order of event time, and what became of all others."""
 
-    Rows of a trigger are taken in time order; rows not newer than the last one
-    kept are late and dropped.  The state of a series is its window, so it never
-    grows beyond ``in_len`` values.  A series yields a row once its window is
-    full: ``(key, last_us, steps, inputs)``.
-    """
-    key_type = dict(stream.dtypes)[key]
+    def __init__(self, key: str, in_len: int, delay_us: int):
+        self.key, self.in_len, self.delay_us = key, in_len, delay_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("steps", "us array<bigint>, v array<double>, steps bigint, late bigint")
+
+    def _row(self, name: tuple, us: np.ndarray, v: np.ndarray, steps: int, late: int, ended: bool) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [name[0]], "last_us": [int(us[-1])], "steps": [steps], "late": [late], "ended": [ended],
+                             "inputs": [v[-self.in_len:]]})
+
+    def _kept(self) -> tuple[np.ndarray, np.ndarray, int, int]:
+        if not self.state.exists():
+            return np.zeros(0, np.int64), np.zeros(0), 0, 0
+        us, v, steps, late = self.state.get()
+        return np.asarray(us, np.int64), np.asarray([np.nan if x is None else x for x in v], float), steps, late
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        us, v, steps, late = self._kept()
+        before = int(us[-1]) if len(us) else None
+        # steps before this cannot be told from repeated ones any more
+        closed = min(int(us[0]), before - self.delay_us) if len(us) >= self.in_len else None
+        for part in rows:
+            new_us, new_v = part["us"].to_numpy(np.int64), part["v"].to_numpy(float)
+            if closed is not None:
+                open_ = new_us >= closed
+                late += int((~open_).sum())
+                new_us, new_v = new_us[open_], new_v[open_]
+            both, place = np.unique(np.concatenate([us, new_us]), return_index=True)  # of equal stamps the first stays
+            values = np.concatenate([v, new_v])[place]
+            steps += len(both) - len(us)
+            if len(both):
+                keep = (both >= both[-1] - self.delay_us) | (np.arange(len(both)) >= len(both) - self.in_len)
+                us, v = both[keep], values[keep]
+        self.state.update((us.tolist(), v.tolist(), steps, late))
+        if len(us) and before != int(us[-1]):
+            if before is not None:
+                self.handle.deleteTimer(before // 1000)
+            self.handle.registerTimer(int(us[-1]) // 1000)
+        if len(us) >= self.in_len:
+            yield self._row(key, us, v, steps, late, False)
 
-    def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, steps, values = state.get if state.exists else (-(1 << 62), 0, [])
-        values = list(values)
-        fresh: list[tuple[int, float]] = []
-        for pdf in batches:
-            newer = pdf[pdf["us"] > last]
-            fresh.extend(zip(newer["us"], newer["v"]))
-            # the order of one trigger is settled among the newest rows only
-            fresh = sorted(fresh)[-in_len:]
-            steps += len(newer)
-        if fresh:
-            values = (values + [float(v) for _, v in fresh])[-in_len:]
-            last = int(fresh[-1][0])
-        state.update((last, int(steps), values))
-        if len(values) == in_len:
-            yield pd.DataFrame({key: [name[0]], "last_us": [last], "steps": [steps], "inputs": [values]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        us, v, steps, late = self._kept()
+        self.state.clear()
+        if len(us) >= self.in_len:
+            yield self._row(key, us, v, steps, late, True)
 
+    def close(self) -> None:
+        pass
+
+
+def rolling_windows(
+    stream: DataFrame, key: str, in_len: int, value: str = "value", ts: str = "ts", delay: str = "1 hour", idle: str = "30 days",
+) -> DataFrame:
+    """Stream form: the last ``in_len`` values of each series by event time, after every trigger.
+
+    Steps may come in any order: one that is as new as the oldest step kept is
+    put in its place, whatever trigger brings it.  Kept are the newest
+    ``in_len`` and all within ``delay`` of the newest; a step older than those
+    changes no window and is counted as ``late``.  A step with a stamp that is
+    kept already is a repetition and counts once.
+
+    A series that has no step for ``idle`` while others go on has ended: a timer
+    on its last step emits a last row, with ``ended``, and removes its state;
+    steps that old are no longer read.  A series yields a row once its window is
+    full: ``(key, last_us, steps, late, ended, inputs)``.  The state lives in
+    RocksDB (see drain()).
+    """
+    key_type = dict(stream.dtypes)[key]
     if "timestamp_ntz" in dict(stream.dtypes)[ts]:
         stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    rows = stream.withWatermark(ts, delay).select(F.col(key), micros(ts).alias("us"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy(key).applyInPandasWithState(
-        update, f"`{key}` {key_type}, last_us bigint, steps bigint, inputs array<double>",
-        "last bigint, steps bigint, window array<double>", "update", GroupStateTimeout.NoTimeout)
+    delay_us = int(pd.Timedelta(delay).total_seconds() * 1e6)
+    rows = stream.where(F.col(ts).isNotNull()).withWatermark(ts, idle).select(
+        F.col(key), F.col(ts).alias("at"), micros(ts).alias("us"), F.col(value).cast("double").alias("v"))
+    return rows.groupBy(key).transformWithStateInPandas(
+        _Series(key, in_len, delay_us),
+        f"`{key}` {key_type}, last_us bigint, steps bigint, late bigint, ended boolean, inputs array<double>", "update", "EventTime")
