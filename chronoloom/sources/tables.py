@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import codecs
-from collections.abc import Iterator, Sequence
+import csv
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from chronoloom.functions.calendar import TIME_FORMAT, parse_time
-from chronoloom.operators.split import union_all
+from chronoloom.session import stage
 from chronoloom.settings import ENCODINGS
-from chronoloom.sources.tensor import _open, read_tensor
+from chronoloom.sources.tensor import read_tensor
 
 TIME_COLUMNS = ("date", "timestamp", "time", "datetime")
-SNIFFED_CHARACTERS = 1000
 SPLIT_FILES = {"train": "train", "val": "val", "test": "test"}
 
 
@@ -31,37 +30,69 @@ def read_wide_csv(spark: SparkSession, path: str, fmt: str = TIME_FORMAT, time:
     return melt(wide, ["ts"], names, "node")
 
 
-def sniff_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, encoding, header)``: the first listed encoding that decodes the start of a file.
+def byte_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, start, id, line)``: the bytes of each line, whatever their encoding, in splittable reads.
 
-    The listing reads no contents; each task opens its files and reads a few
-    kilobytes.
+    The text reader cuts at line ends and hands bytes on as they are; in none
+    of the encodings here is a line end part of another character.  ``start``
+    and ``id`` order the lines of a file.
     """
-    files = spark.read.format("binaryFile").load(path).select("path")
+    text = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return text.select(F.url_decode("file_path").alias("file"), F.col("file_block_start").alias("start"),
+                       F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("line"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            encodings, headers = [], []
-            for p in pdf["path"]:
-                local = p.startswith("file:/") and not p.startswith("file://")
-                with _open(p.replace("file:/", "file:///", 1) if local else p) as f:
-                    head = f.read(4 * SNIFFED_CHARACTERS)
-                encodings.append(decoder_of(head))
-                text = codecs.getincrementaldecoder(encodings[-1])().decode(head)
-                headers.append(text.splitlines()[0].lstrip("\ufeff") if text else "")
-            yield pd.DataFrame({"path": pdf["path"], "encoding": encodings, "header": headers})
 
-    return files.mapInPandas(run, "path string, encoding string, header string")
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, line)``: lines of text numbered from 0 in order of files and of lines in them.
 
+    The pieces of files that tasks read are counted, one row each, and a line's
+    number is its piece's offset plus its place there.
+    """
+    rows = byte_lines(spark, path)
+    sizes = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("file", "start").orderBy("id")
+    numbered = rows.withColumn("_place", F.row_number().over(inside) - 1).join(offsets, ["file", "start"])
+    return numbered.select(F.col("line").cast("string").alias("value"), (F.col("_offset") + F.col("_place")).alias("line"))
+
+
+def file_encodings(lines: DataFrame) -> DataFrame:
+    """``(file, encoding, header)``: the first listed encoding that decodes every line of a file, and its first line."""
+    names = [n for n, _ in ENCODINGS]
+
+    @F.pandas_udf("array<boolean>")
+    def decodes(column: pd.Series) -> pd.Series:
+        return pd.Series([[decodable(x, n) for n in names] for x in column])
+
+    marked = lines.withColumn("_ok", decodes("line"))
+    whole = marked.groupBy("file").agg(
+        *[F.bool_and(F.col("_ok")[k]).alias(f"_ok{k}") for k in range(len(names))],
+        F.min_by("line", F.struct("start", "id")).alias("_head"))
+    encoding = F.coalesce(*[F.when(F.col(f"_ok{k}"), F.lit(n)) for k, n in enumerate(names)], F.lit(names[-1]))
+    return whole.select("file", encoding.alias("encoding"), csv_fields("_head", encoding).alias("header"))
+
+
+def decodable(line: bytes, encoding: str) -> bool:
+    try:
+        line.decode(encoding)
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def csv_fields(line: Column | str, encoding: Column | str) -> Column:
+    """The fields of a line of bytes; empty ones are NULL, a line without any character has none."""
+
+    @F.pandas_udf("array<string>")
+    def split(lines: pd.Series, encodings: pd.Series) -> pd.Series:
+        out = []
+        for line, encoding in zip(lines, encodings):
+            text = line.decode(encoding, "replace").lstrip("\ufeff")
+            out.append([f or None for f in next(csv.reader([text]), [])] if text else None)
+        return pd.Series(out, dtype=object)
 
-def decoder_of(head: bytes) -> str:
-    for name, _ in ENCODINGS:
-        try:
-            codecs.getincrementaldecoder(name)().decode(head)
-            return name
-        except UnicodeDecodeError:
-            continue
-    return ENCODINGS[-1][0]
+    return split(line, encoding)
 
 
 def read_sensor_csv(
@@ -69,30 +100,32 @@ def read_sensor_csv(
 ) -> DataFrame:
     """SRC5: dirty sensor files of mixed encodings as ``(station, encoding, ts, indicator, raw)``.
 
-    Values stay text; cleaning decides what is a number.  The station is the
-    file name.  Files that share encoding and header are one read, so the plan
-    grows with the kinds of files, not with their number.
+    An encoding must decode a file to its end, which a first pass over the lines
+    finds out; the second reads them.  Values stay text; cleaning decides what
+    is a number.  The station is the file name.  Files may have any headers:
+    each line meets that of its file, one row per file, of which there are fewer
+    than the file listing that the driver holds anyway.  Fields beyond the
+    header are dropped, missing ones are NULL; a file without ``time`` has NULL
+    stamps.
     """
-    known = dict(ENCODINGS)
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in sniff_encodings(spark, path).collect():
-        groups.setdefault((r.encoding, r.header), []).append(r.path)
-    if not groups:
+    lines = byte_lines(spark, path)
+    files = stage(file_encodings(lines))
+    if not files.head(1):
         raise FileNotFoundError(path)
-    if any(known[e] in ("GBK", "GB2312") for e, _ in groups):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    renames = renames or {}
-    name = F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+?)(\.[^./]*)?$", 1)
-    parts = []
-    for (encoding, _), paths in sorted(groups.items()):
-        wide = spark.read.option("header", True).option("encoding", known[encoding]).csv(paths)
-        wide = wide.toDF(*[c.lstrip("\ufeff") for c in wide.columns])
-        names = [c for c in wide.columns if c != time]
-        stamp = F.col(time).try_cast("timestamp_ntz") if fmt is None else parse_time(time, fmt)
-        listed = [F.col(f"`{c}`").cast("string").alias(renames.get(c, c)) for c in names]
-        wide = wide.select(name.alias("station"), F.lit(encoding).alias("encoding"), stamp.alias("ts"), *listed)
-        parts.append(melt(wide, ["station", "encoding", "ts"], [renames.get(c, c) for c in names], "indicator", "raw"))
-    return union_all(parts)
+    first = lines.groupBy("file").agg(F.min(F.struct("start", "id")).alias("_first"))
+    known = F.broadcast(files.join(first, "file"))
+    rows = lines.join(known, "file").where(F.struct("start", "id") != F.col("_first"))
+    rows = rows.withColumn("_f", csv_fields("line", "encoding")).where(F.col("_f").isNotNull())
+    names = F.map_from_entries(F.array(*[F.struct(F.lit(a), F.lit(b)) for a, b in (renames or {}).items()])) if renames else None
+    column = F.col("_c._h")
+    cells = rows.select(
+        F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1).alias("station"), "encoding",
+        F.get("_f", F.array_position("header", F.lit(time)).cast("int") - 1).alias("_time"),
+        F.explode(F.transform("header", lambda h, i: F.struct(h.alias("_h"), F.get("_f", i).alias("_v")))).alias("_c"))
+    stamp = F.col("_time").try_cast("timestamp_ntz") if fmt is None else parse_time("_time", fmt)
+    return cells.where(F.coalesce(column, F.lit("")) != time).select(
+        "station", "encoding", stamp.alias("ts"), (F.coalesce(names[column], column) if renames else column).alias("indicator"),
+        F.col("_c._v").alias("raw"))
 
 
 def read_timeseries_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -140,11 +173,10 @@ def read_classification(spark: SparkSession, folder: str, mode: str, archive: bo
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """SRC10: ``(src, dst, distance, line)``; the header and rows without three fields are skipped.
 
-    ``line`` grows with the position in the file, so that a later row can win.
+    ``line`` is the position in the file, files in order of their names, so that
+    a later row can win.
     """
-    text = spark.read.text(path)
-    fields = F.split("value", ",")
-    rows = text.select(F.monotonically_increasing_id().alias("line"), fields.alias("_f")).where(F.size("_f") == 3)
+    rows = file_lines(spark, path).select("line", F.split("value", ",").alias("_f")).where(F.size("_f") == 3)
     out = rows.select(
         F.trim(F.col("_f")[0]).try_cast("long").alias("src"), F.trim(F.col("_f")[1]).try_cast("long").alias("dst"),
         F.trim(F.col("_f")[2]).try_cast("double").alias("distance"), "line")
@@ -155,9 +187,8 @@ def read_node_ids(spark: SparkSession, path: str) -> DataFrame:
     """The id file of GR1 as ``(id, position)``, positions in file order."""
     from chronoloom.operators.timeaxis import reindex
 
-    lines = spark.read.text(path).where(F.trim("value") != "").select(
-        F.trim("value").cast("long").alias("id"), F.monotonically_increasing_id().alias("_line"))
-    return reindex(lines, [], "_line", "position").select("id", "position")
+    lines = file_lines(spark, path).where(F.trim("value") != "").select(F.trim("value").cast("long").alias("id"), "line")
+    return reindex(lines, [], "line", "position").select("id", "position")
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Dense tensors in raw or NumPy files as partitioned reads (SRC1, SRC8).
 
 A file is cut into ranges of time steps; each task seeks to its range and reads
-only that.  Nothing but the header passes through the driver.  Compressed
-``.npz`` members cannot be cut, so they are one task that streams.
+only that.  Nothing but the header passes through the driver.  Members of an
+archive are found by its directory and read by byte range like plain files; only
+a compressed one cannot be cut and is one task that streams.
 """
 
 from __future__ import annotations
@@ -53,8 +54,24 @@ class TensorReader(DataSourceReader):
         self.declared = [int(x) for x in options["shape"].split(",")] if "shape" in options else None
         self.member = options.get("member", "data")
 
+    def _stored(self) -> bool:
+        """Whether the bytes of the array stand in the file as they are."""
+        if not self.path.endswith(".npz"):
+            return True
+        with _open(self.path) as f, zipfile.ZipFile(f) as z:
+            return z.getinfo(f"{self.member}.npy").compress_type == zipfile.ZIP_STORED
+
     def _header(self) -> tuple[list[int], np.dtype, int]:
+        """Shape, type, and where the array begins in the file."""
         with _open(self.path) as f:
+            if self.path.endswith(".npz"):
+                with zipfile.ZipFile(f) as z:
+                    at = z.getinfo(f"{self.member}.npy").header_offset
+                # a local header of 30 bytes, which ends with the lengths of the name and of what follows it
+                f.seek(at + 26)
+                name, extra = np.frombuffer(f.read(4), "<u2").tolist()
+                f.seek(at + 30 + name + extra)
+                return _npy_header(f)
             if self.path.endswith(".npy"):
                 return _npy_header(f)
             if self.declared is None:
@@ -65,7 +82,7 @@ class TensorReader(DataSourceReader):
         return self.declared, np.dtype("<f4"), 0
 
     def partitions(self):
-        if self.path.endswith(".npz"):
+        if not self._stored():
             return [Steps(self.t_lo, self.t_hi if self.t_hi is not None else 1 << 62)]
         shape, dtype, _ = self._header()
         hi = min(self.t_hi, shape[0]) if self.t_hi is not None else shape[0]
@@ -74,7 +91,7 @@ class TensorReader(DataSourceReader):
         return [Steps(i, min(i + per, hi)) for i in range(self.t_lo, hi, per)] or [Steps(0, 0)]
 
     def read(self, part: Steps) -> Iterator[pa.RecordBatch]:
-        if self.path.endswith(".npz"):
+        if not self._stored():
             with _open(self.path) as f, zipfile.ZipFile(f) as z, z.open(f"{self.member}.npy") as m:
                 shape, dtype, _ = _npy_header(m)
                 yield from self._stream(m, shape, dtype, 0, max(part.lo, 0), min(part.hi, shape[0]))

@@ -79,9 +79,60 @@ def test_mixed_encodings(spark, tmp_path):
     assert len(got) == 12
     for station in ("s1", "s2", "s3"):
         assert got[station, 0, "water_temp"] == "12.5\x01" and got[station, 4, "water_temp"] == "坏"
-    chosen = {r.path.rsplit("/", 1)[1]: r.encoding for r in tables.sniff_encodings(spark, str(tmp_path)).collect()}
-    assert chosen["s1.csv"] == "utf-8" and chosen["s2.csv"] == "gbk"
-    assert tables.decoder_of(b"\xff\xff\xff") == "latin-1"
+    chosen = {r.station: r.encoding for r in df.collect()}
+    assert chosen == {"s1": "utf-8", "s2": "gbk", "s3": "utf-8"}
+
+
+def test_encodings_are_judged_to_the_end(spark, tmp_path):
+    """A byte far into a file decides, headers may be long and differ, many tasks read one file."""
+    head = "DATE," + ",".join(f"指标{k}" for k in range(900))
+    assert len(head.encode("gbk")) > 5000
+    rows = [f"2024-01-01 0{k % 9}:00:00," + ",".join(["1"] * 900) for k in range(40)]
+    (tmp_path / "long.csv").write_bytes((head + "\r\n" + "\r\n".join(rows) + "\r\n").encode("gbk"))
+    plain = "DATE,a,b\n" + "2024-01-01 00:00:00,1,2\n" * 3000
+    (tmp_path / "late.csv").write_bytes(plain.encode() + "2024-01-02 00:00:00,水温,\"x,\"\"y\"\n\n".encode("gbk"))
+    (tmp_path / "odd.csv").write_bytes(b"a,DATE\n\xff\xff,2024-01-01 00:00:00\n7\n")
+    (tmp_path / "bare.csv").write_bytes(b"DATE,a\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = tables.read_sensor_csv(spark, str(tmp_path), {"a": "first"}).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by = {}
+    for r in got:
+        by.setdefault(r.station, []).append(r)
+    assert {k: {r.encoding for r in v} for k, v in by.items()} == {"long": {"gbk"}, "late": {"gbk"}, "odd": {"latin-1"}}
+    assert len(by["long"]) == 36_000 and {r.indicator for r in by["long"]} == {f"指标{k}" for k in range(900)}
+    assert len(by["late"]) == 6002
+    assert {(r.indicator, r.raw) for r in by["late"] if r.ts.day == 2} == {("first", "水温"), ("b", 'x,"y')}
+    assert sorted((r.raw, r.ts is None) for r in by["odd"]) == [("7", True), ("ÿÿ", False)]
+
+
+def test_lines_keep_their_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.csv").write_text("".join(f"{k},{k + 1},2\n" for k in range(500)))
+    (tmp_path / "in" / "a.csv").write_text("from,to,cost\n" + "".join(f"{k},{k + 1},1\n" for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        lines = tables.file_lines(spark, str(tmp_path / "in")).orderBy("line").collect()
+        edges = gr.symmetric_edges(tables.read_edges(spark, str(tmp_path / "in"))).where("src = 7 AND dst = 8").first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line for r in lines] == list(range(3501)) and lines[3001].value == "0,1,2" and lines[1].value == "0,1,1"
+    assert edges.distance == 2.0  # the later file wins
+
+
+def test_archive_members_are_read_by_range(spark, tmp_path):
+    x, y = np.arange(6000, dtype=np.float64).reshape(1000, 3, 2), np.arange(50, dtype=np.float32).reshape(50, 1)
+    np.savez(tmp_path / "plain.npz", data=x, other=y)
+    np.savez_compressed(tmp_path / "small.npz", data=x)
+    for name, tasks in (("plain", 10), ("small", 1)):
+        df = tensor.read_tensor(spark, str(tmp_path / f"{name}.npz"), steps=100, t_lo=5, t_hi=995)
+        assert df.rdd.getNumPartitions() == tasks
+        rows = df.orderBy("t_idx", "node").collect()
+        assert len(rows) == 990 * 3 and rows[0].t_idx == 5
+        assert np.array([r.channels for r in rows]).reshape(990, 3, 2).tolist() == x[5:995].tolist()
+    assert tensor.read_tensor(spark, str(tmp_path / "plain.npz"), member="other").count() == 50
 
 
 def test_timeseries_csv(spark, tmp_path):
