@@ -25,21 +25,48 @@ def sliding_windows(
     column gives ``inputs`` and ``target``; further columns give
     ``<name>_inputs`` and ``<name>_target``.
 
+    A sample exists for every position between the first and the last row of a
+    series; positions without a row are NULL in it.  Two rows of a series at one
+    position are an error; rows without a position are left out.
+
     Each series is cut into chunks of ``chunk`` steps plus a halo of
     ``in_len + out_len - 1`` steps copied from the next chunk, so a long series
     spreads over many tasks and a task never holds more than one chunk.
-    Samples stay arrays; nothing is exploded to single steps.
+    Samples stay arrays; nothing is exploded to single steps.  The input is read
+    twice: stage it if it is costly.
     """
     width = in_len + out_len
     size = max(chunk, width)
+    df = df.where(F.col(pos).isNotNull())
     first = F.floor(F.greatest(F.col(pos) - F.lit(width - 1), F.lit(0)) / size).cast("long")
     last = F.floor(F.col(pos) / size).cast("long")
     rows = df.select(*keys, F.col(pos).alias("_pos"), *values, F.explode(F.sequence(first, last)).alias("_chunk"))
-    point = F.struct("_pos", *values)
-    buffers = rows.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(point)).alias("_rows"))
-    buffers = buffers.select(*keys, F.element_at("_rows", 1)["_pos"].alias("_start"), F.size("_rows").alias("_size"),
-                             *[F.col(f"_rows.{v}").alias(f"_lane_{v}") for v in values])
-    buffers = buffers.where(F.col("_size") >= width)
+    buffers = rows.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(F.struct("_pos", *values))).alias("_rows"))
+    # every chunk between the ends of a series, also one that no row falls into
+    ends = df.groupBy(*keys).agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi")).where(F.col("_hi") - F.col("_lo") + 1 >= width)
+    chunks = ends.withColumn("_chunk", F.explode(F.sequence(
+        F.floor(F.col("_lo") / size).cast("long"), F.floor((F.col("_hi") - (width - 1)) / size).cast("long"))))
+    same = [chunks[k].eqNullSafe(buffers[k]) for k in keys]  # NULL is a series like any other
+    parts = chunks.join(buffers, [*same, chunks["_chunk"] == buffers["_chunk"]], "left").select(
+        *[chunks[k] for k in keys], chunks["_chunk"], "_lo", "_hi", "_rows")
+    begin = F.greatest(F.col("_chunk") * size, F.col("_lo"))
+    end = F.least(F.col("_chunk") * size + (size + width - 2), F.col("_hi"))
+    types = dict(df.dtypes)
+
+    def lane(v: str):
+        none = F.lit(None).cast(types[v])
+        gap = lambda n: F.array_repeat(none, n.cast("int"))
+        step = F.transform("_rows", lambda r, i: F.concat(F.array(r[v]), gap(
+            F.coalesce(F.get("_rows", i + 1)["_pos"], r["_pos"] + 1) - r["_pos"] - 1)))
+        whole = F.col("_end") - F.col("_start") + 1 == F.size("_rows")
+        placed = F.concat(gap(F.element_at("_rows", 1)["_pos"] - F.col("_start")), F.flatten(step),
+                          gap(F.col("_end") - F.element_at("_rows", -1)["_pos"]))
+        return F.when(F.col("_rows").isNull(), gap(F.col("_end") - F.col("_start") + 1)).when(whole, F.col(f"_rows.{v}")).otherwise(placed)
+
+    twice = F.size(F.array_distinct(F.transform("_rows", lambda r: r["_pos"]))) < F.size("_rows")
+    parts = parts.select(*keys, begin.alias("_start"), end.alias("_end"), F.when(
+        twice, F.raise_error(F.lit("two rows of a series have the same position"))).otherwise(F.col("_rows")).alias("_rows"))
+    buffers = parts.select(*keys, "_start", (F.col("_end") - F.col("_start") + 1).alias("_size"), *[lane(v).alias(f"_lane_{v}") for v in values])
 
     def sample(i):
         fields = [(F.col("_start") + i).cast("long").alias("sample_id")]
@@ -52,7 +79,7 @@ def sliding_windows(
 
     count = F.least(F.lit(size), F.col("_size") - width + 1)
     samples = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), sample)
-    return buffers.select(*keys, F.inline(samples))
+    return buffers.where(count > 0).select(*keys, F.inline(samples))
 
 
 def explode_samples(samples: DataFrame, keys: Sequence[str], column: str = "target", name: str = "target") -> DataFrame:
@@ -63,20 +90,27 @@ def explode_samples(samples: DataFrame, keys: Sequence[str], column: str = "targ
 
 def last_window(
     df: DataFrame, keys: Sequence[str], pos: str, ts: str, value: str, in_len: int, out_len: int, step_us: int,
-    last_pos: int,
+    last_pos: int | None = None,
 ) -> DataFrame:
     """WIN2: the last ``in_len`` steps of each series and its blank future stamps.
 
-    All series share the axis, so "the last steps" is a filter on ``pos`` that
-    prunes the scan; no series is ranked.
+    A series ends at its last value, or all end at ``last_pos``, which is then a
+    filter that prunes the scan.  Steps stand at their place, absent ones are
+    NULL.  A task keeps ``in_len`` rows of a series before anything is shuffled.
     """
-    tail = df.where((F.col(pos) > last_pos - in_len) & (F.col(pos) <= last_pos))
+    if last_pos is not None:
+        tail = df.where((F.col(pos) > last_pos - in_len) & (F.col(pos) <= last_pos)).withColumn("_end", F.lit(last_pos).cast("long"))
+    else:
+        newest = Window.partitionBy(*keys).orderBy(F.col(pos).desc())
+        tail = df.where(F.col(value).isNotNull()).withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= in_len)
+        tail = tail.withColumn("_end", F.max(pos).over(Window.partitionBy(*keys))).where(F.col(pos) > F.col("_end") - in_len)
+    slot = (F.col(pos) - F.col("_end") + in_len - 1).cast("int")
     rows = tail.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(pos, value))).alias("_rows"),
-        F.max(micros(ts)).alias("_last"))
+        *[F.max(F.when(slot == k, F.col(value))).alias(f"_v{k}") for k in range(in_len)],
+        F.max(micros(ts) + (F.col("_end") - F.col(pos)) * F.lit(step_us)).alias("_last"))
     return rows.select(
         *keys,
-        F.transform("_rows", lambda r: r[value]).alias("inputs"),
+        F.array(*[F.col(f"_v{k}") for k in range(in_len)]).alias("inputs"),
         F.transform(
             F.sequence(F.lit(1), F.lit(out_len)),
             lambda k: from_micros(F.col("_last") + k * F.lit(step_us))).alias("future_ts"),

@@ -88,6 +88,55 @@ def scaled_laplacian(spark, sf_dir):
     return _matrix(gr.scaled_laplacian(edges, nodes))
 
 
+TRADE_SQL = """nodes AS (SELECT n_nationkey AS node FROM nation),
+edges AS (SELECT c_nationkey AS src, s_nationkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem
+ JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+sym AS (SELECT src, dst, max(weight) AS weight FROM (SELECT * FROM edges UNION ALL SELECT dst, src, weight FROM edges) GROUP BY src, dst)"""
+
+
+def _trade(spark, sf_dir):
+    """Nations, and how often customers of one bought from suppliers of another."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = lines.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    lines = lines.join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    edges = lines.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return stage(edges), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
+
+
+def _squared_sql(times: int) -> str:
+    """The matrix squared again and again, to trace one: in the end it projects on the largest eigenvector."""
+    power = lambda k: f"""sq{k} AS MATERIALIZED (SELECT a.src, b.dst, sum(a.weight * b.weight) AS weight FROM sq{k - 1} a JOIN sq{k - 1} b ON a.dst = b.src GROUP BY ALL),
+sn{k} AS MATERIALIZED (SELECT src, dst, weight / (SELECT sum(weight) FROM sq{k} WHERE src = dst) AS weight FROM sq{k})"""
+    return "sq0 AS (SELECT * FROM lap), " + ", ".join(power(k).replace(f"sq{k - 1} ", f"sn{k - 1} ") if k > 1 else power(k) for k in range(1, times + 1))
+
+
+@query(f"""WITH {TRADE_SQL}, {_laplacian('sym')}, {_squared_sql(16)},
+top AS (SELECT sum(l.weight * p.weight) AS v FROM lap l JOIN sn16 p ON p.src = l.dst AND p.dst = l.src)
+SELECT src, dst, {sql_r6('sum(weight)')} AS weight FROM (SELECT src, dst, weight * 2 / v AS weight FROM lap CROSS JOIN top UNION ALL SELECT node, node, -1.0 FROM nodes) GROUP BY src, dst""")
+def scaled_laplacian_computed(spark, sf_dir):
+    """GR5 with the largest eigenvalue computed; the twin squares the matrix until only that is left."""
+    edges, nodes = _trade(spark, sf_dir)
+    return _matrix(gr.scaled_laplacian(edges, nodes, None))
+
+
+@query(f"""WITH {TRADE_SQL}, loops AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM edges UNION ALL SELECT node, node, 1.0 FROM nodes) GROUP BY src, dst),
+deg AS (SELECT src AS node, sum(weight) AS d FROM loops GROUP BY src), out_deg AS (SELECT src AS node, sum(weight) AS d FROM edges GROUP BY src),
+in_deg AS (SELECT dst AS node, sum(weight) AS d FROM edges GROUP BY dst)
+SELECT 'identity' AS kind, 0 AS part, node AS src, node AS dst, 1.0::DOUBLE AS weight FROM nodes
+UNION ALL SELECT 'original', 0, src, dst, weight FROM edges
+UNION ALL SELECT 'symnadj', 0, dst, src, {sql_r6('weight / d')} FROM loops JOIN deg ON node = src
+UNION ALL SELECT 'transition', 0, dst, src, {sql_r6('weight / d')} FROM edges JOIN out_deg ON node = src
+UNION ALL SELECT 'doubletransition', 0, dst, src, {sql_r6('weight / d')} FROM edges JOIN out_deg ON node = src
+UNION ALL SELECT 'doubletransition', 1, src, dst, {sql_r6('weight / d')} FROM edges JOIN in_deg ON node = dst""")
+def adjacency_kinds(spark, sf_dir):
+    """GR8: the matrices that a graph model may ask for by name."""
+    edges, nodes = _trade(spark, sf_dir)
+    parts = [m.select(F.lit(kind).alias("kind"), F.lit(k).alias("part"), "src", "dst", r6("weight").alias("weight"))
+             for kind in ("identity", "original", "symnadj", "transition", "doubletransition")
+             for k, m in enumerate(gr.load_adjacency(edges, nodes, kind))]
+    return sp.union_all(parts)
+
+
 @query(f"""WITH {EDGES_SQL}, loops AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM edges UNION ALL SELECT node, node, 1.0 FROM nodes) GROUP BY src, dst),
 deg AS (SELECT src AS node, sum(weight) AS d FROM loops GROUP BY src)
 SELECT dst AS src, src AS dst, {sql_r6('weight / d', 8)} AS weight FROM loops JOIN deg ON node = src""")
@@ -193,3 +242,31 @@ def dft_window(spark, sf_dir):
     pairs = F.arrays_zip("re", "im")
     out = out.select("split", "node", "sample_id", F.posexplode(pairs).alias("freq", "_x"))
     return out.select("split", "node", "sample_id", F.col("freq").cast("long").alias("freq"), r6("_x.re").alias("re"), r6("_x.im").alias("im"))
+
+
+LONG = 40
+LONG_SQL = TYPES_SQL + f""", filled AS (SELECT node, t_idx, coalesce(value, 0) AS value FROM types),
+w AS (SELECT a.node, a.t_idx AS sample_id, b.t_idx - a.t_idx AS n, b.value FROM filled a JOIN filled b ON b.node = a.node AND b.t_idx BETWEEN a.t_idx AND a.t_idx + {LONG - 1}
+ WHERE a.t_idx + {LONG} <= (SELECT max(t_idx) FROM filled) AND a.t_idx % 8 = 0)"""
+
+
+def _long_windows(spark, sf_dir):
+    rows = type_panel(spark, sf_dir).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return wn.sliding_windows(stage(rows), ["node"], "t_idx", ["value"], LONG, 1).where("sample_id % 8 = 0").select("node", "sample_id", "inputs")
+
+
+@query(f"""WITH {LONG_SQL} SELECT node, sample_id, k, {sql_r6(f'sum(value * cos(2 * pi() * k * n / {LONG}))')} AS re, {sql_r6(f'-sum(value * sin(2 * pi() * k * n / {LONG}))')} AS im
+FROM w CROSS JOIN (SELECT unnest(range({LONG})) AS k) GROUP BY node, sample_id, k""")
+def dft_long(spark, sf_dir):
+    """WIN8 for windows beyond the short path."""
+    out = spectral.with_dft(_long_windows(spark, sf_dir), "inputs", LONG)
+    rows = out.select("node", "sample_id", F.posexplode(F.arrays_zip("re", "im")).alias("k", "_z"))
+    return rows.select("node", "sample_id", F.col("k").cast("long").alias("k"), r6("_z.re").alias("re"), r6("_z.im").alias("im"))
+
+
+@query(f"""WITH {LONG_SQL} SELECT node, sample_id, n AS step, {sql_r6('value')} AS value FROM w""")
+def dft_inverse(spark, sf_dir):
+    """WIN8 there and back: the window itself."""
+    out = spectral.inverse_dft(spectral.with_dft(_long_windows(spark, sf_dir), "inputs", LONG), "re", "im", "back")
+    rows = out.select("node", "sample_id", F.posexplode("back").alias("step", "value"))
+    return rows.select("node", "sample_id", F.col("step").cast("long").alias("step"), r6("value").alias("value"))

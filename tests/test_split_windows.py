@@ -196,3 +196,31 @@ def test_sets_of_rows(spark):
     df = ramp(spark, 5)
     assert sp.union_all([df, df]).count() == 10
     assert sp.without_rows(df, df.where("t_idx < 2"), ["t_idx"]).count() == 3
+
+
+def test_windows_by_position(spark):
+    """Holes are NULL, chunks without a row too; repeated positions are refused."""
+    present = [0, 1, 2, 3, 5, 6, 40, 41, 44]
+    df = spark.createDataFrame([("a", p, float(p)) for p in present] + [("a", None, 9.0), ("short", 3, 1.0), (None, 0, 1.0), (None, 2, 3.0), ("b", 7, 7.0), ("b", 9, 9.0), ("b", 10, None)],
+                               "node string, pos long, v double")
+    for chunk in (1, 4, 1000):
+        got = {(r.node, r.sample_id): (r.inputs, r.target) for r in wn.sliding_windows(df, ["node"], "pos", ["v"], 2, 1, chunk=chunk).collect()}
+        at = {("a", p): float(p) for p in present} | {("b", 7): 7.0, ("b", 9): 9.0, (None, 0): 1.0, (None, 2): 3.0}
+        want = {(n, i): ([at.get((n, i)), at.get((n, i + 1))], [at.get((n, i + 2))])
+                for n, lo, hi in (("a", 0, 44), ("b", 7, 10), (None, 0, 2)) for i in range(lo, hi - 1)}
+        assert got == want
+    assert wn.sliding_windows(df.limit(0), ["node"], "pos", ["v"], 2, 1).count() == 0
+    with pytest.raises(Exception, match="same position"):
+        wn.sliding_windows(df.union(df), ["node"], "pos", ["v"], 2, 1).count()
+
+
+def test_last_window_of_ragged_series(spark):
+    """Each series ends at its own last value; holes are NULL; a shared end pads those that end early."""
+    data = [("a", p, float(p)) for p in range(10)] + [("b", 2, 2.0), ("b", 4, 4.0), ("b", 5, None), ("c", 9, None)]
+    df = spark.createDataFrame(data, "node string, pos long, v double").withColumn("ts", cal.from_micros(F.col("pos") * 1_000_000))
+    got = {r.node: r for r in wn.last_window(df, ["node"], "pos", "ts", "v", 3, 2, 1_000_000).collect()}
+    assert got["a"].inputs == [7.0, 8.0, 9.0] and [t.second for t in got["a"].future_ts] == [10, 11]
+    assert got["b"].inputs == [2.0, None, 4.0] and [t.second for t in got["b"].future_ts] == [5, 6]
+    assert "c" not in got
+    shared = {r.node: r for r in wn.last_window(df, ["node"], "pos", "ts", "v", 6, 1, 1_000_000, last_pos=9).collect()}
+    assert shared["b"].inputs == [4.0, None, None, None, None, None] and shared["b"].future_ts[0].second == 10
