@@ -17,6 +17,8 @@ from chronoloom.session import stage
 #: SQL has no words for language models, fingerprints, flows and tokens.
 ORACLE_SQL = None
 ROW = "_row_of_stage"
+#: Slots of the names of dropped rows: so many longs at most are broadcast, whatever the input.
+SLOTS = 1 << 20
 #: A text of so many bytes is in no language if no language's output is above this.
 REJECTED, ENOUGH = -0.25, 200
 
@@ -31,8 +33,19 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """All rows but those named; adaptive execution broadcasts the names where they are few."""
-    return docs.join(dropped.select(ROW), ROW, "left_anti").drop(ROW)
+    """All rows but those named.
+
+    Names fall to a fixed number of slots, which are broadcast.  Rows in a slot
+    without a dropped one stay where they are; only the others, few unless a
+    large part is dropped, are joined by name, so most texts are not shuffled.
+    """
+    names = stage(dropped.select(ROW))
+    slot = F.pmod(F.xxhash64(ROW), F.lit(SLOTS)).alias("_slot_of_row")
+    hit = F.broadcast(names.select(slot).distinct())
+    rows = docs.withColumn("_slot_of_row", slot)
+    clear = rows.join(hit, "_slot_of_row", "left_anti")
+    doubted = rows.join(hit, "_slot_of_row", "left_semi").join(names, ROW, "left_anti")
+    return clear.select(*docs.columns).union(doubted.select(*docs.columns)).drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
