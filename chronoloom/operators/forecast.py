@@ -10,7 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chronoloom.operators.skew import join_one
+from chronoloom.session import stage
+
 EPS = 1e-5
+#: Samples that meet a model in one task.
+SCORED = 50_000
 Predict = Callable[[np.ndarray], np.ndarray]
 
 
@@ -136,42 +141,60 @@ def frequency_moments(samples: DataFrame, in_len: int, out_len: int, by: str | N
     return partial.groupBy("dataset", "i").applyInPandas(add, schema)
 
 
-def solve_frequency_linear(moments: Iterable, in_len: int, out_len: int, ridge: float) -> dict[str, FrequencyLinear]:
-    """The small solve per dataset; its size is the window's, not the data's."""
+def frequency_models(moments: DataFrame, in_len: int, out_len: int, ridge: float) -> DataFrame:
+    """(dataset, weights): the small solve of each dataset in a task of its own; its size is the window's, not the data's."""
     p = 2 * (in_len // 2 + 1)
-    rows: dict[str, list] = {}
-    for r in moments:
-        rows.setdefault(r["dataset"], []).append((r["i"], r["row"]))
-    models = {}
-    for name, listed in rows.items():
-        m = np.array([row for _, row in sorted(listed)])
-        gram, cross = m[:, :p], m[:, p:]
-        models[name] = FrequencyLinear(np.linalg.solve(gram + ridge * np.eye(p), cross), in_len, out_len)
-    return models
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(pdf.sort_values("i")["row"].to_numpy())
+        weights = np.linalg.solve(m[:, :p] + ridge * np.eye(p), m[:, p:])
+        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "weights": [weights.ravel()]})
+
+    return moments.groupBy("dataset").applyInPandas(solve, "dataset string, weights array<double>")
+
+
+def frequency_model(weights: Sequence[float], in_len: int, out_len: int) -> FrequencyLinear:
+    return FrequencyLinear(np.asarray(weights, float).reshape(2 * (in_len // 2 + 1), -1), in_len, out_len)
 
 
 def fit_frequency_linear(samples: DataFrame, in_len: int, out_len: int, ridge: float = 1.0) -> FrequencyLinear:
-    """MDL1: one pass over the samples."""
-    return solve_frequency_linear(frequency_moments(samples, in_len, out_len).collect(), in_len, out_len, ridge)[""]
+    """MDL1: one pass over the samples; only the weights, of the window's size, reach the driver."""
+    found = frequency_models(frequency_moments(samples, in_len, out_len), in_len, out_len, ridge).first()
+    if found is None:
+        raise ValueError("no sample without a missing value")
+    return frequency_model(found["weights"], in_len, out_len)
 
 
-def fit_per_dataset(samples: DataFrame, by: str, in_len: int, out_len: int, ridge: float = 1.0) -> dict[str, FrequencyLinear]:
-    """MDL4: a model per dataset, all fitted in the same pass."""
-    return solve_frequency_linear(frequency_moments(samples, in_len, out_len, by).collect(), in_len, out_len, ridge)
+def fit_per_dataset(samples: DataFrame, by: str, in_len: int, out_len: int, ridge: float = 1.0) -> DataFrame:
+    """MDL4: a table of models (dataset, weights), all fitted in the same pass; nothing per dataset reaches the driver."""
+    return frequency_models(frequency_moments(samples, in_len, out_len, by), in_len, out_len, ridge)
 
 
-def score_per_dataset(samples: DataFrame, models: Mapping[str, Predict], by: str, keys: Sequence[str], out_len: int) -> DataFrame:
-    """Each sample by the model of its dataset; an unknown dataset is an error."""
+def score_per_dataset(samples: DataFrame, models: DataFrame, by: str, keys: Sequence[str], in_len: int, out_len: int,
+                      block: int = SCORED) -> DataFrame:
+    """Each sample by the model of its dataset; a dataset without a model is an error.
+
+    Samples of a dataset are dealt to blocks of about ``block``, and its model
+    goes to each of them.
+    """
+    rows = samples.select(F.col(by).cast("string").alias("_of"), by, *keys, "target", "inputs")
+    blocks = rows.groupBy("_of").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    shared = blocks.join(models.withColumnRenamed("dataset", "_of"), "_of", "left").select(
+        F.col("_of").alias("_for"), "weights", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_part"))
+    dealt = join_one(rows, stage(blocks.withColumn("_n", F.col("_blocks") * block)), ["_of"], "_n", rows_each=block).drop("_n")
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(by, *keys), F.col("_blocks"))).drop("_blocks")
     schema = _fields(samples, [by, *keys, "target"]) + ", prediction array<double>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, part in pdf.groupby(by, sort=False):
-                x = np.stack([np.asarray(v, dtype=float) for v in part["inputs"]])
-                out = _checked(models[str(name)](x), len(part), out_len)
-                yield part[[by, *keys, "target"]].assign(prediction=list(out))
+    def run(part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return part[[by, *keys, "target"]].assign(prediction=[])
+        if model["weights"].isna().any():
+            raise KeyError(f"no model for {part['_of'].iloc[0]}")
+        x = np.stack([np.asarray(v, dtype=float) for v in part["inputs"]])
+        out = _checked(frequency_model(model["weights"].iloc[0], in_len, out_len)(x), len(part), out_len)
+        return part[[by, *keys, "target"]].assign(prediction=list(out))
 
-    return samples.select(by, *keys, "target", "inputs").mapInPandas(run, schema)
+    return dealt.groupBy("_of", "_block").cogroup(shared.groupBy("_for", "_part")).applyInPandas(run, schema)
 
 
 def grid_search(spark: SparkSession, grid: Mapping[str, Sequence], run: Callable[..., float]) -> DataFrame:

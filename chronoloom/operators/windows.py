@@ -134,8 +134,8 @@ def decoder_layout(samples: DataFrame, in_len: int, out_len: int, start_len: int
 
 
 def random_samples(samples: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """WIN5: ``n`` samples, the same ones on every run and any partitioning."""
-    order = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    """WIN5: ``n`` samples, the same ones on every run, any partitioning and in any engine that knows MD5."""
+    order = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed))).cast("binary"))
     return samples.orderBy(order, *keys).limit(n)
 
 

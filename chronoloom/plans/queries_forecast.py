@@ -52,25 +52,60 @@ def user_model_scoring(spark, sf_dir):
     return out.select("split", "node", "sample_id", "step", r6("prediction", 9).alias("prediction"))
 
 
-@query()
+def frequency_sql(dataset: str = "''", ridge: float = 10.0) -> str:
+    """Common table expressions that fit the linear map between spectra and score every sample: ``made``.
+
+    Normal equations of the training samples per dataset are solved by
+    elimination, one step per spectral coefficient.
+    """
+    p, half_in, half_out = 2 * (IN_LEN // 2 + 1), IN_LEN // 2 + 1, OUT_LEN // 2 + 1
+    step = lambda k: f"""m{k + 1} AS MATERIALIZED (SELECT a.ds, a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v
+ FROM m{k} a JOIN m{k} r ON r.ds = a.ds AND r.i = {k} AND r.j = a.j JOIN m{k} c ON c.ds = a.ds AND c.i = a.i AND c.j = {k}
+ JOIN m{k} p ON p.ds = a.ds AND p.i = {k} AND p.j = {k})"""
+    wave = lambda n, half, h: f"""SELECT ds, split, node, sample_id, f AS i, sum(z * cos(2 * pi() * f * {h} / {n})) AS v FROM z CROSS JOIN (SELECT unnest(range({half})) AS f) WHERE {h} BETWEEN 0 AND {n - 1} GROUP BY ALL
+ UNION ALL SELECT ds, split, node, sample_id, f + {half}, -sum(z * sin(2 * pi() * f * {h} / {n})) FROM z CROSS JOIN (SELECT unnest(range({half})) AS f) WHERE {h} BETWEEN 0 AND {n - 1} GROUP BY ALL"""
+    return f"""{FILLED_SQL}, {bounds_sql()},
+rows_in AS MATERIALIZED (SELECT {dataset} AS ds, split, node, t_idx - lo AS pos, hi - lo AS len, value FROM filled JOIN bounds ON t_idx >= lo AND t_idx < hi
+ {"JOIN customer ON c_custkey = node" if dataset != "''" else ""}),
+win AS MATERIALIZED (SELECT s.ds, s.split, s.node, s.pos AS sample_id, r.pos - s.pos AS h, r.value FROM rows_in s JOIN rows_in r
+ ON r.split = s.split AND r.node = s.node AND r.pos BETWEEN s.pos AND s.pos + {IN_LEN + OUT_LEN - 1} WHERE s.pos + {IN_LEN + OUT_LEN} <= s.len),
+st AS MATERIALIZED (SELECT split, node, sample_id, avg(value) FILTER (WHERE h < {IN_LEN}) AS mean, sqrt(var_pop(value) FILTER (WHERE h < {IN_LEN}) + 1e-5) AS sd FROM win GROUP BY ALL),
+z AS MATERIALIZED (SELECT win.*, (value - mean) / sd AS z FROM win JOIN st USING (split, node, sample_id)),
+past AS MATERIALIZED ({wave(IN_LEN, half_in, "h")}), future AS MATERIALIZED ({wave(OUT_LEN, half_out, f"(h - {IN_LEN})")}),
+m0 AS MATERIALIZED (SELECT a.ds, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i THEN {ridge} ELSE 0 END AS v FROM past a JOIN past b USING (split, node, sample_id) WHERE split = 'train' GROUP BY a.ds, a.i, b.i
+ UNION ALL SELECT a.ds, a.i, b.i + {p}, sum(a.v * b.v) FROM past a JOIN future b USING (split, node, sample_id) WHERE split = 'train' GROUP BY a.ds, a.i, b.i),
+{", ".join(step(k) for k in range(p))},
+spectra AS (SELECT a.ds, a.split, a.node, a.sample_id, w.j - {p} AS j, sum(a.v * w.v) AS v FROM past a JOIN m{p} w ON w.ds = a.ds AND w.i = a.i AND w.j >= {p} GROUP BY ALL),
+made AS (SELECT y.ds, y.split, y.node, y.sample_id, k + 1 AS step, any_value(mean) + any_value(sd) / {OUT_LEN} * sum(CASE
+ WHEN j = 0 THEN v WHEN j = {half_out - 1} THEN v * cos(pi() * k) WHEN j < {half_out} THEN 2 * v * cos(2 * pi() * j * k / {OUT_LEN})
+ WHEN j > {half_out} AND j < {2 * half_out - 1} THEN -2 * v * sin(2 * pi() * (j - {half_out}) * k / {OUT_LEN}) ELSE 0 END) AS prediction
+ FROM spectra y JOIN st USING (split, node, sample_id) CROSS JOIN (SELECT unnest(range({OUT_LEN})) AS k) GROUP BY ALL),
+scored AS MATERIALIZED (SELECT made.*, win.value AS target FROM made JOIN win ON win.split = made.split AND win.node = made.node AND win.sample_id = made.sample_id AND win.h = made.step + {IN_LEN - 1})"""
+
+
+@query(f"""WITH {frequency_sql()}, g AS (SELECT split, node, sample_id, sum(abs(prediction - target)) / (sum(abs(target)) + 5e-5) AS x FROM scored GROUP BY ALL),
+w AS (SELECT split, avg(x) AS wape FROM g GROUP BY split)
+SELECT split, {sql_r6('avg(abs(prediction - target))', 5)} AS mae, {sql_r6('sqrt(avg((prediction - target) * (prediction - target)))', 5)} AS rmse,
+ {sql_r6('any_value(wape)', 5)} AS wape FROM scored JOIN w USING (split) GROUP BY split""")
 def freq_linear_forecast(spark, sf_dir):
     """MDL1: fitted on the training split, scored on all three."""
-    samples = _filled_samples(spark, sf_dir)
+    samples = stage(_filled_samples(spark, sf_dir))
     model = fc.fit_frequency_linear(samples.where("split = 'train'"), IN_LEN, OUT_LEN, ridge=10.0)
     out = models.forecast_rows(fc.score(samples, model, ["split", "node", "sample_id"], OUT_LEN), ["split", "node", "sample_id"])
     wide = mt.evaluate(out, ["MAE", "RMSE", "WAPE"], ["split"], null_val=None)
-    return wide.select("split", *[r6(m, 3).alias(m.lower()) for m in ("MAE", "RMSE", "WAPE")])
+    return wide.select("split", *[r6(m, 5).alias(m.lower()) for m in ("MAE", "RMSE", "WAPE")])
 
 
-@query()
+@query(f"""WITH {frequency_sql("c_mktsegment")}
+SELECT ds AS dataset, split, {sql_r6('avg(abs(prediction - target))', 5)} AS mae FROM scored GROUP BY ds, split""")
 def model_per_segment(spark, sf_dir):
     """MDL4: a model per market segment, all fitted in one pass, evaluated per segment."""
     segment = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("dataset"))
-    samples = _filled_samples(spark, sf_dir).join(segment, "node")
+    samples = stage(_filled_samples(spark, sf_dir).join(segment, "node"))
     fitted = fc.fit_per_dataset(samples.where("split = 'train'"), "dataset", IN_LEN, OUT_LEN, ridge=10.0)
-    out = fc.score_per_dataset(samples, fitted, "dataset", ["split", "node", "sample_id"], OUT_LEN)
+    out = fc.score_per_dataset(samples, fitted, "dataset", ["split", "node", "sample_id"], IN_LEN, OUT_LEN)
     rows = models.forecast_rows(out, ["dataset", "split", "node", "sample_id"])
-    return mt.evaluate(rows, ["MAE"], ["dataset", "split"]).select("dataset", "split", r6("MAE", 3).alias("mae"))
+    return mt.evaluate(rows, ["MAE"], ["dataset", "split"]).select("dataset", "split", r6("MAE", 5).alias("mae"))
 
 
 @query(f"""WITH {FILLED_SQL}, tail AS (SELECT node, avg(value) AS mean, max(ts) AS last_ts FROM filled CROSS JOIN panel_lim WHERE t_idx >= steps - {IN_LEN} GROUP BY node)
@@ -133,9 +168,12 @@ def accuracy_argmax(spark, sf_dir):
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(mt.accuracy()).alias("accuracy"))
 
 
-@query()
+@query(f"""WITH {SAMPLES_SQL}, s AS (SELECT split, node, pos AS sample_id FROM rows_in WHERE pos + {IN_LEN + OUT_LEN} <= len),
+c AS (SELECT * FROM s ORDER BY md5(split || '|' || node || '|' || sample_id || '|7'), split, node, sample_id LIMIT 100)
+SELECT c.split, c.node, c.sample_id, {sql_r6('avg(r.value)')} AS mean FROM c JOIN rows_in r
+ ON r.split = c.split AND r.node = c.node AND r.pos BETWEEN c.sample_id AND c.sample_id + {IN_LEN - 1} GROUP BY ALL""")
 def random_windows(spark, sf_dir):
-    """WIN5: a fixed random choice; the hash behind it has no SQL twin."""
+    """WIN5: a fixed random choice."""
     out = wn.random_samples(user_samples(spark, sf_dir), ["split", "node", "sample_id"], 100, seed=7)
     return out.select("split", "node", "sample_id", r6(arrays.array_mean("inputs")).alias("mean"))
 

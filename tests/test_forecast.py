@@ -46,11 +46,19 @@ def test_missing_windows_are_not_trained_on(spark):
 def test_models_per_dataset(spark):
     samples = samples_of(waves(spark, 80, 2), 8, 4).withColumn("dataset", F.concat(F.lit("d"), F.col("node")))
     fitted = fc.fit_per_dataset(samples, "dataset", 8, 4)
-    assert set(fitted) == {"d0", "d1"}
+    table = {r.dataset: fc.frequency_model(r.weights, 8, 4) for r in fitted.collect()}
+    assert set(table) == {"d0", "d1"}
     alone = fc.fit_frequency_linear(samples.where("node = 1"), 8, 4)
-    np.testing.assert_allclose(fitted["d1"].weights, alone.weights, atol=1e-9)
-    out = fc.score_per_dataset(samples, fitted, "dataset", ["node", "sample_id"], 4)
-    assert out.count() == samples.count()
+    np.testing.assert_allclose(table["d1"].weights, alone.weights, atol=1e-9)
+    for block in (7, 50_000):  # a dataset may be many blocks
+        out = fc.score_per_dataset(samples, fitted, "dataset", ["node", "sample_id"], 8, 4, block).collect()
+        assert len(out) == samples.count()
+        inputs = {(r.node, r.sample_id): r.inputs for r in samples.collect()}
+        for r in out[::9]:
+            want = table[r.dataset](np.array([inputs[r.node, r.sample_id]], float))[0]
+            assert r.prediction == pytest.approx(want.tolist())
+    with pytest.raises(Exception, match="no model for d1"):
+        fc.score_per_dataset(samples, fitted.where("dataset = 'd0'"), "dataset", ["node", "sample_id"], 8, 4).collect()
 
 
 def test_scoring_contract(spark):
