@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from chronoloom.operators.skew import join_one
 from chronoloom.session import stage
@@ -197,19 +196,49 @@ def score_per_dataset(samples: DataFrame, models: DataFrame, by: str, keys: Sequ
     return dealt.groupBy("_of", "_block").cogroup(shared.groupBy("_for", "_part")).applyInPandas(run, schema)
 
 
-def grid_search(spark: SparkSession, grid: Mapping[str, Sequence], run: Callable[..., float]) -> DataFrame:
-    """MDL3: ``run(**params)`` per combination, itself a Spark job; failures stay as rows.
+LOSSES = {"MAE": np.abs, "MSE": np.square, "RMSE": np.square}
 
-    The loop is over the grid, not over data.
+
+def grid_search(samples: DataFrame, grid: DataFrame, predict: Callable[..., np.ndarray], out_len: int, metric: str = "MAE",
+                inputs: str = "inputs", target: str = "target") -> DataFrame:
+    """MDL3: the error of every combination of ``grid`` over the same samples, in one job and one scan.
+
+    ``grid`` is a table of parameters with a column ``combination`` (see
+    parameter_grid()); ``predict`` takes an array ``[rows, length]``, missing
+    values as NaN, and the parameters by name, and gives ``[rows, out_len]``.
+    Tasks add up errors per combination.  One that fails anywhere has its error
+    as a row and no metric.  Missing targets do not count, missing predictions
+    have no error.
     """
-    rows = []
-    for i, values in enumerate(product(*grid.values())):
-        params = dict(zip(grid, values))
-        try:
-            rows.append((i, {k: str(v) for k, v in params.items()}, float(run(**params)), None))
-        except Exception as e:  # noqa: BLE001
-            rows.append((i, {k: str(v) for k, v in params.items()}, None, f"{type(e).__name__}: {e}"))
-    return spark.createDataFrame(rows, "combination int, params map<string,string>, metric double, error string")
+    names = [c for c in grid.columns if c != "combination"]
+    tried = [(r["combination"], {c: r[c] for c in names}) for r in grid.collect()]
+    loss = LOSSES[metric]
+    matrix = lambda column: np.array([[np.nan if x is None else x for x in v] for v in column], float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, count, failed = {}, {}, {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, y = matrix(pdf[inputs]), matrix(pdf[target])
+            for k, params in tried:
+                if k in failed:
+                    continue
+                try:
+                    error = loss(_checked(predict(x, **params), len(x), out_len) - y)
+                except Exception as e:  # noqa: BLE001
+                    failed[k] = f"{type(e).__name__}: {e}"
+                    continue
+                total[k] = total.get(k, 0.0) + float(np.nansum(error))
+                count[k] = count.get(k, 0) + int((~np.isnan(y)).sum())
+        yield pd.DataFrame({"combination": [k for k, _ in tried], "total": [total.get(k, 0.0) for k, _ in tried],
+                            "count": [count.get(k, 0) for k, _ in tried], "error": [failed.get(k) for k, _ in tried]})
+
+    sums = samples.select(inputs, target).mapInPandas(run, "combination long, total double, count long, error string")
+    found = sums.groupBy("combination").agg(F.sum("total").alias("total"), F.sum("count").alias("count"), F.min("error").alias("error"))
+    mean = F.col("total") / F.nullif(F.col("count"), F.lit(0))
+    value = F.when(F.col("error").isNull(), F.sqrt(mean) if metric == "RMSE" else mean)
+    return grid.join(found.select("combination", value.alias("metric"), "error"), "combination", "left")
 
 
 def rank_grid(results: DataFrame, metric: str = "metric", top: int = 10) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.functions import arrays, calendar as cal
-from chronoloom.operators import forecast as fc, metrics as mt, models, windows as wn
+from chronoloom.operators import forecast as fc, metrics as mt, models, split as sp, windows as wn
 from chronoloom.plans import forecasting as fg
 
 
@@ -97,16 +97,30 @@ def test_future_and_evaluation(spark):
 
 
 def test_grid(spark):
-    def run(a, b):
+    """All combinations in one scan; a failing one is a row with its error and is never ranked."""
+    samples = samples_of(waves(spark, 40, 2), 8, 4).repartition(3)
+
+    def run(x, a, b):
         if a == 2 and b == "x":
             raise RuntimeError("no memory")
-        return a + len(b)
-
-    results = fc.grid_search(spark, {"a": [3, 1, 2], "b": ["x", "yy"]}, run)
-    assert results.count() == 6
+        if b == "short":
+            return x[:, :2]
+        return np.repeat(x[:, -1:], 4, 1) + a
+
+    grid = sp.parameter_grid(spark, {"a": [3, 1, 2], "b": ["x", "yy", "short"]})
+    results = fc.grid_search(samples, grid, run, 4)
+    rows = {(r.a, r.b): r for r in results.collect()}
+    assert len(rows) == 9 and [rows[a, b].combination for a, b in ((3, "x"), (3, "yy"), (1, "x"))] == [0, 1, 3]
+    data = samples.collect()
+    x, y = np.array([r.inputs for r in data], float), np.array([r.target for r in data], float)
+    for (a, b), r in rows.items():
+        if b == "short" or (a, b) == (2, "x"):
+            assert r.metric is None and r.error.startswith("ValueError" if b == "short" else "RuntimeError: no memory")
+        else:
+            assert r.metric == pytest.approx(np.abs(x[:, -1:] + a - y).mean()) and r.error is None
     best = fc.rank_grid(results, top=2).collect()
-    assert best[0].params == {"a": "1", "b": "x"} and len(best) == 2
-    assert fc.failures(results).first().error == "RuntimeError: no memory"
+    assert [(r.a, r.b) for r in best] == [(1, "x"), (1, "yy")]
+    assert fc.failures(results).count() == 4
 
 
 def test_argmax(spark):
