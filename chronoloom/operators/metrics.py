@@ -216,6 +216,72 @@ def evaluate(
     return tagged[0].join(tagged[1], "_one").select(*names)
 
 
+def _pairs(prediction: str, target: str) -> Column:
+    """The elements of a sample, NaN and infinities as missing."""
+    usable = lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    return F.transform(F.arrays_zip(F.col(prediction).alias("p"), F.col(target).alias("t")), lambda z: F.struct(
+        usable(z["p"].cast("double")).alias("p"), usable(z["t"].cast("double")).alias("t")))
+
+
+def _fold(values: str, term: Callable[[Column], Column]) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, z: acc + F.coalesce(term(z).cast("double"), F.lit(0.0)))
+
+
+def evaluate_samples(
+    samples: DataFrame, metrics: Iterable[str] = METRICS, by: Sequence[str] = (), null_val: float | None = None,
+    prediction: str = "prediction", target: str = "target",
+) -> DataFrame:
+    """MET1-MET9 straight from windows: one row per ``by``, as evaluate() gives for their elements.
+
+    A row is one group of steps (a sample of one node and channel) with arrays.
+    What a group contributes is folded inside its row, so nothing is exploded
+    and only sums per ``by``, merged in each task first, are exchanged.
+    """
+    names = [m for m in metrics if m not in SKIPPED]
+    unknown = [m for m in names if m not in ELEMENTS and m not in GROUP_METRICS]
+    if unknown:
+        raise ValueError(f"unknown metric {unknown[0]}")
+    rows = samples.where(F.size(prediction) > 0).select(*by, _pairs(prediction, target).alias("_z"))
+    mask = lambda z, rtol: valid(z["t"], null_val, rtol)
+    zero = F.lit(0.0)
+
+    def zeroed(rtol: bool) -> Column:
+        return F.transform("_z", lambda z: F.struct(
+            F.when(mask(z, rtol), F.coalesce(z["p"], zero)).otherwise(zero).alias("p"), F.when(mask(z, rtol), z["t"]).otherwise(zero).alias("t")))
+
+    out, aggs = {}, {}
+    for name in names:
+        if name in ELEMENTS:
+            part = ELEMENTS[name]
+            rows = rows.withColumns({
+                f"_sum_{name}": _fold("_z", lambda z, f=part: F.when(f(z["p"], z["t"], null_val)[1], f(z["p"], z["t"], null_val)[0])),
+                f"_count_{name}": _fold("_z", lambda z, f=part: f(z["p"], z["t"], null_val)[1].cast("int"))})
+            aggs |= {f"_sum_{name}": F.sum(f"_sum_{name}"), f"_count_{name}": F.sum(f"_count_{name}")}
+            out[name] = _ratio(name, F.col(f"_sum_{name}"), F.col(f"_count_{name}"))
+    if "WAPE" in names:
+        rows = rows.withColumn("_m", zeroed(True)).withColumn(
+            "_wape", _fold("_m", lambda z: F.abs(z["p"] - z["t"])) / (_fold("_m", lambda z: F.abs(z["t"])) + EPS))
+        aggs["_wape"], out["WAPE"] = F.avg("_wape"), F.col("_wape")
+    if "R2" in names:
+        rows = rows.withColumn("_m", zeroed(False)).withColumn("_mean", _fold("_m", lambda z: z["t"]) / F.size("_m"))
+        rows = rows.withColumn("_r2", 1 - _fold("_m", lambda z: (z["t"] - z["p"]) * (z["t"] - z["p"])) / (
+            _fold("_m", lambda z: (z["t"] - F.col("_mean")) * (z["t"] - F.col("_mean"))) + EPS))
+        aggs["_r2"], out["R2"] = F.avg("_r2"), F.col("_r2")
+    if "CORR" in names:
+        whole = ~F.exists("_z", lambda z: z["p"].isNull() | z["t"].isNull())
+        varied = lambda c: F.array_max(F.col(f"_z.{c}")) > F.array_min(F.col(f"_z.{c}"))
+        rows = rows.withColumns({"_mp": _fold("_z", lambda z: z["p"]) / F.size("_z"), "_mt": _fold("_z", lambda z: z["t"]) / F.size("_z")})
+        of = lambda a, b: _fold("_z", lambda z: (z[a] - F.col(f"_m{a}")) * (z[b] - F.col(f"_m{b}")))
+        rows = rows.withColumns({"_cov": of("p", "t"), "_vp": of("p", "p"), "_vt": of("t", "t"),
+                                 "_corr_n": _fold("_z", lambda z: mask(z, False).cast("int"))})
+        corr = F.when(whole & varied("p") & varied("t"), F.col("_cov") / F.sqrt(F.nullif(F.col("_vp") * F.col("_vt"), zero))).otherwise(0.0)
+        rows = rows.withColumn("_corr", corr * F.col("_corr_n"))
+        aggs |= {"_corr": F.sum("_corr"), "_corr_n": F.sum("_corr_n")}
+        out["CORR"] = F.coalesce(F.col("_corr") / F.nullif(F.col("_corr_n"), zero), zero)
+    sums = rows.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
+    return sums.select(*by, *[out[n].alias(n) for n in names])
+
+
 def _bind(metric: Callable[..., Column], null_val: float | None) -> Column:
     import inspect
 

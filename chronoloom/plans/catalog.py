@@ -83,10 +83,14 @@ def user_samples(
     return wn.sliding_windows(rows, ["split", "node"], "pos", ["value"], in_len, out_len)
 
 
+def user_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasonal-naive forecasts of every sample of every split, as arrays."""
+    return models.with_seasonal_naive(user_samples(spark, sf_dir), IN_LEN, OUT_LEN, PERIOD)
+
+
 def user_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seasonal-naive forecasts of every sample of every split, in long form."""
-    samples = models.with_seasonal_naive(user_samples(spark, sf_dir), IN_LEN, OUT_LEN, PERIOD)
-    return models.forecast_rows(samples, ["split", "sample_id", "node"])
+    """The same in long form."""
+    return models.forecast_rows(user_predictions(spark, sf_dir), ["split", "sample_id", "node"])
 
 
 # The same frames in SQL.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoloom.operators import evaluate as ev, metrics as mt
-from chronoloom.plans.catalog import FORECAST_SQL, query, r6, sql_r6, user_forecast
+from chronoloom.plans.catalog import FORECAST_SQL, query, r6, sql_r6, user_forecast, user_predictions
 
 MASK = "target IS NOT NULL AND abs(target - 0) > {tol}"
 
@@ -48,7 +48,10 @@ def _register(short: str, metric: str) -> None:
     digits = 4 if short == "r2" else 6
 
     def run(spark, sf_dir):
-        out = mt.evaluate(user_forecast(spark, sf_dir), [metric], ["split"], null_val=0.0)
+        if metric in mt.GROUP_METRICS:  # folded inside each sample
+            out = mt.evaluate_samples(user_predictions(spark, sf_dir), [metric], ["split"], null_val=0.0)
+        else:
+            out = mt.evaluate(user_forecast(spark, sf_dir), [metric], ["split"], null_val=0.0)
         return out.select("split", r6(metric, digits).alias(short))
 
     run.__doc__ = f"{metric} of the seasonal-naive forecast per split."

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.operators import evaluate as ev, metrics as mt, profile as pf
+from chronoloom.operators import evaluate as ev, metrics as mt, models, profile as pf
 
 NAN = float("nan")
 
@@ -179,3 +179,31 @@ def test_description_counts_nodes_that_begin_later(spark):
 
     series = spark.createDataFrame([("a", 0), ("a", 1), ("b", 1)], "node string, t_idx long")
     assert describe(series, "x", "d", ["v"], 24).first()["shape"] == [2, 2, 1]
+
+
+@pytest.mark.parametrize("null_val", [None, 0.0])
+def test_samples_give_the_metrics_of_their_elements(spark, null_val):
+    """Folding arrays and grouping elements agree, with missing, infinite, masked and constant values; no exchange by sample."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(60):
+        p, t = rng.normal(0, 2, 5), rng.normal(0, 2, 5)
+        p[rng.random(5) < 0.1] = np.nan
+        t[rng.random(5) < 0.1] = rng.choice([np.nan, np.inf, 0.0])
+        if k % 10 == 0:
+            p, t = rng.normal(0, 1, 5), np.full(5, 0.1)
+        if k % 3 == 0:
+            p, t = np.nan_to_num(p), np.nan_to_num(t, posinf=1.0)
+        clean = lambda v: [None if np.isnan(x) and k % 2 else float(x) for x in v]  # noqa: B023, E731
+        rows.append((f"s{k % 3}", k, 0, clean(p), clean(t)))
+    samples = spark.createDataFrame(rows, "split string, sample_id int, node int, prediction array<double>, target array<double>")
+    folded = mt.evaluate_samples(samples, by=["split"], null_val=null_val)
+    long = models.forecast_rows(samples, ["split", "sample_id", "node"])
+    want = {r.split: r for r in mt.evaluate(long, by=["split"], null_val=null_val).collect()}
+    for r in folded.collect():
+        for m in mt.METRICS:
+            assert r[m] == pytest.approx(want[r.split][m], rel=1e-9, abs=1e-12), m
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(split" in plan and "sample_id" not in plan.split("hashpartitioning(")[1].split(")")[0]
+    with pytest.raises(ValueError):
+        mt.evaluate_samples(samples, ["nope"])
