@@ -10,15 +10,13 @@ from chronoloom.functions.scalars import finite_or_null
 from chronoloom.operators.quantiles import exact_quantiles
 from chronoloom.operators.scalers import to_long, with_stats
 
-# The percentiles a profile reports, the columns it covers, and
-# the limits of the diagnosis rules.
+# The percentiles a profile reports, and the limits of the diagnosis rules.
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
-PROFILED_COLUMNS = 20
 R2_LOW, R2_LOW_SHARE, NRMSE_HIGH, NEAR_SHARE = 0.5, 0.3, 0.5, 0.3
 
 
-def numeric_columns(df: DataFrame, first: int | None = PROFILED_COLUMNS) -> list[str]:
-    """PRJ17."""
+def numeric_columns(df: DataFrame, first: int | None = None) -> list[str]:
+    """PRJ17: all of them, or the ``first`` where a caller asks for a limit."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     return names[:first] if first else names
 

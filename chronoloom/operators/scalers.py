@@ -198,11 +198,10 @@ def invert_chain(df: DataFrame, meta: DataFrame, keys: Sequence[str], value: str
         *[c for c in meta.columns if c not in keys])
 
 
-def chain_datasets(datasets: dict[str, DataFrame], columns: Sequence[str]) -> DataFrame:
-    """SCL13: several inputs as one long table keyed by ``dataset``."""
+def chain_datasets(datasets: dict[str, DataFrame], columns: Sequence[str], row: str) -> DataFrame:
+    """SCL13: several inputs as one long table keyed by ``dataset`` and ``row``, the column that names their rows."""
     longs = [
-        to_long(d.withColumn("dataset", F.lit(name)).withColumn("row", F.monotonically_increasing_id()),
-                ["dataset", "row"], [c for c in columns if c in d.columns])
+        to_long(d.withColumn("dataset", F.lit(name)).withColumn("row", F.col(row)), ["dataset", "row"], [c for c in columns if c in d.columns])
         for name, d in datasets.items()
     ]
     return reduce(DataFrame.unionByName, longs)

@@ -6,7 +6,7 @@ import importlib
 
 from chronoloom.plans.catalog import ORACLES, QUERIES, Query
 
-MODULES = ("panel", "metrics", "cleaning", "relations", "forecast", "streaming")
+MODULES = ("panel", "metrics", "cleaning", "relations", "forecast", "streaming", "sources")
 
 
 def _load() -> None:

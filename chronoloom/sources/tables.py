@@ -213,7 +213,7 @@ def read_metric_tables(spark: SparkSession, root: str, subfolder: str = "evaluat
         if "PATH_NOT_FOUND" in str(e):
             return empty
         raise
-    parts = F.split(F.input_file_name(), "/")
-    model = F.url_decode(F.element_at(parts, -3))
-    split = F.regexp_extract(F.element_at(parts, -1), r"^(train|val|test)_metrics", 1)
-    return df.select(model.alias("model"), split.alias("split"), *df.columns).where(F.col("split") != "")
+    place = f"/([^/]+)/{subfolder}/(train|val|test)_metrics_unnorm[.]csv(/|$)"  # a file, or a folder of its parts
+    path = F.input_file_name()
+    return df.select(F.url_decode(F.regexp_extract(path, place, 1)).alias("model"), F.regexp_extract(path, place, 2).alias("split"),
+                     *df.columns).where(F.col("split") != "")

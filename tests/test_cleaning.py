@@ -424,10 +424,11 @@ def test_transform_chain_and_back(spark, minmax):
 
 
 def test_several_datasets(spark):
-    a = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
-    b = spark.createDataFrame([(3.0,)], "x double")
-    long = sc.chain_datasets({"a": a, "b": b}, ["x", "y"])
-    assert sorted((r.dataset, r["column"], r.value) for r in long.collect()) == [("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0)]
+    a = spark.createDataFrame([("k", 1.0, 2.0)], "id string, x double, y double")
+    b = spark.createDataFrame([("l", 3.0)], "id string, x double")
+    long = sc.chain_datasets({"a": a, "b": b}, ["x", "y"], row="id")
+    assert sorted((r.dataset, r.row, r["column"], r.value) for r in long.collect()) == [
+        ("a", "k", "x", 1.0), ("a", "k", "y", 2.0), ("b", "l", "x", 3.0)]
     assert sc.paired([1], [2]) == [(1, 2)]
     with pytest.raises(ValueError):
         sc.paired([1], [])
@@ -446,6 +447,8 @@ def test_profile(spark):
     x[5], x[6], x[7] = 0.0, np.nan, np.inf
     df = spark.createDataFrame([(float(v), 1, "s") for v in x], "x double, k int, s string")
     assert pf.numeric_columns(df) == ["x", "k"]
+    wide = df.select(*[F.col("k").alias(f"c{j}") for j in range(25)])
+    assert len(pf.numeric_columns(wide)) == 25 and len(pf.numeric_columns(wide, 20)) == 20
     r = pf.column_profile(df, ["x"]).first()
     s = pd.Series(x).replace([np.inf, -np.inf], np.nan)
     d = s.describe(percentiles=[0.01, 0.05, 0.5, 0.95, 0.99])

@@ -186,3 +186,26 @@ def test_density_leaves_out_what_is_not_finite(spark):
             for r in (good, good + odd)]
     np.testing.assert_allclose(made[0][["x", "density"]].to_numpy(float), made[1][["x", "density"]].to_numpy(float))
     assert density.kde_pair(spark.createDataFrame(odd, "g string, v double"), "g", "v").count() == 0
+
+
+def test_eigenvalue_converges_or_raises(spark):
+    """A path's eigenvalues lie close together; too few products are an error, never a guess."""
+    n = 60
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n], "src int, dst int, weight double")
+    full = np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)
+    assert abs(gr.largest_eigenvalue(edges, tol=1e-9)) == pytest.approx(np.abs(np.linalg.eigvalsh(full)).max(), rel=1e-7)  # of either sign
+    with pytest.raises(ArithmeticError):
+        gr.largest_eigenvalue(edges, rounds=3)
+    assert gr.largest_eigenvalue(edges.limit(0)) == 0.0
+
+
+@pytest.mark.parametrize("length", [4, 40])
+def test_transform_of_windows_with_missing_values(spark, length):
+    """Short and long windows agree: one missing value makes the whole spectrum missing."""
+    rows = [(0, [float(k % 5) for k in range(length)]), (1, [None] + [1.0] * (length - 1)), (2, [1.0] * (length - 1) + [None])]
+    df = spark.createDataFrame(rows, "k int, x array<double>")
+    got = {r.k: r for r in spectral.with_dft(df, "x", length).collect()}
+    assert np.allclose(got[0].re, np.fft.fft(rows[0][1]).real) and len(got[1].re) == length
+    assert set(got[1].re) == set(got[2].im) == {None}
+    back = {r.k: r.y for r in spectral.inverse_dft(spectral.with_dft(df, "x", length), "re", "im", "y").collect()}
+    assert np.allclose(back[0], rows[0][1]) and set(back[1]) == {None}
