@@ -124,14 +124,14 @@ deg AS (SELECT src AS node, sum(weight) AS d FROM loops GROUP BY src), out_deg A
 in_deg AS (SELECT dst AS node, sum(weight) AS d FROM edges GROUP BY dst)
 SELECT 'identity' AS kind, 0 AS part, node AS src, node AS dst, 1.0::DOUBLE AS weight FROM nodes
 UNION ALL SELECT 'original', 0, src, dst, weight FROM edges
-UNION ALL SELECT 'symnadj', 0, dst, src, {sql_r6('weight / d')} FROM loops JOIN deg ON node = src
-UNION ALL SELECT 'transition', 0, dst, src, {sql_r6('weight / d')} FROM edges JOIN out_deg ON node = src
-UNION ALL SELECT 'doubletransition', 0, dst, src, {sql_r6('weight / d')} FROM edges JOIN out_deg ON node = src
-UNION ALL SELECT 'doubletransition', 1, src, dst, {sql_r6('weight / d')} FROM edges JOIN in_deg ON node = dst""")
+UNION ALL SELECT 'symnadj', 0, dst, src, {sql_r6('weight / d', 12)} FROM loops JOIN deg ON node = src
+UNION ALL SELECT 'transition', 0, dst, src, {sql_r6('weight / d', 12)} FROM edges JOIN out_deg ON node = src
+UNION ALL SELECT 'doubletransition', 0, dst, src, {sql_r6('weight / d', 12)} FROM edges JOIN out_deg ON node = src
+UNION ALL SELECT 'doubletransition', 1, src, dst, {sql_r6('weight / d', 12)} FROM edges JOIN in_deg ON node = dst""")
 def adjacency_kinds(spark, sf_dir):
     """GR8: the matrices that a graph model may ask for by name."""
     edges, nodes = _trade(spark, sf_dir)
-    parts = [m.select(F.lit(kind).alias("kind"), F.lit(k).alias("part"), "src", "dst", r6("weight").alias("weight"))
+    parts = [m.select(F.lit(kind).alias("kind"), F.lit(k).alias("part"), "src", "dst", r6("weight", 12).alias("weight"))
              for kind in ("identity", "original", "symnadj", "transition", "doubletransition")
              for k, m in enumerate(gr.load_adjacency(edges, nodes, kind))]
     return sp.union_all(parts)

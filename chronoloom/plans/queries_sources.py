@@ -142,13 +142,13 @@ def forecast_files(spark, sf_dir):
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("prediction"), 3).alias("total"))
 
 
-@query(f"""WITH {FORECAST_SQL} SELECT split, {sql_r6(f'sum(CASE WHEN {M} THEN coalesce(abs(prediction - target), 0) END) / count(*) FILTER (WHERE {M})', 5)} AS mae FROM forecast GROUP BY split""")
+@query(f"""WITH {FORECAST_SQL} SELECT split, {sql_r6(f'sum(CASE WHEN {M} THEN coalesce(abs(prediction - target), 0) END) / count(*) FILTER (WHERE {M})')} AS mae FROM forecast GROUP BY split""")
 def metric_record(spark, sf_dir):
     """SNK6: a nested record per split; the overall error is read back out of it."""
     path = scratch(spark, "metrics")
     sinks.write_metrics(mt.horizon_metrics(user_forecast(spark, sf_dir), [1], ["MAE", "RMSE"], ["split"], 0.0), path)
     back = spark.read.schema("split string, scopes map<string,string>").json(path)
-    return back.select("split", r6(F.get_json_object(F.col("scopes")["overall"], "$.MAE").cast("double"), 5).alias("mae"))
+    return back.select("split", r6(F.get_json_object(F.col("scopes")["overall"], "$.MAE").cast("double")).alias("mae"))
 
 
 @query(f"""WITH {FORECAST_SQL} SELECT count(*) // 2 AS n, {', '.join(f"{sql_r6(f'avg(target) FILTER (WHERE step = {k})')} AS truth_{k}, {sql_r6(f'avg(prediction) FILTER (WHERE step = {k})')} AS pred_{k}" for k in (1, 2))}
