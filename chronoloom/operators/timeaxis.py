@@ -14,9 +14,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronoloom.functions.calendar import micros
+from chronoloom.session import stage
 
 CHUNK = 65_536
-MAX_CHUNKS = 4_096
+#: Splitters of an axis that reach the driver at most.
+SPLITTERS = 4_096
 
 
 def chunk_of(pos: Column | str, size: int) -> Column:
@@ -32,26 +34,39 @@ def balanced_buckets(df: DataFrame, order: str, n_buckets: int, name: str = "_bu
     """Adds an ordered bucket number; buckets hold about equally many rows.
 
     The splitters come from one approximate quantile sketch, so they follow the
-    data however unevenly it lies on the axis.  Only ``n_buckets`` numbers reach
-    the driver.
+    data however unevenly it lies on the axis.  At most ``SPLITTERS`` numbers
+    reach the driver; where more buckets are wanted, the range between two
+    splitters is cut evenly, so their number is not limited.
     """
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10 * n_buckets)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
+    coarse = min(n_buckets, SPLITTERS)
+    fine = -(-n_buckets // coarse)
+    probs = [i / coarse for i in range(1, coarse)]
+    value = F.col(order).cast("double")
+    found = df.agg(F.percentile_approx(value, probs, 10 * coarse), F.min(value), F.max(value)).first() if probs else None
+    cuts = sorted(set(found[0] or [])) if found else []
+    if not cuts:
         return df.withColumn(name, F.lit(0.0))
-    out = df.withColumn("_order_double", F.col(order).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_order_double", outputCol=name).transform(out).drop("_order_double")
-
-
-def time_index(df: DataFrame, ts: str, name: str = "t_idx", n_buckets: int = 512) -> DataFrame:
+    out = df.withColumn("_order_double", value)
+    out = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_order_double", outputCol=name).transform(out)
+    if fine > 1:
+        edges = [found[1], *cuts, found[2]]
+        ends = df.sparkSession.createDataFrame(
+            [(float(k), edges[k], edges[k + 1]) for k in range(len(edges) - 1)], f"`{name}` double, _from double, _to double")
+        part = F.floor((F.col("_order_double") - F.col("_from")) / F.nullif(F.col("_to") - F.col("_from"), F.lit(0.0)) * fine)
+        inside = F.least(F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)), F.lit(fine - 1))
+        out = out.join(F.broadcast(ends), name).withColumn(name, F.col(name) * fine + inside).drop("_from", "_to")
+    return out.drop("_order_double")
+
+
+def time_index(df: DataFrame, ts: str, name: str = "t_idx", n_buckets: int | None = None) -> DataFrame:
     """SPL1: the 0-based ordinal of each distinct timestamp, as ``(ts, t_idx)``.
 
     Joined back by the caller.  For a regular series :func:`regular_index` needs
-    no shuffle at all.
+    no shuffle at all.  Buckets hold about ``CHUNK`` stamps, or as many are made
+    as asked for.
     """
-    stamps = df.select(ts).where(F.col(ts).isNotNull()).distinct().withColumn("_us", micros(ts))
-    stamps = balanced_buckets(stamps, "_us", n_buckets)
+    stamps = stage(df.select(ts).where(F.col(ts).isNotNull()).distinct().withColumn("_us", micros(ts)))
+    stamps = balanced_buckets(stamps, "_us", n_buckets or max(1, -(-stamps.count() // CHUNK)))
     sizes = stamps.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -76,7 +91,7 @@ def in_chunks(df: DataFrame, pos: str, chunk: int | None) -> DataFrame:
     """
     if chunk is not None:
         return df.withColumn("_chunk", chunk_of(pos, chunk))
-    n = min(max(df.count() // CHUNK, 1), MAX_CHUNKS)
+    n = max(df.count() // CHUNK, 1)
     if n == 1:
         return df.withColumn("_chunk", F.lit(0).cast("long"))
     return balanced_buckets(df, pos, n, "_chunk").withColumn("_chunk", F.col("_chunk").cast("long"))

@@ -224,3 +224,19 @@ def test_last_window_of_ragged_series(spark):
     assert "c" not in got
     shared = {r.node: r for r in wn.last_window(df, ["node"], "pos", "ts", "v", 6, 1, 1_000_000, last_pos=9).collect()}
     assert shared["b"].inputs == [4.0, None, None, None, None, None] and shared["b"].future_ts[0].second == 10
+
+
+def test_buckets_beyond_the_splitters(spark, monkeypatch):
+    """More buckets than splitters: still in order, still balanced, and ordinals stay gapless."""
+    monkeypatch.setattr(ta, "SPLITTERS", 4)
+    df = spark.range(4000).select(F.col("id"), (F.col("id") * F.col("id")).alias("pos"))
+    rows = ta.balanced_buckets(df, "pos", 64).orderBy("pos").collect()
+    buckets = [r._bucket for r in rows]
+    assert buckets == sorted(buckets) and len(set(buckets)) > 30
+    assert max(np.bincount(np.array(buckets, int))) < 400
+    times = df.select(cal.from_micros(F.col("pos") * 1000).alias("ts"))
+    got = ta.time_index(times, "ts", n_buckets=64).orderBy("ts").collect()
+    assert [r.t_idx for r in got] == list(range(4000))
+    monkeypatch.setattr(ta, "CHUNK", 50)
+    counted = ta.running_count(df.withColumn("k", F.lit("a")), ["k"], "pos", F.lit(True), "n", None).orderBy("pos").collect()
+    assert [r.n for r in counted] == list(range(1, 4001))
