@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from chronoloom.operators.skew import join_one, sizes_of
 from chronoloom.session import stage
 
-#: Bits that a level tells apart, and distinct values of a bucket that are sorted at once.
-DIGIT, SORTED = 12, 65_536
+#: Bits that a level tells apart, and rows of a bucket that are sorted at once.
+DIGIT, SORTED = 12, 1 << 18
 MANTISSA = 52
 _ONE = float(1 << MANTISSA)
 _SUBNORMAL = 2.0 ** -1022
@@ -96,22 +96,31 @@ def exact_quantiles(
 
     Same definition as ``percentile``: position ``p * (n - 1)``, linear in
     between.  Missing values and NaN do not count, groups without a value give
-    no row; NULL is a group like any other.  A bucket with more than ``few``
-    distinct values is divided further before it is sorted.
+    no row; NULL is a group like any other.  A group, and then a bucket, with
+    more than ``few`` rows (below the first level: distinct values) is divided
+    before it is sorted.
     """
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
     rows = df.select(group.alias("_g"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     rows = stage(rows.select("_g", order_key(F.col("_v")).alias("_key")))
-    # the first level needs no join: every bucket of exponents knows which of its group's ranks it covers
-    counts = rows.groupBy("_g", F.shiftright("_key", MANTISSA).alias("_bucket")).agg(F.count(F.lit(1)).alias("_c"))
-    counts = _ends(counts, ["_g"], "_bucket").withColumn("_n", F.sum("_c").over(Window.partitionBy("_g")))
     position = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
     wanted = F.array(*[F.struct(F.lit(2 * i + up).alias("_t"), (F.ceil(h) if up else F.floor(h)).cast("long").alias("_rank"))
                        for i, h in enumerate(position) for up in (0, 1)])
     covered = F.filter(wanted, lambda w: w["_rank"].between(F.col("_start"), F.col("_end") - 1))
-    place = stage(counts.select("_g", "_n", "_bucket", F.col("_c").alias("_size"), "_start", F.explode(covered).alias("_w")).select(
-        "_g", "_n", "_bucket", "_size", F.col("_w._t").alias("_t"), (F.col("_w._rank") - F.col("_start")).alias("_rank")))
-    found = order_statistics(rows, place.drop("_n"), few=few).join(place.select("_g", "_t", "_n"), ["_g", "_t"])
+
+    def places(counts: DataFrame, at: str) -> DataFrame:
+        """Which rows of a histogram of whole groups hold the wanted ranks; needs no join, as each knows what it covers."""
+        ends = _ends(counts, ["_g"], at).withColumn("_n", F.sum("_c").over(Window.partitionBy("_g")))
+        return ends.select("_g", "_n", at, "_c", "_start", F.explode(covered).alias("_w"))
+
+    largest = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+    if largest <= few:  # no group has to be divided
+        found = places(rows.groupBy("_g", "_key").agg(F.count(F.lit(1)).alias("_c")), "_key").select("_g", "_n", "_key", "_w._t")
+    else:
+        counts = rows.groupBy("_g", F.shiftright("_key", MANTISSA).alias("_bucket")).agg(F.count(F.lit(1)).alias("_c"))
+        place = stage(places(counts, "_bucket").select(
+            "_g", "_n", "_bucket", F.col("_c").alias("_size"), F.col("_w._t").alias("_t"), (F.col("_w._rank") - F.col("_start")).alias("_rank")))
+        found = order_statistics(rows, place.drop("_n"), few=few).join(place.select("_g", "_t", "_n"), ["_g", "_t"])
     at = {t: F.max(F.when(F.col("_t") == t, value_of(F.col("_key")))).alias(f"_a{t}") for t in range(2 * len(probs))}
     wide = found.groupBy("_g", "_n").agg(*at.values())
     out = []
