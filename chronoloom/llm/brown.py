@@ -65,7 +65,10 @@ def _sequences(batch: pa.RecordBatch, place: dict[bytes, int]) -> Iterator[tuple
 
 
 def count_codes(docs: DataFrame, text: str, size: int, codes) -> np.ndarray:
-    """How often each number below ``size`` occurs in what ``codes`` makes of the batches; at most ``size`` rows are sent."""
+    """How often each number below ``size`` occurs in what ``codes`` makes of the batches; at most ``size`` rows are sent.
+
+    Counts are doubles, exact up to 2^53.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
@@ -81,7 +84,7 @@ def count_codes(docs: DataFrame, text: str, size: int, codes) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["code", "n"])
 
     got = _texts(docs, text).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.float32 if size > 1 << 22 else np.float64)
+    out = np.zeros(size)
     for batch in got.to_batches():
         out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out
