@@ -3,12 +3,15 @@
 The distance between two rows uses the coordinates both have, scaled up by the
 share that is missing.  The rows of a station are put in an order that keeps
 rows with the same missing coordinates and nearby values together, and cut into
-leaves of bounded size.  Leaves are the bottom of a tree of boxes: a node knows
+leaves of bounded size; a station that fits one is searched as it is.  Leaves
+are the bottom of a tree of boxes: a node knows
 the range of each coordinate among its rows, which coordinates any and all of
 them have, and how many they are.  From that follows how near and how far rows
 of two nodes can be.  A leaf of incomplete rows goes down the tree level by
 level and keeps the nodes that can hold one of its nearest neighbours; the rest
-is ruled out exactly, not approximately.  Only the k nearest leave a task.
+is ruled out exactly, not approximately.  The leaves that remain are met nearest
+first, and each row passes over those beyond the k it has.  Only the mean of the
+k nearest leaves a task.
 """
 
 from __future__ import annotations
@@ -19,25 +22,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chronoloom.operators.skew import join_one
+from chronoloom.operators.skew import join_one, spread
 from chronoloom.session import stage
 
 #: Rows of a leaf, children of a node, leaves of a station that meet its top nodes in one task.
-BLOCK, FAN, ASKING = 2_048, 32, 256
+BLOCK, FAN, ASKING = 512, 32, 256
+#: Halvings of a coordinate's range that the order of rows follows; rows, and pairs of leaves, that one task searches at about most.
+HALVINGS, SEARCHED, PAIRS = 6, 50_000, 1_000
 # distances are compared at this resolution, so that the order of additions
 # does not decide a tie; remaining ties go to the smaller row id
 DECIMALS = 9
 
 
 def _order(z: Sequence[Column]) -> Column:
-    """Text that sorts rows: which coordinates are there, then their signs, then whether each is beyond one deviation.
+    """Text that sorts rows: which coordinates are there, then in which half of its range each is, then in which quarter, ...
 
-    Coordinates are interleaved, so that neighbours in this order are mostly near in all of them.
+    Coordinates are interleaved, so that neighbours in this order are mostly
+    near in all of them.  Ranges are halved on the logistic scale, where values
+    about the mean lie evenly.
     """
     there = [F.when(c.isNotNull(), "1").otherwise("0") for c in z]
-    sign = [F.when(c >= 0.0, "1").otherwise("0") for c in z]
-    far = [F.when((c >= 1.0) | ((c < 0.0) & (c >= -1.0)), "1").otherwise("0") for c in z]
-    return F.concat(*there, *sign, *far)
+    places = 1 << HALVINGS
+    at = [F.least(F.floor(F.coalesce(1.0 / (1.0 + F.exp(c * -1.7)), F.lit(0.0)) * places), F.lit(places - 1)).cast("long") for c in z]
+    halves = [F.when(c.bitwiseAND(F.lit(places >> (h + 1))) > 0, "1").otherwise("0") for h in range(HALVINGS) for c in at]
+    return F.concat(*there, *halves)
 
 
 def standardised(df: DataFrame, station: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -50,6 +58,13 @@ def standardised(df: DataFrame, station: Sequence[str], columns: Sequence[str])
     return join_one(df, stats, list(station), "_rows").withColumn("_z", z), stats
 
 
+def _flat(tag: str = "") -> list[Column]:
+    """``ids`` and flat ``values`` of the rows in ``_list``, with NaN for missing."""
+    flat = F.flatten(F.transform("_list", lambda r: F.transform(r["_z"], lambda x: F.coalesce(x, F.lit(float("nan"))))))
+    names = [f"{tag}_{c}" if tag else c for c in ("ids", "values")]
+    return [F.transform("_list", lambda r: r["id"]).alias(names[0]), flat.alias(names[1])]
+
+
 def pack_leaves(rows: DataFrame, station: Sequence[str], row: str, width: int, block: int) -> DataFrame:
     """One row per leaf: (station, leaf, ids, values flat with NaN for missing), of about ``block`` rows in order."""
     z = [F.col("_z")[j] for j in range(width)]
@@ -67,8 +82,7 @@ def pack_leaves(rows: DataFrame, station: Sequence[str], row: str, width: int, b
     spot = F.col("_offset") + F.pmod(F.xxhash64(row), F.col("_n"))
     placed = placed.withColumn("leaf", F.floor(spot / block).cast("long"))
     listed = placed.groupBy(*station, "leaf").agg(F.sort_array(F.collect_list(F.struct(F.col(row).alias("id"), "_z"))).alias("_list"))
-    flat = F.flatten(F.transform("_list", lambda r: F.transform(r["_z"], lambda x: F.coalesce(x, F.lit(float("nan"))))))
-    return listed.select(*station, "leaf", F.transform("_list", lambda r: r["id"]).alias("ids"), flat.alias("values"))
+    return listed.select(*station, "leaf", *_flat())
 
 
 def leaf_boxes(leaves: DataFrame, station: Sequence[str], width: int) -> DataFrame:
@@ -113,8 +127,8 @@ def bounds(q: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray, whole: np.n
     return out[0], out[1], count > 0, maybe.any(1)
 
 
-def kept_nodes(q: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray, whole: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
-    """Which nodes can hold one of the k nearest donors of some row and column that ``q`` lacks."""
+def kept_nodes(q: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray, whole: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which nodes can hold one of the k nearest donors of some row and column that ``q`` lacks, and how near they can be."""
     nearest_, farthest, sure, shared = bounds(q, lo, hi, whole)
     keep = np.zeros(len(n), bool)
     for c in np.flatnonzero(~q["whole"]):
@@ -124,11 +138,11 @@ def kept_nodes(q: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray, whole:
         enough = np.flatnonzero(np.cumsum(n[order]) >= k)
         reach = farthest[order[enough[0]]] if len(enough) else np.inf
         keep[can[nearest_[can] <= reach * (1 + 1e-9) + 1e-9]] = True
-    return keep
+    return keep, nearest_
 
 
 def candidate_pairs(leaves: DataFrame, station: Sequence[str], width: int, k: int, fan: int = FAN) -> DataFrame:
-    """(station, q_leaf, d_leaf): leaves that can hold a nearest neighbour, found by going down the tree."""
+    """(station, q_leaf, d_leaf, near): leaves that can hold a nearest neighbour, found by going down the tree."""
     levels = [stage(leaf_boxes(leaves, station, width))]
     most = levels[0].agg(F.max("node")).first()[0]
     while most is not None and most >= fan:
@@ -137,137 +151,162 @@ def candidate_pairs(leaves: DataFrame, station: Sequence[str], width: int, k: in
     box = ["lo", "hi", "whole"]
     asking = levels[0].where(F.exists("whole", lambda w: ~w)).select(*station, F.col("node").alias("q_leaf"), *[F.col(c).alias(f"q_{c}") for c in box])
     types = {f.name: f.dataType.simpleString() for f in leaves.schema.fields}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in station] + ["q_leaf long", "node long"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in station] + ["q_leaf long", "node long", "near double"])
 
     def prune(part: pd.DataFrame) -> pd.DataFrame:
         matrix = lambda c, kind: np.array([np.asarray(v, kind) for v in part[c]])
         first = part.iloc[0]
         q = {c: np.asarray(first[f"q_{c}"], bool if c == "whole" else float) for c in box}
-        keep = kept_nodes(q, matrix("lo", float), matrix("hi", float), matrix("whole", bool), part["n"].to_numpy(), k)
-        return part.loc[keep, [*station, "q_leaf", "node"]]
+        keep, near = kept_nodes(q, matrix("lo", float), matrix("hi", float), matrix("whole", bool), part["n"].to_numpy(), k)
+        # a leaf's own rows come first
+        near = np.where(part["node"].to_numpy() == first["q_leaf"], -1.0, near) if first["_leaves"] else near
+        return part.assign(near=near).loc[keep, [*station, "q_leaf", "node", "near"]]
 
+    asked = asking.count()
     # a station's top nodes are few; copies of them keep its leaves from meeting in one task
     counts = asking.groupBy(*station).agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("_salts"))
     top = levels[-1].join(counts, list(station)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
     dealt = asking.join(counts, list(station)).withColumn("_salt", F.pmod(F.xxhash64("q_leaf"), F.col("_salts"))).drop("_salts")
     met = dealt.join(top, [*station, "_salt"]).drop("_salt")
     for level in range(len(levels) - 1, -1, -1):
-        found = met.groupBy(*station, "q_leaf").applyInPandas(prune, schema)
+        found = spread(met.withColumn("_leaves", F.lit(level == 0)), asked, *station, "q_leaf", each=PAIRS).groupBy(*station, "q_leaf").applyInPandas(prune, schema)
         if level:
             below = levels[level - 1].withColumnRenamed("node", "_child").withColumn("node", F.floor(F.col("_child") / fan).cast("long"))
-            met = stage(found).join(below, [*station, "node"]).drop("node").withColumnRenamed("_child", "node").join(asking, [*station, "q_leaf"])
+            met = stage(found.drop("near")).join(below, [*station, "node"]).drop("node").withColumnRenamed("_child", "node").join(asking, [*station, "q_leaf"])
     return found.withColumnRenamed("node", "d_leaf")
 
 
-def nearest_donors(leaves: DataFrame, pairs: DataFrame, station: Sequence[str], row_type: str, width: int, k: int) -> DataFrame:
-    """The k nearest donors of each incomplete row in each pair of leaves, with the wanted values."""
-    def side(tag: str) -> DataFrame:
-        return leaves.select(*station, *[F.col(c).alias(f"{tag}_{c}") for c in ("leaf", "ids", "values")])
+def leaf_search(both: DataFrame, station: Sequence[str], row_type: str, width: int, k: int) -> DataFrame:
+    """(station, id, fills): for each incomplete row the mean value of its k nearest donors in each column it lacks.
 
-    # joined to the asking side last, so that the pairs of one asking leaf mostly
-    # follow each other and their candidates can be merged before they are shuffled
-    both = pairs.join(side("d"), [*station, "d_leaf"]).join(side("q"), [*station, "q_leaf"])
-    types = {f.name: f.dataType.simpleString() for f in leaves.schema.fields}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in station] + [
-        f"id {row_type}, col int, dist double, donor {row_type}, value double"])
-    columns = [*station, "id", "col", "dist", "donor", "value"]
-
-    def pair(r: dict) -> Iterator[tuple[np.ndarray, ...]]:
-        d_ids = np.asarray(r["d_ids"])
-        q, d = (np.asarray(r[c], dtype=float).reshape(-1, width) for c in ("q_values", "d_values"))
-        q_has, d_has = ~np.isnan(q), ~np.isnan(d)
-        q, d = np.nan_to_num(q), np.nan_to_num(d)
-        asking = np.flatnonzero(~q_has.all(1))
-        step = max(1, 2_000_000 // max(len(d_ids), 1))
-        # leaves of one pattern each: only shared coordinates count, and always the same
-        pure = (q_has == q_has[:1]).all() and (d_has == d_has[:1]).all()
-        for start in range(0, len(asking), step):
-            part = asking[start:start + step]
-            total = np.zeros((len(part), len(d_ids)))
-            if pure:
-                both = np.flatnonzero(q_has[0] & d_has[0])
-                for j in both:
-                    total += (q[part, j, None] - d[None, :, j]) ** 2
-                shared = len(both)
-            else:
-                shared = np.zeros((len(part), len(d_ids)))
-                for j in range(width):
-                    have = q_has[part, j, None] & d_has[None, :, j]
-                    total += np.where(have, (q[part, j, None] - d[None, :, j]) ** 2, 0.0)
-                    shared += have
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.sqrt(total * (width / np.asarray(shared, dtype=float)))
-            dist[np.isnan(dist)] = np.inf
-            whole = None
-            for j in range(width):
-                rows = np.flatnonzero(~q_has[part, j])
-                can = np.flatnonzero(d_has[:, j])
-                if not len(rows) or not len(can):
-                    continue
-                if len(can) == len(d_ids) and len(rows) == len(part):
-                    whole = nearest(dist, k) if whole is None else whole
-                    at, picked = whole
-                else:
-                    at, picked = nearest(dist[np.ix_(rows, can)], k)
-                    at, picked = rows[at], can[picked]
-                yield (part[at], np.full(len(at), j, dtype=np.int32), np.round(dist[at, picked], DECIMALS),
-                       d_ids[picked], d[picked, j])
-
-    def merged(parts: list) -> list:
-        """The k best of each (row, column) among several donor blocks."""
-        if len(parts) == 1:
-            return parts
-        at, col, dist, donor, value = (np.concatenate(c) for c in zip(*parts))
-        rank = np.unique(donor, return_inverse=True)[1]
-        order = np.lexsort((rank, dist, col, at))
-        at, col, dist, donor, value = (c[order] for c in (at, col, dist, donor, value))
-        first = np.r_[True, (np.diff(at) != 0) | (np.diff(col) != 0)]
-        start = np.flatnonzero(first)
-        keep = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)])) < k
-        return [(at[keep], col[keep], dist[keep], donor[keep], value[keep])]
+    ``both`` has one row per pair of leaves; all pairs of an asking leaf follow
+    each other in one partition, nearest first.
+    """
+    types = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in station] + [f"id {row_type}, fills array<double>"])
 
-    def finished(name: list, ids: np.ndarray, parts: list) -> pd.DataFrame:
-        at, *rest = (np.concatenate(c) for c in zip(*merged(parts)))
-        out = pd.DataFrame(dict(zip(columns[len(station):], [ids[at], *rest])))
-        for c, v in zip(station, name):
-            out[c] = v
-        return out[columns]
+    def made(names: list, ids: list, fills: list) -> pd.DataFrame:
+        out = pd.DataFrame({c: [n[i] for n in names] for i, c in enumerate(station)})
+        out["id"], out["fills"] = ids, fills
+        return out[[*station, "id", "fills"]]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, name, ids, parts = None, None, None, []
+        current, asking, waiting = None, None, ([], [], [])
+
+        def close() -> None:
+            for i, fills in asking.means():
+                waiting[0].append(current[:-1])
+                waiting[1].append(asking.ids[i])
+                waiting[2].append(fills)
+
         for pdf in batches:
             for r in pdf.to_dict("records"):
                 key = (*[r[c] for c in station], r["q_leaf"])
                 if key != current:
-                    if parts:
-                        yield finished(name, ids, parts)
-                    current, name, ids, parts = key, [r[c] for c in station], np.asarray(r["q_ids"]), []
-                parts.extend(pair(r))
-                if sum(len(p[0]) for p in parts) > 2_000_000:
-                    parts = merged(parts)
-        if parts:
-            yield finished(name, ids, parts)
+                    if asking:
+                        close()
+                    current, asking = key, Asking(r["q_ids"], r["q_values"], width, k)
+                asking.meet(np.asarray(r["d_ids"]), np.asarray(r["d_values"], dtype=float).reshape(-1, width))
+                if len(waiting[0]) >= 20_000:
+                    yield made(*waiting)
+                    waiting = ([], [], [])
+        if asking:
+            close()
+        if waiting[0]:
+            yield made(*waiting)
 
     return both.mapInPandas(search, schema)
 
 
-def nearest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k smallest entries of each row, ties by column.
-
-    Ids ascend within a block, so the smaller column is the smaller id.
-    """
-    if dist.shape[1] > k:
-        reach = np.round(np.partition(dist, k - 1, axis=1)[:, k - 1:k], DECIMALS) + 10.0**-DECIMALS
-        row, col = np.nonzero((dist <= reach) & np.isfinite(dist))
-    else:
-        row, col = np.nonzero(np.isfinite(dist))
-    order = np.lexsort((col, np.round(dist[row, col], DECIMALS), row))
-    row, col = row[order], col[order]
-    if not len(row):
-        return row, col
-    start = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-    place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
-    return row[place < k], col[place < k]
+class Asking:
+    """The incomplete rows of a leaf and the k nearest donors met so far in each column that they lack."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, width: int, k: int):
+        z = np.asarray(values, dtype=float).reshape(-1, width)
+        rows = np.flatnonzero(np.isnan(z).any(1))
+        self.ids, self.width, self.k = [ids[i] for i in rows], width, k
+        self.has = ~np.isnan(z[rows])
+        self.z = np.nan_to_num(z[rows])
+        self.sides = np.hstack([self.z**2, -2 * self.z, self.has.astype(float)])
+        self.size = (self.z**2).sum(1)
+        # distance of the k-th donor of each row and column
+        self.reach = np.where(self.has, -1.0, np.inf)
+        self.best: tuple | None = None
+
+    def meet(self, d_ids: np.ndarray, d: np.ndarray) -> None:
+        """Takes up what a leaf of donors has.
+
+        Products tell distances up to an error that is allowed for; only pairs
+        that may be among the k nearest are measured coordinate by coordinate.
+        """
+        there = ~np.isnan(d)
+        some, whole = there.any(0), there.all(0)
+        lo, hi = (np.where(some, f(np.where(there, d, e), axis=0), 0.0) for f, e in ((np.min, np.inf), (np.max, -np.inf)))
+        most = (self.has & some).sum(1)
+        gap = np.maximum(np.maximum(lo - self.z, self.z - hi), 0.0) ** 2
+        nearest_ = np.sqrt(self.width / np.maximum(most, 1) * np.where(self.has & whole, gap, 0.0).sum(1))
+        wanted = (nearest_[:, None] * (1 - 1e-9) <= self.reach + 1e-8) & some & (most > 0)[:, None]
+        rows = np.flatnonzero(wanted.any(1))
+        if not len(rows):
+            return
+        d = np.nan_to_num(d)
+        theirs, squares = there.astype(float), d**2
+        found = []
+        step = max(1, 1_000_000 // len(d))
+        for part in (rows[i:i + step] for i in range(0, len(rows), step)):
+            shared = self.has[part].astype(float) @ theirs.T
+            about = self.sides[part] @ np.hstack([theirs, d, squares]).T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                about = np.where(shared > 0, about * (self.width / shared), np.inf)
+            slack = self.width * 1e-11 * (1.0 + self.size[part] + squares.sum(1).max())
+            for c in np.flatnonzero(wanted[part].any(0)):
+                at, can = np.flatnonzero(wanted[part, c]), np.flatnonzero(there[:, c])
+                near = about if len(at) == len(part) and len(can) == len(d) else about[np.ix_(at, can)]
+                if len(can) > self.k:
+                    kth = np.partition(near, self.k - 1, axis=1)[:, self.k - 1]
+                    bar = np.minimum(np.sqrt(np.maximum(kth + slack[at], 0.0)), self.reach[part[at], c])
+                else:
+                    bar = self.reach[part[at], c]
+                i, j = np.nonzero((near <= ((bar + 1e-8) ** 2 + slack[at])[:, None]) & np.isfinite(near))
+                found.append((part[at[i]], np.full(len(i), c), can[j]))
+        if not found:
+            return
+        at, col, donor = (np.concatenate(x) for x in zip(*found))
+        total, both = np.zeros(len(at)), np.zeros(len(at))
+        for j in range(self.width):
+            have = self.has[at, j] & there[donor, j]
+            total += np.where(have, (self.z[at, j] - d[donor, j]) ** 2, 0.0)
+            both += have
+        dist = np.round(np.sqrt(total * (self.width / both)), DECIMALS)
+        self._keep((at, col, dist, d_ids[donor], d[donor, col]))
+
+    def _keep(self, new: tuple) -> None:
+        """The k best of each row and column, ties to the smaller id."""
+        if self.best is not None:
+            new = tuple(np.concatenate(x) for x in zip(self.best, new))
+        at, col, dist, donor, value = new
+        rank = donor if donor.dtype.kind in "iu" else np.unique(donor, return_inverse=True)[1]
+        order = np.lexsort((rank, dist, at * self.width + col))
+        at, col, dist, donor, value = (x[order] for x in (at, col, dist, donor, value))
+        first = np.r_[True, (np.diff(at) != 0) | (np.diff(col) != 0)][:len(at)]
+        start = np.flatnonzero(first)
+        place = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
+        keep = place < self.k
+        self.best = tuple(x[keep] for x in (at, col, dist, donor, value))
+        last = place == self.k - 1
+        self.reach[at[last], col[last]] = dist[last]
+
+    def means(self) -> Iterator[tuple[int, list]]:
+        """The rows for which a donor was found, and their means; NULL where a column has none."""
+        if self.best is None:
+            return
+        at, col, _, _, value = self.best
+        cell = at * self.width + col
+        n = np.bincount(cell, minlength=len(self.ids) * self.width).reshape(-1, self.width)
+        total = np.bincount(cell, value, minlength=len(self.ids) * self.width).reshape(-1, self.width)
+        mean = total / np.maximum(n, 1)
+        for i in np.flatnonzero(n.any(1)):
+            yield i, [v if m else None for v, m in zip(mean[i].tolist(), n[i].tolist())]
 
 
 def knn_impute(
@@ -284,14 +323,24 @@ def knn_impute(
     station, width = list(station), len(columns)
     rows, stats = standardised(df, station, columns)
     row_type = dict(df.dtypes)[row]
-    leaves = stage(pack_leaves(rows, station, row, width, block))
-    pairs = candidate_pairs(leaves, station, width, k, fan)
-    found = nearest_donors(leaves, pairs, station, row_type, width, k)
-    best = Window.partitionBy(*station, "id", "col").orderBy("dist", "donor")
-    means = (
-        found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
-        .groupBy(*station, "id").pivot("col", list(range(width))).agg(F.avg("value")))
-    means = means.select(*station, F.col("id").alias(row), *[F.col(str(j)).alias(f"_fill{j}") for j in range(width)])
+    total, largest = (v or 0 for v in stats.agg(F.sum("_rows"), F.max("_rows")).first())
+
+    # stations of one leaf meet only themselves
+    small = spread(rows.where(F.col("_rows") <= block), total, *station, each=SEARCHED).groupBy(*station).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(row).alias("id"), "_z"))).alias("_list"))
+    small = small.select(*station, F.lit(0).cast("long").alias("q_leaf"), *_flat("q"), *_flat("d"))
+    fills = leaf_search(small, station, row_type, width, k)
+    if largest > block:
+        leaves = stage(pack_leaves(rows.where(F.col("_rows") > block), station, row, width, block))
+        pairs = stage(candidate_pairs(leaves, station, width, k, fan))
+
+        def side(tag: str) -> DataFrame:
+            return leaves.select(*station, *[F.col(c).alias(f"{tag}_{c}") for c in ("leaf", "ids", "values")])
+
+        both = pairs.join(side("d"), [*station, "d_leaf"]).join(side("q"), [*station, "q_leaf"])
+        both = spread(both, pairs.count(), *station, "q_leaf", each=PAIRS).sortWithinPartitions(*station, "q_leaf", "near")
+        fills = fills.union(leaf_search(both, station, row_type, width, k))
+    means = fills.groupBy(*station, F.col("id").alias(row)).agg(*[F.max(F.col("fills")[j]).alias(f"_fill{j}") for j in range(width)])
     out = join_one(df, stats, station, "_rows").drop("_rows").join(means, [*station, row], "left")
     filled = {
         c: F.coalesce(F.col(c).cast("double"),

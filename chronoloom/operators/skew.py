@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Rows of a key that meet in one task at about most, or this share of all rows if that is more.
 ROWS, SHARE = 20_000, 1_000
+#: Rows that are sorted or aggregated in one task at about most.
+TASK = 1_000_000
+
+
+def partitions_for(df: DataFrame, rows: int, each: int = TASK) -> int:
+    """As many partitions as the session deals, or more if a task would get more than ``each`` of ``rows``."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def spread(df: DataFrame, rows: int, *on: str, each: int = TASK) -> DataFrame:
+    """``df`` of about ``rows`` rows dealt by ``on``, so that a task's share does not grow with the input."""
+    return df.repartition(partitions_for(df, rows, each), *on)
 
 
 def sizes_of(table: DataFrame, size: str) -> tuple[int, int]:

@@ -356,6 +356,43 @@ def test_neighbours_of_many_columns(spark):
     assert got == pytest.approx(brute_knn(x), abs=1e-9)
 
 
+def test_leaves_beyond_reach_are_passed_over(monkeypatch):
+    """Only donors that may be among the k nearest are measured; ties go to the smaller id."""
+    rng = np.random.default_rng(3)
+    near, far = rng.normal(0, 1, (40, 3)), rng.normal(100, 1, (40, 3))
+    near[::2, 0], far[::3, 1] = np.nan, np.nan
+    asking = knn.Asking(np.arange(40), near.ravel(), 3, 5)
+    measured = []
+    kept = knn.Asking._keep
+    monkeypatch.setattr(knn.Asking, "_keep", lambda self, new: (measured.append(len(new[0])), kept(self, new)))
+    asking.meet(np.arange(40), near)
+    asking.meet(np.arange(40, 80), far)
+    asking.meet(np.arange(80, 120), near)  # copies: nothing nearer, but as near
+    assert len(measured) == 2 and measured[0] < 20 * 20
+    want = brute_knn(np.vstack([near, far, near]))
+    x = np.vstack([near, far, near])
+    z = (x - np.nanmean(x, 0)) / np.nanstd(x, 0)
+    asking = knn.Asking(np.arange(40), z[:40].ravel(), 3, 5)
+    for part in (0, 40, 80):
+        asking.meet(np.arange(part, part + 40), z[part:part + 40])
+    for i, fills in asking.means():
+        got = fills[0] * np.nanstd(x[:, 0]) + np.nanmean(x[:, 0])
+        assert got == pytest.approx(want[asking.ids[i], 0], abs=1e-9) and fills[1] is None
+
+
+def test_searches_are_spread(spark, monkeypatch):
+    """A small table of many pairs is dealt over as many tasks as its pairs need, not merged into one."""
+    monkeypatch.setattr(knn, "PAIRS", 2)
+    dealt = []
+    search = knn.leaf_search
+    monkeypatch.setattr(knn, "leaf_search", lambda both, *rest: (dealt.append(both.rdd.getNumPartitions()), search(both, *rest))[1])
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([("s", i, float(a), None if i % 2 else float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (200, 2)))],
+                               "station string, row long, a double, b double")
+    assert knn.knn_impute(df, ["station"], "row", ["a", "b"], block=10).where("b IS NULL").count() == 0
+    assert dealt[1] > 4
+
+
 def test_scalers_round_trip(spark):
     rng = np.random.default_rng(11)
     data = [(n, t, float(rng.normal(n, n + 1)), 0.5) for n in range(4) for t in range(100)] + [(9, t, 3.0, 0.5) for t in range(100)]
