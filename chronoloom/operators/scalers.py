@@ -15,6 +15,8 @@ from chronoloom.session import stage
 # indicators that get a logarithm by default.
 TIME_COLUMNS = ("date", "timestamp", "time", "datetime")
 LOG_COLUMNS = ("ammonia_nitrogen", "total_phosphorus", "turbidity", "permanganate_index")
+#: Groups whose statistics are broadcast at most.
+FEW = 10_000
 
 
 def train_steps(length: int, train_ratio: float) -> int:
@@ -35,6 +37,19 @@ def with_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFram
     return df.withColumn("_one", F.lit(1)).join(one, "_one", "left").drop("_one")
 
 
+def beside_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """with_stats() for groups that may be few and hold millions of rows each, such as the columns of a table.
+
+    Rows dealt by such a key would meet in one task per group.  The statistics
+    are computed here, and broadcast where there are at most ``FEW`` groups;
+    more are left to with_stats().
+    """
+    if not keys:
+        return with_stats(df, stats, keys)
+    stats = stage(stats)
+    return with_stats(df, F.broadcast(stats) if stats.count() <= FEW else stats, keys)
+
+
 def zscore_fit(df: DataFrame, keys: Sequence[str], value: str, steps: int, pos: str = "t_idx") -> DataFrame:
     """SCL1/SCL5: mean and population deviation of the first ``steps``; no keys, global."""
     std = F.stddev_pop(value)
@@ -104,7 +119,7 @@ def winsorize(df: DataFrame, keys: Sequence[str], value: str, lower: float = 0.0
     """SCL7: clips to the two quantiles; infinities are missing first."""
     clean = df.withColumn(value, finite_or_null(value))
     cuts = exact_quantiles(clean, keys, value, [lower, upper], ["q01", "q99"])
-    return clip_to(with_stats(clean, cuts, keys), value, "q01", "q99")
+    return clip_to(beside_stats(clean, cuts, keys), value, "q01", "q99")
 
 
 def clip_to(df: DataFrame, value: str, lo: str, hi: str) -> DataFrame:
@@ -124,14 +139,14 @@ def robust_fit(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """SCL9."""
-    out = with_stats(df, robust_fit(df, keys, value), keys)
+    out = beside_stats(df, robust_fit(df, keys, value), keys)
     return out.withColumn(value, (F.col(value) - F.col("median")) / F.col("iqr"))
 
 
 def minmax_column(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """SCL10: to [0, 1]; a constant column becomes 0."""
     stats = df.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"))
-    out = with_stats(df, stats, keys)
+    out = beside_stats(df, stats, keys)
     width = F.col("max") - F.col("min")
     return out.withColumn(
         value, F.when(width == 0, F.col(value) * 0.0).otherwise((F.col(value) - F.col("min")) / width))
@@ -152,7 +167,7 @@ def fit_chain(
     meta = stage(cuts.withColumn("log1p", F.col(column).isin(list(log_columns)) if log_columns else F.lit(False)))
     if not standardize and not rescale_minmax:
         return meta
-    logged = _clip_and_log(with_stats(clean, meta, keys), value)
+    logged = _clip_and_log(beside_stats(clean, meta, keys), value)
     if standardize:
         meta = with_stats(meta, robust_fit(logged, keys, value), keys)
     if rescale_minmax:
@@ -174,7 +189,7 @@ def _clip_and_log(df: DataFrame, value: str) -> DataFrame:
 def apply_chain(df: DataFrame, meta: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """SCL11 with fitted metadata."""
     clean = df.withColumn(value, finite_or_null(value))
-    out = _clip_and_log(with_stats(clean, meta, keys), value)
+    out = _clip_and_log(beside_stats(clean, meta, keys), value)
     if "median" in meta.columns:
         out = out.withColumn(value, (F.col(value) - F.col("median")) / F.col("iqr"))
     if "min" in meta.columns:
@@ -186,7 +201,7 @@ def apply_chain(df: DataFrame, meta: DataFrame, keys: Sequence[str], value: str)
 
 def invert_chain(df: DataFrame, meta: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """SCL12: back to the winsorised scale; clipping itself cannot be undone."""
-    out = with_stats(df, meta, keys)
+    out = beside_stats(df, meta, keys)
     v = F.col(value)
     if "min" in meta.columns:
         v = v * (F.col("max") - F.col("min")) + F.col("min")

@@ -440,6 +440,23 @@ def chain_by_hand(s, log, minmax):
     return clipped, x
 
 
+def test_rows_do_not_meet_by_column(spark):
+    """Rows stay where they are: a column may hold a quarter of all values."""
+    df = spark.createDataFrame([("a" if i % 2 else "b", float(i)) for i in range(40)], "column string, value double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        meta = sc.fit_chain(df, ["column"], "value", ["a"], rescale_minmax=True)
+        chain = sc.apply_chain(df, meta, ["column"], "value")
+        made = [sc.minmax_column(df, ["column"], "value"), sc.robust_scale(df, ["column"], "value"),
+                sc.winsorize(df, ["column"], "value"), chain, sc.invert_chain(chain, meta, ["column"], "value")]
+        for out in made:
+            assert "hashpartitioning(column" not in out._jdf.queryExecution().executedPlan().toString()
+            assert out.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("minmax", [False, True])
 def test_transform_chain_and_back(spark, minmax):
     rng = np.random.default_rng(13)
