@@ -1,9 +1,9 @@
 """Adjacency matrices as edge tables ``(src, dst, weight)`` (GR1-GR8).
 
 A matrix is the set of its non-zero entries.  Degrees are one aggregation;
-products with a diagonal are joins on one end of the edge, which adaptive
-execution broadcasts when the node table is small and splits when a hub skews
-them.
+products with a diagonal are joins on one end of the edge, where a hub is
+salted.  Edges are dealt over as many tasks as their number asks for, so what a
+task holds does not grow with the graph.
 """
 
 from __future__ import annotations
@@ -11,15 +11,22 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from chronoloom.session import cut_lineage
+from chronoloom.operators.skew import join_one, spread
+from chronoloom.session import cut_lineage, stage
 
 
 def map_ids(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """GR1: external ids to positions; ``ids`` is ``(id, position)``. Unknown ends drop out."""
-    src = ids.select(F.col("id").alias("src"), F.col("position").alias("_s"))
-    dst = ids.select(F.col("id").alias("dst"), F.col("position").alias("_d"))
-    rest = [c for c in edges.columns if c not in ("src", "dst")]
-    return edges.join(src, "src").join(dst, "dst").select(F.col("_s").alias("src"), F.col("_d").alias("dst"), *rest)
+    edges, rest = stage(edges), [c for c in edges.columns if c not in ("src", "dst")]
+
+    def at(end: str, name: str) -> DataFrame:
+        """The position of each id found at one end, and how many edges have it there."""
+        count = edges.groupBy(end).agg(F.count(F.lit(1)).alias("_edges"))
+        return stage(ids.select(F.col("id").alias(end), F.col("position").alias(name)).join(count, end))
+
+    out = join_one(edges, at("src", "_s"), ["src"], "_edges").drop("_edges")
+    out = join_one(stage(out), at("dst", "_d"), ["dst"], "_edges")
+    return out.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), *rest)
 
 
 def symmetric_edges(edges: DataFrame, line: str = "line") -> DataFrame:
@@ -29,8 +36,8 @@ def symmetric_edges(edges: DataFrame, line: str = "line") -> DataFrame:
     connectivity (1) and the distance.
     """
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance", line)
-    both = edges.select("src", "dst", "distance", line).unionByName(back)
-    return both.groupBy("src", "dst").agg(F.max_by("distance", line).alias("distance")).withColumn(
+    both = stage(edges.select("src", "dst", "distance", line).unionByName(back))
+    return spread(both, both.count(), "src", "dst").groupBy("src", "dst").agg(F.max_by("distance", line).alias("distance")).withColumn(
         "weight", F.lit(1.0))
 
 
@@ -47,7 +54,8 @@ def add(*matrices: DataFrame) -> DataFrame:
     out = matrices[0].select("src", "dst", "weight")
     for m in matrices[1:]:
         out = out.unionByName(m.select("src", "dst", "weight"))
-    return out.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    out = stage(out)
+    return spread(out, out.count(), "src", "dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def with_self_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -65,12 +73,20 @@ def row_degrees(edges: DataFrame) -> DataFrame:
 
 def _scaled(edges: DataFrame, power: float, both_ends: bool) -> DataFrame:
     """D^p A, or D^p A D^p; a zero degree stays zero, and its edges drop out."""
+    edges = stage(edges.select("src", "dst", "weight"))
+
+    def at(end: str, name: str) -> DataFrame:
+        """The factor of each node at one end, and how many edges have it there."""
+        count = edges.groupBy(F.col(end).alias("node")).agg(F.count(F.lit(1)).alias("_edges"))
+        return stage(count.join(factor, "node").select(F.col("node").alias(end), F.col("factor").alias(name), "_edges"))
+
     factor = row_degrees(edges).where(F.col("degree") != 0).select(
         "node", F.pow("degree", F.lit(power)).alias("factor"))
-    out = edges.select("src", "dst", "weight").join(
-        factor.select(F.col("node").alias("src"), F.col("factor").alias("_f")), "src")
     if both_ends:
-        out = out.join(factor.select(F.col("node").alias("dst"), F.col("factor").alias("_g")), "dst")
+        factor = stage(factor)
+    out = join_one(edges, at("src", "_f"), ["src"], "_edges").drop("_edges")
+    if both_ends:
+        out = join_one(stage(out), at("dst", "_g"), ["dst"], "_edges")
         return out.select("src", "dst", (F.col("_f") * F.col("weight") * F.col("_g")).alias("weight"))
     return out.select("src", "dst", (F.col("_f") * F.col("weight")).alias("weight"))
 
@@ -85,7 +101,8 @@ def undirected(edges: DataFrame) -> DataFrame:
     """The larger of the two directions; an absent entry is zero."""
     both = edges.select("src", "dst", "weight", F.lit(1).alias("side")).unionByName(
         transpose(edges).withColumn("side", F.lit(2)))
-    pair = both.groupBy("src", "dst").agg(
+    both = stage(both)
+    pair = spread(both, both.count(), "src", "dst").groupBy("src", "dst").agg(
         F.coalesce(F.max(F.when(F.col("side") == 1, F.col("weight"))), F.lit(0.0)).alias("_a"),
         F.coalesce(F.max(F.when(F.col("side") == 2, F.col("weight"))), F.lit(0.0)).alias("_b"))
     return pair.select("src", "dst", F.greatest("_a", "_b").alias("weight")).where(F.col("weight") != 0)

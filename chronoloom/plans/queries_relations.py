@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoloom.operators import density, graph as gr, impute, scalers as sc, similarity as sim, spectral, split as sp, windows as wn
+from chronoloom.operators.skew import spread_if_many
 from chronoloom.session import stage
 from chronoloom.plans.catalog import (
     IN_LEN, OUT_LEN, PANEL_SQL, RATIO, SAMPLES_SQL, TYPES_SQL, bounds_sql, query, r6, sql_r6, table,
@@ -28,9 +29,8 @@ def _nodes(spark, sf_dir):
 
 def _edges(spark, sf_dir):
     nodes, offset = _nodes(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem")
-    edges = lines.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + offset).alias("dst")).agg(
-        F.count(F.lit(1)).cast("double").alias("weight"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + offset).alias("dst"))
+    edges = spread_if_many(lines, lines.count(), "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return edges, nodes
 
 

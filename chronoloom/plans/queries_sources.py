@@ -13,6 +13,7 @@ from chronoloom.functions.calendar import TIME_FORMAT
 from chronoloom.operators import (
     evaluate as ev, forecast as fc, graph as gr, metrics as mt, panel as pn, profile as pf, scalers as sc, split as sp,
     windows as wn)
+from chronoloom.operators.skew import partitions_for, spread_if_many
 from chronoloom.plans import cleaning as cl, forecasting as fg
 from chronoloom.plans.catalog import (
     FORECAST_SQL, IN_LEN, OUT_LEN, PANEL_SQL, RATIO, SAMPLES_SQL, TYPES_SQL, bounds_sql, query, r6, sql_r6, table, type_panel,
@@ -89,11 +90,12 @@ def edge_files(spark, sf_dir):
     edges, ids = scratch(spark, "edges"), scratch(spark, "ids")
     suppliers = table(spark, sf_dir, "supplier")
     n = suppliers.count()
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (1 + F.col("l_partkey") % n).alias("b")).agg(
-        F.max("l_extendedprice").alias("d"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (1 + F.col("l_partkey") % n).alias("b"), "l_extendedprice")
+    many = items.count()
+    rows = spread_if_many(items, many, "a", "b").groupBy("a", "b").agg(F.max("l_extendedprice").alias("d"))
     lines = rows.select("a", "b", F.concat_ws(",", "a", "b", F.format_string("%.2f", "d")).alias("value")).unionByName(
         suppliers.select(F.lit(0).cast("long").alias("a"), F.col("s_suppkey").alias("b"), F.lit("broken,row").alias("value")))
-    lines.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("value").write.text(edges)
+    lines.repartitionByRange(partitions_for(lines, many), "a", "b").sortWithinPartitions("a", "b").select("value").write.text(edges)
     suppliers.repartitionByRange("s_suppkey").sortWithinPartitions("s_suppkey").select(F.col("s_suppkey").cast("string")).write.text(ids)
     out = gr.symmetric_edges(gr.map_ids(tables.read_edges(spark, edges), tables.read_node_ids(spark, ids)))
     return out.select("src", "dst", r6("distance", 2).alias("distance"))

@@ -209,3 +209,37 @@ def test_transform_of_windows_with_missing_values(spark, length):
     assert set(got[1].re) == set(got[2].im) == {None}
     back = {r.k: r.y for r in spectral.inverse_dft(spectral.with_dft(df, "x", length), "re", "im", "y").collect()}
     assert np.allclose(back[0], rows[0][1]) and set(back[1]) == {None}
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """What meets in a task does not grow with the graph; hubs are salted, and the matrices stay the same."""
+    from chronoloom.operators import skew
+
+    rows = [(0, d, 1.0 + d) for d in range(1, 60)] + [(s, (s * 7) % 60, 2.0) for s in range(1, 60)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    nodes = spark.range(60).select(F.col("id").alias("node"))
+    made = lambda: [dense(m, 60) for m in (
+        gr.load_adjacency(gr.undirected(edges), nodes, "transition")[0], gr.scaled_laplacian(edges, nodes), gr.normalized_laplacian(edges, nodes))]
+    want = made()
+    monkeypatch.setattr(skew, "TASK", 10)
+    monkeypatch.setattr(skew.join_one, "__defaults__", (5, "inner", None))
+    assert gr.undirected(edges).rdd.getNumPartitions() >= len(rows) * 2 // 10
+    for a, b in zip(made(), want):
+        np.testing.assert_allclose(a, b, atol=1e-12)
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    from chronoloom.sources import tables
+
+    for k, n in enumerate((3000, 1, 500)):
+        (tmp_path / f"part-{k}.txt").write_text("".join(f"{k},{i}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        out = tables.file_lines(spark, str(tmp_path))
+        assert "hashpartitioning" not in out.select("line")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        got = [r.value for r in out.orderBy("line").collect()]
+        assert [r.line for r in out.select("line").orderBy("line").collect()] == list(range(3501))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"{k},{i}" for k, n in enumerate((3000, 1, 500)) for i in range(n)]
