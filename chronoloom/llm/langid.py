@@ -31,7 +31,6 @@ def grams(data: np.ndarray) -> Iterator[np.ndarray]:
     yield (two[:-1] << 8) + one[2:] + ((1 << 16) + (1 << 8))
 
 
-CODES = (1 << 24) + (1 << 16) + (1 << 8)
 #: Bytes that are looked up at once.
 PART = 1 << 20
 
@@ -45,19 +44,47 @@ class Model:
     weights: np.ndarray  # landmark (and one) x language
     names: list[str]
 
+    def places(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """A class for each byte, and tables of where n-grams of classes stand in the vocabulary, by length.
+
+        Bytes that no n-gram of the vocabulary has share class 0, so the tables
+        are as large as the alphabet asks for, not as all bytes would.
+        """
+        if not hasattr(self, "_places"):
+            ends = np.searchsorted(self.vocabulary, [1 << 8, (1 << 16) + (1 << 8)])
+            kinds = [c - first for c, first in zip(np.split(self.vocabulary, ends), (0, 1 << 8, (1 << 16) + (1 << 8)))]
+            letters = [np.array([(c >> 8 * k) & 255 for k in range(n, -1, -1)]) for n, c in enumerate(kinds)]
+            used = np.unique(np.concatenate([x.ravel() for x in letters]))
+            classes, base = np.zeros(256, np.int32), len(used) + 1
+            classes[used] = np.arange(1, base)
+            tables, at = [], 0
+            for n, x in enumerate(letters):
+                table = np.full(base ** (n + 1), len(self.vocabulary), np.int32)
+                code = np.zeros(x.shape[1], np.int32)
+                for own in classes[x]:
+                    code = code * base + own
+                table[code] = np.arange(at, at + x.shape[1], dtype=np.int32)
+                tables.append(table)
+                at += x.shape[1]
+            self._places = classes, tables
+        return self._places
+
     def presence(self, texts: list[bytes]) -> np.ndarray:
         """Which n-grams of the vocabulary each whole text has, at unit length; texts are read part by part."""
-        if not hasattr(self, "_place"):
-            self._place = np.full(CODES, len(self.vocabulary), np.int32)
-            self._place[self.vocabulary] = np.arange(len(self.vocabulary), dtype=np.int32)
+        classes, tables = self.places()
+        base = np.int32(len(tables[0]))
         out = np.zeros((len(texts), len(self.vocabulary) + 1), np.float32)
         for row, text in zip(out, texts):
             data = np.frombuffer(text, np.uint8)
             for at in range(0, len(data), PART):
-                for codes in grams(data[at:at + PART + 2]):
-                    row[self._place[codes]] = 1
+                one = classes[data[at:at + PART + 2]]
+                two = one[:-1] * base + one[1:]
+                row[tables[0][one]] = 1
+                row[tables[1][two]] = 1
+                row[tables[2][two[:-1] * base + one[2:]]] = 1
         out = out[:, :-1]
-        return out / np.maximum(1, np.sqrt(out.sum(1, keepdims=True)))
+        out /= np.maximum(1, np.sqrt(out.sum(1, keepdims=True)))
+        return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """One-versus-rest outputs: kernel to the landmarks times weights, in one product per batch."""
@@ -65,7 +92,7 @@ class Model:
         return np.hstack([kernel, np.ones((len(texts), 1), np.float32)]) @ self.weights
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_place"}
+        return {k: v for k, v in self.__dict__.items() if k != "_places"}
 
 
 def prepared(text: str | None) -> bytes:
