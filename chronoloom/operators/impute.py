@@ -71,7 +71,7 @@ def fill_chain(
     cubic = facts.where(active & (F.col("interpolation") == "cubic") & (F.col("_valid") >= MIN_FOR_SPLINE))
     work = long.withColumn("axis", axis.cast("double"))
     knots, ends = spline_curvatures(work, keys, pos, "axis", value, cubic.select(*keys), chunk)
-    work = with_curvatures(work, knots, keys, pos)
+    work = with_curvatures(work, knots, keys, pos, value)
     of_series = facts.join(ends, list(keys), "left").withColumn("_cubic", F.col("_left").isNotNull())
     out = valid_neighbours(work, keys, pos, value, chunk, extra=["axis", "_m"], series=of_series)
     nearest = F.coalesce(F.col("prev.value"), F.col("next.value"))

@@ -252,10 +252,16 @@ def spline_curvatures(
     return knots, solved.groupBy(*keys).agg(F.max("_left").alias("_left"), F.max("_right").alias("_right"))
 
 
-def with_curvatures(rows: DataFrame, knots: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
-    """Adds ``_m`` to the rows that are knots; positions are unique, so no key is hot."""
+def with_curvatures(rows: DataFrame, knots: DataFrame, keys: Sequence[str], pos: str, value: str) -> DataFrame:
+    """Adds ``_m`` to the rows that are knots; positions are unique, so no key is hot.
+
+    Only rows with a value can be knots: the others, most of a sparse series,
+    are not dealt out.
+    """
     named = knots.withColumnRenamed("_at", pos)
-    return rows.join(named, [*keys, pos], "left")
+    with_value = rows.where(F.col(value).isNotNull()).join(named, [*keys, pos], "left")
+    without = rows.where(F.col(value).isNull()).withColumn("_m", F.lit(None).cast("double"))
+    return with_value.unionByName(without)
 
 
 def with_spline(near: DataFrame, axis: str, value: str, name: str) -> DataFrame:
@@ -288,7 +294,7 @@ def spline_values(
     Series with fewer than four values get NULL.
     """
     knots, ends = spline_curvatures(rows, keys, pos, axis, value, None, block)
-    work = with_curvatures(rows.withColumn("axis", F.col(axis).cast("double")), knots, keys, pos)
+    work = with_curvatures(rows.withColumn("axis", F.col(axis).cast("double")), knots, keys, pos, value)
     near = valid_neighbours(work, keys, pos, value, block, extra=["axis", "_m"], series=ends)
     return with_spline(near, "axis", value, name).drop(
         "prev", "next", "series_first", "series_last", "axis", "_m", "_left", "_right")

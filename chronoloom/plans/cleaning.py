@@ -57,6 +57,7 @@ def clean_stations(long: DataFrame, config: DataFrame, strategy: str, keys: Sequ
     keys = list(keys)
     max_gap, z_limit = settings.strategy(strategy)
     names = [r.indicator for r in config.select("indicator").orderBy("indicator").collect()]
+    long = long.select(*keys, "t_idx", "indicator", "value")  # nothing else is carried from step to step
     kept = stage(gaps.drop_long_gaps(long, [*keys, "indicator"], keys, "t_idx", "value", max_gap, names))
     rows = remove_outliers(kept, names, keys, z_limit)
     if strategy == "segmented":
@@ -111,6 +112,7 @@ def strategies_without_gaps(long: DataFrame, names: Sequence[str], keys: Sequenc
 def batch_clean(long: DataFrame, config: DataFrame, keys: Sequence[str] = ("station",)) -> tuple[DataFrame, DataFrame]:
     """PIPE4: every strategy on every station; cleaned rows and the status report."""
     names = [r.indicator for r in config.select("indicator").orderBy("indicator").collect()]
+    long = long.select(*keys, "t_idx", "indicator", "value")
     kept = stage(strategies_without_gaps(long, names, keys))
     report = batch_report(long, kept, keys)
     keys = ["strategy", *keys]

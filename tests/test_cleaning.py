@@ -592,3 +592,27 @@ def test_settings(spark):
     with pytest.raises(ValueError):
         settings.strategy("nope")
     assert settings.indicator_names()["水温"] == "water_temp"
+
+
+def test_only_rows_with_a_value_meet_the_knots(spark):
+    """Rows without a value are no knots and are not joined; none is lost."""
+    from chronoloom.operators.spline import with_curvatures
+
+    rows = spark.createDataFrame([("a", i, float(i) if i % 5 == 0 else None) for i in range(50)], "s string, pos long, value double")
+    # a knot where no value is would be found only if the other rows were joined too
+    knots = spark.createDataFrame([("a", 0, 0.5), ("a", 3, 9.0), ("a", 45, 1.5)], "s string, _at long, _m double")
+    got = {r.pos: r._m for r in with_curvatures(rows, knots, ["s"], "pos", "value").collect()}
+    assert len(got) == 50 and got[0] == 0.5 and got[45] == 1.5 and got[3] is None
+
+
+def test_cleaning_carries_only_what_it_returns(spark, monkeypatch):
+    from chronoloom.operators import gaps
+    from chronoloom.plans import cleaning as cl
+
+    seen = []
+    drop = gaps.drop_long_gaps
+    monkeypatch.setattr(cl.gaps, "drop_long_gaps", lambda long, *rest: (seen.append(long.columns), drop(long, *rest))[1])
+    long = spark.createDataFrame([("s", i, "a", float(i), "x" * 100) for i in range(20)], "station string, t_idx long, indicator string, value double, note string")
+    config = spark.createDataFrame([("a", 3, 0.0, 300.0, "linear")], "indicator string, decimals int, min_val double, max_val double, interpolation string")
+    assert cl.clean_stations(long, config, "segmented").count() == 20
+    assert seen == [["station", "t_idx", "indicator", "value"]]
