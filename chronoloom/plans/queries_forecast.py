@@ -179,7 +179,7 @@ SELECT c.split, c.node, c.sample_id, {sql_r6('avg(r.value)')} AS mean FROM c JOI
  ON r.split = c.split AND r.node = c.node AND r.pos BETWEEN c.sample_id AND c.sample_id + {IN_LEN - 1} GROUP BY ALL""")
 def random_windows(spark, sf_dir):
     """WIN5: a fixed random choice."""
-    out = wn.random_samples(user_samples(spark, sf_dir), ["split", "node", "sample_id"], 100, seed=7)
+    out = wn.random_samples(user_samples(spark, sf_dir, staged=True), ["split", "node", "sample_id"], 100, seed=7)
     return out.select("split", "node", "sample_id", r6(arrays.array_mean("inputs")).alias("mean"))
 
 
