@@ -403,3 +403,14 @@ def test_pipeline(spark, odd):
     assert sum(packed["length"]) and packed.groupby("sequence_id")["length"].sum().max() <= 2048
     strange = cp.near_copies(spark, cp.exact_copies(spark, cp.language(spark, odd, SF), SF), SF)
     assert sorted(r["doc_id"] for r in strange.filter("doc_id IS NOT NULL").collect()) == [2, 5, 6, 7]
+
+
+def test_language_tables_follow_the_alphabet():
+    """Tables as large as the bytes that n-grams have ask for; every n-gram is found where the vocabulary has it."""
+    texts = [b"abc abd", "grün blau".encode(), b"z", b"", b"abzz ab"]
+    vocabulary = np.unique(np.concatenate([li.present(t) for t in texts[:2]]))
+    model = li.Model(vocabulary, np.zeros((1, len(vocabulary)), np.float32), np.zeros((2, 1)), ["a"])
+    got = model.presence(texts)
+    want = np.array([np.isin(vocabulary, li.present(t)) for t in texts])
+    assert ((got > 0) == want).all()
+    assert sum(t.size for t in model.places()[1]) < 10_000
