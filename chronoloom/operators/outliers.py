@@ -15,18 +15,24 @@ MIN_FOR_ZSCORE = 10
 MIN_FOR_CHAIN = 10
 
 
+def zscore_stats(long: DataFrame, keys: Sequence[str], value: str, sample: bool = True) -> DataFrame:
+    """What :func:`zscore_outliers` compares with: ``_n``, ``_mean`` and ``_std`` per group."""
+    std = F.stddev_samp(value) if sample else F.stddev_pop(value)
+    return long.groupBy(*keys).agg(
+        F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.nullif(std, F.lit(0.0)).alias("_std"))
+
+
 def zscore_outliers(
-    long: DataFrame, keys: Sequence[str], value: str, limit, sample: bool = True, min_count: int = MIN_FOR_ZSCORE
+    long: DataFrame, keys: Sequence[str], value: str, limit, sample: bool = True, min_count: int = MIN_FOR_ZSCORE,
+    beside: bool = False,
 ) -> DataFrame:
     """OUT1 (sample deviation) and OUT3 (population): outliers become NULL.
 
-    ``limit`` is a number or a column.
+    ``limit`` is a number or a column.  ``beside`` says that zscore_stats() are
+    columns of ``long`` already.
     """
     limit = F.lit(float(limit)) if isinstance(limit, (int, float)) else limit
-    std = F.stddev_samp(value) if sample else F.stddev_pop(value)
-    stats = long.groupBy(*keys).agg(
-        F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.nullif(std, F.lit(0.0)).alias("_std"))
-    out = with_stats(long, stats, keys)
+    out = long if beside else with_stats(long, zscore_stats(long, keys, value, sample), keys)
     far = (F.col("_n") >= min_count) & (F.abs((F.col(value) - F.col("_mean")) / F.col("_std")) > limit)
     return out.withColumn(value, F.when(F.coalesce(far, F.lit(False)), None).otherwise(F.col(value))).drop(
         "_n", "_mean", "_std")

@@ -27,21 +27,25 @@ def round_indicators(long: DataFrame, config: DataFrame, value: str = "value", d
 
 
 def remove_outliers(kept: DataFrame, config_names: Sequence[str], keys: Sequence[str], z_limit) -> DataFrame:
-    """OUT1 per series, then consecutive positions ``pos`` over the rows left.
+    """OUT1 per series, and consecutive positions ``pos`` over the rows left.
 
-    Later steps read these rows more than once, so they are staged.
+    Statistics come to the rows with the offsets of their chunk, so rows are
+    dealt once.  Later steps read them more than once, so they are staged.
     """
     series = [*keys, "indicator"]
     watched = F.col("indicator").isin(list(config_names))
     checked = kept.withColumn("_checked", F.when(watched, F.col("value")))
-    checked = outliers.zscore_outliers(checked, series, "_checked", z_limit)
-    checked = checked.withColumn("value", F.when(watched, F.col("_checked")).otherwise(F.col("value"))).drop("_checked")
-    return stage(reindex(checked, series, "t_idx", "pos"))
+    stats = outliers.zscore_stats(checked, series, "_checked")
+    checked = reindex(kept, series, "t_idx", "pos", series=stats).withColumn("_checked", F.when(watched, F.col("value")))
+    checked = outliers.zscore_outliers(checked, series, "_checked", z_limit, beside=True)
+    return stage(checked.withColumn("value", F.when(watched, F.col("_checked")).otherwise(F.col("value"))).drop("_checked"))
 
 
 def fill_by_neighbours(rows: DataFrame, names: Sequence[str], keys: Sequence[str], k: int = 5) -> DataFrame:
     """IMP6 on the configured indicators of a long table."""
-    wide = stage(rows.groupBy(*keys, "t_idx", "pos").pivot("indicator", list(names)).agg(F.first("value")))
+    # dealt by step as narrow rows, which one aggregation then makes wide
+    wide = stage(rows.repartition(*keys, "t_idx").groupBy(*keys, "t_idx", "pos").agg(*[
+        F.first(F.when(F.col("indicator") == n, F.col("value")), True).alias(n) for n in names]))
     filled = knn.knn_impute(wide, keys, "pos", list(names), k)
     back = filled.unpivot([*keys, "t_idx", "pos"], list(names), "indicator", "value")
     others = rows.where(~F.col("indicator").isin(list(names))).select(*back.columns)
@@ -99,14 +103,12 @@ def strategies_without_gaps(long: DataFrame, names: Sequence[str], keys: Sequenc
 
     The runs are found once; what a strategy removes is a comparison.
     """
-    watched = long.where(F.col("indicator").isin(list(names)))
-    longest = gaps.longest_gaps(watched, [*keys, "indicator"], keys, "t_idx", "value")
-    listed = F.array(*[
-        F.struct(F.lit(n).alias("strategy"), F.lit(g).alias("max_gap"), F.lit(z).alias("z_limit"))
-        for n, g, z, _ in settings.STRATEGIES])
-    rows = long.join(longest, [*keys, "t_idx"], "left")
-    kept = F.filter(listed, lambda s: s["max_gap"] > F.coalesce(F.col("longest"), F.lit(0)))
-    return rows.select(*long.columns, F.inline(kept)).drop("max_gap")
+    rows = gaps.mark_long_gaps(
+        long, [*keys, "indicator"], keys, "t_idx", "value", sorted({g for _, g, _, _ in settings.STRATEGIES}), names)
+    kept = F.array_compact(F.array(*[
+        F.when(~F.col(f"_gap{g}"), F.struct(F.lit(n).alias("strategy"), F.lit(z).alias("z_limit")))
+        for n, g, z, _ in settings.STRATEGIES]))
+    return rows.select(*long.columns, F.inline(kept))
 
 
 def batch_clean(long: DataFrame, config: DataFrame, keys: Sequence[str] = ("station",)) -> tuple[DataFrame, DataFrame]:

@@ -616,3 +616,71 @@ def test_cleaning_carries_only_what_it_returns(spark, monkeypatch):
     config = spark.createDataFrame([("a", 3, 0.0, 300.0, "linear")], "indicator string, decimals int, min_val double, max_val double, interpolation string")
     assert cl.clean_stations(long, config, "segmented").count() == 20
     assert seen == [["station", "t_idx", "indicator", "value"]]
+
+
+def test_long_gaps_are_found_from_the_valid_rows(spark, monkeypatch):
+    from chronoloom.operators import gaps
+    from chronoloom.settings import STRATEGIES
+    from chronoloom.plans import cleaning as cl
+
+    rng = np.random.default_rng(11)
+    rows, gone = [], {g: set() for g in (30, 50, 100)}
+    for s in ["a", "b", None]:
+        for name, share in (("ph", 0.03), ("do", 0.01), ("none", 0.0), ("odd", 0.001)):
+            first, n = (0, 400) if name != "do" else (7, 380)
+            there = rng.random(n) < share
+            run = []
+            for t in range(n + 1):
+                if t == n or there[t]:
+                    for g in gone:
+                        # nothing is known of a station without a name, and odd is not configured
+                        if len(run) >= g and s and name in ("ph", "do"):
+                            gone[g] |= {(s, x) for x in run}
+                    run = []
+                else:
+                    run.append(first + t)
+            rows += [(s, name, first + t, 1.0 if there[t] else None) for t in range(n) if name != "none" or s == "c"]
+    df = spark.createDataFrame(rows, "station string, indicator string, t_idx long, value double")
+    # the missing rows, most of a sparse series, need no neighbours
+    monkeypatch.setattr(gaps, "valid_neighbours", lambda *a, **k: pytest.fail("rows were put in order"))
+    where = lambda out: sorted((r.station or "", r.indicator, r.t_idx) for r in out.collect())
+    for g, chunk in ((30, 16), (50, 64), (100, 65_536)):
+        kept = gaps.drop_long_gaps(df, ["station", "indicator"], ["station"], "t_idx", "value", g, ["ph", "do"], chunk=chunk)
+        assert kept.columns == df.columns
+        assert where(kept) == sorted((s or "", i, t) for s, i, t, _ in rows if (s, t) not in gone[g])
+    found = cl.strategies_without_gaps(df, ["ph", "do"])
+    for name, g, z, _ in STRATEGIES:
+        mine = found.where(F.col("strategy") == name)
+        assert where(mine) == sorted((s or "", i, t) for s, i, t, _ in rows if (s, t) not in gone[g])
+        assert {r.z_limit for r in mine.select("z_limit").distinct().collect()} == {z}
+
+
+def test_a_gap_of_no_step_removes_every_step(spark):
+    df = series(spark, np.array([1.0, np.nan, 2.0]))
+    assert gaps.drop_long_gaps(df, ["series"], ["series"], "t", "v", 0).count() == 0
+
+
+def test_statistics_come_with_the_positions(spark):
+    from chronoloom.operators.timeaxis import reindex
+
+    rows = spark.createDataFrame([(s, 3 * t, float(t)) for s in "ab" for t in range(50)], "s string, t long, v double")
+    stats = outliers.zscore_stats(rows, ["s"], "v")
+    out = reindex(rows, ["s"], "t", "p", chunk=16, series=stats)
+    assert sorted((r.s, r.t, r.p, r._n, r._mean) for r in out.collect()) == [(s, 3 * t, t, 50, 24.5) for s in "ab" for t in range(50)]
+    far = outliers.zscore_outliers(out, ["s"], "v", 1.5, beside=True)
+    assert in_order(far.where("s = 'a'")) == in_order(outliers.zscore_outliers(rows.where("s = 'a'"), ["s"], "v", 1.5))
+
+
+def test_rows_are_made_wide_in_one_exchange(spark, monkeypatch):
+    from chronoloom.plans import cleaning as cl
+
+    plans = []
+    monkeypatch.setattr(cl, "stage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), df)[1])
+    rows = spark.createDataFrame(
+        [("s", t, t, i, None if (t + len(i)) % 3 == 0 else float(t)) for t in range(12) for i in ("a", "bb")] + [("s", 12, 12, "odd", 5.0)],
+        "station string, t_idx long, pos long, indicator string, value double")
+    got = cl.fill_by_neighbours(rows, ["a", "bb"], ["station"], k=1)
+    found = {(r.t_idx, r.indicator): r.value for r in got.collect()}
+    assert plans[0].count("Exchange hashpartitioning") == 1
+    # a step that only other columns have is filled like any other
+    assert len(found) == 27 and found[12, "odd"] == 5.0 and found[12, "a"] is not None and found[1, "a"] == 1.0
