@@ -15,27 +15,30 @@ MIN_FOR_ZSCORE = 10
 MIN_FOR_CHAIN = 10
 
 
-def zscore_stats(long: DataFrame, keys: Sequence[str], value: str, sample: bool = True) -> DataFrame:
-    """What :func:`zscore_outliers` compares with: ``_n``, ``_mean`` and ``_std`` per group."""
-    std = F.stddev_samp(value) if sample else F.stddev_pop(value)
-    return long.groupBy(*keys).agg(
-        F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.nullif(std, F.lit(0.0)).alias("_std"))
+def zscore_stats(long: DataFrame, keys: Sequence[str], value: str, sample: bool = True, tags: Sequence[str] = ("",)) -> DataFrame:
+    """What :func:`zscore_outliers` compares with: ``_n``, ``_mean`` and ``_std`` per group.
+
+    With ``tags``, of each column called ``value`` and a tag, whose names end in it.
+    """
+    std = F.stddev_samp if sample else F.stddev_pop
+    return long.groupBy(*keys).agg(*[f for t in tags for f in (
+        F.count(value + t).alias(f"_n{t}"), F.avg(value + t).alias(f"_mean{t}"), F.nullif(std(value + t), F.lit(0.0)).alias(f"_std{t}"))])
 
 
 def zscore_outliers(
     long: DataFrame, keys: Sequence[str], value: str, limit, sample: bool = True, min_count: int = MIN_FOR_ZSCORE,
-    beside: bool = False,
+    beside: bool = False, tag: str = "",
 ) -> DataFrame:
     """OUT1 (sample deviation) and OUT3 (population): outliers become NULL.
 
     ``limit`` is a number or a column.  ``beside`` says that zscore_stats() are
-    columns of ``long`` already.
+    columns of ``long`` already, whose names, and the value's, end in ``tag``.
     """
+    value, (n, mean, std) = value + tag, [c + tag for c in ("_n", "_mean", "_std")]
     limit = F.lit(float(limit)) if isinstance(limit, (int, float)) else limit
     out = long if beside else with_stats(long, zscore_stats(long, keys, value, sample), keys)
-    far = (F.col("_n") >= min_count) & (F.abs((F.col(value) - F.col("_mean")) / F.col("_std")) > limit)
-    return out.withColumn(value, F.when(F.coalesce(far, F.lit(False)), None).otherwise(F.col(value))).drop(
-        "_n", "_mean", "_std")
+    far = (F.col(n) >= min_count) & (F.abs((F.col(value) - F.col(mean)) / F.col(std)) > limit)
+    return out.withColumn(value, F.when(F.coalesce(far, F.lit(False)), None).otherwise(F.col(value))).drop(n, mean, std)
 
 
 def iqr_outliers(long: DataFrame, keys: Sequence[str], value: str, factor: float = 1.5, min_count: int = 0) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoloom.functions import calendar as cal
 from chronoloom.functions.calendar import from_micros, micros
+from chronoloom.operators.skew import spread
+from chronoloom.operators.timeaxis import CHUNK, chunk_of
+from chronoloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -34,18 +37,23 @@ def to_panel(
 ) -> DataFrame:
     """Averages observations into cells and fills absent cells with NULL rows.
 
-    The filler comes from ``sequence`` on one row per series, never from a
-    product of series and timestamps, and meets the observations in the same
-    aggregation, so there is no join.
+    The filler comes from ``sequence`` on one row per series and chunk of the
+    axis, never from a product of series and timestamps.  It is dealt before it
+    is unfolded, by the number of cells, so only observed cells are exchanged,
+    and it meets them in an aggregation, so there is no join.
     """
+    keys = list(keys)
     position = F.floor((micros(ts) - F.lit(axis.start_us)) / F.lit(axis.step_us)).cast("long")
     observed = df.select(*keys, position.alias("t_idx"), value.cast("double").alias("_v"))
-    filler = (
-        observed.select(*keys).distinct()
-        .withColumn("t_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(axis.length - 1).cast("long"))))
-        .withColumn("_v", F.lit(None).cast("double"))
-    )
-    dense = observed.unionByName(filler).groupBy(*keys, "t_idx").agg(F.avg("_v").alias(name))
+    cells = observed.groupBy(*keys, "t_idx").agg(F.avg("_v").alias("_v")).select(
+        *keys, chunk_of("t_idx", CHUNK).alias("_chunk"), F.array("t_idx").alias("_steps"), "_v")
+    series = stage(observed.select(*keys).distinct())
+    first, last = F.col("_chunk") * CHUNK, F.lit(axis.length - 1).cast("long")
+    filler = series.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunk_of(last, CHUNK)))).select(
+        *keys, "_chunk", F.lit(None).cast("array<bigint>").alias("_steps"), F.lit(None).cast("double").alias("_v"))
+    dealt = spread(cells.unionByName(filler), series.count() * axis.length, *keys, "_chunk")
+    steps = F.coalesce("_steps", F.sequence(first, F.least(first + CHUNK - 1, last)))
+    dense = dealt.select(*keys, "_chunk", F.explode(steps).alias("t_idx"), "_v").groupBy(*keys, "_chunk", "t_idx").agg(F.max("_v").alias(name))
     return dense.select(*keys, "t_idx", axis_time(axis).alias("ts"), name)
 
 

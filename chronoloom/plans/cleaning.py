@@ -7,13 +7,15 @@ strategy is a column, so every strategy on every station is still one job.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
 from chronoloom import settings
 from chronoloom.functions.scalars import round_to
 from chronoloom.operators import gaps, impute, knn, outliers, profile as pf
-from chronoloom.operators.timeaxis import reindex
+from chronoloom.operators.timeaxis import reindex, running_counts
 from chronoloom.session import stage
 
 
@@ -41,6 +43,33 @@ def remove_outliers(kept: DataFrame, config_names: Sequence[str], keys: Sequence
     return stage(checked.withColumn("value", F.when(watched, F.col("_checked")).otherwise(F.col("value"))).drop("_checked"))
 
 
+def remove_outliers_beside(marked: DataFrame, config_names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """remove_outliers() of every strategy: ``pos_<strategy>``, NULL where its gaps remove the row, and ``value_<strategy>``.
+
+    ``marked`` comes from :func:`mark_strategies`.  A row is dealt, put in order
+    and written once, not once per strategy that keeps it.
+    """
+    series = [*keys, "indicator"]
+    watched = F.col("indicator").isin(list(config_names))
+    limits = {n: z for n, _, z, _ in settings.STRATEGIES}
+    stays = {n: ~F.col(f"_gap{g}") for n, g, _, _ in settings.STRATEGIES}
+    marked = marked.where(reduce(or_, stays.values()))
+    checked = lambda rows: rows.withColumns({f"_checked_{n}": F.when(stays[n] & watched, F.col("value")) for n in limits})
+    stats = outliers.zscore_stats(checked(marked), series, "_checked", tags=[f"_{n}" for n in limits])
+    rows = checked(running_counts(marked, series, "t_idx", {f"pos_{n}": s for n, s in stays.items()}, series=stats))
+    for n, limit in limits.items():
+        rows = outliers.zscore_outliers(rows, series, "_checked", limit, beside=True, tag=f"_{n}")
+    value = lambda n: F.when(watched, F.col(f"_checked_{n}")).otherwise(F.when(stays[n], F.col("value")))
+    return stage(rows.select(*series, "t_idx", *[c for n in limits for c in (
+        F.when(stays[n], F.col(f"pos_{n}") - 1).alias(f"pos_{n}"), value(n).alias(f"value_{n}"))]))
+
+
+def of_strategies(beside: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The rows of remove_outliers_beside() that these strategies keep, each in a row of its own."""
+    return reduce(DataFrame.unionByName, [beside.where(F.col(f"pos_{n}").isNotNull()).select(
+        F.lit(n).alias("strategy"), *keys, "t_idx", "indicator", F.col(f"pos_{n}").alias("pos"), F.col(f"value_{n}").alias("value")) for n in names])
+
+
 def fill_by_neighbours(rows: DataFrame, names: Sequence[str], keys: Sequence[str], k: int = 5) -> DataFrame:
     """IMP6 on the configured indicators of a long table."""
     # dealt by step as narrow rows, which one aggregation then makes wide
@@ -99,30 +128,39 @@ def enhanced_cleaning(
 
 
 def strategies_without_gaps(long: DataFrame, names: Sequence[str], keys: Sequence[str] = ("station",)) -> DataFrame:
-    """GAP2 for all strategies: rows once per strategy that keeps them, with its z-score limit.
+    """GAP2 for all strategies: rows once per strategy that keeps them, with its z-score limit."""
+    return strategies_kept(mark_strategies(long, names, keys), long.columns)
 
-    The runs are found once; what a strategy removes is a comparison.
-    """
-    rows = gaps.mark_long_gaps(
+
+def mark_strategies(long: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """The runs are found once; what a strategy removes is a comparison."""
+    return gaps.mark_long_gaps(
         long, [*keys, "indicator"], keys, "t_idx", "value", sorted({g for _, g, _, _ in settings.STRATEGIES}), names)
+
+
+def strategies_kept(marked: DataFrame, columns: Sequence[str]) -> DataFrame:
     kept = F.array_compact(F.array(*[
         F.when(~F.col(f"_gap{g}"), F.struct(F.lit(n).alias("strategy"), F.lit(z).alias("z_limit")))
         for n, g, z, _ in settings.STRATEGIES]))
-    return rows.select(*long.columns, F.inline(kept))
+    return marked.select(*columns, F.inline(kept))
 
 
 def batch_clean(long: DataFrame, config: DataFrame, keys: Sequence[str] = ("station",)) -> tuple[DataFrame, DataFrame]:
-    """PIPE4: every strategy on every station; cleaned rows and the status report."""
+    """PIPE4: every strategy on every station; cleaned rows and the status report.
+
+    Strategies stand beside each other in a row for as long as they share its
+    place; only what fills the gaps tells them apart.
+    """
     names = [r.indicator for r in config.select("indicator").orderBy("indicator").collect()]
     long = long.select(*keys, "t_idx", "indicator", "value")
-    kept = stage(strategies_without_gaps(long, names, keys))
-    report = batch_report(long, kept, keys)
-    keys = ["strategy", *keys]
-    rows = remove_outliers(kept, names, keys, F.col("z_limit"))
-    segmented = F.col("strategy") == "segmented"
-    line = impute.fill_chain(rows.where(segmented), config, [*keys, "indicator"], "pos")
-    near = fill_by_neighbours(rows.where(~segmented), names, keys)
-    columns = [*keys, "t_idx", "pos", "indicator", "value"]
+    marked = stage(mark_strategies(long, names, keys))
+    report = batch_report(long, strategies_kept(marked, long.columns), keys)
+    rows = remove_outliers_beside(marked, names, keys)
+    line = impute.fill_chain(of_strategies(rows, keys, ["segmented"]), config, [*keys, "indicator"], "pos")
+    # the station comes first: keys that tell rows apart sort faster
+    others = [n for n, *_ in settings.STRATEGIES if n != "segmented"]
+    near = fill_by_neighbours(of_strategies(rows, keys, others), names, [*keys, "strategy"])
+    columns = ["strategy", *keys, "t_idx", "pos", "indicator", "value"]
     return round_indicators(line.select(*columns).unionByName(near.select(*columns)), config), report
 
 

@@ -694,3 +694,31 @@ def test_only_the_ends_of_chunks_are_exchanged_beside_the_rows(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
     got = {r.t: (r.prev.pos, r.next and r.next.pos, r.prev.axis, r.series_last) for r in out.collect()}
     assert got == {t: (t // 4 * 4, -(-t // 4) * 4 if t <= 36 else None, -float(t // 4 * 4), 39) for t in range(40)}
+
+
+def test_strategies_stand_beside_each_other(spark, monkeypatch):
+    """A row is staged once, whatever the number of strategies that keep it; positions and outliers are each strategy's own."""
+    config = settings.indicator_config(spark).where("indicator in ('water_temp', 'ph')")
+    long, staged, put = sensor(spark), [], cl.stage
+    monkeypatch.setattr(cl, "stage", lambda df: (staged.append(put(df)), staged[-1])[1])
+    cl.batch_clean(long, config)
+    assert staged[0].count() == long.count() and staged[1].count() <= long.count()
+    names = ["ph", "water_temp"]
+    beside = cl.remove_outliers_beside(cl.mark_strategies(long, names, ["station"]), names, ["station"])
+    kept = cl.strategies_without_gaps(long, names)
+    columns = ["station", "t_idx", "indicator", "pos", "value"]
+    for n, _, z, _ in settings.STRATEGIES:
+        mine = cl.of_strategies(beside, ["station"], [n])
+        assert {r.strategy for r in mine.select("strategy").distinct().collect()} == {n}
+        want = cl.remove_outliers(kept.where(F.col("strategy") == n), names, ["station"], z)
+        of = lambda df: sorted(map(str, df.select(*columns).collect()))
+        assert of(mine) == of(want)
+
+
+def test_neighbours_need_one_order(spark):
+    from chronoloom.operators.timeaxis import valid_neighbours
+
+    rows = spark.createDataFrame([("a", t, float(t) if t % 4 == 0 else None) for t in range(40)], "s string, t long, v double")
+    out = valid_neighbours(rows, ["s"], "t", "v", chunk=8)
+    assert "DESC" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.t, r.next and r.next.pos) for r in out.collect()) == [(t, -(-t // 4) * 4 if t <= 36 else None) for t in range(40)]

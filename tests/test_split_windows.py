@@ -240,3 +240,15 @@ def test_buckets_beyond_the_splitters(spark, monkeypatch):
     monkeypatch.setattr(ta, "CHUNK", 50)
     counted = ta.running_count(df.withColumn("k", F.lit("a")), ["k"], "pos", F.lit(True), "n", None).orderBy("pos").collect()
     assert [r.n for r in counted] == list(range(1, 4001))
+
+
+def test_panel_is_dealt_before_it_is_unfolded(spark):
+    """Only observed cells are exchanged, not the rows that fill the axis."""
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 7, 3.0), ("a", 7, 5.0), ("b", 3, None), (None, 2, 4.0)], "node string, at long, value double")
+    df = df.withColumn("ts", cal.from_micros(F.col("at") * 1_000_000)).unionByName(df.withColumn("ts", F.lit(None).cast("timestamp_ntz")).where("at = 3"))
+    out = pn.to_panel(df, ["node"], "ts", F.col("value"), pn.Axis(0, 1_000_000, 8))
+    got = {(r.node, r.t_idx): r.value for r in out.collect()}
+    want = {(n, t): None for n in ("a", "b", None) for t in range(8)} | {("a", 0): 1.0, ("a", 7): 4.0, (None, 2): 4.0, ("b", None): None}
+    assert got == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Generate")[0]
