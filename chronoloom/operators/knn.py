@@ -9,9 +9,10 @@ the range of each coordinate among its rows, which coordinates any and all of
 them have, and how many they are.  From that follows how near and how far rows
 of two nodes can be.  A leaf of incomplete rows goes down the tree level by
 level and keeps the nodes that can hold one of its nearest neighbours; the rest
-is ruled out exactly, not approximately.  The leaves that remain are met nearest
-first, and each row passes over those beyond the k it has.  Only the mean of the
-k nearest leaves a task.
+is ruled out exactly, not approximately.  Neighbouring leaves ask in a group, to
+which each leaf that remains is sent once.  These are met nearest first, and each
+row passes over those beyond the k it has.  Only the mean of the k nearest
+leaves a task.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ from chronoloom.session import stage
 BLOCK, FAN, ASKING = 512, 32, 256
 #: Halvings of a coordinate's range that the order of rows follows; rows, and pairs of leaves, that one task searches at about most.
 HALVINGS, SEARCHED, PAIRS = 6, 50_000, 1_000
+#: Leaves ask in groups, so large that a donor leaf is sent about so many times for each leaf that asks, but donors held at once by a group are no more than so many.
+COPIES, HELD = 8, 1_000_000
+#: Rows and donors with the same coordinates each are met in order where they make so many pairs on average; fewer all by products.
+WORTH = 20_000
 # distances are compared at this resolution, so that the order of additions
 # does not decide a tie; remaining ties go to the smaller row id
 DECIMALS = 9
@@ -58,11 +63,10 @@ def standardised(df: DataFrame, station: Sequence[str], columns: Sequence[str])
     return join_one(df, stats, list(station), "_rows").withColumn("_z", z), stats
 
 
-def _flat(tag: str = "") -> list[Column]:
+def _flat() -> list[Column]:
     """``ids`` and flat ``values`` of the rows in ``_list``, with NaN for missing."""
     flat = F.flatten(F.transform("_list", lambda r: F.transform(r["_z"], lambda x: F.coalesce(x, F.lit(float("nan"))))))
-    names = [f"{tag}_{c}" if tag else c for c in ("ids", "values")]
-    return [F.transform("_list", lambda r: r["id"]).alias(names[0]), flat.alias(names[1])]
+    return [F.transform("_list", lambda r: r["id"]).alias("ids"), flat.alias("values")]
 
 
 def pack_leaves(rows: DataFrame, station: Sequence[str], row: str, width: int, block: int) -> DataFrame:
@@ -176,11 +180,27 @@ def candidate_pairs(leaves: DataFrame, station: Sequence[str], width: int, k: in
     return found.withColumnRenamed("node", "d_leaf")
 
 
+def groups_of(pairs: DataFrame, leaves: DataFrame, station: Sequence[str], size: int) -> DataFrame:
+    """(station, q_leaf, near, asks, gives, ids, values): ``size`` neighbouring leaves ask together.
+
+    A leaf goes to each group once, however many of the group it may matter to,
+    and the asking leaves of a group go to it before the donors.
+    """
+    group = F.floor(F.col("q_leaf") / size).cast("long").alias("q_leaf")
+    met = stage(pairs.groupBy(*station, group, "d_leaf").agg(F.min("near").alias("near")))
+    payload = [F.col("ids"), F.col("values")]
+    gives = met.join(leaves.withColumnRenamed("leaf", "d_leaf"), [*station, "d_leaf"]).select(
+        *station, "q_leaf", "near", F.lit(False).alias("asks"), F.lit(True).alias("gives"), *payload)
+    asks = leaves.where(F.exists("values", F.isnan)).withColumnRenamed("leaf", "q_leaf").select(
+        *station, group, F.lit(-2.0).alias("near"), F.lit(True).alias("asks"), F.lit(False).alias("gives"), *payload)
+    return spread(asks.union(gives), met.count(), *station, "q_leaf", each=PAIRS).sortWithinPartitions(*station, "q_leaf", "near")
+
+
 def leaf_search(both: DataFrame, station: Sequence[str], row_type: str, width: int, k: int) -> DataFrame:
     """(station, id, fills): for each incomplete row the mean value of its k nearest donors in each column it lacks.
 
-    ``both`` has one row per pair of leaves; all pairs of an asking leaf follow
-    each other in one partition, nearest first.
+    ``both`` has one row per leaf that asks or gives in a group of leaves; those
+    of a group follow each other in one partition, first all that ask.
     """
     types = {f.name: f.dataType.simpleString() for f in both.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in station] + [f"id {row_type}, fills array<double>"])
@@ -191,7 +211,7 @@ def leaf_search(both: DataFrame, station: Sequence[str], row_type: str, width: i
         return out[[*station, "id", "fills"]]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, asking, waiting = None, None, ([], [], [])
+        current, asking, leaves, waiting = None, None, [], ([], [], [])
 
         def close() -> None:
             for i, fills in asking.means():
@@ -205,8 +225,14 @@ def leaf_search(both: DataFrame, station: Sequence[str], row_type: str, width: i
                 if key != current:
                     if asking:
                         close()
-                    current, asking = key, Asking(r["q_ids"], r["q_values"], width, k)
-                asking.meet(np.asarray(r["d_ids"]), np.asarray(r["d_values"], dtype=float).reshape(-1, width))
+                    current, asking, leaves = key, None, []
+                values = np.asarray(r["values"], dtype=float)
+                if r["asks"]:
+                    leaves.append((r["ids"], values))
+                if r["gives"]:
+                    if not asking:
+                        asking = Asking([i for ids, _ in leaves for i in ids], np.concatenate([v for _, v in leaves]), width, k)
+                    asking.meet(np.asarray(r["ids"]), values.reshape(-1, width))
                 if len(waiting[0]) >= 20_000:
                     yield made(*waiting)
                     waiting = ([], [], [])
@@ -218,10 +244,18 @@ def leaf_search(both: DataFrame, station: Sequence[str], row_type: str, width: i
     return both.mapInPandas(search, schema)
 
 
+def alike(there: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which coordinates are there, and the rows where it is these."""
+    if not len(there):
+        return []
+    kinds, of, n = np.unique(there, axis=0, return_inverse=True, return_counts=True)
+    return list(zip(kinds, np.split(np.argsort(of.ravel(), kind="stable"), np.cumsum(n)[:-1])))
+
+
 class Asking:
-    """The incomplete rows of a leaf and the k nearest donors met so far in each column that they lack."""
+    """The incomplete rows of leaves and the k nearest donors met so far in each column that they lack."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray, width: int, k: int):
+    def __init__(self, ids: Sequence, values: np.ndarray, width: int, k: int):
         z = np.asarray(values, dtype=float).reshape(-1, width)
         rows = np.flatnonzero(np.isnan(z).any(1))
         self.ids, self.width, self.k = [ids[i] for i in rows], width, k
@@ -229,17 +263,86 @@ class Asking:
         self.z = np.nan_to_num(z[rows])
         self.sides = np.hstack([self.z**2, -2 * self.z, self.has.astype(float)])
         self.size = (self.z**2).sum(1)
+        self.kinds = alike(self.has)
         # distance of the k-th donor of each row and column
         self.reach = np.where(self.has, -1.0, np.inf)
-        self.best: tuple | None = None
+        # of each row and column: distances, names and values of its donors
+        self.dist, self.value = np.full((self.has.size, k), np.inf), np.zeros((self.has.size, k))
+        self.donor: np.ndarray | None = None
 
     def meet(self, d_ids: np.ndarray, d: np.ndarray) -> None:
-        """Takes up what a leaf of donors has.
-
-        Products tell distances up to an error that is allowed for; only pairs
-        that may be among the k nearest are measured coordinate by coordinate.
-        """
+        """Takes up what a leaf of donors has."""
         there = ~np.isnan(d)
+        kinds = alike(there)
+        if len(self.ids) * len(d) >= WORTH * len(self.kinds) * len(kinds):
+            d0 = np.nan_to_num(d)
+            found = [x for has, rows in self.kinds for some, donors in kinds for x in self._beside(has, rows, some, donors, d0)]
+        else:
+            found = self._measured(self._dense(d, there), np.nan_to_num(d), there)
+        if found:
+            at, col, donor, dist = (np.concatenate(x) for x in zip(*found))
+            if len(at):
+                self._keep((at, col, dist, d_ids[donor], d[donor, col]))
+
+    def _beside(self, has: np.ndarray, rows: np.ndarray, some: np.ndarray, donors: np.ndarray, d: np.ndarray) -> Iterator[tuple]:
+        """Donors as near as the k nearest, for rows that all have the same coordinates and donors that do.
+
+        Donors are put in the order of one coordinate that both have; a row looks
+        at those as near in it as the k donors it has, or as k of those beside it
+        there, can be.
+        """
+        shared, cols = np.flatnonzero(has & some), np.flatnonzero(~has & some)
+        if not len(shared) or not len(cols):
+            return
+        d = d[donors]
+        lo, hi = d[:, shared].min(0), d[:, shared].max(0)
+        scale = self.width / len(shared)
+        reach = self.reach[np.ix_(rows, cols)].max(1)
+        gap = np.zeros(len(rows))
+        for j, a, b in zip(shared, lo, hi):
+            x = self.z[rows, j]
+            gap += np.maximum(np.maximum(a - x, x - b), 0.0) ** 2
+        wanted = np.sqrt(scale * gap) * (1 - 1e-9) <= reach + 1e-8
+        rows, reach = rows[wanted], reach[wanted]
+        if not len(rows):
+            return
+        line = int(shared[np.argmax(hi - lo)])
+        order = np.argsort(d[:, line], kind="stable")
+        d, donors, z, k = d[order], donors[order], self.z[rows], self.k
+        there, at = d[:, line], z[:, line]
+
+        def span(i: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+            far = (reach[i] + 1e-8) / np.sqrt(scale) * (1 + 1e-9)
+            return np.searchsorted(there, at[i] - far, "left"), np.searchsorted(there, at[i] + far, "right")
+
+        start, end = span(slice(None))
+        many = np.flatnonzero(end - start > 4 * k)
+        if len(many) and len(d) >= 2 * k:
+            near = np.clip(np.searchsorted(there, at[many]) - k, 0, len(d) - 2 * k)[:, None] + np.arange(2 * k)
+            total = sum((z[many, j][:, None] - d[near, j]) ** 2 for j in shared)
+            reach[many] = np.minimum(reach[many], np.sqrt(scale * np.partition(total, k - 1, axis=1)[:, k - 1]))
+            start[many], end[many] = span(many)
+        n = end - start
+        upto = np.cumsum(n)
+        for part in np.split(np.arange(len(rows)), np.searchsorted(upto, np.arange(1_000_000, upto[-1], 1_000_000))):
+            i = np.repeat(part, n[part])
+            j = np.arange(len(i)) + np.repeat(start[part] - (upto[part] - n[part] - (upto[part[0]] - n[part[0]] if len(part) else 0)), n[part])
+            total = np.zeros(len(i))
+            for c in shared:
+                total += (z[i, c] - d[j, c]) ** 2
+            dist = np.round(np.sqrt(total * scale), DECIMALS)
+            near = np.flatnonzero(dist <= reach[i] + 1e-8)
+            i, j, dist = rows[i[near]], donors[j[near]], dist[near]
+            for c in cols:
+                ok = dist <= self.reach[i, c]
+                yield i[ok], np.full(int(ok.sum()), c), j[ok], dist[ok]
+
+    def _dense(self, d: np.ndarray, there: np.ndarray) -> list[tuple]:
+        """(row, column, donor) that may be among the k nearest.
+
+        Products tell distances up to an error that is allowed for; only such
+        pairs are measured coordinate by coordinate.
+        """
         some, whole = there.any(0), there.all(0)
         lo, hi = (np.where(some, f(np.where(there, d, e), axis=0), 0.0) for f, e in ((np.min, np.inf), (np.max, -np.inf)))
         most = (self.has & some).sum(1)
@@ -247,8 +350,6 @@ class Asking:
         nearest_ = np.sqrt(self.width / np.maximum(most, 1) * np.where(self.has & whole, gap, 0.0).sum(1))
         wanted = (nearest_[:, None] * (1 - 1e-9) <= self.reach + 1e-8) & some & (most > 0)[:, None]
         rows = np.flatnonzero(wanted.any(1))
-        if not len(rows):
-            return
         d = np.nan_to_num(d)
         theirs, squares = there.astype(float), d**2
         found = []
@@ -269,42 +370,55 @@ class Asking:
                     bar = self.reach[part[at], c]
                 i, j = np.nonzero((near <= ((bar + 1e-8) ** 2 + slack[at])[:, None]) & np.isfinite(near))
                 found.append((part[at[i]], np.full(len(i), c), can[j]))
+        return found
+
+    def _measured(self, found: list[tuple], d: np.ndarray, there: np.ndarray) -> list[tuple]:
+        """With distances, in one piece."""
         if not found:
-            return
+            return []
         at, col, donor = (np.concatenate(x) for x in zip(*found))
         total, both = np.zeros(len(at)), np.zeros(len(at))
         for j in range(self.width):
             have = self.has[at, j] & there[donor, j]
             total += np.where(have, (self.z[at, j] - d[donor, j]) ** 2, 0.0)
             both += have
-        dist = np.round(np.sqrt(total * (self.width / both)), DECIMALS)
-        self._keep((at, col, dist, d_ids[donor], d[donor, col]))
+        return [(at, col, donor, np.round(np.sqrt(total * (self.width / both)), DECIMALS))]
 
     def _keep(self, new: tuple) -> None:
-        """The k best of each row and column, ties to the smaller id."""
-        if self.best is not None:
-            new = tuple(np.concatenate(x) for x in zip(self.best, new))
+        """The k best of each row and column, ties to the smaller id; others than those of ``new`` stay as they are."""
         at, col, dist, donor, value = new
+        cell = at * self.width + col
+        kind = donor.dtype if donor.dtype.kind in "iuf" else np.dtype(object)
+        if self.donor is None:
+            self.donor = np.zeros(self.dist.shape, kind)
+        elif (wider := np.result_type(self.donor, kind)) != self.donor.dtype:
+            self.donor = self.donor.astype(wider)
+        meets = np.zeros(len(self.dist), bool)
+        meets[cell] = True
+        touched = np.flatnonzero(meets)
+        i, j = np.nonzero(np.isfinite(self.dist[touched]))
+        held = touched[i]
+        cell, dist, donor, value = (np.concatenate(x) for x in (
+            (held, cell), (self.dist[held, j], dist), (self.donor[held, j], donor), (self.value[held, j], value)))
         rank = donor if donor.dtype.kind in "iu" else np.unique(donor, return_inverse=True)[1]
-        order = np.lexsort((rank, dist, at * self.width + col))
-        at, col, dist, donor, value = (x[order] for x in (at, col, dist, donor, value))
-        first = np.r_[True, (np.diff(at) != 0) | (np.diff(col) != 0)][:len(at)]
-        start = np.flatnonzero(first)
-        place = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
+        order = np.lexsort((rank, dist, cell))
+        cell, dist, donor, value = (x[order] for x in (cell, dist, donor, value))
+        start = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
+        place = np.arange(len(cell)) - np.repeat(start, np.diff(np.r_[start, len(cell)]))
         keep = place < self.k
-        self.best = tuple(x[keep] for x in (at, col, dist, donor, value))
+        cell, dist, donor, value, place = (x[keep] for x in (cell, dist, donor, value, place))
+        self.dist[cell, place], self.donor[cell, place], self.value[cell, place] = dist, donor, value
         last = place == self.k - 1
-        self.reach[at[last], col[last]] = dist[last]
+        self.reach.flat[cell[last]] = dist[last]
 
     def means(self) -> Iterator[tuple[int, list]]:
         """The rows for which a donor was found, and their means; NULL where a column has none."""
-        if self.best is None:
-            return
-        at, col, _, _, value = self.best
-        cell = at * self.width + col
-        n = np.bincount(cell, minlength=len(self.ids) * self.width).reshape(-1, self.width)
-        total = np.bincount(cell, value, minlength=len(self.ids) * self.width).reshape(-1, self.width)
-        mean = total / np.maximum(n, 1)
+        met = np.isfinite(self.dist)
+        n = met.sum(1).reshape(-1, self.width)
+        total = np.zeros(len(self.dist))
+        for j in range(self.k):  # one after the other, nearest first
+            total += np.where(met[:, j], self.value[:, j], 0.0)
+        mean = total.reshape(-1, self.width) / np.maximum(n, 1)
         for i in np.flatnonzero(n.any(1)):
             yield i, [v if m else None for v, m in zip(mean[i].tolist(), n[i].tolist())]
 
@@ -328,18 +442,14 @@ def knn_impute(
     # stations of one leaf meet only themselves
     small = spread(rows.where(F.col("_rows") <= block), total, *station, each=SEARCHED).groupBy(*station).agg(
         F.sort_array(F.collect_list(F.struct(F.col(row).alias("id"), "_z"))).alias("_list"))
-    small = small.select(*station, F.lit(0).cast("long").alias("q_leaf"), *_flat("q"), *_flat("d"))
+    small = small.select(*station, F.lit(0).cast("long").alias("q_leaf"), F.lit(True).alias("asks"), F.lit(True).alias("gives"), *_flat())
     fills = leaf_search(small, station, row_type, width, k)
     if largest > block:
         leaves = stage(pack_leaves(rows.where(F.col("_rows") > block), station, row, width, block))
         pairs = stage(candidate_pairs(leaves, station, width, k, fan))
-
-        def side(tag: str) -> DataFrame:
-            return leaves.select(*station, *[F.col(c).alias(f"{tag}_{c}") for c in ("leaf", "ids", "values")])
-
-        both = pairs.join(side("d"), [*station, "d_leaf"]).join(side("q"), [*station, "q_leaf"])
-        both = spread(both, pairs.count(), *station, "q_leaf", each=PAIRS).sortWithinPartitions(*station, "q_leaf", "near")
-        fills = fills.union(leaf_search(both, station, row_type, width, k))
+        met, asking = pairs.agg(F.count(F.lit(1)), F.count_distinct(*station, "q_leaf")).first()
+        size = max(1, min(met // (COPIES * max(asking, 1)), HELD // (block * width * k)))
+        fills = fills.union(leaf_search(groups_of(pairs, leaves, station, size), station, row_type, width, k))
     means = fills.groupBy(*station, F.col("id").alias(row)).agg(*[F.max(F.col("fills")[j]).alias(f"_fill{j}") for j in range(width)])
     out = join_one(df, stats, station, "_rows").drop("_rows").join(means, [*station, row], "left")
     filled = {

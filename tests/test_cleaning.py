@@ -393,6 +393,38 @@ def test_searches_are_spread(spark, monkeypatch):
     assert dealt[1] > 4
 
 
+def test_donors_are_sent_once_to_a_group(spark, monkeypatch):
+    """Leaves that ask for the same donors share them, so that what is exchanged does not grow with the pairs of leaves."""
+    sent, search, paired, pairs = [], knn.leaf_search, [], knn.candidate_pairs
+    monkeypatch.setattr(knn, "leaf_search", lambda both, *rest: (sent.append(both.count()), search(both, *rest))[1])
+    monkeypatch.setattr(knn, "candidate_pairs", lambda *a: (found := pairs(*a), paired.append(found.count()))[0])
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, (300, 3)).astype(float)  # many are as near as others
+    x[rng.random(x.shape) < 0.4] = np.nan
+    x[0] = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([("s", i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)],
+                               "station string, row long, a double, b double, c double")
+    out = knn.knn_impute(df, ["station"], "row", ["a", "b", "c"], block=4).orderBy("row").collect()
+    assert np.array([r[2:] for r in out], dtype=float) == pytest.approx(brute_knn(x), abs=1e-9)
+    assert sent[1] < 0.5 * paired[0]
+
+
+@pytest.mark.parametrize("name", [int, str])
+def test_donors_in_order_are_those_of_all_pairs(monkeypatch, name):
+    """Rows that look along one coordinate find the donors that products of all pairs find, ties included."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 1, (600, 3)), rng.integers(-2, 3, (600, 3))])
+    x[rng.random(x.shape) < 0.35] = np.nan
+    ids, found = np.array([name(i) for i in rng.permutation(len(x))], dtype=object if name is str else int), []
+    for worth in (0, np.inf):
+        monkeypatch.setattr(knn, "WORTH", worth)
+        asking = knn.Asking(ids[100:700], x[100:700].ravel(), 3, 5)
+        for part in range(0, len(x), 150):
+            asking.meet(ids[part:part + 150], x[part:part + 150])
+        found.append((list(asking.means()), asking.reach.tolist()))
+    assert found[0] == found[1] and len(found[0][0]) > 300
+
+
 def test_scalers_round_trip(spark):
     rng = np.random.default_rng(11)
     data = [(n, t, float(rng.normal(n, n + 1)), 0.5) for n in range(4) for t in range(100)] + [(9, t, 3.0, 0.5) for t in range(100)]
